@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, secret_scan, sharding, url_filter
+from . import decontaminate, exact_dedup, near_dup, packing, quality, secret_scan, sharding, token_files, url_filter
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """The place of a public tokenizer's vocabulary on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mixture_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_read(spark, d, "documents"), tokenizer_file())
+
+
+def op2_probminhash(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicates(_read(spark, d, "documents"))
+
+
 def op3_hash_tree(spark: SparkSession, d: str) -> DataFrame:
     out = sharding.shard_rows(_read(spark, d, "documents"), sharding.tree_for(8), sharding.tree_for(9))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -26,6 +41,17 @@ def op5_progressive_dedup(spark: SparkSession, d: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, d, "documents"), digest=True)
 
 
+def op6_ranked_tokens(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents")
+    path, parts = token_files.write_tokens(docs, tokenizer_file())
+    return token_files.read_tokens(spark, path, parts, docs.schema["doc_id"].dataType)
+
+
+def op7_additive_quality(spark: SparkSession, d: str) -> DataFrame:
+    docs = _read(spark, d, "documents")
+    return quality.score(docs, quality.train(docs, _read(spark, d, "labels")))
+
+
 def op8_window_decontamination(spark: SparkSession, d: str) -> DataFrame:
     out = decontaminate.contamination(_read(spark, d, "documents"), _read(spark, d, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -36,9 +62,13 @@ def op9_link_propagation(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixture_packing": op1_mixture_packing,
+    "op2_probminhash": op2_probminhash,
     "op3_hash_tree": op3_hash_tree,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_progressive_dedup": op5_progressive_dedup,
+    "op6_ranked_tokens": op6_ranked_tokens,
+    "op7_additive_quality": op7_additive_quality,
     "op8_window_decontamination": op8_window_decontamination,
     "op9_link_propagation": op9_link_propagation,
 }
