@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dup, packing, quality, secret_scan, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, lm_score, near_dup, packing, quality, secret_scan, sharding, token_files, url_filter
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op9_link_propagation(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, d, "pages"))
 
 
+def op10_bloom_lm(spark: SparkSession, d: str) -> DataFrame:
+    return lm_score.lm_scores(_read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_probminhash": op2_probminhash,
@@ -71,5 +75,6 @@ QUERIES = {
     "op7_additive_quality": op7_additive_quality,
     "op8_window_decontamination": op8_window_decontamination,
     "op9_link_propagation": op9_link_propagation,
+    "op10_bloom_lm": op10_bloom_lm,
 }
 ORACLES: dict[str, str] = {}
