@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,14 +97,25 @@ def maybe_in(df: DataFrame, key: Sequence[Column], bitmap: DataFrame, name: str)
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once a row: a plain column would be put in each place, within lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def array_sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("bigint"), lambda x, y: x + y)
 
 
-def prefix_sums(a: Column, block: int = 256) -> Column:
+def prefix_sums(values: Column, block: int = 256) -> Column:
     """Inclusive running sums of an array of longs, in blocks so that long arrays stay cheap."""
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: F.slice(a, b * block + 1, block))
-    inner = F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: array_sum(F.slice(x, F.lit(1), i))))
-    totals = F.transform(blocks, array_sum)
-    before = F.transform(F.sequence(F.lit(0), F.size(totals) - 1), lambda i: array_sum(F.slice(totals, F.lit(1), i)))
-    return F.when(F.size(a) > 0, F.flatten(F.zip_with(inner, before, lambda x, o: F.transform(x, lambda v: v + o)))).otherwise(F.array().cast("array<bigint>"))
+
+    def of_blocks(blocks: Column) -> Column:
+        inner = F.transform(blocks, lambda x: F.transform(F.sequence(F.lit(1), F.size(x)), lambda i: array_sum(F.slice(x, F.lit(1), i))))
+        before = let(F.transform(blocks, array_sum), lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda i: array_sum(F.slice(t, F.lit(1), i))))
+        return F.flatten(F.zip_with(inner, before, lambda x, o: F.transform(x, lambda v: v + o)))
+
+    def of(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")), lambda b: F.slice(a, b * block + 1, F.lit(block)))
+        return F.when(F.size(a) > 0, let(blocks, of_blocks)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(values, of)

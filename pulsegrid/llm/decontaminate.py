@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_names, text_of
+from .common import ascii_lower, free_names, let, text_of
 
 WIDTH = 10
 #: Hashes that are sent along with the plan at most: 2 * 8 MB.
@@ -31,13 +31,11 @@ INLINE_HASHES = 100_000
 #: Windows that are broadcast for verification at most (each some 100 bytes).
 BROADCAST_WINDOWS = 200_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_NOT_WORD_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text as an array."""
-    flat = F.trim(F.regexp_replace(ascii_lower(text), _NOT_WORD, " "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return let(F.trim(F.regexp_replace(ascii_lower(text), _NOT_WORD, " ")), lambda flat: F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " ")))
 
 
 def _hash_at(words: Column, at: Column, k: int) -> Column:
@@ -93,15 +91,20 @@ class HashSets:
         """Whether a document has a chunk in the hash set."""
         if self.chunks is None:
             return F.lit(True)
-        out = F.lit(False)
-        for c, hashes in self.chunks.items():
-            out = out | _any_chunk_in(words, F.floor(F.size(words) / c).cast("int"), c, hashes)
-        return out
+
+        def any_of(w: Column) -> Column:
+            out = F.lit(False)
+            for c, hashes in self.chunks.items():
+                out = out | _any_chunk_in(w, F.floor(F.size(w) / c).cast("int"), c, hashes)
+            return out
+
+        return let(words, any_of)
 
     def hits(self, words: Column) -> Column:
         """array<struct<start, k, window>> of the windows in the hash set."""
-        out = [_windows_in(words, k, None if self.windows is None else self.windows[k]) for k in self.sizes]
-        return F.concat(*out) if out else F.array().cast("array<struct<start:int,k:int,window:string>>")
+        if not self.sizes:
+            return F.array().cast("array<struct<start:int,k:int,window:string>>")
+        return let(words, lambda w: F.concat(*[_windows_in(w, k, None if self.windows is None else self.windows[k]) for k in self.sizes]))
 
 
 def _verified(rows: DataFrame, windows: DataFrame, sets: HashSets) -> DataFrame:
@@ -160,8 +163,8 @@ def without_words(text: Column, positions: Column) -> Column:
     gaps = F.split(text, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", -1)
     words = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     gone = F.map_from_arrays(positions, positions)
-    kept = F.transform(words, lambda w, i: F.when(F.map_contains_key(gone, i), F.lit("")).otherwise(w))
-    merged = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), "")
+    kept = let(gone, lambda m: F.transform(words, lambda w, i: F.when(F.map_contains_key(m, i), F.lit("")).otherwise(w)))
+    merged = F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
     return F.when(positions.isNull() | (F.size(positions) == 0), text).otherwise(merged)
 
 
