@@ -36,14 +36,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: <id_col>, keep_id, group_size, kept, and with digest the sha256 of every text."""
     rows = _refined(docs, id_col, text_col, prefix_chars, {}).select("_id", "_n", "_full", *([F.coalesce("_full", F.sha2("_t", 256)).alias("text_sha256")] if digest else []))
     # Rows that are alone get a key of their own, so they spread over the join's partitions.
-    rows = rows.withColumn("_k", F.coalesce("_full", F.hex(F.xxhash64("_id"))))
+    rows = rows.withColumn("_k", F.concat_ws(":", "_n", F.coalesce("_full", F.hex(F.xxhash64("_id")))))
     groups = (
         rows.filter(F.col("_full").isNotNull())
-        .groupBy("_n", F.col("_full").alias("_k"))
+        .groupBy("_n", "_full")
         .agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
         .filter("_size > 1")
+        .select(F.concat_ws(":", "_n", "_full").alias("_k"), "_keep", "_size")  # not the key they are grouped by: the join's partitions can be split
     )
-    out = rows.join(groups, ["_n", "_k"], "left")
+    out = rows.join(groups, "_k", "left")
     keep = F.when(F.col("_size").isNotNull(), F.col("_keep")).otherwise(F.col("_id"))
     return out.select(
         F.col("_id").alias(id_col), keep.alias("keep_id"), F.coalesce("_size", F.lit(1).cast("bigint")).alias("group_size"), F.col("_id").eqNullSafe(keep).alias("kept"), *(["text_sha256"] if digest else [])

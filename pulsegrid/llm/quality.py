@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .textvec import Words, slices
+from .textvec import Words, slices, whole
 
 FOLDS, SAMPLE, THRESHOLD = 5, 20_000, 0.3
 BINS, PAIR_BINS, PAIRS = 32, 12, 6
@@ -65,7 +65,7 @@ def _per_text(text: np.ndarray, code: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def features(texts: pa.Array) -> np.ndarray:
     """A row for each text, a column for each of FEATURES."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    texts = whole(texts)
     n = len(texts)
     if not n:
         return np.zeros((0, len(FEATURES)))

@@ -56,17 +56,18 @@ variable_name vertical_align virtual_machine web_application window_height worke
 
 
 def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sample, is_random): made random strings; IDENTIFIERS and the words of at most SAMPLE_DOCUMENTS documents.
+    """(sample, is_random): made random strings; IDENTIFIERS and the words of documents of at most SAMPLE_DOCUMENTS ids.
 
     Random strings are hex, base64 and capitals with digits, from hashes of counters, so they are the same everywhere.
     """
     h = F.sha2(F.col("id").cast("string"), 256)
     shapes = F.array(h, F.substring(h, 1, 40), F.regexp_replace(F.base64(F.unhex(h)), "=", ""), F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(F.sha2(h, 512))), "[^A-Za-z0-9]", "")), 1, 32))
     out = spark.range(SAMPLE_STRINGS // 4, numPartitions=1).select(F.explode(shapes).alias("sample"), F.lit(True).alias("is_random"))
-    out = out.union(spark.createDataFrame([(x, False) for x in IDENTIFIERS], "sample string, is_random boolean"))
+    out = out.union(spark.range(1).select(F.explode(F.array(*map(F.lit, IDENTIFIERS))).alias("sample"), F.lit(False)))
     if docs is not None:
-        some = docs.select(text_of(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "t").limit(SAMPLE_DOCUMENTS)
-        words = some.select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z][a-z]+"), 0)).alias("sample")).distinct()
+        rows = docs.select(text_of(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
+        some = rows.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS)  # no text is gathered to choose
+        words = rows.join(F.broadcast(some), "h", "left_semi").select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z][a-z]+"), 0)).alias("sample")).distinct()
         out = out.union(words.select("sample", F.lit(False)))
     return out
 

@@ -23,6 +23,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def whole(texts: pa.Array) -> pa.Array:
+    """texts as large strings, null as empty, in buffers of their own.
+
+    The string functions of pyarrow misread arrays that begin inside of their buffers, as slices do.
+    """
+    return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
+
+
 def slices(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many bytes of text each, at least one row."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -39,7 +47,7 @@ class Words:
     """The words of a batch: ``codes`` (of each word, into ``dictionary``) and ``starts`` (of each text, one more at the end)."""
 
     def __init__(self, texts: pa.Array, lower: bool = True):
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = whole(texts)
         parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)  # white space: 20, 09-0D
         values = parts.values.slice(parts.offsets[0].as_py(), parts.offsets[-1].as_py() - parts.offsets[0].as_py()) if len(parts) else parts.values
         encoded = values.dictionary_encode()
