@@ -1,10 +1,662 @@
-"""Named queries over the parquet tables of one folder, and the SQL that gives the same rows where there is one."""
+"""Named queries over the parquet tables of one folder, and the SQL that gives the same rows where there is one.
+
+Every query runs over whole tables. Times are given as text and fractions are rounded, so that engines agree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.time import as_text
+from ..operators import demographics, diffusion, graph, sentiment, tables, timeline, topics, trees, trends, vectors
+from ..session import table
+from ..sources import platforms
+from ..sources.views import load, with_views
+from ..streaming.pipeline import hashtag_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = with_views(sql, *views) if views else sql
+        return f
+
+    return add
+
+
+_TS = "strftime({}, '%Y-%m-%d %H:%M:%S')".format
+
+
+def _posts(s: SparkSession, d: str) -> DataFrame:
+    return load(s, d, "posts")
+
+
+# --- timeline and tables -------------------------------------------------------------------------------------------
+
+
+@query("timeline_bounds", f"SELECT {_TS('min(ts)')} AS start_ts, {_TS('max(ts)')} AS end_ts, count(*) AS total FROM posts", ("posts",))
+def _(s, d):
+    return timeline.bounds(_posts(s, d)).select(as_text(F.col("start")).alias("start_ts"), as_text(F.col("end")).alias("end_ts"), "total")
+
+
+def _bucketed(interval: str):
+    return lambda s, d: timeline.activity(_posts(s, d), interval).select(as_text(F.col("bucket")).alias("bucket"), "posts").orderBy("bucket")
+
+
+for _unit, _width in (("hour", "1 hour"), ("five_hours", "5 hours"), ("week", "1 week"), ("month", "1 month"), ("quarter", "3 months"), ("two_years", "2 years")):
+    query(f"activity_timeseries_{_unit}", f"SELECT {_TS(f'''time_bucket(INTERVAL '{_width}', ts)''')} AS bucket, count(*) AS posts FROM posts GROUP BY 1", ("posts",))(_bucketed(_width))
+
+
+@query("timeline_slice_filtered", f"SELECT id, platform, author_id, {_TS('ts')} AS at FROM posts WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20' AND platform = 'reddit' AND (text ILIKE '%purchase%' OR CAST(hashtags AS VARCHAR) ILIKE '%purchase%')", ("posts",))
+def _(s, d):
+    return timeline.slice_posts(_posts(s, d), "2024-01-05", "2024-01-20", "Reddit", "purchase").select("id", "platform", "author_id", as_text(F.col("ts")).alias("at"))
+
+
+@query("keyword_search", "SELECT id FROM posts WHERE text ILIKE '%tion the%' OR CAST(hashtags AS VARCHAR) ILIKE '%tion the%'", ("posts",))
+def _(s, d):
+    return timeline.slice_posts(_posts(s, d), word="tion the").select("id")
+
+
+@query("parent_filter", "SELECT id, parent_id FROM posts WHERE parent_id = '7' OR id = '7' OR parent_id = 'video_7'", ("posts",))
+def _(s, d):
+    return timeline.slice_posts(_posts(s, d), parent="7").select("id", "parent_id")
+
+
+@query("user_timeline", f"SELECT id, {_TS('ts')} AS at FROM posts WHERE author_id = 'u3' ORDER BY ts, id LIMIT 100", ("posts",))
+def _(s, d):
+    return timeline.user_timeline(_posts(s, d), "u3").select("id", as_text(F.col("ts")).alias("at"))
+
+
+@query("active_authors", "SELECT DISTINCT author_id FROM posts WHERE ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-12'", ("posts",))
+def _(s, d):
+    return timeline.slice_posts(_posts(s, d), "2024-01-10", "2024-01-12").select("author_id").distinct()
+
+
+@query("replay_pages", "SELECT id, CAST(floor((row_number() OVER (ORDER BY ts, id) - 1) / 500.0) AS BIGINT) AS page FROM posts", ("posts",))
+def _(s, d):
+    return timeline.replay_pages(_posts(s, d), 500).select("id", "page")
+
+
+@query("cascade_series", "SELECT cascade_id, post_id, adoption_order FROM cascade_events", ("cascade_events",))
+def _(s, d):
+    return load(s, d, "cascade_events").select("cascade_id", "post_id", "adoption_order").orderBy("cascade_id", "adoption_order")
+
+
+@query("cascade_chronology", "SELECT post_id, round((timestamp_ms - min(timestamp_ms) OVER (PARTITION BY cascade_id)) / 1000.0, 3) AS seconds FROM cascade_events", ("cascade_events",))
+def _(s, d):
+    return timeline.since_origin(load(s, d, "cascade_events")).select("post_id", F.round("seconds", 3).alias("seconds"))
+
+
+@query("unanalyzed_posts", "SELECT id FROM posts WHERE id NOT IN (SELECT post_id FROM post_analytics WHERE primary_emotion <> 'joy') ORDER BY ts, id LIMIT 50", ("posts", "post_analytics"))
+def _(s, d):
+    return timeline.unanalysed(_posts(s, d), load(s, d, "post_analytics").filter("primary_emotion != 'joy'")).select("id")
+
+
+@query("upsert_latest", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def _(s, d):
+    e = table(s, d, "events").select("user_id", "event_id", "event_type")
+    newer = F.col("event_type").isin("purchase", "signup")
+    return tables.upsert(e.filter(~newer), e.filter(newer), ["user_id"], F.col("event_id"))
+
+
+@query("table_counts", "SELECT 'posts' AS \"table\", count(*) AS \"rows\" FROM posts UNION ALL SELECT 'users', count(*) FROM users UNION ALL SELECT 'graph_edges', count(*) FROM graph_edges", ("posts", "users", "graph_edges"))
+def _(s, d):
+    return tables.counts({n: load(s, d, n) for n in ("posts", "users", "graph_edges")})
+
+
+@query("followers", "SELECT source_id FROM graph_edges WHERE target_id = 'u3'", ("graph_edges",))
+def _(s, d):
+    return tables.followers(load(s, d, "graph_edges"), "u3")
+
+
+@query("following", "SELECT target_id FROM graph_edges WHERE source_id = 'u3'", ("graph_edges",))
+def _(s, d):
+    return tables.following(load(s, d, "graph_edges"), "u3")
+
+
+@query("comment_children", "SELECT id, parent_id FROM threads WHERE parent_id IS NOT NULL AND parent_id = root_id", ("threads",))
+def _(s, d):
+    return load(s, d, "threads").filter("parent_id = root_id").select("id", "parent_id").orderBy("parent_id", "id")
+
+
+@query("sql_passthrough", "SELECT event_type, count(*) AS n FROM events WHERE value >= 10 GROUP BY event_type")
+def _(s, d):
+    table(s, d, "events").createOrReplaceTempView("pulsegrid_events")
+    return tables.sql(s, "SELECT event_type, count(*) AS n FROM pulsegrid_events WHERE value >= :least GROUP BY event_type", {"least": 10})
+
+
+@query("secret_masking", "SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN '***' ELSE substr(c_name, 1, 4) || '...' || right(c_name, 4) END AS masked, regexp_replace('https://x/y?key=' || c_name || '&q=1', '([?&]key=)[^&\\s]+', '\\1***') AS url FROM customer")
+def _(s, d):
+    name = F.col("c_name")
+    return table(s, d, "customer").select("c_custkey", tables.mask_secret(name).alias("masked"), tables.redact_key(F.concat(F.lit("https://x/y?key="), name, F.lit("&q=1"))).alias("url"))
+
+
+# --- text and trends -----------------------------------------------------------------------------------------------
+
+_TAGS = "[lower(regexp_replace(t, '^#+', '')) FOR t IN hashtags]"
+_STOP = ", ".join(f"'{w}'" for w in sorted(set(T.STOPWORDS)))
+_TERMS = f"""terms AS (
+ SELECT ts, author_id, '#' || unnest({_TAGS}) AS term, 'hashtag' AS kind FROM posts
+ UNION ALL
+ SELECT ts, author_id, w, 'keyword' FROM (SELECT ts, author_id, unnest(regexp_extract_all(lower(regexp_replace(regexp_replace(text, '#[\\p{{L}}\\p{{N}}_]+', ' ', 'g'), 'https?://\\S+', ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM posts)
+ WHERE regexp_full_match(w, '[a-z]{{3,}}') AND w NOT IN ({_STOP}))"""
+
+
+@query("entity_extraction", "SELECT id, array_to_string(regexp_extract_all(text, '#([\\p{L}\\p{N}_]+)', 1), ',') AS tags, array_to_string(regexp_extract_all(text, '@([\\p{L}\\p{N}_]+)', 1), ',') AS mentions, len(regexp_extract_all(text, 'https?://\\S+')) AS links FROM posts", ("posts",))
+def _(s, d):
+    t = F.col("text")
+    return _posts(s, d).select("id", F.array_join(T.hashtags(t), ",").alias("tags"), F.array_join(T.mentions(t), ",").alias("mentions"), F.size(T.urls(t)).cast("bigint").alias("links"))
+
+
+@query("tweet_normalization", "SELECT id, md5(trim(array_to_string([CASE WHEN starts_with(w, '@') AND length(w) > 1 THEN '@user' WHEN starts_with(w, 'http') THEN 'http' ELSE w END FOR w IN string_split(text, ' ')], ' '), ' ')) AS digest FROM posts", ("posts",))
+def _(s, d):
+    return _posts(s, d).select("id", F.md5(T.tweet_normalised(F.col("text"))).alias("digest"))
+
+
+@query("term_extraction", f"WITH {_TERMS} SELECT term, kind, count(*) AS n FROM terms GROUP BY ALL", ("posts",))
+def _(s, d):
+    return trends.post_terms(_posts(s, d)).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_WINDOWS = f"""{_TERMS}, span AS (SELECT epoch_us(max(ts)) / 1e6 AS e FROM posts),
+ slots AS (SELECT term, kind, CAST(least(floor((epoch_us(ts) / 1e6 - (e - 86400.0 * 6)) / 86400.0), 5) AS INT) AS i FROM terms, span WHERE epoch_us(ts) / 1e6 >= e - 86400.0 * 6),
+ counted AS (SELECT term, kind, {", ".join(f"count(*) FILTER (i = {i}) AS c{i}" for i in range(6))} FROM slots GROUP BY ALL)"""
+_METRICS = f"""{_WINDOWS}, stats AS (SELECT *, (c0 + c1 + c2 + c3 + c4) / 5.0 AS mean, list_stddev_samp([c0, c1, c2, c3, c4]::DOUBLE[]) AS std FROM counted),
+ metrics AS (SELECT term, kind, c5 AS "count", round(mean, 3) AS mean, round(std, 3) AS std, round((c5 - mean) / greatest(std, sqrt(greatest(mean, 1.0))), 3) AS z_score, round((c5 - mean) / 24.0, 3) AS velocity FROM stats)"""
+
+
+def _counted(s, d):
+    events = trends.with_end(trends.post_terms(_posts(s, d)))
+    return trends.window_counts(events, F.col("_end"), 1440, 5)
+
+
+@query("term_window_counts", f"WITH {_WINDOWS} SELECT term, kind, concat_ws(',', c0, c1, c2, c3, c4, c5) AS counts FROM counted", ("posts",))
+def _(s, d):
+    return _counted(s, d).select("term", "kind", F.array_join(F.transform("counts", lambda x: x.cast("string")), ",").alias("counts"))
+
+
+@query("burst_metrics", f"""WITH {_METRICS} SELECT *, z_score >= 2.5 AND "count" >= 3 AS is_bursting FROM metrics""", ("posts",))
+def _(s, d):
+    return trends.burst_metrics(_counted(s, d), 1440)
+
+
+_DIVERSE = "diverse AS (SELECT term, count(DISTINCT author_id) * 1.0 / count(*) AS diversity FROM terms GROUP BY term)"
+
+
+@query("burst_ranking", f"WITH {_METRICS}, {_DIVERSE} SELECT term, kind, z_score, round(0.5 * CASE WHEN z_score > 0 THEN least(1.0, ln(1 + z_score) / ln(16)) ELSE 0 END + 0.25 * 0.5 + 0.25 * coalesce(diversity, 0.5), 4) AS score FROM metrics LEFT JOIN diverse USING (term) WHERE z_score >= 1", ("posts",))
+def _(s, d):
+    p = _posts(s, d)
+    found = trends.bursts(p, 1440).filter("z_score >= 1")
+    return trends.rank_bursts(found, trends.term_diversity(p).withColumn("sentiment", F.lit(None).cast("double")))
+
+
+@query("participant_diversity", f"WITH {_TERMS}, {_DIVERSE} SELECT term, round(diversity, 6) AS diversity FROM diverse", ("posts",))
+def _(s, d):
+    return trends.term_diversity(_posts(s, d)).select("term", F.round("diversity", 6).alias("diversity"))
+
+
+@query("top_hashtags", "SELECT tag, count(*) AS posts FROM (SELECT unnest(hashtags) AS tag FROM posts WHERE ts >= (SELECT max(ts) FROM posts) - INTERVAL 12 HOURS) GROUP BY tag ORDER BY posts DESC, tag LIMIT 5", ("posts",))
+def _(s, d):
+    return trends.top_hashtags(_posts(s, d))
+
+
+_ASKED = ("purchase", "#click", "k3", "error")
+_FORECAST = f"""asked AS (SELECT unnest({list(_ASKED)}) AS term), span AS (SELECT epoch_us(max(ts)) / 1e6 AS e FROM posts),
+ hits AS (SELECT a.term, author_id, CAST(least(floor((epoch_us(ts) / 1e6 - (e - 86400.0 * 4)) / 86400.0), 3) AS INT) AS i FROM posts, span, asked a
+ WHERE epoch_us(ts) / 1e6 >= e - 86400.0 * 4 AND regexp_matches(text, '(?i)(?:^|[^a-zA-Z0-9_])#?' || ltrim(a.term, '#') || '(?:[^a-zA-Z0-9_]|$)')),
+ v AS (SELECT term, [{", ".join(f"count(*) FILTER (i = {i})" for i in range(4))}] AS volumes, count(DISTINCT author_id) AS authors FROM hits GROUP BY term),
+ k AS (SELECT term, volumes, authors, volumes[4] / 1440.0 AS now, volumes[3] / 1440.0 AS before, list_sum(volumes) AS total FROM v)"""
+
+
+@query("trend_forecast", f"WITH {_FORECAST} SELECT term, concat_ws(',', volumes[1], volumes[2], volumes[3], volumes[4]) AS volumes, authors, round(now, 6) AS velocity, round((now - before) / 1440.0, 9) AS acceleration, round(0.45 * least(1.0, now / 25.0) + 0.40 * greatest(0.0, least(1.0, (now - before) / 10.0)) + 0.15 * least(1.0, authors * 1.0 / total), 6) AS virality FROM k", ("posts",))
+def _(s, d):
+    out = trends.forecast(_posts(s, d), _ASKED, 1440, 4)
+    return out.select("term", F.array_join(F.transform("volumes", lambda x: x.cast("string")), ",").alias("volumes"), "authors", F.round("velocity", 6).alias("velocity"), F.round("acceleration", 9).alias("acceleration"), F.round("virality", 6).alias("virality"))
+
+
+@query("lifecycle_states", """WITH days AS (SELECT event_type AS term, list(n ORDER BY day) AS volumes FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type),
+ k AS (SELECT *, volumes[-1] / 1.0 AS now, volumes[-2] / 1.0 AS before, len(list_filter(range(1, len(volumes)), i -> abs(volumes[i + 1] - volumes[i]) > 0.15 * greatest(0.1, volumes[i]))) = 0 AS even FROM days)
+ SELECT term, CASE WHEN even AND now < 2.5 THEN 'dormant' WHEN even THEN 'stable' WHEN now < 2.5 AND abs(now - before) < 1 THEN 'dormant' WHEN now >= 25 AND now - before >= 10 THEN 'viral_surge' WHEN now >= 10 AND now > before THEN 'emerging'
+ WHEN now < before AND now < before * 0.85 THEN 'decelerating' WHEN now >= 10 AND (now - before <= 0.15 * before OR now <= before) AND volumes[-1] >= list_max(volumes) * 0.85 THEN 'peaking' WHEN abs(now - before) <= greatest(0.1, before) * 0.15 THEN 'stable' WHEN now < before THEN 'decelerating' ELSE 'emerging' END AS state FROM k""")
+def _(s, d):
+    days = table(s, d, "events").groupBy(F.col("event_type").alias("term"), F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    rows = days.groupBy("term").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "n"))), lambda x: x["n"]).alias("volumes")).withColumn("authors", F.lit(1))
+    return trends.kinematics(rows, 1).select("term", "state")
+
+
+@query("trend_overview")
+def _(s, d):
+    return trends.overview(_posts(s, d), 1440)
+
+
+@query("topic_bins")
+def _(s, d):
+    return topics.over_time(topics.fit(_posts(s, d)))
+
+
+@query("topic_words")
+def _(s, d):
+    return topics.top_words(topics.fit(_posts(s, d)))
+
+
+@query("topic_bins_by_label", """WITH x AS (SELECT platform AS topic, epoch_us(ts) AS t FROM posts), b AS (SELECT min(t) AS lo, max(t) AS hi FROM x)
+ SELECT topic, CAST(least(9, floor((t - lo) * 10.0 / (hi - lo))) AS INT) AS bin, count(*) AS posts FROM x, b GROUP BY ALL""", ("posts",))
+def _(s, d):
+    return topics.over_time(_posts(s, d).withColumn("topic", F.col("platform")))
+
+
+@query("stream_hashtag_counts", f"SELECT {_TS('time_bucket(INTERVAL 1 HOUR, ts)')} AS window_start, tag, count(*) AS posts FROM (SELECT ts, unnest(hashtags) AS tag FROM posts) GROUP BY ALL", ("posts",))
+def _(s, d):
+    return hashtag_counts(_posts(s, d)).select(as_text(F.col("window_start")).alias("window_start"), "tag", "posts")
+
+
+# --- sentiment -----------------------------------------------------------------------------------------------------
+
+
+def _r(*names: str, digits: int = 6):
+    return [F.round(n, digits).alias(n) for n in names]
+
+
+_RATES = ("avg_sentiment", "positive_ratio", "negative_ratio", "neutral_ratio", "sarcasm_rate", "avg_irony", "joy_ratio", "anxiety_ratio", "anger_ratio", "sadness_ratio")
+
+
+@query("temporal_sentiment", f"""WITH x AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS b, a.* FROM posts JOIN post_analytics a ON id = post_id),
+ m AS (SELECT b, primary_emotion, row_number() OVER (PARTITION BY b ORDER BY count(*) DESC, primary_emotion) AS k FROM x GROUP BY ALL)
+ SELECT {_TS('b')} AS bucket, count(*) AS posts, round(avg(sentiment_score), 6) AS avg_sentiment, round(avg((effective_polarity = 'positive')::INT), 6) AS positive_ratio, round(avg((effective_polarity = 'negative')::INT), 6) AS negative_ratio,
+ round(avg((effective_polarity = 'neutral')::INT), 6) AS neutral_ratio, round(avg(is_sarcastic::INT), 6) AS sarcasm_rate, round(avg(irony_score), 6) AS avg_irony, round(avg((primary_emotion = 'joy')::INT), 6) AS joy_ratio,
+ round(avg((primary_emotion IN ('fear', 'anxiety'))::INT), 6) AS anxiety_ratio, round(avg((primary_emotion = 'anger')::INT), 6) AS anger_ratio, round(avg((primary_emotion = 'sadness')::INT), 6) AS sadness_ratio, any_value(m.primary_emotion) AS dominant_emotion
+ FROM x JOIN m USING (b) WHERE m.k = 1 GROUP BY b""", ("posts", "post_analytics"))
+def _(s, d):
+    out = sentiment.temporal(_posts(s, d), load(s, d, "post_analytics"), "6 hours")
+    return out.select(as_text(F.col("bucket")).alias("bucket"), "posts", *_r(*_RATES), "dominant_emotion")
+
+
+@query("signed_sentiment", "SELECT post_id, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE 0 END::DOUBLE AS drift_score, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE sentiment_score END AS diffusion_score FROM post_analytics", ("post_analytics",))
+def _(s, d):
+    p, x = F.col("effective_polarity"), F.col("sentiment_score")
+    return load(s, d, "post_analytics").select("post_id", sentiment.signed(p, x, F.lit(0.0)).alias("drift_score"), sentiment.signed(p, x).alias("diffusion_score"))
+
+
+@query("sarcasm_inversion", "SELECT post_id, CASE WHEN effective_polarity = 'positive' AND irony_score >= 0.85 THEN 'negative' ELSE effective_polarity END AS polarity, CASE WHEN effective_polarity = 'negative' OR (effective_polarity = 'positive' AND irony_score >= 0.85) THEN -sentiment_score WHEN effective_polarity = 'positive' THEN sentiment_score ELSE 0 END::DOUBLE AS score FROM post_analytics", ("post_analytics",))
+def _(s, d):
+    x = sentiment.inverted(F.col("effective_polarity"), F.col("sentiment_score"), F.col("irony_score"))
+    return load(s, d, "post_analytics").select("post_id", x["polarity"].alias("polarity"), (x["score"] + 0.0).alias("score"))
+
+
+@query("emotion_calibration")
+def _(s, d):
+    names = ("joy", "fear", "anger", "sadness")
+    rows = _posts(s, d).join(load(s, d, "post_analytics"), F.col("id") == F.col("post_id")).select("id", "text", *[F.col(f"emotion_{k}").alias(f"p_{k}") for k in names], *[F.lit(0.1).alias(f"p_{k}") for k in ("surprise", "disgust", "neutral")])
+    return sentiment.calibrated(rows).select("id", "emotions.*", F.col("primary_emotion"), F.col("emotion_score"))
+
+
+@query("narrative_drift", """WITH x AS (SELECT ts < TIMESTAMP '2024-01-15' AS early, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE 0 END AS s FROM posts LEFT JOIN post_analytics ON id = post_id
+ WHERE lower(text) LIKE '%purchase%' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20'), y AS (SELECT count(*) FILTER (early) AS nb, count(*) FILTER (NOT early) AS na, avg(s) FILTER (early) AS b, avg(s) FILTER (NOT early) AS a FROM x)
+ SELECT nb AS baseline_posts, na AS active_posts, round(coalesce(b, 0), 4) AS baseline_sentiment, round(coalesce(a, 0), 4) AS active_sentiment, round(coalesce(a, 0) - coalesce(b, 0), 4) AS shift,
+ coalesce((b >= 0.1 AND a <= -0.1) OR (b <= -0.1 AND a >= 0.1) OR (abs(a - b) >= 0.35 AND a * b < 0), false) AS inverted FROM y""", ("posts", "post_analytics"))
+def _(s, d):
+    return sentiment.drift(_posts(s, d), load(s, d, "post_analytics"), "purchase", "2024-01-10", "2024-01-15", "2024-01-20")
+
+
+@query("classification_metrics", """WITH x AS (SELECT quality AS t, CASE WHEN n_chars > 800 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id)), l AS (SELECT DISTINCT t AS label FROM x UNION SELECT DISTINCT p FROM x),
+ c AS (SELECT label, count(*) FILTER (t = label) AS support, count(*) FILTER (p = label) AS guessed, count(*) FILTER (t = label AND p = label) AS hits FROM l, x GROUP BY label),
+ m AS (SELECT *, CASE WHEN guessed > 0 THEN hits * 1.0 / guessed ELSE 0 END AS pr, CASE WHEN support > 0 THEN hits * 1.0 / support ELSE 0 END AS re FROM c), f AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM m)
+ SELECT CAST(label AS INT) AS label, support, round(pr, 6) AS "precision", round(re, 6) AS recall, round(f1, 6) AS f1, round(sum(hits) OVER () * 1.0 / sum(support) OVER (), 6) AS accuracy, round(avg(f1) OVER (), 6) AS macro_f1 FROM f""")
+def _(s, d):
+    rows = table(s, d, "labels").join(table(s, d, "documents"), "doc_id").select(F.col("quality").alias("truth"), F.when(F.col("n_chars") > 800, 1).otherwise(0).alias("predicted"))
+    return sentiment.classification(rows).select("label", "support", *_r("precision", "recall", "f1", "accuracy", "macro_f1"))
+
+
+# --- vectors -------------------------------------------------------------------------------------------------------
+
+_QUERY = [round(((i * 37) % 64 - 32) / 32, 4) for i in range(64)]
+_CLASSES = {f"class_{k}": [1.0 if i % 8 == k else 0.0 for i in range(64)] for k in range(8)}
+
+
+def _cos(v: str) -> str:
+    return f"(list_dot_product(embedding::DOUBLE[], {v}::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product({v}::DOUBLE[], {v}::DOUBLE[]))))"
+
+
+@query("knn_search", f"SELECT vec_id, round({_cos(str(_QUERY))}, 6) AS score FROM embeddings ORDER BY {_cos(str(_QUERY))} DESC, vec_id LIMIT 10")
+def _(s, d):
+    return vectors.knn(table(s, d, "embeddings"), _QUERY).select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("centroid_drift", """WITH u AS (SELECT label % 2 = 1 AS f, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings),
+ m AS (SELECT f, i, avg(x) AS x FROM u GROUP BY ALL), c AS (SELECT a.x AS a, b.x AS b FROM m a JOIN m b USING (i) WHERE NOT a.f AND b.f)
+ SELECT round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 4) AS drift, round(1 - sum(a * b) / (sqrt(sum(a * a)) * sqrt(sum(b * b))), 4) >= 0.25 AS is_semantic FROM c""")
+def _(s, d):
+    return vectors.centroid_drift(table(s, d, "embeddings").withColumn("odd", F.col("label") % 2 == 1), "odd")
+
+
+@query("persona_nearest", "WITH c AS (" + " UNION ALL ".join(f"SELECT '{k}' AS c, {v} AS v" for k, v in _CLASSES.items()) + f"), x AS (SELECT vec_id, c, {_cos('v')} AS s FROM embeddings, c), y AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c DESC) AS k FROM x) SELECT vec_id, c AS class, round(greatest(0.0, s), 3) AS similarity FROM y WHERE k = 1")
+def _(s, d):
+    return vectors.nearest_class(table(s, d, "embeddings"), _CLASSES)
+
+
+# --- threads and cascades ------------------------------------------------------------------------------------------
+
+_TREE = "t AS (SELECT id, root_id, parent_id, author_id, timestamp_ms, k, 0 AS depth FROM threads WHERE parent_id IS NULL UNION ALL SELECT c.id, c.root_id, c.parent_id, c.author_id, c.timestamp_ms, c.k, t.depth + 1 FROM threads c JOIN t ON c.parent_id = t.id)"
+
+
+@query("thread_tree", f"WITH RECURSIVE {_TREE} SELECT id, depth FROM t", ("threads",))
+def _(s, d):
+    return trees.thread_tree(load(s, d, "threads")).select("id", "depth")
+
+
+@query("thread_metrics", f"""WITH RECURSIVE {_TREE}, b AS (SELECT root_id, parent_id, count(*) AS n FROM t WHERE parent_id IS NOT NULL GROUP BY ALL), br AS (SELECT root_id, round(avg(n), 2) AS branching FROM b GROUP BY root_id),
+ w AS (SELECT c.root_id, avg(greatest(0, c.timestamp_ms - p.timestamp_ms) / 1000.0) AS lat FROM t c JOIN t p ON c.parent_id = p.id GROUP BY c.root_id)
+ SELECT root_id, count(*) AS posts, count(*) FILTER (depth > 0) AS replies, max(depth) AS max_depth, coalesce(any_value(branching), 0.0) AS branching, CAST(count(DISTINCT author_id) AS INT) AS participants, string_agg(DISTINCT author_id, ',' ORDER BY author_id) AS authors,
+ (max(timestamp_ms) - min(timestamp_ms)) / 1000.0 AS duration_seconds, round(coalesce(any_value(lat), 0.0), 6) AS mean_latency_seconds FROM t LEFT JOIN br USING (root_id) LEFT JOIN w USING (root_id) GROUP BY root_id""", ("threads",))
+def _(s, d):
+    return trees.thread_metrics(trees.thread_tree(load(s, d, "threads"))).withColumn("mean_latency_seconds", F.round("mean_latency_seconds", 6))
+
+
+@query("thread_depth_histogram", f"WITH RECURSIVE {_TREE} SELECT root_id, depth, count(*) AS posts FROM t GROUP BY ALL", ("threads",))
+def _(s, d):
+    return trees.depth_histogram(trees.thread_tree(load(s, d, "threads")))
+
+
+_MOODS = "['joy','anger','fear','anxiety','sadness','disgust','neutral']"
+
+
+@query("thread_sentiment", f"""WITH RECURSIVE {_TREE}, x AS (SELECT *, CASE k % 3 WHEN 0 THEN ((k * 37) % 100) / 100.0 WHEN 1 THEN -((k * 37) % 100) / 100.0 ELSE 0 END AS s, list_extract({_MOODS}, CAST(k % 7 + 1 AS INT)) AS e, list_extract(['favor','against','neutral','none'], CAST(k % 4 + 1 AS INT)) AS st FROM t),
+ m AS (SELECT root_id, e, row_number() OVER (PARTITION BY root_id ORDER BY count(*) DESC, min(timestamp_ms), min(id)) AS r FROM x WHERE depth > 0 GROUP BY ALL)
+ SELECT root_id, count(*) FILTER (depth > 0) AS replies, round(max(s) FILTER (depth = 0), 6) AS root_sentiment, round(coalesce(avg(s) FILTER (depth > 0), 0.0), 6) AS mean_sentiment, round(coalesce(stddev_samp(s) FILTER (depth > 0), 0.0), 6) AS controversy,
+ round(coalesce(count(*) FILTER (depth > 0 AND e IN ('anger', 'anxiety', 'disgust')) / greatest(1.0, (max(timestamp_ms) FILTER (depth > 0) - min(timestamp_ms) FILTER (depth > 0)) / 60000.0), 0.0), 6) AS hostility,
+ round(coalesce(avg((st = 'favor')::INT) FILTER (depth > 0), 0.0), 6) AS favor, round(coalesce(avg((st = 'against')::INT) FILTER (depth > 0), 0.0), 6) AS against, round(coalesce(avg((st IN ('neutral', 'none'))::INT) FILTER (depth > 0), 0.0), 6) AS neutral, any_value(m.e) AS mood,
+ round(CASE WHEN count(*) FILTER (depth > 0) > 0 THEN avg(s) FILTER (depth > 0) - max(s) FILTER (depth = 0) ELSE 0 END, 6) AS drift FROM x LEFT JOIN (SELECT * FROM m WHERE r = 1) m USING (root_id) GROUP BY root_id""", ("threads",))
+def _(s, d):
+    t = load(s, d, "threads")
+    k = F.col("k")
+    emotions = F.array(*map(F.lit, ("joy", "anger", "fear", "anxiety", "sadness", "disgust", "neutral")))
+    a = t.select(F.col("id").alias("post_id"), F.element_at(F.array(F.lit("positive"), F.lit("negative"), F.lit("neutral")), (k % 3 + 1).cast("int")).alias("polarity"), ((k * 37) % 100 / 100.0).cast("double").alias("score"), F.element_at(emotions, (k % 7 + 1).cast("int")).alias("primary_emotion"), F.element_at(F.array(*map(F.lit, ("favor", "against", "neutral", "none"))), (k % 4 + 1).cast("int")).alias("stance"))
+    out = trees.thread_sentiment(trees.thread_tree(t), a)
+    return out.select("root_id", "replies", *_r("root_sentiment", "mean_sentiment", "controversy", "hostility", "favor", "against", "neutral"), "mood", *_r("drift"))
+
+
+_ADOPT = """f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cascade_id, user_id ORDER BY adoption_order, timestamp_ms) AS k FROM cascade_events) WHERE k = 1),
+ a AS (SELECT cascade_id, user_id, post_id, timestamp_ms, row_number() OVER (PARTITION BY cascade_id ORDER BY adoption_order, timestamp_ms, user_id) - 1 AS ord FROM f)"""
+_PARENTS = f"""{_ADOPT}, c AS (SELECT a.cascade_id, a.user_id, p.user_id AS by, row_number() OVER (PARTITION BY a.cascade_id, a.user_id ORDER BY p.timestamp_ms DESC, p.ord) AS r FROM a JOIN graph_edges e ON e.source_id = a.user_id JOIN a p ON p.cascade_id = a.cascade_id AND p.user_id = e.target_id AND p.ord < a.ord),
+ tree AS (SELECT a.*, CASE WHEN a.ord > 0 THEN coalesce(c.by, z.user_id) END AS parent FROM a LEFT JOIN c ON c.cascade_id = a.cascade_id AND c.user_id = a.user_id AND c.r = 1 JOIN a z ON z.cascade_id = a.cascade_id AND z.ord = 0)"""
+_PATHS = f"{_PARENTS}, w AS (SELECT cascade_id, user_id, timestamp_ms, ord, parent, 0 AS depth, [user_id] AS path FROM tree WHERE parent IS NULL UNION ALL SELECT t.cascade_id, t.user_id, t.timestamp_ms, t.ord, t.parent, w.depth + 1, list_append(w.path, t.user_id) FROM tree t JOIN w ON w.cascade_id = t.cascade_id AND w.user_id = t.parent)"
+_CASCADE_VIEWS = ("cascade_events", "graph_edges")
+
+
+def _cascade_tree(s, d):
+    return trees.cascade_tree(load(s, d, "cascade_events"), load(s, d, "graph_edges"))
+
+
+@query("cascade_first_adopters", f"WITH {_ADOPT} SELECT cascade_id, user_id, post_id, CAST(ord AS INT) AS ord FROM a", ("cascade_events",))
+def _(s, d):
+    return trees.first_adopters(load(s, d, "cascade_events")).select("cascade_id", "user_id", "post_id", F.col("ord").cast("int").alias("ord"))
+
+
+@query("cascade_parents", f"WITH {_PARENTS} SELECT cascade_id, user_id, parent FROM tree", _CASCADE_VIEWS)
+def _(s, d):
+    return trees.parents(trees.first_adopters(load(s, d, "cascade_events")), load(s, d, "graph_edges")).select("cascade_id", "user_id", "parent")
+
+
+@query("cascade_depths", f"WITH RECURSIVE {_PATHS} SELECT w.cascade_id, w.user_id, w.depth, round(greatest(0.0, coalesce((w.timestamp_ms - p.timestamp_ms) / 1000.0, 0.0)), 2) AS delay_seconds FROM w LEFT JOIN tree p ON p.cascade_id = w.cascade_id AND p.user_id = w.parent", _CASCADE_VIEWS)
+def _(s, d):
+    return _cascade_tree(s, d).select("cascade_id", "user_id", "depth", "delay_seconds")
+
+
+@query("cascade_metrics", f"""WITH RECURSIVE {_PATHS}, n AS (SELECT cascade_id, count(*) AS n, max(depth) AS md, min(timestamp_ms) AS t0, max(timestamp_ms) AS t1, list(timestamp_ms ORDER BY timestamp_ms, ord) AS ts FROM w GROUP BY cascade_id),
+ b AS (SELECT cascade_id, max(c) AS mb FROM (SELECT cascade_id, depth, count(*) AS c FROM w GROUP BY ALL) GROUP BY cascade_id), r AS (SELECT cascade_id, round(avg(c), 3) AS br FROM (SELECT cascade_id, parent, count(*) AS c FROM w WHERE parent IS NOT NULL GROUP BY ALL) GROUP BY cascade_id)
+ SELECT cascade_id, n AS adoptions, md AS max_depth, mb AS max_breadth, coalesce(br, 0.0) AS branching, round((t1 - t0) / 1000.0, 2) AS duration_seconds, round((ts[greatest(1, CAST(floor(n / 2.0) AS BIGINT))] - t0) / 1000.0, 2) AS half_life_seconds,
+ round(n / greatest((t1 - t0) / 3600000.0, 1 / 60.0), 2) AS per_hour, round(md / greatest(1.0, mb), 4) AS depth_to_breadth FROM n JOIN b USING (cascade_id) LEFT JOIN r USING (cascade_id)""", _CASCADE_VIEWS)
+def _(s, d):
+    return trees.cascade_metrics(_cascade_tree(s, d))
+
+
+@query("structural_virality", f"""WITH RECURSIVE {_PATHS}, s AS (SELECT cascade_id, node, count(*) AS s FROM (SELECT cascade_id, unnest(path) AS node FROM w) GROUP BY ALL), n AS (SELECT cascade_id, count(*) AS n FROM w GROUP BY ALL)
+ SELECT cascade_id, CASE WHEN max(n) > 1 THEN round(2.0 * sum(s * (n - s)) / (max(n) * (max(n) - 1)), 4) ELSE 0.0 END AS virality FROM s JOIN n USING (cascade_id) GROUP BY cascade_id""", _CASCADE_VIEWS)
+def _(s, d):
+    return trees.structural_virality(_cascade_tree(s, d))
+
+
+@query("top_cascades", "SELECT cascade_id, count(*) AS events FROM cascade_events GROUP BY 1 HAVING count(*) >= 2 ORDER BY events DESC, cascade_id LIMIT 10", ("cascade_events",))
+def _(s, d):
+    return trees.top_cascades(load(s, d, "cascade_events"))
+
+
+# --- graph ---------------------------------------------------------------------------------------------------------
+
+_G = ("graph_edges",)
+_N = "nodes AS (SELECT source_id AS node FROM graph_edges UNION SELECT target_id FROM graph_edges)"
+_U = "u AS (SELECT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b, count(*)::DOUBLE AS weight FROM (SELECT DISTINCT source_id, target_id FROM graph_edges) GROUP BY ALL)"
+_PART = "part AS (SELECT node, CAST(substr(node, 2) AS BIGINT) % 5 - 1 AS community FROM nodes)"
+
+
+def _edges(s, d):
+    return load(s, d, "graph_edges")
+
+
+def _part(e: DataFrame) -> DataFrame:
+    return graph.nodes(e).withColumn("community", F.substring("node", 2, 20).cast("bigint") % 5 - 1)
+
+
+@query("degree", f"WITH {_N}, i AS (SELECT target_id AS node, count(*) AS c FROM graph_edges GROUP BY 1), o AS (SELECT source_id AS node, count(*) AS c FROM graph_edges GROUP BY 1) SELECT node, coalesce(i.c, 0) AS in_degree, coalesce(o.c, 0) AS out_degree, round(coalesce(i.c, 0) * 1.0 / ((SELECT count(*) FROM nodes) - 1), 6) AS in_centrality FROM nodes LEFT JOIN i USING (node) LEFT JOIN o USING (node)", _G)
+def _(s, d):
+    return graph.degrees(_edges(s, d)).select("node", "in_degree", "out_degree", *_r("in_centrality"))
+
+
+@query("graph_density", f"WITH {_N} SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, round(count(*) * 1.0 / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 6) AS density FROM graph_edges", _G)
+def _(s, d):
+    return graph.density(_edges(s, d))
+
+
+@query("undirected_projection", f"WITH {_U} SELECT * FROM u", _G)
+def _(s, d):
+    return graph.undirected(_edges(s, d))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = [f"WITH {_N}, c AS (SELECT count(*)::DOUBLE AS n FROM nodes), o AS (SELECT source_id, count(*)::DOUBLE AS k FROM graph_edges GROUP BY 1), e AS (SELECT source_id, target_id, 1.0 / k AS share FROM graph_edges JOIN o USING (source_id)), r0 AS (SELECT node, 1.0 / n AS rank FROM nodes, c)"]
+    for i in range(rounds):
+        steps.append(f"m{i} AS (SELECT target_id AS node, sum(rank * share) AS x FROM r{i} JOIN e ON source_id = node GROUP BY 1), z{i} AS (SELECT coalesce(sum(rank), 0) AS s FROM r{i} WHERE node NOT IN (SELECT source_id FROM o)), r{i + 1} AS (SELECT node, 0.15 / n + 0.85 * (coalesce(x, 0) + s / n) AS rank FROM nodes LEFT JOIN m{i} USING (node), c, z{i})")
+    return ", ".join(steps) + f" SELECT node, round(rank, 7) AS rank FROM r{rounds}"
+
+
+@query("pagerank", _pagerank_sql(8), _G)
+def _(s, d):
+    return graph.pagerank(_edges(s, d), rounds=8, tolerance=0).select("node", F.round("rank", 7).alias("rank"))
+
+
+@query("connected_components", "WITH RECURSIVE b AS (SELECT source_id AS x, target_id AS y FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), r AS (SELECT x AS node, x AS component FROM b UNION SELECT b.y, r.component FROM r JOIN b ON b.x = r.node WHERE r.component <= b.y) SELECT node, min(component) AS component FROM r GROUP BY node", _G)
+def _(s, d):
+    return graph.components(_edges(s, d))
+
+
+@query("label_propagation")
+def _(s, d):
+    return graph.label_propagation(_edges(s, d), 5)
+
+
+@query("louvain")
+def _(s, d):
+    e = _edges(s, d)
+    return graph.cluster_ids(graph.louvain(e, levels=2, moves=3))
+
+
+@query("modularity", f"WITH {_N}, {_U}, {_PART}, dg AS (SELECT community, sum(weight) AS d FROM (SELECT a AS node, weight FROM u UNION ALL SELECT b, weight FROM u) JOIN part USING (node) GROUP BY 1), i AS (SELECT p.community, sum(weight) AS l FROM u JOIN part p ON p.node = a JOIN part q ON q.node = b AND p.community = q.community GROUP BY 1) SELECT count(*) AS communities, round(sum(coalesce(l, 0) / m - power(d / (2 * m), 2)), 4) AS modularity FROM dg LEFT JOIN i USING (community), (SELECT sum(weight) AS m FROM u)", _G)
+def _(s, d):
+    e = _edges(s, d)
+    return graph.modularity(e, _part(e))
+
+
+@query("community_stats", f"""WITH {_N}, {_PART}, g AS (SELECT target_id AS node, count(*) AS k FROM graph_edges GROUP BY 1), t AS (SELECT community, node, row_number() OVER (PARTITION BY community ORDER BY coalesce(k, 0) DESC, node) AS r FROM part LEFT JOIN g USING (node)),
+ tops AS (SELECT community, string_agg(node, ',' ORDER BY r) AS top FROM t WHERE r <= 5 GROUP BY 1), i AS (SELECT p.community, count(*) AS c FROM graph_edges JOIN part p ON p.node = source_id JOIN part q ON q.node = target_id AND p.community = q.community GROUP BY 1)
+ SELECT community, count(*) AS members, coalesce(any_value(c), 0) AS inner_edges, round(coalesce(any_value(c), 0) * 1.0 / (count(*) * (count(*) - 1)), 4) AS density, any_value(top) AS top FROM part LEFT JOIN i USING (community) LEFT JOIN tops USING (community) WHERE community <> -1 GROUP BY community""", _G)
+def _(s, d):
+    e = _edges(s, d)
+    return graph.community_stats(e, _part(e))
+
+
+@query("betweenness")
+def _(s, d):
+    return graph.betweenness(_edges(s, d), k=200).select("node", *_r("betweenness"))
+
+
+@query("kol_ranking")
+def _(s, d):
+    e = _edges(s, d)
+    return graph.rank_leaders(graph.pagerank(e, rounds=20), graph.degrees(e), graph.betweenness(e, k=200))
+
+
+@query("bridge_kols", f"""WITH {_N}, {_PART}, p AS (SELECT source_id AS node, target_id AS nx FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), x AS (SELECT p.node, CASE WHEN a.community >= 0 THEN a.community END AS own, CASE WHEN b.community >= 0 THEN b.community END AS oth FROM p JOIN part a ON a.node = p.node JOIN part b ON b.node = p.nx),
+ y AS (SELECT node, any_value(own) AS community, count(*) AS neighbours, count(*) FILTER (own <> oth) AS foreign_neighbours, count(DISTINCT oth) FILTER (own <> oth) AS reached FROM x GROUP BY node), z AS (SELECT *, round(foreign_neighbours * 1.0 / neighbours, 4) AS ratio FROM y WHERE foreign_neighbours > 0),
+ s AS (SELECT *, round(0.6 * ratio + 0.15 * least(1.0, reached / 3.0), 4) AS score FROM z) SELECT node, community, ratio, neighbours, foreign_neighbours, CAST(reached AS INT) AS reached, 0.0::DOUBLE AS betweenness, score, CAST(row_number() OVER (ORDER BY score DESC, ratio DESC, node) AS INT) AS place FROM s ORDER BY score DESC, ratio DESC, node LIMIT 20""", _G)
+def _(s, d):
+    e = _edges(s, d)
+    return graph.bridges(e, _part(e))
+
+
+@query("ego_subgraph", "WITH b AS (SELECT source_id AS x, target_id AS y FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), h1 AS (SELECT DISTINCT y AS node FROM b WHERE x = 'u3' AND y <> 'u3'), h2 AS (SELECT DISTINCT y AS node FROM b JOIN h1 ON x = h1.node WHERE y <> 'u3' AND y NOT IN (SELECT node FROM h1)) SELECT node, hop FROM (SELECT 'u3' AS node, 0 AS hop UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2) ORDER BY hop, node LIMIT 100", _G)
+def _(s, d):
+    return graph.ego(_edges(s, d), "u3", 2)
+
+
+@query("spearman", f"WITH {_N}, i AS (SELECT target_id AS node, count(*) AS c FROM graph_edges GROUP BY 1), o AS (SELECT source_id AS node, count(*) AS c FROM graph_edges GROUP BY 1), r AS (SELECT node, row_number() OVER (ORDER BY coalesce(i.c, 0) DESC, node) AS a, row_number() OVER (ORDER BY coalesce(o.c, 0) DESC, node) AS b FROM nodes LEFT JOIN i USING (node) LEFT JOIN o USING (node)) SELECT round(1 - 6.0 * sum((a - b) * (a - b)) / (count(*) * (count(*) * count(*) - 1)), 4) AS rho FROM r", _G)
+def _(s, d):
+    return graph.spearman(graph.degrees(_edges(s, d)), "in_degree", "out_degree", "node")
+
+
+@query("relation_type_validation", "SELECT p_partkey, CASE WHEN regexp_full_match(trim(p_type), '[A-Za-z][A-Za-z0-9_]{0,63}') THEN upper(trim(p_type)) END AS relation FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' follows ' WHEN 1 THEN '9bad' WHEN 2 THEN p_brand ELSE 'x_' || p_partkey END AS p_type FROM part)")
+def _(s, d):
+    k = F.col("p_partkey")
+    raw = F.when(k % 4 == 0, " follows ").when(k % 4 == 1, "9bad").when(k % 4 == 2, F.col("p_brand")).otherwise(F.concat(F.lit("x_"), k.cast("string")))
+    return table(s, d, "part").select("p_partkey", graph.relation_type(raw).alias("relation"))
+
+
+# --- demographics --------------------------------------------------------------------------------------------------
+
+_TIER = "CASE WHEN {0} <= 5 THEN 'casual' WHEN {0} <= 25 THEN 'active' WHEN {0} <= 100 THEN 'power_user' ELSE 'broadcaster' END".format
+
+
+@query("hour_histogram", "WITH h AS (SELECT author_id AS user_id, extract(hour FROM ts) AS h, count(*) AS n FROM posts GROUP BY ALL), p AS (SELECT user_id, h, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, h) AS k FROM h) SELECT h.user_id, CAST(sum(n) AS BIGINT) AS posts, CAST(any_value(p.h) AS INT) AS peak_hour, string_agg(h.h || ':' || n, ',' ORDER BY h.h) AS hours FROM h JOIN p ON p.user_id = h.user_id AND k = 1 GROUP BY h.user_id", ("posts",))
+def _(s, d):
+    full = F.filter(F.transform("hours", lambda n, i: F.when(n > 0, F.concat_ws(":", i.cast("string"), n.cast("string")))), lambda x: x.isNotNull())
+    return demographics.behaviour(_posts(s, d)).select("user_id", "posts", "peak_hour", F.array_join(full, ",").alias("hours"))
+
+
+@query("engagement_tier", f"WITH c AS (SELECT author_id AS user_id, count(*) AS n FROM posts GROUP BY 1) SELECT user_id, {_TIER('n')} AS tier FROM c", ("posts",))
+def _(s, d):
+    return demographics.behaviour(_posts(s, d)).select("user_id", "tier")
+
+
+_PLACES = ("Austin, TX", "Toronto, CA", "Berlin, DE", "Springfield, IL", "Lyon, France", "nyc", "Ontario", "Germany", "Paris - France", "Moose Jaw, SK", "UT: 37.77,-122.41", "somewhere")
+_PLACED = {"Austin, TX": "Austin|Texas|US|0.95", "Toronto, CA": "Toronto|Ontario|CA|0.95", "Berlin, DE": "Berlin||DE|0.95", "Springfield, IL": "Springfield|Illinois|US|0.95", "Lyon, France": "Lyon||FR|0.95", "nyc": "New York|New York|US|0.9", "Ontario": "|Ontario|CA|0.85", "Germany": "||DE|0.85", "Paris - France": "Paris||FR|0.95", "Moose Jaw, SK": "Moose Jaw|Saskatchewan|CA|0.95", "UT: 37.77,-122.41": "San Francisco|California|US|1.0", "somewhere": "|||0.0"}
+
+
+@query("geo_resolve", "WITH e AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(_PLACED[p] for p in _PLACES)) + ") v(i, place)) SELECT c_custkey, place FROM customer JOIN e ON i = c_custkey % 12")
+def _(s, d):
+    rows = table(s, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("c_custkey") % 12 + 1).cast("int")).alias("location_raw"))
+    g = lambda k: F.coalesce(F.col(f"geo.{k}").cast("string"), F.lit(""))
+    return demographics.resolve_location(rows).select("c_custkey", F.concat_ws("|", g("city"), g("state"), g("code"), g("confidence")).alias("place"))
+
+
+_CITY_ROWS = ", ".join(f"({i}, '{c}', {a}, {o})" for i, (_, c, _s, _n, _d, a, o) in enumerate(demographics.CITIES))
+
+
+@query("nearest_city", f"WITH c AS (SELECT * FROM (VALUES {_CITY_ROWS}) v(i, city, la, lo)), u AS (SELECT c_custkey, 25 + (c_custkey % 97) * 0.25 AS la, -125 + (c_custkey % 113) * 0.5 AS lo FROM customer), x AS (SELECT c_custkey, city, row_number() OVER (PARTITION BY c_custkey ORDER BY sqrt(power(u.la - c.la, 2) + power(u.lo - c.lo, 2)), i) AS k, sqrt(power(u.la - c.la, 2) + power(u.lo - c.lo, 2)) AS far FROM u, c) SELECT c_custkey, CASE WHEN far <= 0.8 THEN city END AS city, round(CASE WHEN far <= 0.8 THEN far END, 6) AS far FROM x WHERE k = 1")
+def _(s, d):
+    k = F.col("c_custkey")
+    near = demographics.nearest_city((25 + (k % 97) * 0.25).cast("double"), (-125 + (k % 113) * 0.5).cast("double"))
+    return table(s, d, "customer").select("c_custkey", near.alias("n")).select("c_custkey", F.col("n.city").alias("city"), F.round("n.far", 6).alias("far"))
+
+
+@query("age_bracket", "WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey % 110 WHEN 1 THEN 2026 - (1900 + c_custkey % 130) WHEN 2 THEN 2026 - CASE WHEN c_custkey % 100 <= 26 THEN 2000 + c_custkey % 100 ELSE 1900 + c_custkey % 100 END END AS age FROM customer) SELECT c_custkey, CASE WHEN age IS NULL THEN '65+' WHEN age < 10 OR age > 105 THEN NULL WHEN age < 18 THEN '<18' WHEN age <= 24 THEN '18-24' WHEN age <= 34 THEN '25-34' WHEN age <= 49 THEN '35-49' WHEN age <= 64 THEN '50-64' ELSE '65+' END AS bracket FROM x")
+def _(s, d):
+    k = F.col("c_custkey")
+    text = lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    # number, year of four digits, year of two digits, stage of life; ages over 99 have no number rung
+    bio = F.when(k % 4 == 0, F.when(k % 110 < 100, text("I am ", k % 110)).otherwise("")).when(k % 4 == 1, text("born in ", 1900 + k % 130)).when(k % 4 == 2, text("born '", F.lpad((k % 100).cast("string"), 2, "0"))).otherwise("happy retiree")
+    stated = F.when((k % 4 == 0) & (k % 110 >= 100), demographics.age_bracket(k % 110)).otherwise(demographics.explicit_age(bio, 2026))
+    return table(s, d, "customer").select("c_custkey", stated.alias("bracket"))
+
+
+@query("persona_age", "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '50+' WHEN 1 THEN '18-24' WHEN 2 THEN '25-34' WHEN 3 THEN '35-49' ELSE 'unknown' END AS bracket FROM customer")
+def _(s, d):
+    bios = F.array(*map(F.lit, ("Retired teacher", "College student", "Young professional", "Vice President of sales", "hello")))
+    return table(s, d, "customer").select("c_custkey", demographics.persona_age(F.element_at(bios, (F.col("c_custkey") % 5 + 1).cast("int"))).alias("bracket"))
+
+
+@query("demographic_breakdown", f"WITH c AS (SELECT author_id AS id, count(*) AS n FROM posts GROUP BY 1), p AS (SELECT location_raw AS country, bio AS persona, {_TIER('coalesce(n, 0)')} AS tier FROM users LEFT JOIN c USING (id)) SELECT dimension, key, count(*) AS users FROM (SELECT 'country' AS dimension, country AS key FROM p UNION ALL SELECT 'persona', persona FROM p UNION ALL SELECT 'tier', tier FROM p) GROUP BY ALL", ("posts", "users"))
+def _(s, d):
+    users = load(s, d, "users").join(demographics.behaviour(_posts(s, d)).withColumnRenamed("user_id", "id"), "id", "left")
+    return demographics.breakdown(users.select(F.col("location_raw").alias("country"), F.col("bio").alias("persona"), "tier"), {"country": None, "persona": None, "tier": "casual"})
+
+
+@query("audience_k_anonymity", "WITH f AS (SELECT DISTINCT source_id AS id FROM graph_edges WHERE target_id = 'u3'), g AS (SELECT 'country' AS dimension, location_raw AS key, count(*) AS n FROM users JOIN f USING (id) GROUP BY ALL UNION ALL SELECT 'persona', bio, count(*) FROM users JOIN f USING (id) GROUP BY ALL) SELECT dimension, CASE WHEN n < 5 THEN 'Other / Low Count' ELSE key END AS key, CAST(sum(n) AS BIGINT) AS users FROM g GROUP BY ALL", ("graph_edges", "users"))
+def _(s, d):
+    e = load(s, d, "graph_edges")
+    found = load(s, d, "users").join(demographics.followers_of(e, "u3"), "id", "left_semi").select(F.col("location_raw").alias("country"), F.col("bio").alias("persona"))
+    return demographics.suppress_small(demographics.breakdown(found, {"country": "Unknown", "persona": None}), 5)
+
+
+@query("influencer_audience")
+def _(s, d):
+    return demographics.audience(load(s, d, "graph_edges"), load(s, d, "users"), _posts(s, d), "u3", 2026)
+
+
+@query("user_profiles")
+def _(s, d):
+    return demographics.profiles(load(s, d, "users"), _posts(s, d), 2026).select("id", "country", "city", "age_bracket", "posts", "tier")
+
+
+@query("recent_posts", "WITH r AS (SELECT author_id, id, row_number() OVER (PARTITION BY author_id ORDER BY ts DESC, id DESC) AS k FROM posts) SELECT author_id, md5(string_agg(text, '|' ORDER BY k)) AS digest FROM r JOIN posts USING (author_id, id) WHERE k <= 5 GROUP BY author_id", ("posts",))
+def _(s, d):
+    return demographics.recent_posts(_posts(s, d)).select("author_id", F.md5(F.array_join("texts", "|")).alias("digest"))
+
+
+@query("language_counts")
+def _(s, d):
+    return table(s, d, "documents").select(T.language_guess(F.col("text"))["lang"].alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).orderBy(F.desc("documents"), "lang")
+
+
+# --- diffusion and sources -----------------------------------------------------------------------------------------
+
+_REACHED = """x AS (SELECT c.*, 'community_' || CAST(substr(user_id, 2) AS BIGINT) % 6 AS segment, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE sentiment_score END AS s FROM cascade_events c LEFT JOIN post_analytics USING (post_id)),
+ g AS (SELECT cascade_id, segment, min((timestamp_ms, user_id)) AS f, round(coalesce(avg(s), 0.0), 4) AS sentiment, count(*) AS adoptions FROM x GROUP BY ALL),
+ r AS (SELECT cascade_id, segment, f[1] AS first_ms, f[2] AS first_user, sentiment, adoptions, row_number() OVER (PARTITION BY cascade_id ORDER BY f[1], segment) AS place FROM g)"""
+
+
+def _reached(s, d):
+    e = load(s, d, "cascade_events")
+    communities = e.select("user_id").distinct().withColumn("community_id", F.substring("user_id", 2, 20).cast("bigint") % 6)
+    return diffusion.arrivals(diffusion.adoptions(e, communities, load(s, d, "post_analytics"), load(s, d, "users")), "community")
+
+
+@query("cross_segment_transitions", f"WITH {_REACHED}, n AS (SELECT *, lead(segment) OVER w AS s2, lead(first_ms) OVER w AS m2, lead(first_user) OVER w AS u2, lead(sentiment) OVER w AS x2 FROM r WINDOW w AS (PARTITION BY cascade_id ORDER BY place)) SELECT cascade_id, CAST(place AS INT) AS place, segment AS from_segment, s2 AS to_segment, greatest(0, m2 - first_ms) / 1000.0 AS latency_seconds, first_user AS source_user, u2 AS target_user, round(x2 - sentiment, 4) AS sentiment_drift FROM n WHERE s2 IS NOT NULL", ("cascade_events", "post_analytics"))
+def _(s, d):
+    return diffusion.transitions(_reached(s, d))
+
+
+@query("cross_segment_drift", f"WITH {_REACHED} SELECT cascade_id, arg_min(segment, place) AS origin, arg_max(segment, place) AS final, count(*) AS segments, CAST(sum(adoptions) AS BIGINT) AS adoptions, arg_min(sentiment, place) AS origin_sentiment, round(arg_max(sentiment, place) - arg_min(sentiment, place), 4) AS drift FROM r GROUP BY cascade_id", ("cascade_events", "post_analytics"))
+def _(s, d):
+    return diffusion.drift(_reached(s, d))
+
+
+@query("payload_normalization", f"SELECT CAST(event_id AS VARCHAR) AS id, 'u' || user_id AS author_id, 'hello #' || event_type || ' @u' || user_id AS text, {_TS('ts')} AS at, event_type AS tags, 'u' || user_id AS mentions, event_id % 50 AS likes FROM events")
+def _(s, d):
+    e = table(s, d, "events")
+    user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    payload = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), user.alias("author_id"), F.concat(F.lit("hello #"), "event_type", F.lit(" @"), user).alias("text"), F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"), F.struct((F.col("event_id") % 50).alias("like_count")).alias("public_metrics")))
+    out = platforms.twitter(e.select(payload.alias("payload")))
+    return out.select("id", "author_id", "text", as_text(F.col("ts")).alias("at"), F.array_join("hashtags", ",").alias("tags"), F.array_join("mentions", ",").alias("mentions"), F.col("metrics.likes").alias("likes"))
+
+
+@query("json_fallbacks", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.demographics.persona'), json_extract_string(props, '$.persona'), 'unknown_persona') AS persona FROM events")
+def _(s, d):
+    p = F.col("props")
+    return table(s, d, "events").select("event_id", F.get_json_object(p, "$.k").cast("bigint").alias("k"), F.coalesce(F.get_json_object(p, "$.demographics.persona"), F.get_json_object(p, "$.persona"), F.lit("unknown_persona")).alias("persona"))
