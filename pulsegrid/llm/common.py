@@ -10,8 +10,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A membership filter has 2**FILTER_BITS bits: 4096 rows of 4096 bytes, 16 MiB whatever the input is.
-FILTER_BITS = 27
+#: A membership filter has 2**FILTER_BITS bits: 1024 rows of 4096 bytes, 4 MiB whatever the input is.
+FILTER_BITS = 25
 _ROW_BITS = 15
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,9 +71,9 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
 
 
 def key_filter(keys: DataFrame, key: Sequence[Column]) -> DataFrame:
-    """A bitmap over hashed keys, at most 16 MiB, so it can always be broadcast.
+    """A bitmap over hashed keys, at most 4 MiB, so it can always be broadcast.
 
-    Beyond some 10**8 keys it fills up and lets more rows through; whoever uses it joins what it lets through exactly.
+    Beyond some 10**7 keys it fills up and lets more rows through; whoever uses it joins what it lets through exactly.
     """
     h = F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
     return (

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Characters that are worked on at a time: bounds a worker's memory whatever the length of the texts.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS, BATCH_ROWS = 4_000_000, 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -38,7 +38,7 @@ def slices(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple[int, int
     start = 0
     while start < len(texts):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + chars, "right")))
+        stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(ends, before + chars, "right"))))
         yield start, stop
         start = stop
 
