@@ -33,7 +33,7 @@ def adoptions(events: DataFrame, communities: DataFrame, analytics: DataFrame, u
 def arrivals(rows: DataFrame, kind: str) -> DataFrame:
     """(cascade_id, segment, place, first_ms, first_user, sentiment): segments in the order in which they were reached."""
     keyed = rows.withColumn("segment", segment_key(kind)).withColumn("_s", F.when(F.col("sentiment_score").isNotNull(), signed(F.col("effective_polarity"), F.col("sentiment_score"))))
-    by = keyed.groupBy("cascade_id", "segment").agg(F.min(F.struct("timestamp_ms", "user_id")).alias("f"), F.round(F.coalesce(F.avg("_s"), F.lit(0.0)), 4).alias("sentiment"), F.count(F.lit(1)).alias("adoptions"))
+    by = keyed.groupBy("cascade_id", "segment").agg(F.min(F.struct("timestamp_ms", "user_id")).alias("f"), F.round(F.round(F.coalesce(F.avg("_s"), F.lit(0.0)), 10), 4).alias("sentiment"), F.count(F.lit(1)).alias("adoptions"))
     place = F.row_number().over(Window.partitionBy("cascade_id").orderBy("f.timestamp_ms", "segment"))
     return by.select("cascade_id", "segment", place.alias("place"), F.col("f.timestamp_ms").alias("first_ms"), F.col("f.user_id").alias("first_user"), "sentiment", "adoptions")
 

@@ -125,15 +125,18 @@ def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0)
     return q.select("communities", F.when(F.col("communities") > 1, F.round("q", 4)).alias("modularity"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 4, moves: int = 8) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 4, moves: int = 8, local_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(node, community) by greedy modularity: nodes move to the neighbouring community of most gain, then communities
-    become nodes, until nothing gains.
+    become nodes, until nothing gains. Graphs of at most ``local_edges`` pairs are one task's, larger ones are worked
+    on by joins.
 
     Moves of a round happen together; in even rounds only towards smaller and in odd ones only towards larger
     community names, so that two nodes never just swap. Gains and ties are deterministic.
     """
     u = undirected(edges)
     pairs = cut(u.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(u.select("b", "a", "weight")))
+    if pairs.count() <= 2 * local_edges:
+        return _louvain_in_one_task(pairs, resolution)
     total = (pairs.agg(F.sum("weight")).first()[0] or 0.0)  # twice the sum of weights
     member = pairs.select(F.col("x").alias("node")).distinct().select("node", F.col("node").alias("community"))
     if not total:
@@ -166,6 +169,45 @@ def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 4, moves: i
     return member
 
 
+def _louvain_in_one_task(pairs: DataFrame, resolution: float) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"x": [], "y": [], "weight": []})]).sort_values(["x", "y"])
+        near: dict[str, dict[str, float]] = {}
+        for x, y, w in zip(table["x"], table["y"], table["weight"], strict=True):
+            near.setdefault(x, {})[y] = w
+        member, total = {x: x for x in near}, sum(sum(v.values()) for v in near.values())
+        while near:
+            degree = {x: sum(v.values()) for x, v in near.items()}
+            of, size, moved, again = {x: x for x in near}, dict(degree), False, True
+            while again:
+                again = False
+                for x in sorted(near):
+                    own, k, links = of[x], degree[x], {}
+                    for y, w in near[x].items():
+                        if y != x:
+                            links[of[y]] = links.get(of[y], 0.0) + w
+                    size[own] -= k
+                    gain = {c: links.get(c, 0.0) - resolution * k * size[c] / total for c in {*links, own}}
+                    best = min(gain, key=lambda c: (-gain[c], c))
+                    if gain[best] <= gain[own] + 1e-12:
+                        best = own
+                    size[best] += k
+                    if best != own:
+                        of[x], again, moved = best, True, True
+            if not moved:
+                break
+            member = {n: of[c] for n, c in member.items()}
+            merged: dict[str, dict[str, float]] = {}
+            for x, v in near.items():
+                for y, w in v.items():
+                    row = merged.setdefault(of[x], {})
+                    row[of[y]] = row.get(of[y], 0.0) + w
+            near = merged
+        yield pd.DataFrame({"node": list(member), "community": list(member.values())}, dtype="object")
+
+    return pairs.coalesce(1).mapInPandas(run, "node string, community string")
+
+
 def cluster_ids(partition: DataFrame, least: int = 1) -> DataFrame:
     """(node, community) with communities numbered by size, then smallest member; those under ``least`` are -1."""
     sizes = partition.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))

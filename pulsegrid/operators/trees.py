@@ -43,7 +43,7 @@ def thread_tree(posts: DataFrame) -> DataFrame:
 def thread_metrics(tree: DataFrame) -> DataFrame:
     """Per thread: posts, replies, max_depth, branching, participants, duration and mean latency of replies, in seconds."""
     parent = tree.select("root_id", F.col("id").alias("parent_id"), F.col("timestamp_ms").alias("_before"))
-    rows = tree.join(parent, ["root_id", "parent_id"], "left").withColumn("_wait", F.greatest(F.lit(0), F.col("timestamp_ms") - F.col("_before")) / 1000)
+    rows = tree.join(parent, ["root_id", "parent_id"], "left").withColumn("_wait", F.when(F.col("_before").isNotNull(), F.greatest(F.lit(0), F.col("timestamp_ms") - F.col("_before")) / 1000))
     base = rows.groupBy("root_id").agg(
         F.count(F.lit(1)).alias("posts"), F.count(F.when(F.col("depth") > 0, 1)).alias("replies"), F.max("depth").alias("max_depth"),
         F.array_sort(F.collect_set("author_id")).alias("_who"), ((F.max("timestamp_ms") - F.min("timestamp_ms")) / 1000).alias("duration_seconds"), F.coalesce(F.avg("_wait"), F.lit(0.0)).alias("mean_latency_seconds"),
@@ -96,7 +96,8 @@ def parents(adopters: DataFrame, follows: DataFrame) -> DataFrame:
     """
     a = adopters if "parent_event_id" in adopters.columns else adopters.withColumn("parent_event_id", F.lit(None).cast("string"))
     prior = a.select("cascade_id", F.col("user_id").alias("_by"), F.col("post_id").alias("_post"), F.col("ord").alias("_ord"), F.col("timestamp_ms").alias("_ts"))
-    explicit = a.filter("parent_event_id is not null").join(prior, (a["cascade_id"] == prior["cascade_id"]) & (F.col("parent_event_id") == F.col("_post")) & (F.col("_ord") < F.col("ord"))).select(a["cascade_id"], "user_id", "_by", F.lit(1).alias("_sure"), "_ts", "_ord")
+    named = a.filter("parent_event_id is not null").select("cascade_id", "user_id", "ord", F.col("parent_event_id").alias("_post"))
+    explicit = named.join(prior, ["cascade_id", "_post"]).filter("_ord < ord").select("cascade_id", "user_id", "_by", F.lit(1).alias("_sure"), "_ts", "_ord")
     edges = follows.select(F.col("source_id").alias("user_id"), F.col("target_id").alias("_by")).distinct()
     followed = a.join(edges, "user_id").join(prior, ["cascade_id", "_by"]).filter("_ord < ord").select("cascade_id", "user_id", "_by", F.lit(0).alias("_sure"), "_ts", "_ord")
     best = explicit.union(followed).groupBy("cascade_id", "user_id").agg(F.max_by("_by", F.struct("_sure", "_ts", -F.col("_ord"))).alias("_parent"))

@@ -223,7 +223,7 @@ def _(s, d):
 
 
 @query("lifecycle_states", """WITH days AS (SELECT event_type AS term, list(n ORDER BY day) AS volumes FROM (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type),
- k AS (SELECT *, volumes[-1] / 1.0 AS now, volumes[-2] / 1.0 AS before, len(list_filter(range(1, len(volumes)), i -> abs(volumes[i + 1] - volumes[i]) > 0.15 * greatest(0.1, volumes[i]))) = 0 AS even FROM days)
+ k AS (SELECT *, volumes[-1] / 1.0 AS now, volumes[-2] / 1.0 AS before, len(list_filter(range(1, len(volumes)), lambda i: abs(volumes[i + 1] - volumes[i]) > 0.15 * greatest(0.1, volumes[i]))) = 0 AS even FROM days)
  SELECT term, CASE WHEN even AND now < 2.5 THEN 'dormant' WHEN even THEN 'stable' WHEN now < 2.5 AND abs(now - before) < 1 THEN 'dormant' WHEN now >= 25 AND now - before >= 10 THEN 'viral_surge' WHEN now >= 10 AND now > before THEN 'emerging'
  WHEN now < before AND now < before * 0.85 THEN 'decelerating' WHEN now >= 10 AND (now - before <= 0.15 * before OR now <= before) AND volumes[-1] >= list_max(volumes) * 0.85 THEN 'peaking' WHEN abs(now - before) <= greatest(0.1, before) * 0.15 THEN 'stable' WHEN now < before THEN 'decelerating' ELSE 'emerging' END AS state FROM k""")
 def _(s, d):
@@ -269,11 +269,11 @@ _RATES = ("avg_sentiment", "positive_ratio", "negative_ratio", "neutral_ratio",
 
 
 @query("temporal_sentiment", f"""WITH x AS (SELECT time_bucket(INTERVAL '6 hours', ts) AS b, a.* FROM posts JOIN post_analytics a ON id = post_id),
- m AS (SELECT b, primary_emotion, row_number() OVER (PARTITION BY b ORDER BY count(*) DESC, primary_emotion) AS k FROM x GROUP BY ALL)
- SELECT {_TS('b')} AS bucket, count(*) AS posts, round(avg(sentiment_score), 6) AS avg_sentiment, round(avg((effective_polarity = 'positive')::INT), 6) AS positive_ratio, round(avg((effective_polarity = 'negative')::INT), 6) AS negative_ratio,
- round(avg((effective_polarity = 'neutral')::INT), 6) AS neutral_ratio, round(avg(is_sarcastic::INT), 6) AS sarcasm_rate, round(avg(irony_score), 6) AS avg_irony, round(avg((primary_emotion = 'joy')::INT), 6) AS joy_ratio,
- round(avg((primary_emotion IN ('fear', 'anxiety'))::INT), 6) AS anxiety_ratio, round(avg((primary_emotion = 'anger')::INT), 6) AS anger_ratio, round(avg((primary_emotion = 'sadness')::INT), 6) AS sadness_ratio, any_value(m.primary_emotion) AS dominant_emotion
- FROM x JOIN m USING (b) WHERE m.k = 1 GROUP BY b""", ("posts", "post_analytics"))
+ m AS (SELECT b, primary_emotion, row_number() OVER (PARTITION BY b ORDER BY count(*) DESC, primary_emotion) AS k FROM x GROUP BY b, primary_emotion)
+ SELECT {_TS('x.b')} AS bucket, count(*) AS posts, round(avg(sentiment_score), 6) AS avg_sentiment, round(avg((effective_polarity = 'positive')::INT), 6) AS positive_ratio, round(avg((effective_polarity = 'negative')::INT), 6) AS negative_ratio,
+ round(avg((effective_polarity = 'neutral')::INT), 6) AS neutral_ratio, round(avg(is_sarcastic::INT), 6) AS sarcasm_rate, round(avg(irony_score), 6) AS avg_irony, round(avg((x.primary_emotion = 'joy')::INT), 6) AS joy_ratio,
+ round(avg((x.primary_emotion IN ('fear', 'anxiety'))::INT), 6) AS anxiety_ratio, round(avg((x.primary_emotion = 'anger')::INT), 6) AS anger_ratio, round(avg((x.primary_emotion = 'sadness')::INT), 6) AS sadness_ratio, any_value(m.primary_emotion) AS dominant_emotion
+ FROM x JOIN m ON m.b = x.b WHERE m.k = 1 GROUP BY x.b""", ("posts", "post_analytics"))
 def _(s, d):
     out = sentiment.temporal(_posts(s, d), load(s, d, "post_analytics"), "6 hours")
     return out.select(as_text(F.col("bucket")).alias("bucket"), "posts", *_r(*_RATES), "dominant_emotion")
@@ -369,11 +369,11 @@ _MOODS = "['joy','anger','fear','anxiety','sadness','disgust','neutral']"
 
 
 @query("thread_sentiment", f"""WITH RECURSIVE {_TREE}, x AS (SELECT *, CASE k % 3 WHEN 0 THEN ((k * 37) % 100) / 100.0 WHEN 1 THEN -((k * 37) % 100) / 100.0 ELSE 0 END AS s, list_extract({_MOODS}, CAST(k % 7 + 1 AS INT)) AS e, list_extract(['favor','against','neutral','none'], CAST(k % 4 + 1 AS INT)) AS st FROM t),
- m AS (SELECT root_id, e, row_number() OVER (PARTITION BY root_id ORDER BY count(*) DESC, min(timestamp_ms), min(id)) AS r FROM x WHERE depth > 0 GROUP BY ALL)
- SELECT root_id, count(*) FILTER (depth > 0) AS replies, round(max(s) FILTER (depth = 0), 6) AS root_sentiment, round(coalesce(avg(s) FILTER (depth > 0), 0.0), 6) AS mean_sentiment, round(coalesce(stddev_samp(s) FILTER (depth > 0), 0.0), 6) AS controversy,
- round(coalesce(count(*) FILTER (depth > 0 AND e IN ('anger', 'anxiety', 'disgust')) / greatest(1.0, (max(timestamp_ms) FILTER (depth > 0) - min(timestamp_ms) FILTER (depth > 0)) / 60000.0), 0.0), 6) AS hostility,
+ m AS (SELECT root_id, e, row_number() OVER (PARTITION BY root_id ORDER BY count(*) DESC, min(timestamp_ms), min(id)) AS r FROM x WHERE depth > 0 GROUP BY root_id, e)
+ SELECT x.root_id, count(*) FILTER (depth > 0) AS replies, round(max(s) FILTER (depth = 0), 6) AS root_sentiment, round(coalesce(avg(s) FILTER (depth > 0), 0.0), 6) AS mean_sentiment, round(coalesce(stddev_samp(s) FILTER (depth > 0), 0.0), 6) AS controversy,
+ round(coalesce(count(*) FILTER (depth > 0 AND x.e IN ('anger', 'anxiety', 'disgust')) / greatest(1.0, (max(timestamp_ms) FILTER (depth > 0) - min(timestamp_ms) FILTER (depth > 0)) / 60000.0), 0.0), 6) AS hostility,
  round(coalesce(avg((st = 'favor')::INT) FILTER (depth > 0), 0.0), 6) AS favor, round(coalesce(avg((st = 'against')::INT) FILTER (depth > 0), 0.0), 6) AS against, round(coalesce(avg((st IN ('neutral', 'none'))::INT) FILTER (depth > 0), 0.0), 6) AS neutral, any_value(m.e) AS mood,
- round(CASE WHEN count(*) FILTER (depth > 0) > 0 THEN avg(s) FILTER (depth > 0) - max(s) FILTER (depth = 0) ELSE 0 END, 6) AS drift FROM x LEFT JOIN (SELECT * FROM m WHERE r = 1) m USING (root_id) GROUP BY root_id""", ("threads",))
+ round(CASE WHEN count(*) FILTER (depth > 0) > 0 THEN avg(s) FILTER (depth > 0) - max(s) FILTER (depth = 0) ELSE 0 END, 6) AS drift FROM x LEFT JOIN (SELECT * FROM m WHERE r = 1) m ON m.root_id = x.root_id GROUP BY x.root_id""", ("threads",))
 def _(s, d):
     t = load(s, d, "threads")
     k = F.col("k")
@@ -627,7 +627,7 @@ def _(s, d):
 # --- diffusion and sources -----------------------------------------------------------------------------------------
 
 _REACHED = """x AS (SELECT c.*, 'community_' || CAST(substr(user_id, 2) AS BIGINT) % 6 AS segment, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE sentiment_score END AS s FROM cascade_events c LEFT JOIN post_analytics USING (post_id)),
- g AS (SELECT cascade_id, segment, min((timestamp_ms, user_id)) AS f, round(coalesce(avg(s), 0.0), 4) AS sentiment, count(*) AS adoptions FROM x GROUP BY ALL),
+ g AS (SELECT cascade_id, segment, min((timestamp_ms, user_id)) AS f, round(CAST(coalesce(avg(s), 0.0) AS DECIMAL(18, 10)), 4)::DOUBLE AS sentiment, count(*) AS adoptions FROM x GROUP BY ALL),
  r AS (SELECT cascade_id, segment, f[1] AS first_ms, f[2] AS first_user, sentiment, adoptions, row_number() OVER (PARTITION BY cascade_id ORDER BY f[1], segment) AS place FROM g)"""
 
 

@@ -92,7 +92,7 @@ CTES = {
  FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)""",
     "graph_edges": """SELECT DISTINCT 'u' || a.user_id AS source_id, 'u' || b.user_id AS target_id, 'FOLLOWS' AS relation_type, 1.0 AS weight
  FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id""",
-    "cascade_events": """SELECT event_type || '|' || strftime(ts, '%Y-%m-%d') AS cascade_id, CAST(event_id AS VARCHAR) AS post_id, 'u' || user_id AS user_id, ts, epoch_ms(ts) AS timestamp_ms,
+    "cascade_events": """SELECT event_type || '|' || strftime(ts, '%Y-%m-%d') AS cascade_id, CAST(event_id AS VARCHAR) AS post_id, 'u' || user_id AS user_id, ts, epoch_us(ts) // 1000 AS timestamp_ms,
  CAST(row_number() OVER (PARTITION BY event_type, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) - 1 AS INT) AS adoption_order FROM events""",
     "post_analytics": """SELECT CAST(event_id AS VARCHAR) AS post_id, list_extract(['positive','negative','neutral'], CAST(event_id % 3 + 1 AS INT)) AS effective_polarity,
  ((event_id * 37) % 100) / 100.0 AS sentiment_score, event_id % 11 = 0 AS is_sarcastic, ((event_id * 13) % 100) / 100.0 AS irony_score,
