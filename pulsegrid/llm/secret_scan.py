@@ -26,6 +26,7 @@ KINDS = ("assign", "access", "hex", "markov")
 #: Characters that a candidate is made of; any other counts as one more symbol.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 LEAST_CHARS = 20
+BACKOFF = 8.0
 #: Thousandths of a nat that the ratio must reach: a prior of about one secret in 160,000 candidates.
 THRESHOLD = 12_000
 #: Most documents whose words are samples of ordinary text, and how many random strings are made.
@@ -78,7 +79,10 @@ def _codes(c: Column) -> Column:
 
 
 def train_markov(samples: DataFrame) -> list[int]:
-    """Log ratio of random to ordinary for each pair of codes, in thousandths, add-one smoothed; row-major."""
+    """Log ratio of random to ordinary for each pair of codes, in thousandths; row-major.
+
+    A character's followers are smoothed by BACKOFF sightings of what all characters are followed by.
+    """
     n = len(ALPHABET) + 1
     codes = samples.filter("length(sample) > 1").select("is_random", _codes(F.col("sample")).alias("c"))
     pairs = codes.select("is_random", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: a * n + b)).alias("p"))
@@ -87,7 +91,9 @@ def train_markov(samples: DataFrame) -> list[int]:
 
     def logs(label: bool) -> list[float]:
         rows = [[counts.get((label, a * n + b), 0) for b in range(n)] for a in range(n)]
-        return [log((x + 1) / (sum(row) + n)) for row in rows for x in row]
+        totals = [sum(row[b] for row in rows) for b in range(n)]
+        alone = [(t + 0.5) / (sum(totals) + 0.5 * n) for t in totals]
+        return [log((x + BACKOFF * p) / (sum(row) + BACKOFF)) for row in rows for x, p in zip(row, alone, strict=True)]
 
     return [round(1000 * (r - o)) for r, o in zip(logs(True), logs(False), strict=True)]
 
