@@ -352,7 +352,7 @@ def _(s, d):
     return trees.thread_tree(load(s, d, "threads")).select("id", "depth")
 
 
-@query("thread_metrics", f"""WITH RECURSIVE {_TREE}, b AS (SELECT root_id, parent_id, count(*) AS n FROM t WHERE parent_id IS NOT NULL GROUP BY ALL), br AS (SELECT root_id, round(avg(n), 2) AS branching FROM b GROUP BY root_id),
+@query("thread_metrics", f"""WITH RECURSIVE {_TREE}, b AS (SELECT root_id, parent_id, count(*) AS n FROM t WHERE parent_id IS NOT NULL GROUP BY ALL), br AS (SELECT root_id, round(CAST(avg(n) AS DECIMAL(18, 8)), 2)::DOUBLE AS branching FROM b GROUP BY root_id),
  w AS (SELECT c.root_id, avg(greatest(0, c.timestamp_ms - p.timestamp_ms) / 1000.0) AS lat FROM t c JOIN t p ON c.parent_id = p.id GROUP BY c.root_id)
  SELECT root_id, count(*) AS posts, count(*) FILTER (depth > 0) AS replies, max(depth) AS max_depth, coalesce(any_value(branching), 0.0) AS branching, CAST(count(DISTINCT author_id) AS INT) AS participants, string_agg(DISTINCT author_id, ',' ORDER BY author_id) AS authors,
  (max(timestamp_ms) - min(timestamp_ms)) / 1000.0 AS duration_seconds, round(coalesce(any_value(lat), 0.0), 6) AS mean_latency_seconds FROM t LEFT JOIN br USING (root_id) LEFT JOIN w USING (root_id) GROUP BY root_id""", ("threads",))
@@ -405,14 +405,14 @@ def _(s, d):
     return trees.parents(trees.first_adopters(load(s, d, "cascade_events")), load(s, d, "graph_edges")).select("cascade_id", "user_id", "parent")
 
 
-@query("cascade_depths", f"WITH RECURSIVE {_PATHS} SELECT w.cascade_id, w.user_id, w.depth, round(greatest(0.0, coalesce((w.timestamp_ms - p.timestamp_ms) / 1000.0, 0.0)), 2) AS delay_seconds FROM w LEFT JOIN tree p ON p.cascade_id = w.cascade_id AND p.user_id = w.parent", _CASCADE_VIEWS)
+@query("cascade_depths", f"WITH RECURSIVE {_PATHS} SELECT w.cascade_id, w.user_id, w.depth, round(CAST(greatest(0.0, coalesce((w.timestamp_ms - p.timestamp_ms) / 1000.0, 0.0)) AS DECIMAL(18, 3)), 2)::DOUBLE AS delay_seconds FROM w LEFT JOIN tree p ON p.cascade_id = w.cascade_id AND p.user_id = w.parent", _CASCADE_VIEWS)
 def _(s, d):
     return _cascade_tree(s, d).select("cascade_id", "user_id", "depth", "delay_seconds")
 
 
 @query("cascade_metrics", f"""WITH RECURSIVE {_PATHS}, n AS (SELECT cascade_id, count(*) AS n, max(depth) AS md, min(timestamp_ms) AS t0, max(timestamp_ms) AS t1, list(timestamp_ms ORDER BY timestamp_ms, ord) AS ts FROM w GROUP BY cascade_id),
- b AS (SELECT cascade_id, max(c) AS mb FROM (SELECT cascade_id, depth, count(*) AS c FROM w GROUP BY ALL) GROUP BY cascade_id), r AS (SELECT cascade_id, round(avg(c), 3) AS br FROM (SELECT cascade_id, parent, count(*) AS c FROM w WHERE parent IS NOT NULL GROUP BY ALL) GROUP BY cascade_id)
- SELECT cascade_id, n AS adoptions, md AS max_depth, mb AS max_breadth, coalesce(br, 0.0) AS branching, round((t1 - t0) / 1000.0, 2) AS duration_seconds, round((ts[greatest(1, CAST(floor(n / 2.0) AS BIGINT))] - t0) / 1000.0, 2) AS half_life_seconds,
+ b AS (SELECT cascade_id, max(c) AS mb FROM (SELECT cascade_id, depth, count(*) AS c FROM w GROUP BY ALL) GROUP BY cascade_id), r AS (SELECT cascade_id, round(CAST(avg(c) AS DECIMAL(18, 8)), 3)::DOUBLE AS br FROM (SELECT cascade_id, parent, count(*) AS c FROM w WHERE parent IS NOT NULL GROUP BY ALL) GROUP BY cascade_id)
+ SELECT cascade_id, n AS adoptions, md AS max_depth, mb AS max_breadth, coalesce(br, 0.0) AS branching, round(CAST((t1 - t0) / 1000.0 AS DECIMAL(18, 3)), 2)::DOUBLE AS duration_seconds, round(CAST((ts[greatest(1, CAST(floor(n / 2.0) AS BIGINT))] - t0) / 1000.0 AS DECIMAL(18, 3)), 2)::DOUBLE AS half_life_seconds,
  round(n / greatest((t1 - t0) / 3600000.0, 1 / 60.0), 2) AS per_hour, round(md / greatest(1.0, mb), 4) AS depth_to_breadth FROM n JOIN b USING (cascade_id) LEFT JOIN r USING (cascade_id)""", _CASCADE_VIEWS)
 def _(s, d):
     return trees.cascade_metrics(_cascade_tree(s, d))
