@@ -95,6 +95,7 @@ def filter_urls(pages: DataFrame, rules=None, id_col: str = "page_id", url_col:
     hosts = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).union(distrust.select("host", F.lit(0.0), "rank"))
     hosts = hosts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
     zero = F.lit(0.0)
-    out = rows.join(hosts, "host", "left").withColumns({"trust": F.coalesce("trust", zero), "distrust": F.coalesce("distrust", zero)})
+    hosts = hosts.withColumnRenamed("host", "_ranked").select(F.concat("_ranked", F.lit("")).alias("_key"), "trust", "distrust")  # a key of its own: a large host can be split
+    out = rows.join(hosts, F.col("host") == F.col("_key"), "left").withColumns({"trust": F.coalesce("trust", zero), "distrust": F.coalesce("distrust", zero)})
     method = F.when((F.col("distrust") > floor) & (F.col("distrust") > ratio * F.col("trust")), "block").otherwise("allow")
     return out.select(F.col("_id").alias(id_col), "host", "path", "rule", F.coalesce("_verdict", method).alias("verdict"), "trust", "distrust")
