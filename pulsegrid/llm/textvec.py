@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Characters that are worked on at a time: bounds a worker's memory whatever the length of the texts.
-BATCH_CHARS, BATCH_ROWS = 4_000_000, 100_000
+BATCH_CHARS, BATCH_ROWS = 2_000_000, 100_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
