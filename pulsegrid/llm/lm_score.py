@@ -8,8 +8,9 @@ The filter: an n-gram of count c has level 1 + floor(log(c / least) / log(BASE))
 to its own, by PROBES bits each. A look-up probes level 1, 2, ... until one is missing, and so finds the level, or now
 and then a higher one; the count it stands for is the middle of the level. Bits are in blocks, and an n-gram's bits
 are all in the block of its hash, so blocks are built apart, each in its own task. Single words are stored from count
-1 on, pairs from PAIR_LEAST on. The filter has FILTER_BITS_EACH bits for each stored level and MOST_BITS at most, which
-bounds what is broadcast; where the corpus needs more, the least count of pairs is doubled until it fits.
+1 on, pairs from PAIR_LEAST on. The filter has FILTER_BITS_EACH bits for each stored level, whatever the corpus is. Its
+blocks are a table in the shared folder; they reach the workers in parts of about PART_BITS, each a broadcast of its
+own, and a worker holds one part at a time and probes it for all n-grams of a slice of texts that fall in its blocks.
 
 Probability of a word w after v: (c(v, w) + MU * p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V + 1), all c from the
 filter; N words and V different ones in training, end marks counted. The model's score is the sum of log10.
@@ -23,28 +24,32 @@ train and are scored; an empty table gives an empty table; extra columns are not
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, text_of
-from .textvec import Words, mix, slices
+from .textvec import BATCH_CHARS, Words, mix, slices
 
 FOLDS, HELD_OUT = 7, 2
-BASE, PROBES, FILTER_BITS_EACH, MOST_BITS = 1.5, 3, 12, 1 << 29
+BASE, PROBES, FILTER_BITS_EACH = 1.5, 3, 12
 MU, PAIR_LEAST, TOP_WORDS = 400.0, 2, 200_000
 #: Blocks of the filter, and so of the hash space.
 BLOCKS = 512
 #: Distinct pairs that a task gathers before it hands them on.
 GATHER = 6_000_000
+#: Bits of the filter that are collected, broadcast and held by a worker at a time (a block at least).
+PART_BITS = 1 << 29
+#: Bytes of text that are scored together where the filter has several parts, each of which is read once for them.
+PARTED_CHARS = 8_000_000
 END = " "  # no word has a blank in it
 _END_HASH = np.uint64(0x2545F4914F6CDD1D)
 _PAIR, _LEVEL, _BIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -153,9 +158,10 @@ def level_counts(least: float, most: int = 128) -> np.ndarray:
 
 @dataclass
 class Filter:
-    """bits: BLOCKS blocks of block_bits each."""
+    """parts: runs of blocks of block_bits each, as functions that give the bits; first: the first block of each."""
 
-    bits: np.ndarray
+    parts: list[Callable[[], np.ndarray]]
+    first: list[int]
     block_bits: int
     word_least: float
     pair_least: float
@@ -165,15 +171,36 @@ class Filter:
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels of n-grams, by repeated membership probes."""
         out = np.zeros(len(keys), np.int64)
-        alive, level = np.arange(len(keys)), 0
-        while len(alive) and level < 120:
-            level += 1
-            for probe in range(PROBES):
-                at = _places(keys[alive], level, probe, self.block_bits)
-                alive = alive[(self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
-            out[alive] = level
+        of = np.searchsorted(self.first, (keys >> np.uint64(_REST_BITS)).astype(np.int64), "right") - 1
+        for i, (part, first) in enumerate(zip(self.parts, self.first, strict=True)):
+            alive, level = np.flatnonzero(of == i), 0
+            bits = part() if len(alive) else None
+            while len(alive) and level < 120:
+                level += 1
+                for probe in range(PROBES):
+                    at = _places(keys[alive], level, probe, self.block_bits) - first * self.block_bits
+                    alive = alive[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                out[alive] = level
         return out
 
+    @property
+    def bits(self) -> np.ndarray:
+        """All parts in one array."""
+        return np.concatenate([part() for part in self.parts])
+
+
+class Sent:
+    """A part that is broadcast. With ``keep`` a worker holds it, else it is read anew at each call."""
+
+    def __init__(self, sent: Broadcast, keep: bool):
+        self.sent, self.keep = sent, keep
+
+    def __call__(self) -> np.ndarray:
+        bits = self.sent.value
+        if not self.keep and getattr(self.sent, "_path", None):  # without a file (encrypted) it can be read only once
+            self.sent.__dict__.pop("_value", None)
+        return bits
+
 
 def _places(keys: np.ndarray, level: int, probe: int, block_bits: int) -> np.ndarray:
     h = mix(keys + np.uint64((level * int(_LEVEL) + probe * int(_BIT)) & 0xFFFFFFFFFFFFFFFF))
@@ -238,8 +265,12 @@ def word_table(texts: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_word_counts, "_word string, _n bigint").filter("_n > 0").groupBy("_word").agg(F.sum("_n").alias("_n")), "words")
 
 
-def build_filter(texts: DataFrame, words: DataFrame, most_bits: int = MOST_BITS) -> Filter:
-    """The filter of the texts (_text) whose words are counted in words; its bits are all that comes to the driver."""
+def build_filter(texts: DataFrame, words: DataFrame, most_bits: int | None = None, part_bits: int = PART_BITS) -> Filter:
+    """The filter of the texts (_text) whose words are counted in words; one part at a time comes to the driver.
+
+    A caller may bound the whole filter by most_bits: the least count of pairs is then doubled until it fits. The
+    operator has no such bound.
+    """
     total = words.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
     pairs = texts.mapInArrow(_pair_blobs, "_block int, _ones binary, _more binary, _counts binary")
     kept = stored(pairs.groupBy("_block").applyInArrow(_kept_pairs, "_block int, _keys binary, _n binary, _levels array<bigint>"), "pairs")
@@ -252,33 +283,41 @@ def build_filter(texts: DataFrame, words: DataFrame, most_bits: int = MOST_BITS)
         skip = int(levels(np.array([cut]), PAIR_LEAST)[0]) - 1
         return FILTER_BITS_EACH * (stored_words + sum(max(0, level - skip) * n for level, n in by_level.items()))
 
-    while needed(least) > most_bits and least < 1 << 40:
+    while most_bits is not None and needed(least) > most_bits and least < 1 << 40:
         least *= 2
-    block_bits = max(64, -(-min(most_bits, needed(least)) // BLOCKS) + 7 & ~7)
+    size = needed(least) if most_bits is None else min(most_bits, needed(least))
+    block_bits = max(64, -(-size // BLOCKS) + 7 & ~7)
     both = kept.select("_block", "_keys", "_n", F.lit(least).alias("_least")).union(words.mapInArrow(_word_blobs, "_block int, _keys binary, _n binary, _least double"))
-    got = both.groupBy("_block").applyInArrow(_bits_of(block_bits), "_block int, _bits binary").collect()  # at most most_bits
-    bits = np.zeros(BLOCKS * block_bits // 8, np.uint8)
-    for r in got:
-        bits[r["_block"] * block_bits // 8 : (r["_block"] + 1) * block_bits // 8] = np.frombuffer(bytes(r["_bits"]), np.uint8)
-    return Filter(bits, block_bits, 1.0, least, int(total[0]), int(total[1]))
+    blocks = stored(both.groupBy("_block").applyInArrow(_bits_of(block_bits), "_block int, _bits binary"), "filter")
+    each = max(1, part_bits // block_bits)
+    first = list(range(0, BLOCKS, each))
+    parts: list[Callable[[], np.ndarray]] = []
+    for a in first:
+        bits = np.zeros(min(each, BLOCKS - a) * block_bits // 8, np.uint8)
+        for r in blocks.filter((F.col("_block") >= a) & (F.col("_block") < a + each)).toLocalIterator():
+            bits[(r["_block"] - a) * block_bits // 8 : (r["_block"] - a + 1) * block_bits // 8] = np.frombuffer(bytes(r["_bits"]), np.uint8)
+        parts.append(Sent(texts.sparkSession.sparkContext.broadcast(bits), len(first) == 1))
+    return Filter(parts, first, block_bits, 1.0, least, int(total[0]), int(total[1]))
 
 
 def log_probabilities(lm: Filter, tokens: Tokens, mu: float = MU) -> np.ndarray:
     """log10 probability of each token."""
-    word_counts = level_counts(lm.word_least)[lm.level(_hash40(tokens.hashes))]
+    words = len(tokens.hashes)
+    found = lm.level(np.concatenate([_hash40(tokens.hashes), _hash40(tokens.pairs())]))
+    word_counts = level_counts(lm.word_least)[found[:words]]
     unigram = (word_counts + 1) / (lm.tokens + lm.vocabulary + 1)
-    pair = level_counts(lm.pair_least)[lm.level(_hash40(tokens.pairs()))]
+    pair = level_counts(lm.pair_least)[found[words:]]
     before = word_counts[tokens.previous]
     pair = np.minimum(pair, np.minimum(before, word_counts[tokens.codes]))  # a pair is no more frequent than its words
     return np.log10((pair + mu * unigram[tokens.codes]) / (before + mu))
 
 
-def _scored(lm, top, mu: float):
+def _scored(lm: Filter, top, mu: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, find = TaskContext.get().partitionId() << 33, 0, top.value.get
-        scale = log(lm.value.tokens + lm.value.vocabulary + 1)
+        scale = log(lm.tokens + lm.vocabulary + 1)
         for batch in batches:
-            for a, b in slices(batch.column("_text")):
+            for a, b in slices(batch.column("_text"), BATCH_CHARS if len(lm.parts) == 1 else PARTED_CHARS):
                 tokens = Tokens(batch.column("_text").slice(a, b - a))
                 names = tokens.words.dictionary.to_numpy(zero_copy_only=False)
                 count = np.append(np.fromiter((find(w, -1) for w in names), np.int64, len(names)), find(END, 0))
@@ -292,7 +331,7 @@ def _scored(lm, top, mu: float):
                 bounds = np.searchsorted(keys >> 32, np.arange(b - a + 1)).astype(np.int32)
                 left = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(names[keys & 0xFFFFFFFF], pa.string()), pa.array(often.astype(np.int64))], names=["w", "k"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part + row + np.arange(b - a)), batch.column("_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(tokens.counts), pa.array(add((have > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(log_probabilities(lm.value, tokens, mu))), left],
+                    [pa.array(part + row + np.arange(b - a)), batch.column("_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(tokens.counts), pa.array(add((have > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(log_probabilities(lm, tokens, mu))), left],
                     names=["_row", "_id", "held_out", "n_tokens", "_known", "_base", "score", "_left"],
                 )
                 row += b - a
@@ -300,17 +339,17 @@ def _scored(lm, top, mu: float):
     return rows
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held: int = HELD_OUT, mu: float = MU, most_bits: int = MOST_BITS, top_words: int = TOP_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held: int = HELD_OUT, mu: float = MU, part_bits: int = PART_BITS, top_words: int = TOP_WORDS) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("_id"), (fold_of(F.col(id_col), folds) == held).alias("held_out"), text_of(text_col).alias("_text"))
     texts = rows.filter("not held_out").select("_text")
     words = word_table(texts)
-    lm = build_filter(texts, words, most_bits)
+    lm = build_filter(texts, words, part_bits=part_bits)
     first = words.orderBy(F.desc("_n"), "_word").limit(top_words).toPandas()  # at most top_words rows
     top = spark.sparkContext.broadcast(dict(zip(first["_word"].tolist(), first["_n"].tolist(), strict=True)))
     out = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("_left", T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("k", T.LongType())])))])
-    scored = stored(rows.mapInArrow(_scored(spark.sparkContext.broadcast(lm), top, mu), out), "scores")
+    scored = stored(rows.mapInArrow(_scored(lm, top, mu), out), "scores")
     scale = lm.tokens + lm.vocabulary + 1
     left = scored.select("_row", F.explode("_left").alias("x")).select("_row", F.col("x.w").alias("_word"), F.col("x.k").alias("_k"))
     met = left.join(words, "_word", "left").select("_row", "_k", F.coalesce("_n", F.lit(0)).alias("_n"))

@@ -257,3 +257,13 @@ def test_filter(spark):
     assert (lm.level(absent) > 0).mean() < 0.05
     small = lm_score.build_filter(df, lm_score.word_table(df), most_bits=1 << 15)
     assert len(small.bits) * 8 <= (1 << 15) + 8 * lm_score.BLOCKS and small.pair_least > lm.pair_least
+
+
+def test_filter_in_parts(spark):
+    docs = table(spark, [(i, prose(i % 40, 80), "s") for i in range(200)])
+    scores = lambda **k: sorted((r["doc_id"], round(r["score"], 9)) for r in lm_score.lm_scores(docs, **k).collect())
+    want = scores()
+    texts = docs.select(lm_score.text_of("text").alias("_text"))
+    lm = lm_score.build_filter(texts, lm_score.word_table(texts), part_bits=1 << 13)
+    assert len(lm.parts) > 2 and lm.pair_least == lm_score.PAIR_LEAST and len(lm.bits) * 8 > 1 << 13
+    assert scores(part_bits=1 << 13) == want and scores(part_bits=1) == want
