@@ -5,11 +5,13 @@ registers; a register keeps its earliest arrival's shingle. Two texts agree on a
 Jaccard similarity of their weights. Arrivals are drawn in rounds, the n-th of all shingles together, and a shingle
 stops once its next arrival is later than the latest register: few shingles have a second round.
 
-Exact copies are one node (half of the text's sha256). Nodes that agree on all registers of a band are in a bucket. A
-bucket of any size gives at most HEADS candidates per node and round: the node with the bucket's heads, the first ones
-by hash orders of all nodes, so no group is expanded into pairs. Candidates are first judged by their signatures,
-then verified on the shingles themselves. Verified links make classes; buckets whose nodes are not all in one class by
-then go into another round with other heads, until a round finds nothing new.
+Exact copies are one node (half of the text's sha256). Nodes that agree on all registers of a band are in a bucket,
+and two nodes of a bucket are compared unless links join them anyway. First come rounds that settle most buckets with
+few pairs: a node meets at most HEADS heads of its bucket, the first ones by hash orders of all nodes. Candidates are
+judged by their signatures, then verified on the shingles themselves. Verified links make classes, and heads leave
+their buckets. Buckets whose nodes are not all in one class after the rounds are compared whole: they are cut into
+blocks of about BLOCK nodes, and every two blocks meet in a task of their own, but for blocks of one and the same
+class. Only there does work grow with the square of a group, and only of one that links do not join.
 
 Linked: probability Jaccard, or Jaccard of the sets, of 0.8 or more. Weight of a shingle: 1 + ln(its count).
 
@@ -37,6 +39,8 @@ REGISTERS = BANDS * ROWS
 LEAST_AGREEMENT = 0.62
 #: Heads of a bucket that its members are compared with in each round, and rounds at most.
 HEADS, MOST_ROUNDS = (1, 4, 4), 3
+#: Nodes of a block, two of which are compared in a task.
+BLOCK = 256
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -113,14 +117,20 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("_node").slice(a, b - a), pa.array(blobs, pa.binary())], names=["_node", "_sig"])
 
 
+def _buckets(sig: np.ndarray) -> np.ndarray:
+    """A bucket for each band of signatures (a row each)."""
+    sig = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), sig.shape[:2]).copy()
+    for r in range(ROWS):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
+    return h.view(np.int64)
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column("_sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-        h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), sig.shape[:2]).copy()
-        for r in range(ROWS):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-        rows = np.repeat(np.arange(len(sig)), BANDS)
-        yield pa.RecordBatch.from_arrays([batch.column("_node").take(pa.array(rows)), pa.array(h.ravel().view(np.int64))], names=["_node", "_bucket"])
+        h = _buckets(np.frombuffer(b"".join(batch.column("_sig").to_pylist()), np.uint32))
+        rows = np.repeat(np.arange(len(h)), BANDS)
+        yield pa.RecordBatch.from_arrays([batch.column("_node").take(pa.array(rows)), pa.array(h.ravel())], names=["_node", "_bucket"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,36 +153,90 @@ def _agreeing(least: float):
     return rows
 
 
-def _verified(least: float):
-    def side(batch: pa.RecordBatch, k: str, i: int) -> tuple[np.ndarray, np.ndarray]:
-        s = np.frombuffer(batch.column(f"_shingles_{k}")[i].as_py(), np.uint64)
-        w = np.frombuffer(batch.column(f"_weights_{k}")[i].as_py(), np.float32)
-        return s, w.astype(np.float64) if len(w) else np.ones(len(s))
+def _weighted(batch: pa.RecordBatch | pa.Table, i: int, k: str = "") -> tuple[np.ndarray, np.ndarray]:
+    s = np.frombuffer(batch.column(f"_shingles{k}")[i].as_py(), np.uint64)
+    w = np.frombuffer(batch.column(f"_weights{k}")[i].as_py(), np.float32)
+    return s, w.astype(np.float64) if len(w) else np.ones(len(s))
+
 
+def _verified(least: float):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([linked(side(batch, "a", i), side(batch, "b", i), least) for i in range(batch.num_rows)], pa.bool_())
+            keep = pa.array([linked(_weighted(batch, i, "_a"), _weighted(batch, i, "_b"), least) for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], names=["_a", "_b"]).filter(keep)
 
     return rows
 
 
+def _tile_links(least: float, agreement: float):
+    """Links between two blocks of a bucket, or within one; none between nodes that others join."""
+
+    def rows(tile: pa.Table) -> pa.Table:
+        node, key, bucket = tile.column("_node").to_pylist(), tile.column("_key").to_pylist(), tile.column("_bucket")[0].as_py()
+        sig = np.frombuffer(b"".join(tile.column("_sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
+        bands, number = _buckets(sig), {}
+        top = [number.setdefault(c, len(number)) for c in tile.column("_class").to_pylist()]
+        of = np.array(top)  # the class of each node; classes are renamed as links are found
+        side = np.array([k == min(key) for k in key])
+        texts, out = {}, []
+        for i in range(len(node)):
+            near = np.flatnonzero(of != of[i])
+            # each pair once in a tile, and in one bucket of those it shares: that of its first band
+            near = near[near > i] if side.all() else near[side[near] != side[i]] if side[i] else near[:0]
+            near = near[(sig[near] == sig[i]).mean(axis=1) >= agreement]
+            same = bands[near] == bands[i]
+            near = near[bands[i][same.argmax(axis=1)] == bucket] if len(near) else near
+            for j in near.tolist():
+                if of[i] == of[j]:
+                    continue
+                for k in (i, j):
+                    if k not in texts:
+                        texts[k] = _weighted(tile, k)
+                if linked(texts[i], texts[j], least):
+                    out.append((node[i], node[j]))
+                    of[of == of[j]] = of[i]
+        return pa.table({"_a": pa.array([min(p) for p in out], pa.binary()), "_b": pa.array([max(p) for p in out], pa.binary())})
+
+    return rows
+
+
 def node_of(text: Column) -> Column:
     """16 bytes of the text's sha256."""
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def _candidates(members: DataFrame, salt: int) -> DataFrame:
-    """Pairs of each member with the heads of its bucket: the first by each of HEADS orders of all nodes, other orders
-    in each round. Buckets of one group share their heads, so a group of any size has few pairs a node."""
+def _heads(members: DataFrame, salt: int) -> DataFrame:
+    """(_b_key, _heads): the first of each bucket by each of HEADS orders of all nodes, other orders in each round.
+    Buckets of one group share their heads, so a group of any size has few pairs a node."""
     n = HEADS[salt]
     orders = [F.xxhash64("_node", F.lit(16 * salt + i)) for i in range(n)]
     heads = members.groupBy("_bucket").agg(*[F.min(F.struct(o.alias("h"), F.col("_node").alias("n")))["n"].alias(f"_h{i}") for i, o in enumerate(orders)])
-    heads = heads.select(F.col("_bucket").cast("string").alias("_b_key"), F.array_distinct(F.array(*[f"_h{i}" for i in range(n)])).alias("_heads"))  # a key of its own: large buckets can be split
+    return heads.select(F.col("_bucket").cast("string").alias("_b_key"), F.array_distinct(F.array(*[f"_h{i}" for i in range(n)])).alias("_heads"))  # a key of its own: large buckets can be split
+
+
+def _candidates(members: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs of each member with the heads of its bucket."""
     pairs = members.withColumn("_b_key", F.col("_bucket").cast("string")).join(heads, "_b_key").select("_node", F.explode("_heads").alias("_head"))
     return pairs.filter("_node != _head").select(F.least("_node", "_head").alias("_a"), F.greatest("_node", "_head").alias("_b")).distinct()
 
 
+def _tiles(members: DataFrame, block: int) -> DataFrame:
+    """(_tile, _bucket, _node, _class, _key) of members (_node, _bucket, _class): each two blocks of a bucket are a tile.
+
+    A class of at least ``block`` nodes in a bucket has blocks of its own (_own), which do not meet each other; the
+    smaller ones share blocks."""
+    sizes = members.groupBy("_bucket", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_bucket", "_class", "_n", F.when(F.col("_n") >= block, F.hex("_class")).otherwise("").alias("_own"))
+    groups = sizes.groupBy("_bucket", "_own").agg(F.ceil(F.sum("_n") / block).alias("_blocks"))
+    key = lambda i: F.concat_ws(":", "_own", i.cast("string"))
+    blocks = groups.select("_bucket", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i")).select("_bucket", "_own", key(F.col("_i")).alias("_key"))
+    pairs = blocks.join(blocks.toDF("_bucket", "_own_b", "_key_b"), "_bucket").filter("_key <= _key_b and (_own = '' or _own != _own_b)")
+    tiles = pairs.select("_bucket", F.concat_ws("|", F.col("_bucket").cast("string"), "_key", "_key_b").alias("_tile"), F.explode(F.array_distinct(F.array("_key", "_key_b"))).alias("_key"))
+    owned = members.join(sizes.select("_bucket", "_class", "_own"), ["_bucket", "_class"]).join(groups, ["_bucket", "_own"])
+    keyed = owned.select("_bucket", "_node", "_class", key(F.pmod(F.xxhash64("_node"), F.col("_blocks"))).alias("_key"))
+    return keyed.join(tiles, ["_bucket", "_key"]).select("_tile", "_bucket", "_node", "_class", "_key")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(_node, _class): the smallest node of each component of edges (_a, _b).
 
@@ -212,7 +276,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     links, done, classes, unsettled = None, None, None, members
     for salt in range(MOST_ROUNDS):
-        pairs = _candidates(unsettled, salt)
+        heads = stored(_heads(unsettled, salt), "heads")
+        pairs = _candidates(unsettled, heads)
         if done is not None:
             pairs = pairs.join(done, ["_a", "_b"], "left_anti")
         pairs = stored(pairs, "pairs")
@@ -225,15 +290,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         links = found if links is None else links.union(found)
         classes = connected(links)
-        if salt + 1 == MOST_ROUNDS:
-            break
-        # Buckets with nodes of more than one class are not settled.
-        labelled = unsettled.join(classes, "_node", "left").select("_node", "_bucket", F.coalesce("_class", "_node").alias("_class"))
+        # Heads have met all of their buckets. Buckets whose other nodes are of more than one class are not settled.
+        rest = unsettled.select("_node", "_bucket", F.col("_bucket").cast("string").alias("_b_key")).join(heads, "_b_key").filter(~F.array_contains("_heads", F.col("_node")))
+        labelled = rest.join(classes, "_node", "left").select("_node", "_bucket", "_b_key", F.coalesce("_class", "_node").alias("_class"))
         mixed = labelled.groupBy("_bucket").agg((F.min("_class") != F.max("_class")).alias("_mixed")).filter("_mixed").select(F.col("_bucket").cast("string").alias("_b_key"))
-        unsettled = stored(unsettled.withColumn("_b_key", F.col("_bucket").cast("string")).join(mixed, "_b_key", "left_semi").drop("_b_key"), "unsettled")
+        unsettled = stored(labelled.join(mixed, "_b_key", "left_semi").select("_node", "_bucket", "_class"), "unsettled")
         if unsettled.isEmpty():
-            break
-    return classes
+            return classes
+    tiles = _tiles(unsettled, BLOCK).join(own, "_node").join(shingles, "_node")
+    found = stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity, LEAST_AGREEMENT), "_a binary, _b binary"), "links")
+    return classes if found.isEmpty() else connected(links.union(found))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

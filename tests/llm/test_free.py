@@ -188,6 +188,18 @@ def test_large_near_group(spark):
     assert len(got) == 240 and sizes.most_common(1)[0][1] >= 236
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_pairs_with_a_shared_passage(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    shared, texts = prose(7, 400), []
+    for k in range(60):  # texts of different pairs are at 0.77, those of a pair at 0.81
+        texts += [" ".join([shared, prose(2000 + k, 12), prose(3000 + 2 * k + i, 48)]) for i in range(2)]
+    sets = [shingles(t) for t in texts]
+    assert all((jaccard(sets[i], sets[j]) >= 0.8) == (i // 2 == j // 2) for i in range(120) for j in range(i))
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicates(table(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: i // 2 * 2 for i in range(120)}
+
+
 def test_components(spark):
     r = random.Random(2)
     e = [(f"n{r.randint(0, 80):03d}", f"n{r.randint(0, 80):03d}") for _ in range(60)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)]
