@@ -504,13 +504,13 @@ def _(s, d):
 
 @query("betweenness")
 def _(s, d):
-    return graph.betweenness(_edges(s, d), k=200).select("node", *_r("betweenness"))
+    return graph.betweenness(_edges(s, d)).select("node", *_r("betweenness"))
 
 
 @query("kol_ranking")
 def _(s, d):
     e = _edges(s, d)
-    return graph.rank_leaders(graph.pagerank(e, rounds=20), graph.degrees(e), graph.betweenness(e, k=200))
+    return graph.rank_leaders(graph.pagerank(e, rounds=20), graph.degrees(e), graph.betweenness(e))
 
 
 @query("bridge_kols", f"""WITH {_N}, {_PART}, p AS (SELECT source_id AS node, target_id AS nx FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), x AS (SELECT p.node, CASE WHEN a.community >= 0 THEN a.community END AS own, CASE WHEN b.community >= 0 THEN b.community END AS oth FROM p JOIN part a ON a.node = p.node JOIN part b ON b.node = p.nx),

@@ -135,6 +135,17 @@ def test_ranks_and_bridges(spark):
     assert graph.spearman(spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3)], "k string, x int, y int"), "x", "y", "k").first()["rho"] == 1.0
 
 
+def test_betweenness_of_the_queries(spark, monkeypatch):
+    from pulsegrid.plans import catalog
+
+    line = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", "FOLLOWS", 1.0) for i in range(240)], "source_id string, target_id string, relation_type string, weight double")
+    monkeypatch.setattr(catalog, "_edges", lambda s, d: line)
+    want = {f"n{i:03d}": i * (240 - i) / (240 * 239) for i in range(241)}
+    for name in ("betweenness", "kol_ranking"):
+        got = {r["node"]: r["betweenness"] for r in catalog.QUERIES[name](spark, "").collect()}
+        assert got and all(abs(want[n] - x) < 1e-4 for n, x in got.items())
+
+
 def test_places_and_ages(spark):
     cases = {"San Francisco, CA, USA": ("San Francisco", "California", "US", 0.98), "Toronto, CA": ("Toronto", "Ontario", "CA", 0.95), "Bloomington, IN": ("Bloomington", "Indiana", "US", 0.95), "New Delhi, IN": ("Delhi", "Delhi", "IN", 0.95), "Wilmington, DE": ("Wilmington", "Delaware", "US", 0.95), "UT: 30.27,-97.74": ("Austin", "Texas", "US", 1.0), "": (None, None, None, 0.0), "California": (None, "California", "US", 0.85)}
     rows = spark.createDataFrame([(k,) for k in cases], "location_raw string")
