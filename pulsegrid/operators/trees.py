@@ -1,7 +1,7 @@
 """Conversation threads and diffusion cascades as trees.
 
-Trees are walked level by level from their roots: one join per level over all trees together. What a cycle holds is
-never reached, so the walk ends.
+Trees are walked from their roots in steps of doubled length, over all trees together: a chain of any length takes two
+joins for each doubling. What a cycle holds is never reached, so the walk ends.
 """
 
 from __future__ import annotations
@@ -12,23 +12,30 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut
 from .sentiment import signed
 
-MOST_LEVELS = 1000
-
 
 def closure(nodes: DataFrame, tree: str, node: str, parent: str, with_path: bool = False) -> DataFrame:
-    """(tree, node, depth[, path]) of all nodes that a root (no parent) reaches; path has the node itself last."""
+    """(tree, node, depth[, path]) of all nodes that a root (no parent) reaches; path has the node itself last.
+
+    ``out`` has the nodes less deep than 2**k, ``way`` all pairs of a node and the one 2**k above it. Rows that name
+    one node twice and so lead from a root into a cycle are an error.
+    """
     edges = cut(nodes.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("_parent")))
     path = [F.array("node").alias("path")] if with_path else []
-    level = edges.filter("_parent is null").select("tree", "node", F.lit(0).alias("depth"), *path)
-    out, rest = level, edges.filter("_parent is not null")
-    for _ in range(MOST_LEVELS):
-        up = level.select("tree", F.col("node").alias("_parent"), F.col("depth").alias("_d"), *([F.col("path").alias("_p")] if with_path else []))
-        nxt = rest.join(up, ["tree", "_parent"]).select("tree", "node", (F.col("_d") + 1).alias("depth"), *([F.concat("_p", F.array("node")).alias("path")] if with_path else []))
-        level = cut(nxt)
-        if level.isEmpty():
+    out = edges.filter("_parent is null").select("tree", "node", F.lit(0).alias("depth"), *path)
+    way = edges.filter("_parent is not null").select("tree", "node", F.col("_parent").alias("_up"), *path)
+    most, step = edges.count(), 1
+    both = [F.concat("_p", "path").alias("path")] if with_path else []
+    while True:
+        above = out.select("tree", F.col("node").alias("_up"), F.col("depth").alias("_d"), *([F.col("path").alias("_p")] if with_path else []))
+        found = cut(way.join(above, ["tree", "_up"]).select("tree", "node", (F.col("_d") + step).alias("depth"), *both))
+        if found.isEmpty():
             return out
-        out = out.unionByName(level)
-    return out
+        if step >= most:
+            raise ValueError("a root leads into a cycle")
+        out = out.unionByName(found)
+        further = way.select("tree", F.col("node").alias("_up"), F.col("_up").alias("_next"), *([F.col("path").alias("_p")] if with_path else []))
+        way = cut(way.join(further, ["tree", "_up"]).select("tree", "node", F.col("_next").alias("_up"), *both))
+        step *= 2
 
 
 # --- threads -----------------------------------------------------------------------------------------------------

@@ -98,6 +98,18 @@ def test_cascades(spark):
     assert got == {"A": (None, 0), "B": ("A", 1), "C": ("B", 2)}
 
 
+def test_long_chain(spark):
+    n = 1300
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, "r") for i in range(n)] + [("x", "y", "r"), ("y", "x", "r"), ("lone", None, "s")]
+    t = spark.createDataFrame(rows, "id string, parent_id string, root_id string")
+    got = {(r["tree"], r["node"]): (r["depth"], r["path"]) for r in trees.closure(t, "root_id", "id", "parent_id", with_path=True).collect()}
+    names = [f"n{i}" for i in range(n)]
+    assert got == {("r", f"n{i}"): (i, names[: i + 1]) for i in range(n)} | {("s", "lone"): (0, ["lone"])}
+    assert trees.thread_tree(t).agg(F.max("depth")).first()[0] == n - 1
+    with pytest.raises(ValueError):
+        trees.closure(spark.createDataFrame([("a", None, "r"), ("a", "b", "r"), ("b", "a", "r")], t.schema), "root_id", "id", "parent_id")
+
+
 def cliques(spark):
     a, b = [f"a{i}" for i in range(5)], [f"b{i}" for i in range(5)]
     return edges(spark, [(x, y) for c in (a, b) for x in c for y in c if x != y] + [("a0", "b0")])
