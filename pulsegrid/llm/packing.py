@@ -11,8 +11,10 @@ every ``length`` tokens: no sequence but the last has padding.
 Places in a queue: tokens are counted within each partition while documents are tokenised; counts of (source,
 partition) are summed up to where each begins. Ids are written once to the shared folder and never shuffled.
 
-The largest MAX_QUEUES - 1 sources have queues of their own and all others share one. Weights default to the queues'
-own sizes, so every window has the mixture of the whole corpus.
+The largest MAX_QUEUES - 1 sources have queues of their own and all others share one, whose weight is the sum of theirs.
+Within it documents are in the order of their virtual times, a place in the source over the source's weight, so each
+source has its share there too, to about a document; those left share what an empty one had. Weights default to the
+sources' own sizes, so every window has the mixture of the whole corpus.
 
 Defined cases: a null text is empty and has the end id only; a null source is the source ''; repeated rows are packed
 each; an empty table gives an empty table; extra columns are not read.
@@ -38,6 +40,8 @@ LENGTH, WINDOW, END_ID = 1024, 64 * 1024, 0
 MAX_QUEUES = 256
 #: Starts of (source, partition) that are broadcast at most, each some 40 bytes.
 BROADCAST_STARTS = 500_000
+#: Ranges of virtual time in the shared queue; each is put in order by itself.
+RANGES = 4096
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -143,6 +147,24 @@ def _packed(schedule: Schedule, length: int, keep_ids: bool):
     return rows
 
 
+def _shared(tokens: DataFrame, parts: DataFrame, small: DataFrame, queue: int, last: float) -> DataFrame:
+    """Documents of the sources in small (_source, _weight, _size) with their places in the queue they share.
+
+    A document's virtual time is that of a point in it which differs from source to source, so that the first documents
+    of many sources, or their only ones, are spread. last: the virtual time at which the last source is empty.
+    """
+    before = F.sum("_total").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.join(small, "_source").select("_source", "_part", "_weight", F.coalesce(before, F.lit(0)).alias("_base"))
+    point = F.pmod(F.xxhash64("_source"), F.lit(1 << 20)) / (1 << 20)
+    timed = tokens.join(starts, ["_source", "_part"]).withColumn("_time", (F.col("_base") + F.col("_at") + point * F.col("_n")) / F.col("_weight"))
+    timed = timed.withColumn("_range", F.least(F.lit(RANGES - 1), F.floor(F.col("_time") / last * RANGES)).cast("int"))
+    sums = timed.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # at most RANGES rows
+    first = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    within = F.sum("_n").over(Window.partitionBy("_range").orderBy("_time", "_source", "_part", "_at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = timed.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(first), "_range")
+    return rows.select("_id", "_source", "_part", F.lit(queue).alias("_queue"), (F.col("_first") + F.col("_within")).alias("_start"), "_n", "_ids")
+
+
 def pack(
     docs: DataFrame, tokenizer: str, weights: Mapping[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, end_id: int = END_ID,
     keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = MAX_QUEUES,
@@ -162,9 +184,15 @@ def pack(
     everything = parts.agg(F.sum("_total")).first()[0] or 0
     totals = [n for _, n in own] + ([rest] if (rest := everything - sum(n for _, n in own)) else [])
     names = docs.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(own)], "_source string, _queue int")
-    share = [float((weights or {}).get(s, n / everything if weights else n)) for s, n in own] + [float(rest) / (everything if weights else 1)] * bool(rest)
-    if any(w <= 0 for w in share):
+    share = [float((weights or {}).get(s, n / everything if weights else n)) for s, n in own]
+    if any(w <= 0 for w in [*share, *(weights or {}).values()]):
         raise ValueError("weights are positive")
+    if rest:
+        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in (weights or {}).items()], "_source string, _given double")
+        small = parts.groupBy("_source").agg(F.sum("_total").alias("_size")).join(F.broadcast(names), "_source", "left_anti")
+        small = small.join(F.broadcast(given), "_source", "left").select("_source", F.coalesce("_given", F.col("_size") / (everything if weights else 1)).alias("_weight"), "_size")
+        summed, last = small.agg(F.sum("_weight"), F.max(F.col("_size") / F.col("_weight"))).first()
+        share.append(float(summed))
     # Fields that the schedule needs even if there is nothing to pack.
     schedule = Schedule(totals or [1], share or [1.0], window)
 
@@ -173,6 +201,8 @@ def pack(
     starts = queued.select("_source", "_part", "_queue", F.coalesce(before, F.lit(0)).alias("_base"))
     few = parts.count() <= BROADCAST_STARTS
     placed = tokens.join(F.broadcast(starts) if few else starts, ["_source", "_part"]).select("_id", "_source", "_part", "_queue", (F.col("_base") + F.col("_at")).alias("_start"), "_n", "_ids")
+    if rest:
+        placed = placed.filter(F.col("_queue") < len(own)).unionByName(_shared(tokens, parts, small, len(own), last))
     fields = [T.StructField("_id", id_type), T.StructField("source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]]
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))

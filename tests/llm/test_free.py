@@ -101,6 +101,20 @@ def test_packing(spark, tokenizer):
     assert packing.pack(docs.limit(0), FILE).count() == 0
 
 
+def test_shares_of_small_sources(spark, tokenizer):
+    rows = [(i, prose(i, 8), "big") for i in range(300)] + [(1000 + i, prose(i, 8), f"s{i // 60}") for i in range(240)]
+    docs = table(spark, rows).coalesce(1)
+    for weights, most in ((None, 1), ({"big": 4.0, "s0": 3.0, "s1": 1.0, "s2": 1.0, "s3": 1.0}, 3)):
+        got = packing.pack(docs, FILE, weights, window=2048, max_queues=2).collect()
+        assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+        early = Counter()
+        for r in got:
+            if r["sequence_id"] < 4:  # two windows
+                early[r["source"]] += r["length"]
+        other = sum(early[f"s{i}"] for i in (1, 2, 3)) / 3
+        assert abs(early["s0"] / other - most) < 0.5 * most and all(abs(early[f"s{i}"] / other - 1) < 0.5 for i in (1, 2, 3))
+
+
 def test_mixture():
     s = packing.Schedule([6000, 3000, 1000], [6000.0, 3000.0, 1000.0], 100)
     served = s.served(np.arange(101))
