@@ -7,6 +7,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,40 @@ def maybe_in(df: DataFrame, key: Sequence[Column], bitmap: DataFrame, name: str)
     )
 
 
+class Bits:
+    """A membership filter for Python workers over 64-bit keys that are hashes already: the low bits are the place.
+
+    It has BITS_A_KEY bits a key within LEAST_BITS and MOST_BITS (64 MiB), a bound on what is broadcast. Beyond some
+    10**8 keys it fills up and lets more through, which costs time only: who uses it counts what it lets through.
+    """
+
+    BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+
+    def __init__(self, sent: Broadcast, size: int):
+        self.sent, self.size = sent, size
+
+    @classmethod
+    def of(cls, keys: DataFrame, key: str) -> Bits:
+        """Of a column of a stored table, which is read twice."""
+        size = cls.LEAST_BITS
+        wanted = keys.count() * cls.BITS_A_KEY
+        while size < min(wanted, cls.MOST_BITS):
+            size *= 2
+        at = F.col(key).bitwiseAND(F.lit(size - 1))
+        page, bit = F.shiftright(at, _ROW_BITS), at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        pages = keys.select(page.cast("int").alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        out = np.zeros(size >> 3, np.uint8)
+        step = 1 << (_ROW_BITS - 3)
+        for r in pages.toLocalIterator():
+            out[r["_page"] * step : (r["_page"] + 1) * step] = np.frombuffer(bytes(r["_bits"]), np.uint8)
+        return cls(keys.sparkSession.sparkContext.broadcast(out), size)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each int64 key may be there."""
+        at = keys & np.int64(self.size - 1)
+        return (self.sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of value, with value computed once a row: a plain column would be put in each place, within lambdas too."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,15 +5,22 @@ registers; a register keeps its earliest arrival's shingle. Two texts agree on a
 Jaccard similarity of their weights. Arrivals are drawn in rounds, the n-th of all shingles together, and a shingle
 stops once its next arrival is later than the latest register: few shingles have a second round.
 
-Exact copies are one node (half of the text's sha256). Nodes that agree on all registers of a band are in a bucket,
-and two nodes of a bucket are compared unless links join them anyway. First come rounds that settle most buckets with
-few pairs: a node meets at most HEADS heads of its bucket, the first ones by hash orders of all nodes. Candidates are
-judged by their signatures, then verified on the shingles themselves. Verified links make classes, and heads leave
-their buckets. Buckets whose nodes are not all in one class after the rounds are compared whole: they are cut into
-blocks of about BLOCK nodes, and every two blocks meet in a task of their own, but for blocks of one and the same
-class. Only there does work grow with the square of a group, and only of one that links do not join.
-
-Linked: probability Jaccard, or Jaccard of the sets, of 0.8 or more. Weight of a shingle: 1 + ln(its count).
+Exact copies are one node (half of the text's sha256). Nodes that agree on all registers of a band are in a bucket;
+two nodes of a bucket are candidates. They are settled in two steps:
+
+1. Rounds of heads. Every class (a node at first) of a bucket meets the bucket's head, the class that comes first by
+   a hash order of the round, and of all heads it could meet only the first one: a pair a class and round, so a group
+   of near copies of any size has as many pairs as nodes. Verified pairs contract classes. As each one leads to an
+   earlier class, they are trees, and pointers are doubled to find the roots. Buckets hold one row for each class. The
+   first round looks at FIRST_BANDS bands only. Rounds end when less than 1 in WORTH classes finds its head.
+2. What is left are buckets of several classes. Their nodes are compared by an exact filter in place of all pairs:
+   in one order of all shingles, rare ones first, a linked pair has a common shingle that lies in the first part (a
+   mass of (1 - s) / (1 + s), see ``prefix``) of one and in the first 1 - s of the other. So only nodes that share
+   such a shingle are compared, each two classes until a link is found; texts that share a long passage and differ
+   in the rest share none. A shingle of more than BLOCK nodes is cut into blocks, two of which meet in a task.
+
+Both steps verify on all shingles of both texts (as 44-bit hashes). Linked: probability Jaccard, or Jaccard of the
+sets, of 0.8 or more. Weight of a shingle: 1 + ln(its count).
 
 Defined cases: a null text is an empty one; texts without words are linked with equal texts only; a text of fewer
 than five words has one shingle; repeated rows are copies; null ids are carried, and a class of null ids only has a
@@ -23,27 +30,31 @@ null class_id; an empty table gives an empty table; extra columns are carried by
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in, shared_dir, stored, text_of
-from .textvec import Words, mix, run_hashes, slices
+from .common import Bits, key_filter, maybe_in, shared_dir, stored, text_of
+from .textvec import Words, lean, mix, run_hashes, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
-#: A pair whose signatures agree on a smaller share goes no further: five standard deviations below 0.8.
-LEAST_AGREEMENT = 0.62
-#: Heads of a bucket that its members are compared with in each round, and rounds at most.
-HEADS, MOST_ROUNDS = (1, 4, 4), 3
-#: Nodes of a block, two of which are compared in a task.
-BLOCK = 256
+#: Bands of the first round, in which every node is a class of its own.
+FIRST_BANDS = 4
+#: A round of heads is the last one if fewer than 1 in so many pairs were links.
+WORTH = 20
+#: Nodes of a block, two of which are compared in a task; rows of a task that compares several short lists.
+BLOCK, TASK_ROWS = 256, 2048
+#: Bytes and rows of text that are worked on at a time: a row has REGISTERS times and values, 16 bytes each.
+SIGN_CHARS, SIGN_ROWS = 1_000_000, 8_192
+#: Counters of shingles, which give the order of ``prefix``, and those of a piece that travels as a row.
+SKETCH, PIECE = 1 << 18, 1 << 12
 _SEED = np.uint64(0x5851F42D4C957F2D)
-
-
 _TEXT_BITS = 20
 _HASH_BITS = 64 - _TEXT_BITS
 
@@ -96,63 +107,85 @@ def probability_jaccard(x: np.ndarray, y: np.ndarray) -> float:
 
 def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float = SIMILARITY) -> bool:
     """Whether two texts, as (ascending shingles, weights), are similar enough."""
-    if not len(a[0]) or not len(b[0]):
+    (s, x), (t, y) = a, b
+    if not len(s) or not len(t):
         return False
-    every = np.union1d(a[0], b[0])
-    if min(len(a[0]), len(b[0])) < least * 0.25 * len(every):
+    at = np.minimum(np.searchsorted(t, s), len(t) - 1)
+    same = t[at] == s
+    common = int(np.count_nonzero(same))
+    if common >= least * (len(s) + len(t) - common):
+        return True
+    # Shares of the weight that they have in common bound the probability Jaccard, see ``prefix``.
+    of_x, of_y = x[same].sum() / x.sum(), y[at[same]].sum() / y.sum()
+    if of_x * of_y < (least - 1e-9) * (1 - (1 - of_x) * (1 - of_y)):
         return False
-    x, y = np.zeros(len(every)), np.zeros(len(every))
-    x[np.searchsorted(every, a[0])], y[np.searchsorted(every, b[0])] = a[1], b[1]
-    both = ((x > 0) & (y > 0)).sum()
-    return both >= least * len(every) or probability_jaccard(x, y) >= least
+    every = np.union1d(s, t)
+    in_x, in_y = np.zeros(len(every)), np.zeros(len(every))
+    in_x[np.searchsorted(every, s)], in_y[np.searchsorted(every, t)] = x, y
+    return probability_jaccard(in_x, in_y) >= least
 
 
+@lean
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in slices(batch.column("_text")):
+        for a, b in slices(batch.column("_text"), SIGN_CHARS, SIGN_ROWS):
             shingles, weights, starts = weighted_shingles(batch.column("_text").slice(a, b - a))
             signature = signatures(shingles, weights, starts)
             empty = np.diff(starts) == 0
             blobs = [None if e else s.tobytes() for e, s in zip(empty, signature, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_node").slice(a, b - a), pa.array(blobs, pa.binary())], names=["_node", "_sig"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_node").slice(a, b - a), pa.array(blobs, pa.binary())], names=["_node", "_sig"]
+            )
 
 
-def _buckets(sig: np.ndarray) -> np.ndarray:
-    """A bucket for each band of signatures (a row each)."""
-    sig = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), sig.shape[:2]).copy()
+def _buckets(batch: pa.RecordBatch, bands: int) -> np.ndarray:
+    """A row of buckets for each row's signature, one for each band."""
+    sig = np.frombuffer(b"".join(batch.column("_sig").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)[:, :bands].astype(np.uint64)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64) + np.uint64(1), sig.shape[:2]).copy()
     for r in range(ROWS):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
     return h.view(np.int64)
 
 
-def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h = _buckets(np.frombuffer(b"".join(batch.column("_sig").to_pylist()), np.uint32))
-        rows = np.repeat(np.arange(len(h)), BANDS)
-        yield pa.RecordBatch.from_arrays([batch.column("_node").take(pa.array(rows)), pa.array(h.ravel())], names=["_node", "_bucket"])
+def _banded(bands: int, shared: Bits | None, columns: list[str]):
+    """A row for each bucket of a signature, of those that are in shared."""
 
+    @lean
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = _buckets(batch, bands)
+            row, band = np.nonzero(shared.has(h) if shared else np.ones(h.shape, bool))
+            kept = [batch.column(c).take(pa.array(row)) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(h[row, band]), *kept], names=["_bucket", *columns])
+
+    return rows
 
-def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b in slices(batch.column("_text")):
-            shingles, weights, starts = weighted_shingles(batch.column("_text").slice(a, b - a))
-            w = weights.astype(np.float32)
-            blobs = [shingles[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)]
-            plain = [b"" if (w[i:j] == 1).all() else w[i:j].tobytes() for i, j in zip(starts[:-1], starts[1:], strict=True)]  # all of weight 1: nothing
-            yield pa.RecordBatch.from_arrays([batch.column("_node").slice(a, b - a), pa.array(blobs, pa.binary()), pa.array(plain, pa.binary())], names=["_node", "_shingles", "_weights"])
 
+def _touching(shared: Bits):
+    """Rows that have a bucket in shared."""
 
-def _agreeing(least: float):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, REGISTERS) for c in ("_sig_a", "_sig_b"))
-            keep = pa.array((a == b).mean(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], names=["_a", "_b"]).filter(keep)
+            yield batch.filter(pa.array(shared.has(_buckets(batch, BANDS)).any(axis=1)))
 
     return rows
 
 
+@lean
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in slices(batch.column("_text"), SIGN_CHARS, SIGN_ROWS):
+            shingles, weights, starts = weighted_shingles(batch.column("_text").slice(a, b - a))
+            ranges, w = list(zip(starts[:-1], starts[1:], strict=True)), weights.astype(np.float32)
+            blobs = [shingles[i:j].tobytes() for i, j in ranges]
+            plain = [b"" if (w[i:j] == 1).all() else w[i:j].tobytes() for i, j in ranges]  # all of weight 1: nothing
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_node").slice(a, b - a), pa.array(blobs, pa.binary()), pa.array(plain, pa.binary())],
+                names=["_node", "_shingles", "_weights"],
+            )
+
+
 def _weighted(batch: pa.RecordBatch | pa.Table, i: int, k: str = "") -> tuple[np.ndarray, np.ndarray]:
     s = np.frombuffer(batch.column(f"_shingles{k}")[i].as_py(), np.uint64)
     w = np.frombuffer(batch.column(f"_weights{k}")[i].as_py(), np.float32)
@@ -160,41 +193,119 @@ def _weighted(batch: pa.RecordBatch | pa.Table, i: int, k: str = "") -> tuple[np
 
 
 def _verified(least: float):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([linked(_weighted(batch, i, "_a"), _weighted(batch, i, "_b"), least) for i in range(batch.num_rows)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b")], names=["_a", "_b"]).filter(keep)
+            same = [linked(_weighted(batch, i, "_a"), _weighted(batch, i, "_b"), least) for i in range(batch.num_rows)]
+            yield batch.select(["_class", "_to"]).filter(pa.array(same, pa.bool_()))
 
     return rows
 
 
-def _tile_links(least: float, agreement: float):
-    """Links between two blocks of a bucket, or within one; none between nodes that others join."""
+def prefix(shingles: np.ndarray, weights: np.ndarray, common: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """Places of a text's first shingles, rare ones (by the counters ``common``) first, and how many are its core.
+
+    Let a and b be the shares of the weight of x and of y on shingles that the other lacks. The probability Jaccard is
+    at most (1 - a)(1 - b) / (1 - ab), and so is the Jaccard of the sets with shares of the counts. If it is s or
+    more, neither a nor b is over 1 - s, and one of them is not over (1 - s) / (1 + s). Say a. If the core of x (the
+    first shingles that weigh more than that share) ends before the first part of y (more than 1 - s) does, it has a
+    shingle of y, which lies in y's part; else y's part has one of x, which lies in x's core. Both parts are as long
+    as either measure asks.
+    """
+    order = np.lexsort((shingles, common[(shingles % np.uint64(len(common))).astype(np.int64)]))
+    by_count = np.arange(1, len(order) + 1) / len(order)
+    by_weight = np.cumsum(weights[order]) / weights.sum()
+
+    def ends(share: float) -> int:
+        return min(len(order), 1 + max(int(np.searchsorted(m, share + 1e-6, "right")) for m in (by_count, by_weight)))
+
+    return order[: ends(1 - least)], ends((1 - least) / (1 + least))
+
+
+@lean
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts have shingles of each counter: a row for each PIECE of counters."""
+    total = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        for blob in batch.column("_shingles").to_pylist():
+            np.add.at(total, (np.frombuffer(blob, np.uint64) % np.uint64(SKETCH)).astype(np.int64), 1)
+    pieces = total.reshape(-1, PIECE)
+    some = np.flatnonzero(pieces.any(axis=1))
+    part = TaskContext.get().partitionId() % 64
+    yield pa.RecordBatch.from_pydict(
+        {"_part": pa.array([part] * len(some), pa.int32()), "_piece": pa.array(some.astype(np.int32)), "_n": pa.array([p.tobytes() for p in pieces[some]], pa.binary())}
+    )
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    n = sum(np.frombuffer(x.as_py(), np.int64) for x in rows.column("_n"))
+    return pa.table({"_piece": rows.column("_piece")[:1], "_n": pa.array([n.tobytes()], pa.binary())})
+
+
+def _sketch(texts: DataFrame) -> Broadcast:
+    """Counters of the shingles of all texts, SKETCH of them: 2 MiB. They are summed in two steps, as tasks may be many."""
+    parts = texts.select("_shingles").mapInArrow(_counters, "_part int, _piece int, _n binary")
+    half = parts.groupBy("_part", "_piece").applyInArrow(_summed, "_piece int, _n binary")
+    total = np.zeros(SKETCH, np.int64)
+    for r in half.groupBy("_piece").applyInArrow(_summed, "_piece int, _n binary").collect():  # at most SKETCH / PIECE rows
+        total[r["_piece"] * PIECE : (r["_piece"] + 1) * PIECE] = np.frombuffer(bytes(r["_n"]), np.int64)
+    return texts.sparkSession.sparkContext.broadcast(total)
+
+
+def _first_shingles(common: Broadcast, least: float, shared: Bits | None):
+    """(_token, _node, _class, _core): the first shingles of each text, of those that are in shared."""
+
+    @lean
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, core, row = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)]
+            for i in range(batch.num_rows):
+                shingles, weights = _weighted(batch, i)
+                at, n = prefix(shingles, weights, common.value, least)
+                keep = shared.has(shingles[at].view(np.int64)) if shared else np.ones(len(at), bool)
+                tokens.append(shingles[at][keep])
+                core.append((np.arange(len(at)) < n)[keep])
+                row.append(np.full(int(keep.sum()), i))
+            row = pa.array(np.concatenate(row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(tokens).view(np.int64)), batch.column("_node").take(row), batch.column("_class").take(row), pa.array(np.concatenate(core))],
+                names=["_token", "_node", "_class", "_core"],
+            )
+
+    return rows
+
+
+def _tile_links(least: float):
+    """Links (_a, _b) between classes: nodes that share a shingle, one of them in its core, until links join them."""
 
     def rows(tile: pa.Table) -> pa.Table:
-        node, key, bucket = tile.column("_node").to_pylist(), tile.column("_key").to_pylist(), tile.column("_bucket")[0].as_py()
-        sig = np.frombuffer(b"".join(tile.column("_sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-        bands, number = _buckets(sig), {}
-        top = [number.setdefault(c, len(number)) for c in tile.column("_class").to_pylist()]
-        of = np.array(top)  # the class of each node; classes are renamed as links are found
-        side = np.array([k == min(key) for k in key])
-        texts, out = {}, []
-        for i in range(len(node)):
-            near = np.flatnonzero(of != of[i])
-            # each pair once in a tile, and in one bucket of those it shares: that of its first band
-            near = near[near > i] if side.all() else near[side[near] != side[i]] if side[i] else near[:0]
-            near = near[(sig[near] == sig[i]).mean(axis=1) >= agreement]
-            same = bands[near] == bands[i]
-            near = near[bands[i][same.argmax(axis=1)] == bucket] if len(near) else near
-            for j in near.tolist():
-                if of[i] == of[j]:
-                    continue
-                for k in (i, j):
-                    if k not in texts:
-                        texts[k] = _weighted(tile, k)
-                if linked(texts[i], texts[j], least):
-                    out.append((node[i], node[j]))
-                    of[of == of[j]] = of[i]
+        number: dict[bytes, int] = {}
+        named = tile.column("_class").to_pylist()
+        of = np.array([number.setdefault(c, len(number)) for c in named])  # renamed as links are found
+        token, core = tile.column("_token").to_numpy(), tile.column("_core").to_numpy(zero_copy_only=False)
+        key, node = np.array(tile.column("_key").to_pylist()), tile.column("_node").to_pylist()
+        texts: dict[bytes, tuple] = {}
+        tried, out = set(), []
+
+        def text(i: int) -> tuple:
+            if node[i] not in texts:
+                texts[node[i]] = _weighted(tile, i)
+            return texts[node[i]]
+
+        order = np.argsort(token, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(token[order])) + 1):
+            one_block = len(set(key[own])) == 1
+            for place, i in enumerate(own):
+                near = own[place + 1 :]
+                near = near[(of[near] != of[i]) & (core[near] | core[i]) & (one_block | (key[near] != key[i]))]
+                for j in near.tolist():
+                    pair = (node[i], node[j]) if node[i] < node[j] else (node[j], node[i])
+                    if of[i] == of[j] or pair in tried:
+                        continue
+                    tried.add(pair)
+                    if linked(text(i), text(j), least):
+                        out.append((named[i], named[j]))
+                        of[of == of[j]] = of[i]
         return pa.table({"_a": pa.array([min(p) for p in out], pa.binary()), "_b": pa.array([max(p) for p in out], pa.binary())})
 
     return rows
@@ -205,36 +316,38 @@ def node_of(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def _heads(members: DataFrame, salt: int) -> DataFrame:
-    """(_b_key, _heads): the first of each bucket by each of HEADS orders of all nodes, other orders in each round.
-    Buckets of one group share their heads, so a group of any size has few pairs a node."""
-    n = HEADS[salt]
-    orders = [F.xxhash64("_node", F.lit(16 * salt + i)) for i in range(n)]
-    heads = members.groupBy("_bucket").agg(*[F.min(F.struct(o.alias("h"), F.col("_node").alias("n")))["n"].alias(f"_h{i}") for i, o in enumerate(orders)])
-    return heads.select(F.col("_bucket").cast("string").alias("_b_key"), F.array_distinct(F.array(*[f"_h{i}" for i in range(n)])).alias("_heads"))  # a key of its own: large buckets can be split
-
-
-def _candidates(members: DataFrame, heads: DataFrame) -> DataFrame:
-    """Pairs of each member with the heads of its bucket."""
-    pairs = members.withColumn("_b_key", F.col("_bucket").cast("string")).join(heads, "_b_key").select("_node", F.explode("_heads").alias("_head"))
-    return pairs.filter("_node != _head").select(F.least("_node", "_head").alias("_a"), F.greatest("_node", "_head").alias("_b")).distinct()
+def _own_key(c: str) -> Column:
+    """A join key that rows are not dealt by elsewhere, so that a large key can be split at run time."""
+    return F.hex(c)
 
 
 def _tiles(members: DataFrame, block: int) -> DataFrame:
-    """(_tile, _bucket, _node, _class, _key) of members (_node, _bucket, _class): each two blocks of a bucket are a tile.
-
-    A class of at least ``block`` nodes in a bucket has blocks of its own (_own), which do not meet each other; the
-    smaller ones share blocks."""
-    sizes = members.groupBy("_bucket", "_class").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select("_bucket", "_class", "_n", F.when(F.col("_n") >= block, F.hex("_class")).otherwise("").alias("_own"))
-    groups = sizes.groupBy("_bucket", "_own").agg(F.ceil(F.sum("_n") / block).alias("_blocks"))
+    """(_tile, _token, _node, _class, _core, _key) of members (_token, _node, _class, _core).
+
+    Short lists share tiles of about TASK_ROWS rows. Of a list of more than ``block`` nodes each two blocks are a tile;
+    a class of at least ``block`` nodes in it has blocks of its own, which do not meet each other, and the smaller
+    ones share blocks."""
+    members = stored(members, "posts")
+    lists = members.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
+    long = stored(lists.filter(F.col("_n") > block).select(F.hex("_token").alias("_k")), "long")
+    tasks = max(1, members.count() // TASK_ROWS)
+    short = members.withColumn("_k", _own_key("_token")).join(long, "_k", "left_anti")
+    short = short.select(F.concat(F.lit("s"), F.pmod("_token", F.lit(tasks)).cast("string")).alias("_tile"), "_token", "_node", "_class", "_core", F.lit("").alias("_key"))
+    if long.isEmpty():
+        return short
+    of = members.withColumn("_k", _own_key("_token")).join(long, "_k", "left_semi").drop("_k")
+    sizes = of.groupBy("_token", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select("_token", "_class", "_n", F.when(F.col("_n") >= block, F.hex("_class")).otherwise("").alias("_own"))
+    groups = sizes.groupBy("_token", "_own").agg(F.ceil(F.sum("_n") / block).alias("_blocks"))
     key = lambda i: F.concat_ws(":", "_own", i.cast("string"))
-    blocks = groups.select("_bucket", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i")).select("_bucket", "_own", key(F.col("_i")).alias("_key"))
-    pairs = blocks.join(blocks.toDF("_bucket", "_own_b", "_key_b"), "_bucket").filter("_key <= _key_b and (_own = '' or _own != _own_b)")
-    tiles = pairs.select("_bucket", F.concat_ws("|", F.col("_bucket").cast("string"), "_key", "_key_b").alias("_tile"), F.explode(F.array_distinct(F.array("_key", "_key_b"))).alias("_key"))
-    owned = members.join(sizes.select("_bucket", "_class", "_own"), ["_bucket", "_class"]).join(groups, ["_bucket", "_own"])
-    keyed = owned.select("_bucket", "_node", "_class", key(F.pmod(F.xxhash64("_node"), F.col("_blocks"))).alias("_key"))
-    return keyed.join(tiles, ["_bucket", "_key"]).select("_tile", "_bucket", "_node", "_class", "_key")
+    blocks = groups.select("_token", "_own", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_i"))
+    blocks = blocks.select("_token", "_own", key(F.col("_i")).alias("_key"))
+    pairs = blocks.join(blocks.toDF("_token", "_own_b", "_key_b"), "_token").filter("_key <= _key_b and (_own = '' or _own != _own_b)")
+    name = F.concat_ws("|", F.col("_token").cast("string"), "_key", "_key_b")
+    tiles = pairs.select("_token", name.alias("_tile"), F.explode(F.array_distinct(F.array("_key", "_key_b"))).alias("_key"))
+    owned = of.join(sizes.select("_token", "_class", "_own"), ["_token", "_class"]).join(groups, ["_token", "_own"])
+    keyed = owned.select("_token", "_node", "_class", "_core", key(F.pmod(F.xxhash64("_node"), F.col("_blocks"))).alias("_key"))
+    return short.unionByName(keyed.join(tiles, ["_token", "_key"]).select("_tile", "_token", "_node", "_class", "_core", "_key"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -255,62 +368,101 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _roots(trees: DataFrame) -> DataFrame:
+    """(_class, _to) with the root of each tree in place of the parent: pointers are doubled until none moves."""
+    while True:
+        further = trees.select(_own_key("_class").alias("_k"), F.col("_to").alias("_further"))
+        step = trees.withColumn("_k", _own_key("_to")).join(further, "_k", "left")
+        step = step.select("_class", F.coalesce("_further", "_to").alias("_to"), F.col("_further").isNotNull().alias("_moved")).checkpoint()
+        trees = step.select("_class", "_to")
+        if step.filter("_moved").isEmpty():
+            return trees
+
+
+def _relabelled(labels: DataFrame, merged: DataFrame) -> DataFrame:
+    """labels (_node, _class) with classes replaced by what merged (_class, _to) says."""
+    to = merged.select(_own_key("_class").alias("_k"), "_to")
+    return stored(labels.withColumn("_k", _own_key("_class")).join(to, "_k", "left").select("_node", F.coalesce("_to", "_class").alias("_class")), "labels")
+
+
+def _head_pairs(classed: DataFrame, shared: Bits, bands: int, salt: int) -> DataFrame:
+    """(_class, _to, _a, _b): each class with the first head of its buckets; _a and _b are nodes of theirs in the bucket."""
+    rows = classed.mapInArrow(_banded(bands, shared, ["_class", "_node"]), "_bucket bigint, _class binary, _node binary")
+    held = stored(rows.groupBy("_bucket", "_class").agg(F.min("_node").alias("_node")), "buckets")
+    order = F.xxhash64("_class", F.lit(salt))
+    heads = held.groupBy("_bucket").agg(F.min(F.struct(order.alias("h"), "_class", "_node")).alias("_head"), F.count(F.lit(1)).alias("_n"))
+    heads = heads.filter("_n > 1").select(_own_key("_bucket").alias("_k"), "_head")
+    met = held.withColumn("_k", _own_key("_bucket")).join(heads, "_k").filter("_class != _head._class")
+    first = met.groupBy("_class").agg(F.min(F.struct("_head.h", F.col("_head._class").alias("to"), F.col("_head._node").alias("b"), F.col("_node").alias("a"))).alias("_p"))
+    return first.select("_class", F.col("_p.to").alias("_to"), F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"))
+
+
+def _exact_links(classed: DataFrame, shared: Bits, shingles: DataFrame, similarity: float) -> DataFrame | None:
+    """(_a, _b): links between classes that share a bucket; None if no bucket has two classes."""
+    rows = classed.mapInArrow(_banded(BANDS, shared, ["_class"]), "_bucket bigint, _class binary")
+    mixed = rows.groupBy("_bucket").agg(F.min("_class").alias("_m"), F.max("_class").alias("_x")).filter("_m != _x")
+    mixed = stored(mixed.select("_bucket"), "mixed")
+    if mixed.isEmpty():
+        return None
+    left = classed.mapInArrow(_touching(Bits.of(mixed, "_bucket")), classed.schema).select("_node", "_class")
+    texts = stored(left.join(shingles, "_node"), "left")
+    common = _sketch(texts)
+    schema = "_token bigint, _node binary, _class binary, _core boolean"
+    tokens = texts.mapInArrow(_first_shingles(common, similarity, None), schema)
+    met = tokens.groupBy("_token").agg(F.min("_class").alias("_m"), F.max("_class").alias("_x"), F.max("_core").alias("_core")).filter("_m != _x and _core")
+    met = Bits.of(stored(met.select("_token"), "met"), "_token")
+    tiles = _tiles(texts.mapInArrow(_first_shingles(common, similarity, met), schema), BLOCK)
+    tiles = tiles.join(shingles, "_node")
+    return stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity), "_a binary, _b binary").distinct(), "links")
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(_node, _class) of the nodes that are linked to another; for _node see ``node_of``."""
     shared_dir(docs.sparkSession)
     rows = docs.select(text_of(text_col).alias("_text")).select(node_of(F.col("_text")).alias("_node"), "_text")
     signed = rows.mapInArrow(_signed, "_node binary, _sig binary").filter("_sig is not null")
     signed = stored(signed.groupBy("_node").agg(F.first("_sig").alias("_sig")), "signatures")
-    bands = signed.mapInArrow(_banded, "_node binary, _bucket bigint")
-    shared = bands.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1").select("_bucket")
-    shared = stored(shared, "shared")
+    buckets = signed.mapInArrow(_banded(BANDS, None, []), "_bucket bigint").groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    shared = Bits.of(stored(buckets.filter("_n > 1").select("_bucket"), "shared"), "_bucket")
     # Most nodes share no bucket: their bands go no further than the task that made them.
-    likely = maybe_in(bands, [F.col("_bucket")], key_filter(shared, [F.col("_bucket")]), "_likely").filter("_likely")
-    members = stored(likely.join(shared, "_bucket", "left_semi").select("_node", "_bucket"), "members")
-
-    nodes = key_filter(members.select("_node"), [F.col("_node")])
-    own = maybe_in(signed, [F.col("_node")], nodes, "_likely").filter("_likely").select("_node", "_sig")
-    own = stored(own, "own_signatures")
-    some = maybe_in(rows, [F.col("_node")], nodes, "_likely").filter("_likely").select("_node", "_text").mapInArrow(_shingled, "_node binary, _shingles binary, _weights binary")
+    near = stored(signed.mapInArrow(_touching(shared), signed.schema), "near")
+    some = maybe_in(rows, [F.col("_node")], key_filter(near.select("_node"), [F.col("_node")]), "_likely").filter("_likely")
+    some = some.select("_node", "_text").mapInArrow(_shingled, "_node binary, _shingles binary, _weights binary")
     shingles = stored(some.groupBy("_node").agg(F.first("_shingles").alias("_shingles"), F.first("_weights").alias("_weights")), "shingles")
 
-    links, done, classes, unsettled = None, None, None, members
-    for salt in range(MOST_ROUNDS):
-        heads = stored(_heads(unsettled, salt), "heads")
-        pairs = _candidates(unsettled, heads)
-        if done is not None:
-            pairs = pairs.join(done, ["_a", "_b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        done = pairs if done is None else done.union(pairs)
-        sides = pairs.join(own.toDF("_a", "_sig_a"), "_a").join(own.toDF("_b", "_sig_b"), "_b")
-        agreeing = sides.select("_a", "_b", "_sig_a", "_sig_b").mapInArrow(_agreeing(LEAST_AGREEMENT), "_a binary, _b binary")
-        full = agreeing.join(shingles.toDF("_a", "_shingles_a", "_weights_a"), "_a").join(shingles.toDF("_b", "_shingles_b", "_weights_b"), "_b")
-        found = stored(full.mapInArrow(_verified(similarity), "_a binary, _b binary"), "links")
-        if links is not None and found.isEmpty():
+    labels = near.select("_node", F.col("_node").alias("_class"))
+    for salt in count():
+        classed = near.join(labels, "_node") if salt else near.withColumn("_class", F.col("_node"))
+        pairs = stored(_head_pairs(classed, shared, BANDS if salt else FIRST_BANDS, salt), "pairs")
+        a, b = (shingles.toDF("_k", f"_shingles_{x}", f"_weights_{x}").withColumn("_k", _own_key("_k")) for x in "ab")
+        full = pairs.withColumn("_k", _own_key("_a")).join(a, "_k").drop("_k").withColumn("_k", _own_key("_b")).join(b, "_k")
+        full = full.select("_class", "_to", "_shingles_a", "_weights_a", "_shingles_b", "_weights_b")
+        found = stored(full.mapInArrow(_verified(similarity), "_class binary, _to binary"), "found")
+        tried, links = pairs.count(), found.count()
+        if links:
+            labels = _relabelled(labels, _roots(found))
+        if salt and links * WORTH <= tried:
             break
-        links = found if links is None else links.union(found)
-        classes = connected(links)
-        # Heads have met all of their buckets. Buckets whose other nodes are of more than one class are not settled.
-        rest = unsettled.select("_node", "_bucket", F.col("_bucket").cast("string").alias("_b_key")).join(heads, "_b_key").filter(~F.array_contains("_heads", F.col("_node")))
-        labelled = rest.join(classes, "_node", "left").select("_node", "_bucket", "_b_key", F.coalesce("_class", "_node").alias("_class"))
-        mixed = labelled.groupBy("_bucket").agg((F.min("_class") != F.max("_class")).alias("_mixed")).filter("_mixed").select(F.col("_bucket").cast("string").alias("_b_key"))
-        unsettled = stored(labelled.join(mixed, "_b_key", "left_semi").select("_node", "_bucket", "_class"), "unsettled")
-        if unsettled.isEmpty():
-            return classes
-    tiles = _tiles(unsettled, BLOCK).join(own, "_node").join(shingles, "_node")
-    found = stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity, LEAST_AGREEMENT), "_a binary, _b binary"), "links")
-    return classes if found.isEmpty() else connected(links.union(found))
+    if tried:
+        links = _exact_links(near.join(labels, "_node"), shared, shingles, similarity)
+        if links is not None and not links.isEmpty():
+            labels = _relabelled(labels, connected(links).toDF("_class", "_to"))
+    several = labels.filter("_node != _class")
+    return several.union(several.select("_class", "_class").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per input row: id, class_id (smallest id of its class), class_size (rows), text_sha256."""
     classes = near_classes(docs, id_col, text_col, similarity)
-    rows = docs.select(F.col(id_col).alias("_id"), node_of(text_of(text_col)).alias("_node"), F.sha2(text_of(text_col), 256).alias("_sha"))
+    text = text_of(text_col)
+    rows = docs.select(F.col(id_col).alias("_id"), node_of(text).alias("_node"), F.sha2(text, 256).alias("_sha"))
     nodes = rows.groupBy("_node").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_rows"))
     nodes = nodes.join(classes, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
     totals = nodes.groupBy("_class").agg(F.min("_least").alias("class_id"), F.sum("_rows").alias("class_size"))
-    named = nodes.join(totals.withColumnRenamed("_class", "_k"), F.hex("_class") == F.hex("_k")).select(F.hex("_node").alias("_node_key"), "class_id", "class_size")
-    return rows.join(named, F.hex("_node") == F.col("_node_key")).select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_sha").alias("text_sha256"))
+    totals = totals.select(_own_key("_class").alias("_k"), "class_id", "class_size")
+    named = nodes.withColumn("_k", _own_key("_class")).join(totals, "_k").select(_own_key("_node").alias("_k"), "class_id", "class_size")
+    rows = rows.withColumn("_k", _own_key("_node")).join(named, "_k")
+    return rows.select(F.col("_id").alias(id_col), "class_id", "class_size", F.col("_sha").alias("text_sha256"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -319,7 +471,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(row.alias("_row"), F.col(id_col).alias("_id"), node_of(text_of(text_col)).alias("_node"))
     classes = near_classes(docs, id_col, text_col, similarity)
     copies = rows.groupBy("_node").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_node")
-    grouped = stored(classes.union(copies.join(classes, "_node", "left_anti").select("_node", F.col("_node").alias("_class"))), "classes")
+    copies = copies.join(classes, "_node", "left_anti").select("_node", F.col("_node").alias("_class"))
+    grouped = stored(classes.union(copies), "classes")
     rows = maybe_in(rows, [F.col("_node")], key_filter(grouped.select("_node"), [F.col("_node")]), "_several")
     named = rows.filter("_several").join(grouped, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
     best = named.groupBy("_class").agg(F.min_by("_row", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_node"))).alias("_row"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Characters that are worked on at a time: bounds a worker's memory whatever the length of the texts.
-BATCH_CHARS, BATCH_ROWS = 2_000_000, 100_000
+BATCH_CHARS, BATCH_ROWS = 2_000_000, 32_768
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MIX2 = np.uint64(0x94D049BB133111EB)
@@ -31,14 +33,35 @@ def whole(texts: pa.Array) -> pa.Array:
     return pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
 
 
-def slices(texts: pa.Array, chars: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about so many bytes of text each, at least one row."""
+@cache
+def _allocator() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def lean(rows: Callable) -> Callable:
+    """A function over batches whose worker gives the memory of a task back when it is done: workers live on."""
+
+    @wraps(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from rows(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(_allocator(), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
+def slices(texts: pa.Array, chars: int = BATCH_CHARS, rows: int = BATCH_ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about so many bytes of text each, at least one row and at most ``rows``."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     start = 0
     while start < len(texts):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, min(start + BATCH_ROWS, int(np.searchsorted(ends, before + chars, "right"))))
+        stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + chars, "right"))))
         yield start, stop
         start = stop
 

@@ -172,6 +172,25 @@ def test_probability_jaccard():
     assert abs((s[0] == s[1]).mean() - jaccard(shingles(a), shingles(b))) < 0.03
 
 
+def test_prefix_filter_loses_no_link():
+    """Texts that are linked share a shingle of one's core and of the other's first part, in any order of shingles."""
+    r = np.random.default_rng(3)
+    links = 0
+    for _ in range(3000):
+        n = int(r.integers(1, 60))
+        x, extra = np.sort(r.choice(500, n, replace=False)), r.choice(np.arange(500, 600), int(r.integers(0, 8)), replace=False)
+        y = np.sort(np.concatenate([r.permutation(x)[: n - int(r.integers(0, 1 + n // 4))], extra]))
+        sides = [(s.astype(np.uint64), 1 + np.log(r.integers(1, 4, len(s)) if r.random() < 0.5 else np.ones(len(s)))) for s in (x, y)]
+        if not near_dup.linked(*sides):
+            continue
+        links += 1
+        common = r.integers(0, 5, 64)
+        (a, k), (b, m) = (near_dup.prefix(s, w, common, 0.8) for s, w in sides)
+        firsts = sides[0][0][a], sides[1][0][b]
+        assert set(firsts[0][:k]) & set(firsts[1]) or set(firsts[0]) & set(firsts[1][:m])
+    assert links > 300
+
+
 def test_near(spark):
     base, texts = {k: prose(100 + k, 200) for k in range(6)}, []
     for k, t in base.items():
