@@ -48,7 +48,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a written table in the shared folder: later reads need none of its lineage."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables of ``stored`` that no one reads any more; they would go when the driver ends."""
+    for df in tables:
+        _remove(df.sparkSession, df._stored_at)
 
 
 def text_of(name: str) -> Column:

@@ -4,13 +4,14 @@ Counting: words of the training documents and pairs of neighbouring words (an en
 last word of each text). Pairs are counted by 64-bit hashes that travel packed, a blob for each task and block of the
 hash space, and are summed block by block.
 
-The filter: an n-gram of count c has level 1 + floor(log(c / least) / log(BASE)) and is stored once for each level up
-to its own, by PROBES bits each. A look-up probes level 1, 2, ... until one is missing, and so finds the level, or now
-and then a higher one; the count it stands for is the middle of the level. Bits are in blocks, and an n-gram's bits
-are all in the block of its hash, so blocks are built apart, each in its own task. Single words are stored from count
-1 on, pairs from PAIR_LEAST on. The filter has FILTER_BITS_EACH bits for each stored level, whatever the corpus is. Its
-blocks are a table in the shared folder; they reach the workers in parts of about PART_BITS, each a broadcast of its
-own, and a worker holds one part at a time and probes it for all n-grams of a slice of texts that fall in its blocks.
+The filter: an n-gram of count c has level 1 + floor(log(c) / log(BASE)) and is stored once for each level up to its
+own, by PROBES bits each. A look-up probes level 1, 2, ... until one is missing, and so finds the level, or now and
+then a higher one; the count it stands for is the middle of the level. All words and all pairs are stored, from a
+count of 1 on. Bits are in blocks, and an n-gram's bits are all in the block of its hash, so blocks are built apart,
+each in its own task and as large as FILTER_BITS_EACH bits for each level stored in it. The number of blocks grows
+with the corpus (about BLOCK_TOKENS tokens each). They are a table in the shared folder and reach the workers in parts
+of about PART_BITS, each a broadcast of its own; a worker holds one part at a time and probes it for all n-grams of a
+slice of texts that fall in its blocks. So memory is bounded, while the work grows with parts times slices.
 
 Probability of a word w after v: (c(v, w) + MU * p(w)) / (c(v) + MU), p(w) = (c(w) + 1) / (N + V + 1), all c from the
 filter; N words and V different ones in training, end marks counted. The model's score is the sum of log10.
@@ -37,29 +38,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import stored, text_of
-from .textvec import BATCH_CHARS, Words, mix, slices
+from .textvec import BATCH_CHARS, Words, five, from_five, lean, mix, slices
 
 FOLDS, HELD_OUT = 7, 2
 BASE, PROBES, FILTER_BITS_EACH = 1.5, 3, 12
-MU, PAIR_LEAST, TOP_WORDS = 400.0, 2, 200_000
-#: Blocks of the filter, and so of the hash space.
-BLOCKS = 512
-#: Distinct pairs that a task gathers before it hands them on.
-GATHER = 6_000_000
+MU, TOP_WORDS = 400.0, 200_000
+#: Tokens for each block of the filter, and blocks at least; their number is a power of two.
+BLOCK_TOKENS, LEAST_BLOCKS = 200_000, 64
+#: Pairs of texts that a task gathers before it hands on what differs.
+GATHER = 4_000_000
 #: Bits of the filter that are collected, broadcast and held by a worker at a time (a block at least).
 PART_BITS = 1 << 29
 #: Bytes of text that are scored together where the filter has several parts, each of which is read once for them.
 PARTED_CHARS = 8_000_000
 END = " "  # no word has a blank in it
 _END_HASH = np.uint64(0x2545F4914F6CDD1D)
-_PAIR, _LEVEL, _BIT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+_PAIR, _LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Hashes travel as what is left of them within a block: five bytes.
 _REST_BITS = 40
+#: No count that fits 63 bits has a higher level.
+MOST_LEVELS = 128
 
 
-def _hash40(h: np.ndarray) -> np.ndarray:
+def blocks_for(tokens: int) -> int:
+    blocks = LEAST_BLOCKS
+    while blocks * BLOCK_TOKENS < tokens:
+        blocks *= 2
+    return blocks
+
+
+def _hash40(h: np.ndarray, blocks: int) -> np.ndarray:
     """Block in the high bits, 40 bits within it."""
-    return (h % np.uint64(BLOCKS)) << np.uint64(_REST_BITS) | (mix(h) & np.uint64((1 << _REST_BITS) - 1))
+    return (h & np.uint64(blocks - 1)) << np.uint64(_REST_BITS) | (mix(h) & np.uint64((1 << _REST_BITS) - 1))
 
 
 class Tokens:
@@ -85,16 +95,6 @@ class Tokens:
         return mix(h[self.previous] * _PAIR + h[self.codes])
 
 
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _from_five(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
@@ -103,35 +103,43 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[at], np.add.reduceat(c, at) if len(at) else c
 
 
-def _pair_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    keys: list[np.ndarray] = []
-    counts: list[np.ndarray] = []
-
-    def out() -> pa.RecordBatch:
-        k, c = _merge(keys, counts)
-        block = (k >> np.uint64(_REST_BITS)).astype(np.int64)
-        ends = np.searchsorted(block, np.arange(BLOCKS + 1))
-        ones, more, more_counts = [], [], []
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            once = c[a:b] == 1
-            ones.append(_five(k[a:b][once]))
-            more.append(_five(k[a:b][~once]))
-            more_counts.append(c[a:b][~once].astype("<u4").tobytes())
-        return pa.RecordBatch.from_pydict({"_block": pa.array(range(BLOCKS), pa.int32()), "_ones": pa.array(ones, pa.binary()), "_more": pa.array(more, pa.binary()), "_counts": pa.array(more_counts, pa.binary())})
+def _blobs(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each block: hashes of count 1 (_ones), and those of more with their counts. keys ascend."""
+    block = (keys >> np.uint64(_REST_BITS)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+    ones, more, more_counts = [], [], []
+    for a, b in zip(at, np.append(at[1:], len(block)), strict=True):
+        once = counts[a:b] == 1
+        ones.append(five(keys[a:b][once]))
+        more.append(five(keys[a:b][~once]))
+        more_counts.append(counts[a:b][~once].astype("<i8").tobytes())
+    binary = pa.binary()
+    return pa.RecordBatch.from_pydict(
+        {"_block": pa.array(block[at]), "_ones": pa.array(ones, binary), "_more": pa.array(more, binary), "_counts": pa.array(more_counts, binary)}
+    )
+
+
+def _pair_blobs(blocks: int):
+    @lean
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        for batch in batches:
+            for a, b in slices(batch.column("_text")):
+                k, c = np.unique(_hash40(Tokens(batch.column("_text").slice(a, b - a)).pairs(), blocks), return_counts=True)
+                keys.append(k)
+                counts.append(c)
+                if sum(map(len, keys)) > GATHER:
+                    yield _blobs(*_merge(keys, counts))
+                    keys.clear()
+                    counts.clear()
+        if keys:
+            yield _blobs(*_merge(keys, counts))
 
-    for batch in batches:
-        for a, b in slices(batch.column("_text")):
-            k, c = np.unique(_hash40(Tokens(batch.column("_text").slice(a, b - a)).pairs()), return_counts=True)
-            keys.append(k)
-            counts.append(c)
-            if sum(map(len, keys)) > GATHER:
-                yield out()
-                keys.clear()
-                counts.clear()
-    if keys:
-        yield out()
+    return rows
 
 
+@lean
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts, texts = [], 0
@@ -144,42 +152,49 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"_word": pa.array([END]), "_n": pa.array([texts], pa.int64())})
 
 
-def levels(counts: np.ndarray, least: float) -> np.ndarray:
-    """Level of each count, 0 below the least."""
-    c = np.maximum(counts.astype(np.float64), least)
-    return np.where(counts < least, 0, 1 + np.floor(np.log(c / least) / log(BASE) + 1e-9)).astype(np.int64)
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Level of each count of 1 or more."""
+    return 1 + np.floor(np.log(counts.astype(np.float64)) / log(BASE) + 1e-9).astype(np.int64)
 
 
-def level_counts(least: float, most: int = 128) -> np.ndarray:
-    """The count that each level stands for."""
-    n = np.arange(most, dtype=np.float64)
-    return np.concatenate([[0.0], least * (BASE ** n + np.maximum(BASE ** (n + 1), BASE ** n + 1 / least) - 1 / least) / 2])[:most]
+def level_counts(most: int = MOST_LEVELS) -> np.ndarray:
+    """The count that each level stands for: the middle of the whole numbers in it."""
+    low = BASE ** np.arange(most, dtype=np.float64)
+    return np.concatenate([[0.0], (low + np.maximum(BASE * low, low + 1) - 1) / 2])[:most]
 
 
 @dataclass
 class Filter:
-    """parts: runs of blocks of block_bits each, as functions that give the bits; first: the first block of each."""
+    """parts: runs of blocks, as functions that give their bits; first: the first block of each, and the number of all
+    at the end; starts: the bit at which each block begins, counted over all parts."""
 
     parts: list[Callable[[], np.ndarray]]
     first: list[int]
-    block_bits: int
-    word_least: float
-    pair_least: float
+    starts: np.ndarray
     tokens: int
     vocabulary: int
 
+    @property
+    def blocks(self) -> int:
+        return len(self.starts) - 1
+
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels of n-grams, by repeated membership probes."""
         out = np.zeros(len(keys), np.int64)
-        of = np.searchsorted(self.first, (keys >> np.uint64(_REST_BITS)).astype(np.int64), "right") - 1
-        for i, (part, first) in enumerate(zip(self.parts, self.first, strict=True)):
-            alive, level = np.flatnonzero(of == i), 0
+        block = (keys >> np.uint64(_REST_BITS)).astype(np.int64)
+        of = np.searchsorted(self.first, block, "right") - 1
+        sizes = np.diff(self.starts).astype(np.uint64)
+        for i, (part, first) in enumerate(zip(self.parts, self.first[:-1], strict=True)):
+            alive, level = np.flatnonzero((of == i) & (sizes[block] > 0)), 0
             bits = part() if len(alive) else None
-            while len(alive) and level < 120:
+            key, size, start = keys[alive], sizes[block[alive]], self.starts[block[alive]] - self.starts[first]
+            while len(alive) and level < MOST_LEVELS - 1:
                 level += 1
-                for probe in range(PROBES):
-                    at = _places(keys[alive], level, probe, self.block_bits) - first * self.block_bits
-                    alive = alive[(bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                there = np.ones(len(alive), bool)
+                for at in _places(key, level, size):
+                    at += start
+                    there &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                alive, key, size, start = alive[there], key[there], size[there], start[there]
                 out[alive] = level
         return out
 
@@ -202,58 +217,49 @@ class Sent:
         return bits
 
 
-def _places(keys: np.ndarray, level: int, probe: int, block_bits: int) -> np.ndarray:
-    h = mix(keys + np.uint64((level * int(_LEVEL) + probe * int(_BIT)) & 0xFFFFFFFFFFFFFFFF))
-    return ((keys >> np.uint64(_REST_BITS)) * np.uint64(block_bits) + h % np.uint64(block_bits)).astype(np.int64)
+def _places(keys: np.ndarray, level: int, sizes: np.ndarray | np.uint64) -> list[np.ndarray]:
+    """Bits of n-grams on a level within their blocks: two hashes of 32 bits, and sums of them (double hashing)."""
+    h = mix(keys + np.uint64(level * int(_LEVEL) & 0xFFFFFFFFFFFFFFFF))
+    low, high, mask = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1), np.uint64(0xFFFFFFFF)
+    return [((((low + np.uint64(i) * high) & mask) * sizes) >> np.uint64(32)).astype(np.int64) for i in range(PROBES)]
 
 
 def _summed(batch: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Keys and counts of a block, from what its tasks sent."""
-    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    blocks = batch.column("_block").to_pylist()
-    for i, block in enumerate(blocks):
-        top = np.uint64(block) << np.uint64(_REST_BITS)
-        for name in ("_ones", "_more"):
-            k = _from_five(batch.column(name)[i].as_py()) | top
-            keys.append(k)
-            counts.append(np.ones(len(k), np.int64) if name == "_ones" else np.frombuffer(batch.column("_counts")[i].as_py(), "<u4").astype(np.int64))
-    return _merge(keys, counts)
-
-
-def _kept_pairs(batch: pa.Table) -> pa.Table:
-    """Of a block: keys and counts from PAIR_LEAST on, and the number of those by level."""
-    k, c = _summed(batch)
-    k, c = k[c >= PAIR_LEAST], c[c >= PAIR_LEAST]
-    n = np.bincount(levels(c, PAIR_LEAST), minlength=128)
-    return pa.table({"_block": pa.array(batch.column("_block").to_pylist()[:1], pa.int32()), "_keys": pa.array([_five(k)], pa.binary()), "_n": pa.array([c.astype("<u4").tobytes()], pa.binary()), "_levels": pa.array([n.astype(np.int64)], pa.list_(pa.int64()))})
-
-
-def _word_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top = np.uint64(batch.column("_block")[0].as_py()) << np.uint64(_REST_BITS)
+    ones, more = (from_five(b"".join(batch.column(c).to_pylist())) | top for c in ("_ones", "_more"))
+    counts = np.frombuffer(b"".join(batch.column("_counts").to_pylist()), "<i8")
+    return _merge([ones, more], [np.ones(len(ones), np.int64), counts])
+
+
+@lean
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blobs of words, as _pair_blobs has them of pairs; _blocks is the number of blocks."""
     import xxhash
 
     for batch in batches:
+        if not batch.num_rows:
+            continue
         names = batch.column("_word").to_pylist()
-        keys = _hash40(np.fromiter((_END_HASH if w == END else xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names)))
-        counts = batch.column("_n").to_numpy()
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        ends = np.searchsorted((keys >> np.uint64(_REST_BITS)).astype(np.int64), np.arange(BLOCKS + 1))
-        yield pa.RecordBatch.from_pydict({"_block": pa.array(range(BLOCKS), pa.int32()), "_keys": pa.array([_five(keys[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "_n": pa.array([counts[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), "_least": pa.array([1.0] * BLOCKS)})
-
-
-def _bits_of(block_bits: int):
-    def rows(batch: pa.Table) -> pa.Table:
-        bits, block = np.zeros(block_bits, bool), batch.column("_block")[0].as_py()
-        for i in range(batch.num_rows):
-            k = _from_five(batch.column("_keys")[i].as_py()) | np.uint64(block) << np.uint64(_REST_BITS)
-            n = levels(np.frombuffer(batch.column("_n")[i].as_py(), "<u4").astype(np.int64), batch.column("_least")[i].as_py())
-            for level in range(1, int(n.max()) + 1 if len(n) else 0):
-                own = k[n >= level]
-                for probe in range(PROBES):
-                    bits[_places(own, level, probe, block_bits) - block * block_bits] = True
-        return pa.table({"_block": pa.array([block], pa.int32()), "_bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    return rows
+        h = np.fromiter((_END_HASH if w == END else xxhash.xxh3_64_intdigest(w) for w in names), np.uint64, len(names))
+        keys, counts = _hash40(h, batch.column("_blocks")[0].as_py()), batch.column("_n").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        yield _blobs(keys[order], counts[order])
+
+
+def _bits_of(block: pa.Table) -> pa.Table:
+    """The bits of a block, as many as its n-grams need; a multiple of 64."""
+    keys, counts = _summed(block)
+    n = levels(counts)
+    size = -(-int(n.sum()) * FILTER_BITS_EACH // 64) * 64
+    if size >> 31:
+        raise ValueError("a block of the filter has over 2**31 bits: BLOCK_TOKENS is too large")
+    bits = np.zeros(size, bool)
+    for level in range(1, int(n.max()) + 1):
+        for at in _places(keys[n >= level], level, np.uint64(size)):
+            bits[at] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return pa.table({"_block": block.column("_block")[:1], "_size": pa.array([size], pa.int64()), "_bits": pa.array([packed], pa.binary())})
 
 
 def fold_of(key: Column, folds: int = FOLDS) -> Column:
@@ -265,54 +271,47 @@ def word_table(texts: DataFrame) -> DataFrame:
     return stored(texts.mapInArrow(_word_counts, "_word string, _n bigint").filter("_n > 0").groupBy("_word").agg(F.sum("_n").alias("_n")), "words")
 
 
-def build_filter(texts: DataFrame, words: DataFrame, most_bits: int | None = None, part_bits: int = PART_BITS) -> Filter:
-    """The filter of the texts (_text) whose words are counted in words; one part at a time comes to the driver.
-
-    A caller may bound the whole filter by most_bits: the least count of pairs is then doubled until it fits. The
-    operator has no such bound.
-    """
-    total = words.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
-    pairs = texts.mapInArrow(_pair_blobs, "_block int, _ones binary, _more binary, _counts binary")
-    kept = stored(pairs.groupBy("_block").applyInArrow(_kept_pairs, "_block int, _keys binary, _n binary, _levels array<bigint>"), "pairs")
-    by_level = dict(kept.select(F.posexplode("_levels").alias("level", "n")).groupBy("level").agg(F.sum("n")).collect())  # at most 128 rows
-    step = log(BASE)
-    stored_words = sum(int(r["l"]) * r["k"] for r in words.groupBy((F.floor(F.log(F.col("_n").cast("double")) / step + 1e-9) + 1).alias("l")).agg(F.count(F.lit(1)).alias("k")).collect())
-    least = float(PAIR_LEAST)
-
-    def needed(cut: float) -> int:
-        skip = int(levels(np.array([cut]), PAIR_LEAST)[0]) - 1
-        return FILTER_BITS_EACH * (stored_words + sum(max(0, level - skip) * n for level, n in by_level.items()))
-
-    while most_bits is not None and needed(least) > most_bits and least < 1 << 40:
-        least *= 2
-    size = needed(least) if most_bits is None else min(most_bits, needed(least))
-    block_bits = max(64, -(-size // BLOCKS) + 7 & ~7)
-    both = kept.select("_block", "_keys", "_n", F.lit(least).alias("_least")).union(words.mapInArrow(_word_blobs, "_block int, _keys binary, _n binary, _least double"))
-    blocks = stored(both.groupBy("_block").applyInArrow(_bits_of(block_bits), "_block int, _bits binary"), "filter")
-    each = max(1, part_bits // block_bits)
-    first = list(range(0, BLOCKS, each))
+def build_filter(texts: DataFrame, words: DataFrame, part_bits: int = PART_BITS) -> Filter:
+    """The filter of the texts (_text) whose words are counted in words; one part at a time comes to the driver."""
+    spark = texts.sparkSession
+    tokens, vocabulary = words.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    blocks = blocks_for(tokens)
+    schema = "_block bigint, _ones binary, _more binary, _counts binary"
+    pairs = texts.mapInArrow(_pair_blobs(blocks), schema)
+    both = pairs.union(words.withColumn("_blocks", F.lit(blocks)).mapInArrow(_block_rows, schema))
+    made = stored(both.groupBy("_block").applyInArrow(_bits_of, "_block bigint, _size bigint, _bits binary"), "filter")
+    sizes = np.zeros(blocks, np.int64)
+    for r in made.select("_block", "_size").toLocalIterator():
+        sizes[r["_block"]] = r["_size"]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    first = [0]
+    while first[-1] < blocks:
+        first.append(max(first[-1] + 1, int(np.searchsorted(starts, starts[first[-1]] + part_bits, "right")) - 1))
+    first[-1] = blocks
     parts: list[Callable[[], np.ndarray]] = []
-    for a in first:
-        bits = np.zeros(min(each, BLOCKS - a) * block_bits // 8, np.uint8)
-        for r in blocks.filter((F.col("_block") >= a) & (F.col("_block") < a + each)).toLocalIterator():
-            bits[(r["_block"] - a) * block_bits // 8 : (r["_block"] - a + 1) * block_bits // 8] = np.frombuffer(bytes(r["_bits"]), np.uint8)
-        parts.append(Sent(texts.sparkSession.sparkContext.broadcast(bits), len(first) == 1))
-    return Filter(parts, first, block_bits, 1.0, least, int(total[0]), int(total[1]))
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        bits = np.zeros(int(starts[b] - starts[a]) // 8, np.uint8)
+        for r in made.filter((F.col("_block") >= a) & (F.col("_block") < b)).toLocalIterator():
+            at = int(starts[r["_block"]] - starts[a]) // 8
+            bits[at : at + r["_size"] // 8] = np.frombuffer(r["_bits"], np.uint8)
+        parts.append(Sent(spark.sparkContext.broadcast(bits), len(first) == 2))
+    return Filter(parts, first, starts, int(tokens), int(vocabulary))
 
 
 def log_probabilities(lm: Filter, tokens: Tokens, mu: float = MU) -> np.ndarray:
     """log10 probability of each token."""
     words = len(tokens.hashes)
-    found = lm.level(np.concatenate([_hash40(tokens.hashes), _hash40(tokens.pairs())]))
-    word_counts = level_counts(lm.word_least)[found[:words]]
+    found = lm.level(_hash40(np.concatenate([tokens.hashes, tokens.pairs()]), lm.blocks))
+    word_counts = level_counts()[found[:words]]
     unigram = (word_counts + 1) / (lm.tokens + lm.vocabulary + 1)
-    pair = level_counts(lm.pair_least)[found[words:]]
+    pair = level_counts()[found[words:]]
     before = word_counts[tokens.previous]
     pair = np.minimum(pair, np.minimum(before, word_counts[tokens.codes]))  # a pair is no more frequent than its words
     return np.log10((pair + mu * unigram[tokens.codes]) / (before + mu))
 
 
 def _scored(lm: Filter, top, mu: float):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, find = TaskContext.get().partitionId() << 33, 0, top.value.get
         scale = log(lm.tokens + lm.vocabulary + 1)
@@ -329,33 +328,49 @@ def _scored(lm: Filter, top, mu: float):
                 owner = np.repeat(np.arange(b - a), tokens.counts)[open_]
                 keys, often = np.unique(owner << 32 | tokens.codes[open_], return_counts=True)
                 bounds = np.searchsorted(keys >> 32, np.arange(b - a + 1)).astype(np.int32)
-                left = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(names[keys & 0xFFFFFFFF], pa.string()), pa.array(often.astype(np.int64))], names=["w", "k"]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part + row + np.arange(b - a)), batch.column("_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(tokens.counts), pa.array(add((have > 0).astype(np.int64))), pa.array(add(logs)), pa.array(add(log_probabilities(lm, tokens, mu))), left],
-                    names=["_row", "_id", "held_out", "n_tokens", "_known", "_base", "score", "_left"],
-                )
+                words = [pa.array(names[keys & 0xFFFFFFFF], pa.string()), pa.array(often.astype(np.int64))]
+                out = {
+                    "_row": pa.array(part + row + np.arange(b - a)),
+                    "_id": batch.column("_id").slice(a, b - a),
+                    "held_out": batch.column("held_out").slice(a, b - a),
+                    "n_tokens": pa.array(tokens.counts),
+                    "_known": pa.array(add((have > 0).astype(np.int64))),
+                    "_base": pa.array(add(logs)),
+                    "score": pa.array(add(log_probabilities(lm, tokens, mu))),
+                    "_left": pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(words, names=["w", "k"])),
+                }
+                yield pa.RecordBatch.from_pydict(out)
                 row += b - a
 
     return rows
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held: int = HELD_OUT, mu: float = MU, part_bits: int = PART_BITS, top_words: int = TOP_WORDS) -> DataFrame:
+def lm_scores(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held: int = HELD_OUT, mu: float = MU,
+    part_bits: int = PART_BITS, top_words: int = TOP_WORDS,
+) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("_id"), (fold_of(F.col(id_col), folds) == held).alias("held_out"), text_of(text_col).alias("_text"))
+    held_out = fold_of(F.col(id_col), folds) == held
+    rows = docs.select(F.col(id_col).alias("_id"), held_out.alias("held_out"), text_of(text_col).alias("_text"))
     texts = rows.filter("not held_out").select("_text")
     words = word_table(texts)
-    lm = build_filter(texts, words, part_bits=part_bits)
-    first = words.orderBy(F.desc("_n"), "_word").limit(top_words).toPandas()  # at most top_words rows
-    top = spark.sparkContext.broadcast(dict(zip(first["_word"].tolist(), first["_n"].tolist(), strict=True)))
-    out = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()), T.StructField("_base", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("_left", T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("k", T.LongType())])))])
-    scored = stored(rows.mapInArrow(_scored(lm, top, mu), out), "scores")
-    scale = lm.tokens + lm.vocabulary + 1
-    left = scored.select("_row", F.explode("_left").alias("x")).select("_row", F.col("x.w").alias("_word"), F.col("x.k").alias("_k"))
-    met = left.join(words, "_word", "left").select("_row", "_k", F.coalesce("_n", F.lit(0)).alias("_n"))
-    sums = met.groupBy("_row").agg(F.sum(F.when(F.col("_n") > 0, F.col("_k")).otherwise(0)).alias("_more"), F.sum(F.col("_k") * (F.log10(F.col("_n") + 1.0) - F.log10(F.lit(float(scale))))).alias("_rest"))
-    zero = F.lit(0)
+    lm = build_filter(texts, words, part_bits)
+    first = words.orderBy(F.desc("_n"), "_word").limit(top_words).toArrow()  # at most top_words rows
+    top = spark.sparkContext.broadcast(dict(zip(first.column("_word").to_pylist(), first.column("_n").to_pylist(), strict=True)))
+    del first
+    left = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("k", T.LongType())]))
+    kinds = {"_row": T.LongType(), "_id": id_type, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "_known": T.LongType()}
+    kinds |= {"_base": T.DoubleType(), "score": T.DoubleType(), "_left": left}
+    scored = stored(rows.mapInArrow(_scored(lm, top, mu), T.StructType([T.StructField(k, t) for k, t in kinds.items()])), "scores")
+    scale, zero = F.lit(float(lm.tokens + lm.vocabulary + 1)), F.lit(0)
+    open_ = scored.select("_row", F.explode("_left").alias("x")).select("_row", F.col("x.w").alias("_word"), F.col("x.k").alias("_k"))
+    met = open_.join(words, "_word", "left").select("_row", "_k", F.coalesce("_n", zero).alias("_n"))
+    logs = F.log10(F.col("_n") + 1.0) - F.log10(scale)
+    known = F.when(F.col("_n") > 0, F.col("_k")).otherwise(zero)
+    sums = met.groupBy("_row").agg(F.sum(known).alias("_more"), F.sum(F.col("_k") * logs).alias("_rest"))
     return scored.drop("_left").join(sums, "_row", "left").select(
         F.col("_id").alias(id_col), "held_out", "n_tokens", (F.col("_known") + F.coalesce("_more", zero)).alias("n_known"),
-        F.lit(lm.tokens).cast("bigint").alias("train_tokens"), (F.col("_base") + F.coalesce("_rest", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(lm.tokens).cast("bigint").alias("train_tokens"),
+        (F.col("_base") + F.coalesce("_rest", F.lit(0.0))).alias("base_score"), "score",
     )

@@ -19,7 +19,7 @@ two nodes of a bucket are candidates. They are settled in two steps:
    such a shingle are compared, each two classes until a link is found; texts that share a long passage and differ
    in the rest share none. A shingle of more than BLOCK nodes is cut into blocks, two of which meet in a task.
 
-Both steps verify on all shingles of both texts (as 44-bit hashes). Linked: probability Jaccard, or Jaccard of the
+Both steps verify on all shingles of both texts (as 40-bit hashes). Linked: probability Jaccard, or Jaccard of the
 sets, of 0.8 or more. Weight of a shingle: 1 + ln(its count).
 
 Defined cases: a null text is an empty one; texts without words are linked with equal texts only; a text of fewer
@@ -38,8 +38,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, key_filter, maybe_in, shared_dir, stored, text_of
-from .textvec import Words, lean, mix, run_hashes, slices
+from .common import Bits, free, key_filter, maybe_in, shared_dir, stored, text_of
+from .textvec import Words, five, from_five, lean, mix, run_hashes, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -55,12 +55,11 @@ SIGN_CHARS, SIGN_ROWS = 1_000_000, 8_192
 #: Counters of shingles, which give the order of ``prefix``, and those of a piece that travels as a row.
 SKETCH, PIECE = 1 << 18, 1 << 12
 _SEED = np.uint64(0x5851F42D4C957F2D)
-_TEXT_BITS = 20
-_HASH_BITS = 64 - _TEXT_BITS
+_TEXT_BITS, _HASH_BITS = 24, 40
 
 
 def weighted_shingles(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct shingles (44-bit hashes) of each text in ascending order, their weights, and where each text's begin."""
+    """Distinct shingles (40-bit hashes) of each text in ascending order, their weights, and where each text's begin."""
     hashes, starts = run_hashes(Words(texts, lower=True), n)
     owner = np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts))
     keys = np.sort(owner << np.uint64(_HASH_BITS) | hashes >> np.uint64(_TEXT_BITS))  # at most BATCH_ROWS texts
@@ -178,7 +177,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(batch.column("_text"), SIGN_CHARS, SIGN_ROWS):
             shingles, weights, starts = weighted_shingles(batch.column("_text").slice(a, b - a))
             ranges, w = list(zip(starts[:-1], starts[1:], strict=True)), weights.astype(np.float32)
-            blobs = [shingles[i:j].tobytes() for i, j in ranges]
+            blobs = [five(shingles[i:j]) for i, j in ranges]
             plain = [b"" if (w[i:j] == 1).all() else w[i:j].tobytes() for i, j in ranges]  # all of weight 1: nothing
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_node").slice(a, b - a), pa.array(blobs, pa.binary()), pa.array(plain, pa.binary())],
@@ -187,7 +186,7 @@ def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _weighted(batch: pa.RecordBatch | pa.Table, i: int, k: str = "") -> tuple[np.ndarray, np.ndarray]:
-    s = np.frombuffer(batch.column(f"_shingles{k}")[i].as_py(), np.uint64)
+    s = from_five(batch.column(f"_shingles{k}")[i].as_py())
     w = np.frombuffer(batch.column(f"_weights{k}")[i].as_py(), np.float32)
     return s, w.astype(np.float64) if len(w) else np.ones(len(s))
 
@@ -228,7 +227,7 @@ def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SKETCH, np.int64)
     for batch in batches:
         for blob in batch.column("_shingles").to_pylist():
-            np.add.at(total, (np.frombuffer(blob, np.uint64) % np.uint64(SKETCH)).astype(np.int64), 1)
+            np.add.at(total, (from_five(blob) % np.uint64(SKETCH)).astype(np.int64), 1)
     pieces = total.reshape(-1, PIECE)
     some = np.flatnonzero(pieces.any(axis=1))
     part = TaskContext.get().partitionId() % 64
@@ -327,7 +326,6 @@ def _tiles(members: DataFrame, block: int) -> DataFrame:
     Short lists share tiles of about TASK_ROWS rows. Of a list of more than ``block`` nodes each two blocks are a tile;
     a class of at least ``block`` nodes in it has blocks of its own, which do not meet each other, and the smaller
     ones share blocks."""
-    members = stored(members, "posts")
     lists = members.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
     long = stored(lists.filter(F.col("_n") > block).select(F.hex("_token").alias("_k")), "long")
     tasks = max(1, members.count() // TASK_ROWS)
@@ -409,10 +407,16 @@ def _exact_links(classed: DataFrame, shared: Bits, shingles: DataFrame, similari
     common = _sketch(texts)
     schema = "_token bigint, _node binary, _class binary, _core boolean"
     tokens = texts.mapInArrow(_first_shingles(common, similarity, None), schema)
-    met = tokens.groupBy("_token").agg(F.min("_class").alias("_m"), F.max("_class").alias("_x"), F.max("_core").alias("_core")).filter("_m != _x and _core")
-    met = Bits.of(stored(met.select("_token"), "met"), "_token")
-    tiles = _tiles(texts.mapInArrow(_first_shingles(common, similarity, met), schema), BLOCK)
-    tiles = tiles.join(shingles, "_node")
+    # Shingles of the very same nodes are one list: texts that are nearly linked share many.
+    nodes = [F.bit_xor(F.xxhash64("_node", F.lit(i))).alias(f"_x{i}") for i in range(2)]
+    met = tokens.groupBy("_token").agg(F.min("_class").alias("_m"), F.max("_class").alias("_x"), F.max("_core").alias("_any"), F.count(F.lit(1)).alias("_n"), *nodes)
+    met = stored(met.filter("_m != _x and _any").select("_token", F.xxhash64("_x0", "_x1", "_n").alias("_list")), "met")
+    posts = texts.mapInArrow(_first_shingles(common, similarity, Bits.of(met, "_token")), schema)
+    posts = posts.withColumn("_k", _own_key("_token")).join(met.select(_own_key("_token").alias("_k"), "_list"), "_k")
+    posts = posts.groupBy(F.col("_list").alias("_token"), "_node").agg(F.first("_class").alias("_class"), F.max("_core").alias("_core"))
+    posts = stored(posts, "posts")
+    free(met, texts, mixed)
+    tiles = _tiles(posts, BLOCK).withColumn("_k", _own_key("_node")).join(shingles.withColumnRenamed("_node", "_k").withColumn("_k", _own_key("_k")), "_k").drop("_k")
     return stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity), "_a binary, _b binary").distinct(), "links")
 
 
@@ -431,6 +435,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shingles = stored(some.groupBy("_node").agg(F.first("_shingles").alias("_shingles"), F.first("_weights").alias("_weights")), "shingles")
 
     labels = near.select("_node", F.col("_node").alias("_class"))
+    free(signed)
     for salt in count():
         classed = near.join(labels, "_node") if salt else near.withColumn("_class", F.col("_node"))
         pairs = stored(_head_pairs(classed, shared, BANDS if salt else FIRST_BANDS, salt), "pairs")
@@ -439,6 +444,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         full = full.select("_class", "_to", "_shingles_a", "_weights_a", "_shingles_b", "_weights_b")
         found = stored(full.mapInArrow(_verified(similarity), "_class binary, _to binary"), "found")
         tried, links = pairs.count(), found.count()
+        free(pairs)
         if links:
             labels = _relabelled(labels, _roots(found))
         if salt and links * WORTH <= tried:

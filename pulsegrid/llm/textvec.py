@@ -107,6 +107,17 @@ def run_hashes(words: Words, n: int, hashes: np.ndarray | None = None) -> tuple[
     return out, starts
 
 
+def five(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**40 in five bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def from_five(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... for each pair, in one array."""
     ends = np.cumsum(lengths)

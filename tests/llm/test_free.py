@@ -294,14 +294,49 @@ def test_filter(spark):
     c = Counter(w for t in texts for w in t.split())
     import xxhash
 
+    hashes = lambda names: np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64)
     names = sorted(c)
-    keys = lm_score._hash40(np.array([xxhash.xxh3_64_intdigest(w) for w in names], np.uint64))
-    got, want = lm.level(keys), lm_score.levels(np.array([c[w] for w in names]), 1.0)
+    keys = lm_score._hash40(hashes(names), lm.blocks)
+    got, want = lm.level(keys), lm_score.levels(np.array([c[w] for w in names]))
     assert (got >= want).all() and (got == want).mean() > 0.95
-    absent = lm_score._hash40(np.array([xxhash.xxh3_64_intdigest(f"q{i}") for i in range(5000)], np.uint64))
+    absent = lm_score._hash40(hashes(f"q{i}" for i in range(5000)), lm.blocks)
     assert (lm.level(absent) > 0).mean() < 0.05
-    small = lm_score.build_filter(df, lm_score.word_table(df), most_bits=1 << 15)
-    assert len(small.bits) * 8 <= (1 << 15) + 8 * lm_score.BLOCKS and small.pair_least > lm.pair_least
+    # pairs, those seen once among them
+    pairs = Counter(p for t in texts for p in zip([None, *t.split()], [*t.split(), None]))
+    end = int(lm_score._END_HASH)
+    h = lambda ws: np.array([end if w is None else xxhash.xxh3_64_intdigest(w) for w in ws], np.uint64)
+    keys = lm_score._hash40(lm_score.mix(h(a for a, _ in pairs) * lm_score._PAIR + h(b for _, b in pairs)), lm.blocks)
+    got, want = lm.level(keys), lm_score.levels(np.array(list(pairs.values())))
+    assert (got >= want).all() and (got == want).mean() > 0.95 and (want == 1).sum() > 1000
+
+
+def test_score_is_that_of_a_dictionary(spark):
+    """Scores from a dictionary of the levels that the filter has, n-gram by n-gram, and close to those of true counts."""
+    import xxhash
+
+    docs = table(spark, [(i, prose(i % 50, 60) + f" only{i}" if i % 8 else None, "s") for i in range(160)])
+    rows = [(r["doc_id"], (r["text"] or "").split()) for r in docs.collect()]
+    train = [w for i, w in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(x for w in train for x in [*w, None])
+    two = Counter(p for w in train for p in zip([None, *w], [*w, None]))
+    n, v = sum(one.values()), len(one)
+    texts = spark.createDataFrame([(" ".join(w),) for w in train], "_text string")
+    lm = lm_score.build_filter(texts, lm_score.word_table(texts))
+    assert (lm.tokens, lm.vocabulary) == (n, v)
+    h = lambda w: np.array([int(lm_score._END_HASH) if w is None else xxhash.xxh3_64_intdigest(w)], np.uint64)
+    held = lambda key: float(lm_score.level_counts()[lm.level(lm_score._hash40(key, lm.blocks))[0]])
+    words = {x: held(h(x)) for _, w in rows for x in [*w, None]}
+    pairs = {(a, b): held(lm_score.mix(h(a) * lm_score._PAIR + h(b))) for _, w in rows for a, b in zip([None, *w], [*w, None])}
+    middle = lambda c: float(lm_score.level_counts()[lm_score.levels(np.array([c]))[0]]) if c else 0.0
+
+    def score(w, one, two):
+        steps = [(one(a), one(b), min(two(a, b), one(a), one(b))) for a, b in zip([None, *w], [*w, None])]
+        return sum(log10((ab + lm_score.MU * (b + 1) / (n + v + 1)) / (a + lm_score.MU)) for a, b, ab in steps)
+
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_scores(docs).collect()}
+    for i, w in rows:
+        assert abs(got[i] - score(w, words.get, lambda a, b: pairs[a, b])) < 1e-9
+        assert abs(got[i] - score(w, lambda a: middle(one[a]), lambda a, b: middle(two[a, b]))) < 0.05 * (len(w) + 1)
 
 
 def test_filter_in_parts(spark):
@@ -310,5 +345,5 @@ def test_filter_in_parts(spark):
     want = scores()
     texts = docs.select(lm_score.text_of("text").alias("_text"))
     lm = lm_score.build_filter(texts, lm_score.word_table(texts), part_bits=1 << 13)
-    assert len(lm.parts) > 2 and lm.pair_least == lm_score.PAIR_LEAST and len(lm.bits) * 8 > 1 << 13
+    assert len(lm.parts) > 2 and len(lm.bits) * 8 > 1 << 13
     assert scores(part_bits=1 << 13) == want and scores(part_bits=1) == want
