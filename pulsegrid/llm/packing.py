@@ -1,23 +1,29 @@
 """Packing of token sequences with controlled mixture: deficit round-robin over one queue per source.
 
-A window of ``window`` tokens is a round: every queue is due its weight's share of it, serves the whole tokens it is
-due and carries the rest (its deficit) on. As tokens can be cut anywhere, that is a closed form: after r rounds a
-queue has served floor(weight * v_r), where v_r is the virtual time at which all queues together have been due
-r * window tokens; the deficit is the fraction that floor takes off, and it stays below one token in every window and
-partition. A queue that is empty stops, and those left share its part. So each document finds its windows from its
-place in its queue alone, whatever partition it is in, and all windows in a row are one stream of tokens that is cut
-every ``length`` tokens: no sequence but the last has padding.
-
-Places in a queue: tokens are counted within each partition while documents are tokenised; counts of (source,
-partition) are summed up to where each begins. Ids are written once to the shared folder and never shuffled.
-
-The largest MAX_QUEUES - 1 sources have queues of their own and all others share one, whose weight is the sum of theirs.
-Within it documents are in the order of their virtual times, a place in the source over the source's weight, so each
-source has its share there too, to about a document; those left share what an empty one had. Weights default to the
-sources' own sizes, so every window has the mixture of the whole corpus.
+Every round gives each queue its quantum, the weight's share of ``window`` tokens. What a queue has not spent is its
+deficit and is carried to the next round; a queue serves its next document as soon as that is paid for in full. A
+document of more than ``part`` tokens is served in parts of that size. So documents stay whole, a deficit is below the
+largest part, and while all queues have documents, a round is a window with the target proportions, give or take those
+deficits; queues that are empty drop out, and the others go on in their proportions.
+
+As credit is carried, a part whose tokens end at place e of its queue is served in the first round r with
+r * quantum + credit >= e. That is a closed form, so no loop over rounds or queues is needed, at any number of sources:
+
+1. Tokens are counted within each partition while documents are tokenised; sums by (source, partition) give each
+   document its place in its queue. Ids are written to the shared folder.
+2. Parts are ordered by (round, source, place). Their places in the stream of all tokens are running sums within
+   blocks of BLOCK_ROUNDS rounds, after running sums of the blocks (``block_starts``). Only numbers travel here.
+3. The places meet the ids, and the stream is cut every ``length`` tokens: no sequence but the last has padding, and a
+   part of n tokens has at most n / length + 2 pieces.
+
+A queue starts with a credit between nothing and its mean document, by a hash of the source: else all sources of one
+document would be served in the last round.
+
+Weights: those given; a source that is not named has its share of all tokens. Without any, the size to the power of
+``temperature``: 1 gives every window the mixture of the corpus, less gives small sources more.
 
 Defined cases: a null text is empty and has the end id only; a null source is the source ''; repeated rows are packed
-each; an empty table gives an empty table; extra columns are not read.
+each; an empty table gives an empty table; extra columns are not read; weights must be positive numbers.
 """
 
 from __future__ import annotations
@@ -34,14 +40,17 @@ from pyspark.sql import types as T
 
 from .bpe import encoder
 from .common import stored
-from .textvec import ragged, slices
+from .textvec import lean, ragged, slices
 
 LENGTH, WINDOW, END_ID = 1024, 64 * 1024, 0
-MAX_QUEUES = 256
+#: Largest part of a document that is served at once.
+PART = WINDOW
+#: Rounds whose parts are put in order by one task.
+BLOCK_ROUNDS = 64
 #: Starts of (source, partition) that are broadcast at most, each some 40 bytes.
 BROADCAST_STARTS = 500_000
-#: Ranges of virtual time in the shared queue; each is put in order by itself.
-RANGES = 4096
+#: Blocks that are summed up in one window; more are summed in groups of GROUP first.
+MOST_BLOCKS, GROUP = 100_000, 1024
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -54,8 +63,9 @@ def _ids(planes: bytes) -> np.ndarray:
 
 
 def _tokenised(path: str, end_id: int):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, served = TaskContext.get().partitionId(), {}
+        part, served, row = TaskContext.get().partitionId(), {}, 0
         encode = encoder(path)
         if encode.vocabulary > 1 << 16:
             raise ValueError("ids are kept in two bytes")
@@ -69,141 +79,132 @@ def _tokenised(path: str, end_id: int):
                     blobs.append(_planes(np.append(ids[e - n : e], end_id)))
                     at.append(served.get(s, 0))
                     served[s] = at[-1] + n + 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(a, b - a), pa.array(sources[a:b], pa.string()), pa.array([part] * (b - a), pa.int32()), pa.array(at, pa.int64()), pa.array(counts + 1, pa.int64()), pa.array(blobs, pa.binary())],
-                    names=["_id", "_source", "_part", "_at", "_n", "_ids"],
-                )
+                out = {
+                    "_row": pa.array((part << 40) + row + np.arange(b - a)),
+                    "_id": batch.column("_id").slice(a, b - a),
+                    "_source": pa.array(sources[a:b], pa.string()),
+                    "_part": pa.array([part] * (b - a), pa.int32()),
+                    "_at": pa.array(at, pa.int64()),
+                    "_n": pa.array(counts + 1, pa.int64()),
+                    "_ids": pa.array(blobs, pa.binary()),
+                }
+                row += b - a
+                yield pa.RecordBatch.from_pydict(out)
 
     return rows
 
 
-class Schedule:
-    """How many tokens each queue has served after r rounds."""
-
-    def __init__(self, totals: list[int], weights: list[float], window: int):
-        self.totals, self.weights, self.window = np.array(totals, np.float64), np.array(weights, np.float64), window
-        self.rounds = -(-sum(totals) // window)
-        ends = self.totals / self.weights  # virtual times at which queues are empty
-        self.times = np.concatenate([[0.0], np.unique(ends)])
-        self.due = np.minimum(self.totals[:, None], self.weights[:, None] * self.times).sum(axis=0)
-
-    def served(self, r: np.ndarray) -> np.ndarray:
-        """A row for each queue."""
-        v = np.interp(r.astype(np.float64) * self.window, self.due, self.times)
-        part = np.floor(np.minimum(self.totals[:, None], self.weights[:, None] * v))
-        return np.where(r >= self.rounds, self.totals[:, None], np.where(r <= 0, 0, part)).astype(np.int64)
-
-    def near(self, queue: int, at: int) -> int:
-        """About the round in which a queue serves a token."""
-        return int(np.interp(at / self.weights[queue], self.times, self.due) // self.window)
-
-    def cuts(self, queue: int, a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces of the ranges [a, b) of a queue: index of the range, start in the queue, length, place in the stream."""
-        r = np.arange(max(0, self.near(queue, int(a.min())) - 2), self.near(queue, int(b.max())) + 3)
-        served = self.served(r)
-        own, stream = served[queue], served.sum(axis=0)
-        # in round r: the queues before this one come first
-        place = stream[:-1] + np.diff(served[:queue], axis=1).sum(axis=0)
-        first, last = np.searchsorted(own, a, "right") - 1, np.searchsorted(own, b, "left") - 1
-        n = last - first + 1
-        index, w = np.repeat(np.arange(len(a)), n), ragged(first, n)
-        start, end = np.maximum(a[index], own[w]), np.minimum(b[index], own[w + 1])
-        index, w, start, end = (x[end > start] for x in (index, w, start, end))
-        g = place[w] + start - own[w]
-        n = (g + end - start - 1) // length - g // length + 1
-        k = ragged(np.zeros(len(n), np.int64), n)
-        i = np.repeat(np.arange(len(n)), n)
-        lo, hi = np.maximum(g[i], (g[i] // length + k) * length), np.minimum(g[i] + end[i] - start[i], (g[i] // length + k + 1) * length)
-        return index[i], start[i] + lo - g[i], hi - lo, lo
-
-
-def _packed(schedule: Schedule, length: int, keep_ids: bool):
+def cuts(start: np.ndarray, size: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of runs of tokens that lie at some places of the stream: index of the run, start, length, place."""
+    first = place // length
+    n = (place + size - 1) // length - first + 1
+    i = np.repeat(np.arange(len(n)), n)
+    k = first[i] + ragged(np.zeros(len(n), np.int64), n)
+    low, high = np.maximum(place[i], k * length), np.minimum((place + size)[i], (k + 1) * length)
+    return i, start[i] + low - place[i], high - low, low
+
+
+def _cut(length: int, keep_ids: bool):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            queue, part = batch.column("_queue").to_numpy(), batch.column("_part").to_numpy()
-            a, n = batch.column("_start").to_numpy(), batch.column("_n").to_numpy()
-            blobs = batch.column("_ids")
-            group = queue.astype(np.int64) << 32 | part
-            order = np.argsort(group, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-                if not len(own):
-                    continue
-                index, start, size, place = schedule.cuts(int(queue[own[0]]), a[own], a[own] + n[own], length)
-                row = own[index]
-                begin = start - a[row]
-                crc, held, ids, words = [], -1, None, []
-                for i, s, k in zip(row.tolist(), begin.tolist(), size.tolist(), strict=True):
-                    if i != held:
-                        held, ids = i, _ids(blobs[i].as_py()).astype("<u4")
-                    piece = ids[s : s + k]
-                    crc.append(zlib.crc32(piece))
-                    if keep_ids:
-                        words.append(piece.astype(np.int32))
-                out = {"_id": batch.column("_id").take(pa.array(row)), "source": batch.column("_source").take(pa.array(row)), "start": begin, "length": size, "ids_crc32": pa.array(crc, pa.int64()), "doc_tokens": n[row], "sequence_id": place // length, "offset": place % length}
+            served = batch.column("_served")
+            flat = served.flatten()
+            run = [flat.field(c).to_numpy() for c in ("_from", "_len", "_place")]
+            owner = np.repeat(np.arange(len(batch)), np.diff(served.offsets.to_numpy()))
+            index, start, size, place = cuts(*run, length)
+            row = owner[index]
+            crc, held, ids, words = [], -1, None, []
+            for i, s, k in zip(row.tolist(), start.tolist(), size.tolist(), strict=True):
+                if i != held:
+                    held, ids = i, _ids(batch.column("_ids")[i].as_py()).astype("<u4")
+                piece = ids[s : s + k]
+                crc.append(zlib.crc32(piece))
                 if keep_ids:
-                    out["ids"] = pa.array(words, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict(out)
+                    words.append(piece.astype(np.int32))
+            out = {
+                "_id": batch.column("_id").take(pa.array(row)),
+                "source": batch.column("_source").take(pa.array(row)),
+                "start": start,
+                "length": size,
+                "ids_crc32": pa.array(crc, pa.int64()),
+                "doc_tokens": batch.column("_n").take(pa.array(row)),
+                "sequence_id": place // length,
+                "offset": place % length,
+            }
+            if keep_ids:
+                out["ids"] = pa.array(words, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_pydict(out)
 
     return rows
 
 
-def _shared(tokens: DataFrame, parts: DataFrame, small: DataFrame, queue: int, last: float) -> DataFrame:
-    """Documents of the sources in small (_source, _weight, _size) with their places in the queue they share.
+def block_starts(sums: DataFrame, most: int = MOST_BLOCKS, group: int = GROUP) -> DataFrame:
+    """(_block, _start) of (_block, _sum): the sum of all blocks before. No task sums more than most or group rows."""
+    before = lambda w: F.coalesce(F.sum("_sum").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if sums.count() <= most:
+        return sums.select("_block", before(Window).alias("_start"))
+    grouped = sums.withColumn("_group", F.floor(F.col("_block") / group))
+    above = stored(grouped.groupBy("_group").agg(F.sum("_sum").alias("_sum")).withColumnRenamed("_group", "_block"), "blocks")
+    above = block_starts(above, most, group).toDF("_group", "_above")
+    within = grouped.select("_group", "_block", before(Window.partitionBy("_group")).alias("_within"))
+    return within.join(above, "_group").select("_block", (F.col("_above") + F.col("_within")).alias("_start"))
 
-    A document's virtual time is that of a point in it which differs from source to source, so that the first documents
-    of many sources, or their only ones, are spread. last: the virtual time at which the last source is empty.
-    """
-    before = F.sum("_total").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = parts.join(small, "_source").select("_source", "_part", "_weight", F.coalesce(before, F.lit(0)).alias("_base"))
+
+def _queues(parts: DataFrame, weights: Mapping[str, float] | None, temperature: float, window: int) -> DataFrame:
+    """(_source, _quantum, _credit) of (_source, _part, _total, _docs)."""
+    if any(not w > 0 for w in (weights or {}).values()):
+        raise ValueError("weights are positive")
+    sizes = parts.groupBy("_source").agg(F.sum("_total").alias("_size"), F.sum("_docs").alias("_docs"))
+    if weights:
+        given = parts.sparkSession.createDataFrame([(s, float(w)) for s, w in weights.items()], "_source string, _given double")
+        everything = F.lit(float(parts.agg(F.sum("_total")).first()[0] or 1))
+        sizes = sizes.join(F.broadcast(given), "_source", "left")  # as many rows as the caller names sources
+        weighted = sizes.withColumn("_weight", F.coalesce("_given", F.col("_size") / everything))
+    else:
+        weighted = sizes.withColumn("_weight", F.pow(F.col("_size").cast("double"), F.lit(float(temperature))))
+    quantum = F.col("_weight") * F.lit(window / float(weighted.agg(F.sum("_weight")).first()[0] or 1))
     point = F.pmod(F.xxhash64("_source"), F.lit(1 << 20)) / (1 << 20)
-    timed = tokens.join(starts, ["_source", "_part"]).withColumn("_time", (F.col("_base") + F.col("_at") + point * F.col("_n")) / F.col("_weight"))
-    timed = timed.withColumn("_range", F.least(F.lit(RANGES - 1), F.floor(F.col("_time") / last * RANGES)).cast("int"))
-    sums = timed.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # at most RANGES rows
-    first = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    within = F.sum("_n").over(Window.partitionBy("_range").orderBy("_time", "_source", "_part", "_at").rowsBetween(Window.unboundedPreceding, -1))
-    rows = timed.withColumn("_within", F.coalesce(within, F.lit(0))).join(F.broadcast(first), "_range")
-    return rows.select("_id", "_source", "_part", F.lit(queue).alias("_queue"), (F.col("_first") + F.col("_within")).alias("_start"), "_n", "_ids")
+    return weighted.select("_source", quantum.alias("_quantum"), F.floor(point * F.col("_size") / F.col("_docs")).alias("_credit"))
+
+
+def schedule(tokens: DataFrame, weights: Mapping[str, float] | None, temperature: float, window: int, part: int) -> DataFrame:
+    """(_row, _from, _len, _round, _place) of tokens (_row, _source, _part, _at, _n): each part of each document."""
+    parts = stored(tokens.groupBy("_source", "_part").agg(F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_docs")), "parts")
+    before = F.sum("_total").over(Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = parts.select("_source", "_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    starts = stored(bases.join(_queues(parts, weights, temperature, window), "_source"), "starts")
+    few = starts.count() <= BROADCAST_STARTS
+    rows = tokens.select("_row", "_source", "_part", "_at", "_n").join(F.broadcast(starts) if few else starts, ["_source", "_part"])
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / part))))
+    rows = rows.withColumn("_from", (F.col("_i") * part).cast("bigint")).withColumn("_len", F.least(F.lit(part), F.col("_n") - F.col("_from")))
+    rows = rows.withColumn("_end", F.col("_base") + F.col("_at") + F.col("_from") + F.col("_len"))
+    rows = rows.withColumn("_round", F.greatest(F.lit(1), F.ceil((F.col("_end") - F.col("_credit")) / F.col("_quantum"))).cast("bigint"))
+    rows = rows.withColumn("_block", F.floor(F.col("_round") / BLOCK_ROUNDS)).select("_row", "_source", "_from", "_len", "_end", "_round", "_block")
+    rows = stored(rows, "rounds")
+    first = block_starts(rows.groupBy("_block").agg(F.sum("_len").alias("_sum")))
+    order = Window.partitionBy("_block").orderBy("_round", "_source", "_end").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = rows.withColumn("_within", F.coalesce(F.sum("_len").over(order), F.lit(0))).join(first, "_block")
+    return ordered.select("_row", "_from", "_len", "_round", (F.col("_start") + F.col("_within")).alias("_place"))
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, weights: Mapping[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, end_id: int = END_ID,
-    keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_queues: int = MAX_QUEUES,
+    docs: DataFrame, tokenizer: str, weights: Mapping[str, float] | None = None, length: int = LENGTH, window: int = WINDOW,
+    end_id: int = END_ID, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    temperature: float = 1.0, part: int = PART,
 ) -> DataFrame:
-    """One row per piece: id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
-
-    weights: target share of each source, in any unit; sources that are not named get their own size's share of 1.
-    """
-    id_type = docs.schema[id_col].dataType
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    kept = T.StructType([T.StructField("_id", id_type), T.StructField("_source", T.StringType()), T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_ids", T.BinaryType())])
+    """One row per piece: id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    long, id_type = T.LongType(), docs.schema[id_col].dataType
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text(source_col).alias("_source"), text(text_col).alias("_text"))
+    kept = {"_row": long, "_id": id_type, "_source": T.StringType(), "_part": T.IntegerType(), "_at": long, "_n": long, "_ids": T.BinaryType()}
+    kept = T.StructType([T.StructField(k, t) for k, t in kept.items()])
     tokens = stored(rows.mapInArrow(_tokenised(tokenizer, end_id), kept), "tokens")
-    parts = stored(tokens.groupBy("_source", "_part").agg(F.sum("_n").alias("_total")), "parts")
-
-    sizes = parts.groupBy("_source").agg(F.sum("_total").alias("n")).orderBy(F.desc("n"), "_source").limit(max_queues - 1).collect()
-    own = sorted((r["_source"], r["n"]) for r in sizes)
-    everything = parts.agg(F.sum("_total")).first()[0] or 0
-    totals = [n for _, n in own] + ([rest] if (rest := everything - sum(n for _, n in own)) else [])
-    names = docs.sparkSession.createDataFrame([(s, i) for i, (s, _) in enumerate(own)], "_source string, _queue int")
-    share = [float((weights or {}).get(s, n / everything if weights else n)) for s, n in own]
-    if any(w <= 0 for w in [*share, *(weights or {}).values()]):
-        raise ValueError("weights are positive")
-    if rest:
-        given = docs.sparkSession.createDataFrame([(s, float(w)) for s, w in (weights or {}).items()], "_source string, _given double")
-        small = parts.groupBy("_source").agg(F.sum("_total").alias("_size")).join(F.broadcast(names), "_source", "left_anti")
-        small = small.join(F.broadcast(given), "_source", "left").select("_source", F.coalesce("_given", F.col("_size") / (everything if weights else 1)).alias("_weight"), "_size")
-        summed, last = small.agg(F.sum("_weight"), F.max(F.col("_size") / F.col("_weight"))).first()
-        share.append(float(summed))
-    # Fields that the schedule needs even if there is nothing to pack.
-    schedule = Schedule(totals or [1], share or [1.0], window)
-
-    queued = parts.join(F.broadcast(names), "_source", "left").withColumn("_queue", F.coalesce("_queue", F.lit(len(own))))
-    before = F.sum("_total").over(Window.partitionBy("_queue").orderBy("_part", "_source").rowsBetween(Window.unboundedPreceding, -1))
-    starts = queued.select("_source", "_part", "_queue", F.coalesce(before, F.lit(0)).alias("_base"))
-    few = parts.count() <= BROADCAST_STARTS
-    placed = tokens.join(F.broadcast(starts) if few else starts, ["_source", "_part"]).select("_id", "_source", "_part", "_queue", (F.col("_base") + F.col("_at")).alias("_start"), "_n", "_ids")
-    if rest:
-        placed = placed.filter(F.col("_queue") < len(own)).unionByName(_shared(tokens, parts, small, len(own), last))
-    fields = [T.StructField("_id", id_type), T.StructField("source", T.StringType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]]
+    served = schedule(tokens, weights, temperature, window, part)
+    served = served.groupBy("_row").agg(F.collect_list(F.struct("_from", "_len", "_place")).alias("_served"))
+    whole = tokens.select("_row", "_id", "_source", "_n", "_ids").join(served.hint("shuffle_hash"), "_row")
+    fields = [T.StructField("_id", id_type), T.StructField("source", T.StringType())]
+    fields += [T.StructField(c, long) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]
     if keep_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
-    return placed.mapInArrow(_packed(schedule, length, keep_ids), T.StructType(fields)).withColumnRenamed("_id", id_col)
+    return whole.mapInArrow(_cut(length, keep_ids), T.StructType(fields)).withColumnRenamed("_id", id_col)

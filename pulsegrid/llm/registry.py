@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import decontaminate, exact_dedup, lm_score, near_dup, packing, quality, secret_scan, sharding, token_files, url_filter
 
 
+#: Target shares of sources go with their sizes to this power: small ones are seen more often than they are large.
+MIXTURE = 0.7
+
+
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -20,7 +24,7 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_mixture_packing(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack(_read(spark, d, "documents"), tokenizer_file())
+    return packing.pack(_read(spark, d, "documents"), tokenizer_file(), temperature=MIXTURE)
 
 
 def op2_probminhash(spark: SparkSession, d: str) -> DataFrame:
