@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -19,9 +20,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder all executors share, from spark.checkpoint.dir; only where that is unset (tests) a local one.
+
+    On a cluster a folder of one machine is of no use to the others, so there the setting must be there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = getattr(shared_dir, "own", None) or f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}"
         shared_dir.own = found
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -50,9 +55,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _tidy(spark)
     return out
 
 
+def _tidy(spark: SparkSession, every: float = 15.0) -> None:
+    """Spark removes the files of a shuffle when the driver's collector finds that no plan needs it. It may run seldom,
+    so that all shuffles of a long operator pile up; this asks for it now and then."""
+    if time.monotonic() - getattr(_tidy, "last", 0.0) > every:
+        spark._jvm.java.lang.System.gc()
+        _tidy.last = time.monotonic()
+
+
 def free(*tables: DataFrame) -> None:
     """Removes tables of ``stored`` that no one reads any more; they would go when the driver ends."""
     for df in tables:
@@ -108,13 +122,13 @@ def maybe_in(df: DataFrame, key: Sequence[Column], bitmap: DataFrame, name: str)
 
 
 class Bits:
-    """A membership filter for Python workers over 64-bit keys that are hashes already: the low bits are the place.
+    """A Bloom filter for Python workers over 64-bit keys that are hashes already: two places from a key's two halves.
 
     It has BITS_A_KEY bits a key within LEAST_BITS and MOST_BITS (64 MiB), a bound on what is broadcast. Beyond some
-    10**8 keys it fills up and lets more through, which costs time only: who uses it counts what it lets through.
+    10**7 keys it lets more and more through, which costs time only: who uses it counts what it lets through.
     """
 
-    BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 29
+    BITS_A_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 29
 
     def __init__(self, sent: Broadcast, size: int):
         self.sent, self.size = sent, size
@@ -126,9 +140,10 @@ class Bits:
         wanted = keys.count() * cls.BITS_A_KEY
         while size < min(wanted, cls.MOST_BITS):
             size *= 2
-        at = F.col(key).bitwiseAND(F.lit(size - 1))
-        page, bit = F.shiftright(at, _ROW_BITS), at.bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
-        pages = keys.select(page.cast("int").alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+        places = F.array(F.col(key).bitwiseAND(F.lit(size - 1)), F.shiftright(key, 32).bitwiseAND(F.lit(size - 1)))
+        at = keys.select(F.explode(places).alias("_at"))
+        page, bit = F.shiftright("_at", _ROW_BITS), F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+        pages = at.select(page.cast("int").alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
         out = np.zeros(size >> 3, np.uint8)
         step = 1 << (_ROW_BITS - 3)
         for r in pages.toLocalIterator():
@@ -137,8 +152,12 @@ class Bits:
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Whether each int64 key may be there."""
-        at = keys & np.int64(self.size - 1)
-        return (self.sent.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        bits, last = self.sent.value, np.int64(self.size - 1)
+        at = keys & last
+        there = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        at = (keys >> np.int64(32))[there] & last
+        there[there] = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return there
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

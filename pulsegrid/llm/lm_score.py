@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_of
+from .common import free, stored, text_of
 from .textvec import BATCH_CHARS, Words, five, from_five, lean, mix, slices
 
 FOLDS, HELD_OUT = 7, 2
@@ -295,6 +295,7 @@ def build_filter(texts: DataFrame, words: DataFrame, part_bits: int = PART_BITS)
             at = int(starts[r["_block"]] - starts[a]) // 8
             bits[at : at + r["_size"] // 8] = np.frombuffer(r["_bits"], np.uint8)
         parts.append(Sent(spark.sparkContext.broadcast(bits), len(first) == 2))
+    free(made)
     return Filter(parts, first, starts, int(tokens), int(vocabulary))
 
 

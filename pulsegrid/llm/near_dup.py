@@ -13,14 +13,16 @@ two nodes of a bucket are candidates. They are settled in two steps:
    of near copies of any size has as many pairs as nodes. Verified pairs contract classes. As each one leads to an
    earlier class, they are trees, and pointers are doubled to find the roots. Buckets hold one row for each class. The
    first round looks at FIRST_BANDS bands only. Rounds end when less than 1 in WORTH classes finds its head.
-2. What is left are buckets of several classes. Their nodes are compared by an exact filter in place of all pairs:
-   in one order of all shingles, rare ones first, a linked pair has a common shingle that lies in the first part (a
-   mass of (1 - s) / (1 + s), see ``prefix``) of one and in the first 1 - s of the other. So only nodes that share
-   such a shingle are compared, each two classes until a link is found; texts that share a long passage and differ
-   in the rest share none. A shingle of more than BLOCK nodes is cut into blocks, two of which meet in a task.
+2. What is left are buckets of several classes. In one of at most BLOCK nodes all signatures are compared, and pairs
+   of different classes that agree on LEAST_AGREEMENT of the registers are verified, in the first band they share. The
+   nodes of larger ones are compared by an exact filter in place of all pairs: in one order of all shingles, rare ones
+   first, a linked pair has a common shingle that lies in the first part (a mass of (1 - s) / (1 + s), see ``prefix``)
+   of one and in the first 1 - s of the other. So only nodes that share such a shingle are compared, each two classes
+   until a link is found; texts that share a long passage and differ in the rest share none. A shingle of more than
+   BLOCK nodes is cut into blocks, two of which meet in a task.
 
-Both steps verify on all shingles of both texts (as 40-bit hashes). Linked: probability Jaccard, or Jaccard of the
-sets, of 0.8 or more. Weight of a shingle: 1 + ln(its count).
+Both steps verify on all shingles of both texts (as 40-bit hashes). Linked: probability Jaccard of 0.8 or more; a
+candidate whose sets have a Jaccard of 0.8 or more is linked too. Weight of a shingle: 1 + ln(its count).
 
 Defined cases: a null text is an empty one; texts without words are linked with equal texts only; a text of fewer
 than five words has one shingle; repeated rows are copies; null ids are carried, and a class of null ids only has a
@@ -48,6 +50,8 @@ REGISTERS = BANDS * ROWS
 FIRST_BANDS = 4
 #: A round of heads is the last one if fewer than 1 in so many pairs were links.
 WORTH = 20
+#: A pair whose signatures agree on a smaller share goes no further: four standard deviations below 0.8.
+LEAST_AGREEMENT = 0.65
 #: Nodes of a block, two of which are compared in a task; rows of a task that compares several short lists.
 BLOCK, TASK_ROWS = 256, 2048
 #: Bytes and rows of text that are worked on at a time: a row has REGISTERS times and values, 16 bytes each.
@@ -160,6 +164,54 @@ def _banded(bands: int, shared: Bits | None, columns: list[str]):
     return rows
 
 
+def _short(batches: Iterator[pa.RecordBatch], shared: Bits) -> Iterator[pa.RecordBatch]:
+    """Rows of _banded with the number of the band and the low byte of each register."""
+    for batch in batches:
+        h = _buckets(batch, BANDS)
+        row, band = np.nonzero(shared.has(h))
+        low = np.frombuffer(b"".join(batch.column("_sig").to_pylist()), np.uint8)[::4].reshape(-1, REGISTERS)
+        low = pa.array([x.tobytes() for x in low], pa.binary())
+        at = pa.array(row)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(h[row, band]), pa.array(band.astype(np.int32)), batch.column("_class").take(at), batch.column("_node").take(at), low.take(at)],
+            names=["_bucket", "_band", "_class", "_node", "_low"],
+        )
+
+
+def _short_rows(shared: Bits):
+    return lean(lambda batches: _short(batches, shared))
+
+
+def _agreeing(rows: pa.Table) -> pa.Table:
+    """(_class, _to, _a, _b): pairs of a bucket whose signatures agree, each in the first band that it shares."""
+    bucket, band = rows.column("_bucket").to_numpy(), rows.column("_band").to_numpy()
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(c, len(number)) for c in rows.column("_class").to_pylist()])
+    low = np.frombuffer(b"".join(rows.column("_low").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    order = np.argsort(bucket, kind="stable")
+    found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
+    waiting: list[np.ndarray] = []
+
+    def compare() -> None:
+        a, b = np.concatenate(waiting, axis=1)
+        same = low[a] == low[b]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
+        found.append(np.stack([a, b])[:, (same.mean(axis=1) >= LEAST_AGREEMENT) & (first == band[a])])
+        waiting.clear()
+
+    for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+        for i in range(len(own) - 1):
+            later = own[i + 1 :][of[own[i + 1 :]] != of[own[i]]]
+            waiting.append(np.stack([np.full(len(later), own[i]), later]))
+        if sum(w.shape[1] for w in waiting) > 20_000:
+            compare()
+    if waiting:
+        compare()
+    a, b = (pa.array(x) for x in np.concatenate(found, axis=1))
+    columns = {"_class": ("_class", a), "_to": ("_class", b), "_a": ("_node", a), "_b": ("_node", b)}
+    return pa.table({k: rows.column(c).take(at).combine_chunks() for k, (c, at) in columns.items()})
+
+
 def _touching(shared: Bits):
     """Rows that have a bucket in shared."""
 
@@ -275,7 +327,7 @@ def _first_shingles(common: Broadcast, least: float, shared: Bits | None):
 
 
 def _tile_links(least: float):
-    """Links (_a, _b) between classes: nodes that share a shingle, one of them in its core, until links join them."""
+    """Links (_class, _to) between classes: nodes that share a shingle, one of them in its core, until links join them."""
 
     def rows(tile: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
@@ -305,7 +357,7 @@ def _tile_links(least: float):
                     if linked(text(i), text(j), least):
                         out.append((named[i], named[j]))
                         of[of == of[j]] = of[i]
-        return pa.table({"_a": pa.array([min(p) for p in out], pa.binary()), "_b": pa.array([max(p) for p in out], pa.binary())})
+        return pa.table({k: pa.array([p[x] for p in out], pa.binary()) for x, k in enumerate(("_class", "_to"))})
 
     return rows
 
@@ -395,29 +447,54 @@ def _head_pairs(classed: DataFrame, shared: Bits, bands: int, salt: int) -> Data
     return first.select("_class", F.col("_p.to").alias("_to"), F.col("_p.a").alias("_a"), F.col("_p.b").alias("_b"))
 
 
-def _exact_links(classed: DataFrame, shared: Bits, shingles: DataFrame, similarity: float) -> DataFrame | None:
-    """(_a, _b): links between classes that share a bucket; None if no bucket has two classes."""
-    rows = classed.mapInArrow(_banded(BANDS, shared, ["_class"]), "_bucket bigint, _class binary")
-    mixed = rows.groupBy("_bucket").agg(F.min("_class").alias("_m"), F.max("_class").alias("_x")).filter("_m != _x")
-    mixed = stored(mixed.select("_bucket"), "mixed")
-    if mixed.isEmpty():
-        return None
-    left = classed.mapInArrow(_touching(Bits.of(mixed, "_bucket")), classed.schema).select("_node", "_class")
+def _links_of(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(_class, _to) of pairs (_class, _to, _a, _b) whose nodes _a and _b are linked."""
+    a, b = (shingles.toDF("_k", f"_shingles_{x}", f"_weights_{x}").withColumn("_k", _own_key("_k")) for x in "ab")
+    full = pairs.withColumn("_k", _own_key("_a")).join(a, "_k").drop("_k").withColumn("_k", _own_key("_b")).join(b, "_k")
+    full = full.select("_class", "_to", "_shingles_a", "_weights_a", "_shingles_b", "_weights_b")
+    return stored(full.mapInArrow(_verified(similarity), "_class binary, _to binary"), "found")
+
+
+def _links_in_small(classed: DataFrame, small: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(_class, _to): links between nodes of different classes that share a bucket of small."""
+    rows = classed.mapInArrow(_short_rows(Bits.of(small, "_bucket")), "_bucket bigint, _band int, _class binary, _node binary, _low binary")
+    tasks = max(1, (small.agg(F.sum("_n")).first()[0] or 0) // TASK_ROWS)
+    pairs = rows.groupBy(F.pmod("_bucket", F.lit(tasks)).alias("_task")).applyInArrow(_agreeing, "_class binary, _to binary, _a binary, _b binary")
+    return _links_of(pairs, shingles, similarity)
+
+
+def _links_in_large(classed: DataFrame, large: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(_class, _to): links between the classes of nodes that have a bucket in large."""
+    left = classed.mapInArrow(_touching(Bits.of(large, "_bucket")), classed.schema).select("_node", "_class")
     texts = stored(left.join(shingles, "_node"), "left")
     common = _sketch(texts)
     schema = "_token bigint, _node binary, _class binary, _core boolean"
     tokens = texts.mapInArrow(_first_shingles(common, similarity, None), schema)
+    tokens = tokens.select("_token", "_core", F.xxhash64("_class").alias("_c"), *[F.xxhash64("_node", F.lit(i)).alias(f"_x{i}") for i in range(2)])
     # Shingles of the very same nodes are one list: texts that are nearly linked share many.
-    nodes = [F.bit_xor(F.xxhash64("_node", F.lit(i))).alias(f"_x{i}") for i in range(2)]
-    met = tokens.groupBy("_token").agg(F.min("_class").alias("_m"), F.max("_class").alias("_x"), F.max("_core").alias("_any"), F.count(F.lit(1)).alias("_n"), *nodes)
-    met = stored(met.filter("_m != _x and _any").select("_token", F.xxhash64("_x0", "_x1", "_n").alias("_list")), "met")
+    met = tokens.groupBy("_token").agg(
+        F.min("_c").alias("_least"), F.max("_c").alias("_most"), F.max("_core").alias("_any"),
+        F.bit_xor("_x0").alias("_x0"), F.bit_xor("_x1").alias("_x1"), F.count(F.lit(1)).alias("_n"),
+    )
+    met = stored(met.filter("_least != _most and _any").select("_token", F.xxhash64("_x0", "_x1", "_n").alias("_list")), "met")
     posts = texts.mapInArrow(_first_shingles(common, similarity, Bits.of(met, "_token")), schema)
     posts = posts.withColumn("_k", _own_key("_token")).join(met.select(_own_key("_token").alias("_k"), "_list"), "_k")
     posts = posts.groupBy(F.col("_list").alias("_token"), "_node").agg(F.first("_class").alias("_class"), F.max("_core").alias("_core"))
-    posts = stored(posts, "posts")
-    free(met, texts, mixed)
-    tiles = _tiles(posts, BLOCK).withColumn("_k", _own_key("_node")).join(shingles.withColumnRenamed("_node", "_k").withColumn("_k", _own_key("_k")), "_k").drop("_k")
-    return stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity), "_a binary, _b binary").distinct(), "links")
+    tiles = _tiles(stored(posts, "posts"), BLOCK).withColumn("_k", _own_key("_node"))
+    tiles = tiles.join(shingles.withColumnRenamed("_node", "_k").withColumn("_k", _own_key("_k")), "_k").drop("_k")
+    links = stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity), "_class binary, _to binary"), "links")
+    free(met, texts)
+    return links
+
+
+def _last_links(classed: DataFrame, shared: Bits, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(_class, _to): links between classes that share a bucket."""
+    rows = classed.mapInArrow(_banded(BANDS, shared, ["_class"]), "_bucket bigint, _class binary").select("_bucket", F.xxhash64("_class").alias("_c"))
+    mixed = rows.groupBy("_bucket").agg(F.min("_c").alias("_least"), F.max("_c").alias("_most"), F.count(F.lit(1)).alias("_n"))
+    mixed = stored(mixed.filter("_least != _most").select("_bucket", "_n"), "mixed")
+    small, large = mixed.filter(F.col("_n") <= BLOCK), mixed.filter(F.col("_n") > BLOCK)
+    links = _links_in_small(classed, small, shingles, similarity)
+    return links if large.isEmpty() else links.union(_links_in_large(classed, large, shingles, similarity))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -439,10 +516,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for salt in count():
         classed = near.join(labels, "_node") if salt else near.withColumn("_class", F.col("_node"))
         pairs = stored(_head_pairs(classed, shared, BANDS if salt else FIRST_BANDS, salt), "pairs")
-        a, b = (shingles.toDF("_k", f"_shingles_{x}", f"_weights_{x}").withColumn("_k", _own_key("_k")) for x in "ab")
-        full = pairs.withColumn("_k", _own_key("_a")).join(a, "_k").drop("_k").withColumn("_k", _own_key("_b")).join(b, "_k")
-        full = full.select("_class", "_to", "_shingles_a", "_weights_a", "_shingles_b", "_weights_b")
-        found = stored(full.mapInArrow(_verified(similarity), "_class binary, _to binary"), "found")
+        found = _links_of(pairs, shingles, similarity)
         tried, links = pairs.count(), found.count()
         free(pairs)
         if links:
@@ -450,9 +524,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if salt and links * WORTH <= tried:
             break
     if tried:
-        links = _exact_links(near.join(labels, "_node"), shared, shingles, similarity)
-        if links is not None and not links.isEmpty():
-            labels = _relabelled(labels, connected(links).toDF("_class", "_to"))
+        links = _last_links(near.join(labels, "_node"), shared, shingles, similarity)
+        if not links.isEmpty():
+            labels = _relabelled(labels, connected(links.toDF("_a", "_b")).toDF("_class", "_to"))
     several = labels.filter("_node != _class")
     return several.union(several.select("_class", "_class").distinct())
 

@@ -70,58 +70,100 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_packing(spark, tokenizer):
-    rows = [(i, TEXTS[i % len(TEXTS)] if i < 20 else prose(i, 300), ("hot" if i % 3 else f"s{i % 7}") if i % 11 else None) for i in range(60)] + [(None, "x", "s1"), (None, "x", "s1"), (7, prose(2, 50), "s1"), (7, prose(2, 50), "s1")]
+def pieces_are_whole(got, rows, tokenizer):
+    """Every id of every document lies in one piece, sequences are full, and documents are hardly cut."""
+    need = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])) for i, t, _ in rows)
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"], r["doc_tokens"]].append(r)
+    found = Counter()
+    for i, ids in need:
+        own = [r for r in pieces[i, len(ids)] if r["ids"] == list(ids[r["start"] : r["start"] + r["length"]])]
+        cover = Counter(k for r in own for k in range(r["start"], r["start"] + r["length"]))
+        assert set(cover) == set(range(len(ids)))
+        found[i, ids] = min(cover.values())
+        assert len(own) <= (len(ids) / 1024 + 2) * need[i, ids]
+    assert found == need
+    by = defaultdict(list)
+    for r in got:
+        assert r["ids_crc32"] == crc(r["ids"]) and r["length"] == len(r["ids"])
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    total = sum(len(ids) * n for (_, ids), n in need.items())
+    assert sorted(by) == list(range(-(-total // 1024)))
+    for k, v in by.items():
+        at = 0
+        for o, n in sorted(v):
+            assert o == at
+            at += n
+        assert at == 1024 or k == max(by)
+
+
+def test_packing(spark, tokenizer, monkeypatch):
+    rows = [(i, TEXTS[i % len(TEXTS)] if i < 20 else prose(i, 300), ("hot" if i % 3 else f"s{i % 7}") if i % 11 else None) for i in range(60)]
+    rows += [(None, "x", "s1"), (None, "x", "s1"), (7, prose(2, 50), "s1"), (7, prose(2, 50), "s1"), (1000, prose(9, 9000), "s2")]
     docs = table(spark, rows).repartition(3)
-    for weights, queues in ((None, 256), ({"hot": 0.2, "s1": 0.6}, 256), (None, 3)):
-        got = packing.pack(docs, FILE, weights, window=4096, max_queues=queues, keep_ids=True).collect()
-        need = Counter((i, tuple([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0])) for i, t, _ in rows)
-        pieces = defaultdict(list)
-        for r in got:
-            pieces[r["doc_id"], r["doc_tokens"]].append(r)
-        found = Counter()
-        for i, ids in need:
-            own = [r for r in pieces[i, len(ids)] if r["ids"] == list(ids[r["start"] : r["start"] + r["length"]])]
-            cover = Counter(k for r in own for k in range(r["start"], r["start"] + r["length"]))
-            assert set(cover) == set(range(len(ids)))
-            found[i, ids] = min(cover.values())
-        assert found == need
-        by = defaultdict(list)
-        for r in got:
-            assert r["ids_crc32"] == crc(r["ids"]) and r["length"] == len(r["ids"])
-            by[r["sequence_id"]].append((r["offset"], r["length"]))
-        total = sum(len(ids) * n for (_, ids), n in need.items())
-        assert sorted(by) == list(range(-(-total // 1024)))
-        for k, v in by.items():
-            at = 0
-            for o, n in sorted(v):
-                assert o == at
-                at += n
-            assert at == 1024 or k == max(by)
+    for weights, temperature in ((None, 1.0), ({"hot": 0.2, "s1": 0.6}, 1.0), (None, 0.5)):
+        got = packing.pack(docs, FILE, weights, window=4096, temperature=temperature, keep_ids=True).collect()
+        pieces_are_whole(got, rows, tokenizer)
+    monkeypatch.setattr(packing, "BROADCAST_STARTS", 0)
+    pieces_are_whole(packing.pack(docs, FILE, window=4096, keep_ids=True).collect(), rows, tokenizer)
     assert packing.pack(docs.limit(0), FILE).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(docs, FILE, {"hot": 0.0})
+
+
+def test_round_robin(spark):
+    """The closed form against a loop over rounds and queues, with hundreds of sources, long documents and empty queues."""
+    r = random.Random(5)
+    queues = {f"s{k:03d}": [r.choice([1, 7, 300, 900, 5000]) for _ in range(1 + k % 9)] for k in range(300)}
+    queues["hot"] = [r.randint(1, 3000) for _ in range(800)]
+    rows, weights, part, window = [], {s: 2.0 ** (k % 5) for k, s in enumerate(queues)}, 2048, 65536
+    for s, sizes in queues.items():
+        at = 0
+        for n in sizes:
+            rows.append((len(rows), s, 0, at, n))
+            at += n
+    tokens = spark.createDataFrame(rows, "_row bigint, _source string, _part int, _at bigint, _n bigint").repartition(4)
+    got = packing.schedule(tokens, weights, 1.0, window, part).collect()
+    parts = spark.createDataFrame([(s, 0, sum(v), len(v)) for s, v in queues.items()], "_source string, _part int, _total bigint, _docs bigint")
+    held = {x["_source"]: x for x in packing._queues(parts, weights, 1.0, window).collect()}
+    waiting = {s: [(i, f, min(part, n - f)) for i, q, _, _, n in rows if q == s for f in range(0, n, part)] for s in sorted(queues)}
+    deficit, place, number, want = {s: float(held[s]["_credit"]) for s in waiting}, 0, 0, []
+    while any(waiting.values()):
+        number += 1
+        for s in sorted(waiting):
+            deficit[s] += held[s]["_quantum"]
+            while waiting[s] and waiting[s][0][2] <= deficit[s] + 1e-6:
+                i, f, n = waiting[s].pop(0)
+                deficit[s] -= n
+                want.append((i, f, n, place))
+                place += n
+            assert deficit[s] < part + held[s]["_quantum"] or not waiting[s]
+    assert sorted((x["_row"], x["_from"], x["_len"], x["_place"]) for x in got) == sorted(want)
 
 
 def test_shares_of_small_sources(spark, tokenizer):
-    rows = [(i, prose(i, 8), "big") for i in range(300)] + [(1000 + i, prose(i, 8), f"s{i // 60}") for i in range(240)]
-    docs = table(spark, rows).coalesce(1)
-    for weights, most in ((None, 1), ({"big": 4.0, "s0": 3.0, "s1": 1.0, "s2": 1.0, "s3": 1.0}, 3)):
-        got = packing.pack(docs, FILE, weights, window=2048, max_queues=2).collect()
-        assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
-        early = Counter()
-        for r in got:
-            if r["sequence_id"] < 4:  # two windows
-                early[r["source"]] += r["length"]
-        other = sum(early[f"s{i}"] for i in (1, 2, 3)) / 3
-        assert abs(early["s0"] / other - most) < 0.5 * most and all(abs(early[f"s{i}"] / other - 1) < 0.5 for i in (1, 2, 3))
-
-
-def test_mixture():
-    s = packing.Schedule([6000, 3000, 1000], [6000.0, 3000.0, 1000.0], 100)
-    served = s.served(np.arange(101))
-    assert (np.diff(served, axis=1) >= 0).all() and served[:, -1].tolist() == [6000, 3000, 1000]
-    assert (abs(np.diff(served, axis=1) - np.array([[60], [30], [10]])) <= 1).all()
-    early = packing.Schedule([100, 900], [1.0, 1.0], 50).served(np.arange(21))
-    assert early[:, 2].tolist() == [50, 50] and early[:, 4].tolist() == [100, 100] and early[:, 20].tolist() == [100, 900]
+    """In every window but the last ones the tokens of a source are near its share, also of sources with one document."""
+    rows = [(i, prose(i, 40), "big") for i in range(2000)] + [(5000 + i, prose(i, 40), f"one{i}") for i in range(500)]
+    docs = table(spark, rows).repartition(3)
+    got = packing.pack(docs, FILE, window=16384).collect()
+    early = defaultdict(Counter)
+    for r in got:
+        early[r["sequence_id"] // 16][r["source"] == "big"] += r["length"]
+    shares = [c[True] / (c[True] + c[False]) for c in list(early.values())[:-1]]
+    assert len(shares) > 10 and all(abs(s - 0.8) < 0.08 for s in shares)
+    given = packing.pack(docs, FILE, {"big": 100.0}, window=16384).collect()
+    assert sum(r["length"] for r in given if r["sequence_id"] < 32 and r["source"] == "big") > 0.97 * 32 * 1024
+
+
+@pytest.mark.parametrize("most", [1, 40, 1000])
+def test_block_starts(spark, most):
+    sums = [(k * k * 7, k % 13) for k in range(300)]
+    want, at = {}, 0
+    for k, n in sums:
+        want[k], at = at, at + n
+    got = packing.block_starts(spark.createDataFrame(sums, "_block bigint, _sum bigint"), most, 16)
+    assert {r["_block"]: r["_start"] for r in got.collect()} == want
 
 
 def test_codes():
