@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import stored
+from .common import block_starts, stored
 from .textvec import lean, ragged, slices
 
 LENGTH, WINDOW, END_ID = 1024, 64 * 1024, 0
@@ -49,8 +49,6 @@ PART = WINDOW
 BLOCK_ROUNDS = 64
 #: Starts of (source, partition) that are broadcast at most, each some 40 bytes.
 BROADCAST_STARTS = 500_000
-#: Blocks that are summed up in one window; more are summed in groups of GROUP first.
-MOST_BLOCKS, GROUP = 100_000, 1024
 
 
 def _planes(ids: np.ndarray) -> bytes:
@@ -139,18 +137,6 @@ def _cut(length: int, keep_ids: bool):
     return rows
 
 
-def block_starts(sums: DataFrame, most: int = MOST_BLOCKS, group: int = GROUP) -> DataFrame:
-    """(_block, _start) of (_block, _sum): the sum of all blocks before. No task sums more than most or group rows."""
-    before = lambda w: F.coalesce(F.sum("_sum").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    if sums.count() <= most:
-        return sums.select("_block", before(Window).alias("_start"))
-    grouped = sums.withColumn("_group", F.floor(F.col("_block") / group))
-    above = stored(grouped.groupBy("_group").agg(F.sum("_sum").alias("_sum")).withColumnRenamed("_group", "_block"), "blocks")
-    above = block_starts(above, most, group).toDF("_group", "_above")
-    within = grouped.select("_group", "_block", before(Window.partitionBy("_group")).alias("_within"))
-    return within.join(above, "_group").select("_block", (F.col("_above") + F.col("_within")).alias("_start"))
-
-
 def _queues(parts: DataFrame, weights: Mapping[str, float] | None, temperature: float, window: int) -> DataFrame:
     """(_source, _quantum, _credit) of (_source, _part, _total, _docs)."""
     if any(not w > 0 for w in (weights or {}).values()):

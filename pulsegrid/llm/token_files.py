@@ -1,6 +1,7 @@
 """Token ids in files: frequency-ranked, byte-aligned variable-length codes with separate control bytes.
 
-A file holds the documents of one range of ids, in ascending order; files are numbered in that order. In a file each
+A file holds documents of one range of ids, in ascending order, of about FILE_TOKENS tokens (or one longer document),
+so a task holds one file at a time, whatever its range. Files are numbered in order of ids. In a file each
 id is replaced by its rank by frequency (a table of ids by rank is in the file, so any file can be read alone, and no
 pass over the corpus comes before the first one is written). A rank takes 1, 2 or 3 bytes; two bits per rank say how
 many, four ranks to a control byte, all control bytes together, before all data bytes. Decoding is table look-up:
@@ -23,16 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import scratch, stored, text_of
-from .textvec import ragged, slices
+from .common import block_starts, scratch, stored, text_of
+from .textvec import BATCH_CHARS, lean, ragged, slices
 
 END_ID = 2
 MAGIC = b"PGT1"
+#: Tokens of a file: a task that writes or reads one holds some 20 bytes each.
+FILE_TOKENS = 8_000_000
 #: Four lengths for each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
 
@@ -111,52 +114,76 @@ def read_file(path: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return column, decode_ids(np.frombuffer(rank, "<u4"), np.frombuffer(control, np.uint8), np.frombuffer(data, np.uint8), int(counts.sum())), counts
 
 
-def _written(path: str, tokenizer: str, end_id: int, id_type: pa.DataType):
+def _written(path: str, tokenizer: str, end_id: int, most: int):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, names, ids, counts = TaskContext.get().partitionId(), [], [], []
+        part, number, held = TaskContext.get().partitionId(), 0, 0
+        names: list[pa.Array] = []
+        ids: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         encode = encoder(tokenizer)
+
+        def out() -> pa.RecordBatch:
+            n = np.concatenate(counts)
+            write_file(file_name(path, part, number), pa.concat_arrays(names), np.concatenate(ids), n)
+            row = {"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32())}
+            for kept in (names, ids, counts):
+                kept.clear()
+            return pa.RecordBatch.from_pydict(row | {"docs": pa.array([len(n)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
+
         for batch in batches:
             texts = batch.column("_text")
-            names.append(batch.column("_id"))
-            for a, b in slices(texts):
+            for a, b in slices(texts, min(BATCH_CHARS, most)):
                 x, n = encode.encode(texts.slice(a, b - a).to_pylist())
                 whole = np.full(len(x) + len(n), end_id, np.uint16 if encode.vocabulary <= 1 << 16 else np.uint32)
                 ends = np.cumsum(n + 1)
                 whole[ragged(ends - n - 1, n)] = x
+                if counts and held + len(whole) > most:
+                    yield out()
+                    number, held = number + 1, 0
+                names.append(batch.column("_id").slice(a, b - a))
                 ids.append(whole)
                 counts.append(n + 1)
+                held += len(whole)
         if counts:
-            counts = np.concatenate(counts)
-            write_file(f"{path}/part-{part:06d}.pgt", pa.concat_arrays(names), np.concatenate(ids), counts)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "docs": pa.array([len(counts)], pa.int64()), "tokens": pa.array([int(counts.sum())], pa.int64())})
+            yield out()
 
     return rows
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
-    """Writes the files; their folder, and a row for each: part, docs, tokens, start (tokens in the files before)."""
-    from pyspark.sql.pandas.types import to_arrow_type
+def file_name(path: str, part: int, number: int) -> str:
+    return f"{path}/part-{part:06d}-{number:06d}.pgt"
+
 
+def write_tokens(
+    docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = END_ID, files: int | None = None, id_col: str = "doc_id",
+    text_col: str = "text", file_tokens: int = FILE_TOKENS,
+) -> tuple[str, DataFrame]:
+    """Writes the files of ``files`` ranges of ids; their folder, and a row for each: part (range), number (file of the
+    range), docs, tokens, start (tokens in the files before)."""
     spark = docs.sparkSession
     path = path or scratch(spark, "token-files")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).withColumns({"_h": F.xxhash64("_text"), "_tie": F.monotonically_increasing_id()})
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    rows = rows.withColumns({"_h": F.xxhash64("_text"), "_tie": F.monotonically_increasing_id()})
     # The tie only tells rows apart that are equal in id and text, so that many of them are no single task's.
     ranged = rows.repartitionByRange(files, "_id", "_h", "_tie").sortWithinPartitions("_id", "_h", "_tie").select("_id", "_text")
-    done = ranged.mapInArrow(_written(path, tokenizer, end_id, to_arrow_type(docs.schema[id_col].dataType)), "part int, docs bigint, tokens bigint")
-    done = stored(done, "token-parts")
-    before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
-    return path, done.withColumn("start", F.coalesce(before, F.lit(0)))
+    done = ranged.mapInArrow(_written(path, tokenizer, end_id, file_tokens), "part int, number int, docs bigint, tokens bigint")
+    done = stored(done, "token-parts").withColumn("_block", F.col("part").cast("bigint") * (1 << 32) + F.col("number"))
+    starts = block_starts(done.select("_block", F.col("tokens").alias("_sum")))
+    return path, done.join(starts, "_block").select("part", "number", "docs", "tokens", F.col("_start").alias("start"))
 
 
 def _read(path: str):
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, start in zip(batch.column("part").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                names, ids, counts = read_file(f"{path}/part-{part:06d}.pgt")
+            for file in batch.to_pylist():
+                names, ids, counts = read_file(file_name(path, file["part"], file["number"]))
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(ids[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([names, pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=["_id", "start", "n_tokens", "ids_crc32"])
+                columns = [names, pa.array(file["start"] + ends - counts), pa.array(counts), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "start", "n_tokens", "ids_crc32"])
 
     return rows
 
@@ -165,4 +192,4 @@ def read_tokens(spark: SparkSession, path: str, parts: DataFrame, id_type: T.Dat
     """A row for each document in the files: id, start, n_tokens, ids_crc32."""
     out = T.StructType([T.StructField("_id", id_type), *[T.StructField(c, T.LongType()) for c in ("start", "n_tokens", "ids_crc32")]])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return parts.select("part", "start").repartition(n, "part").mapInArrow(_read(path), out).withColumnRenamed("_id", id_col)
+    return parts.select("part", "number", "start").repartition(n, "part", "number").mapInArrow(_read(path), out).withColumnRenamed("_id", id_col)
