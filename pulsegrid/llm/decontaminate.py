@@ -9,8 +9,10 @@ words of an item, or a shorter item whole. Three steps, all within the row but f
 2. In those, every window's hash is looked up in the hash set of windows.
 3. Hits are verified as text by a join with the windows, which also gives the items.
 
-The two hash sets are constants of the plan (an InSet each, sent with the tasks); beyond INLINE_HASHES of them steps 1
-and 2 pass everything on and step 3, an ordinary join there, does the work. No text is shuffled.
+The two hash sets are constants of the plan and reach the workers with the broadcast task: as sets of up to
+INLINE_HASHES hashes, beyond as a Bloom filter of BITS_A_HASH bits for each hash, at most MOST_BITS. So the filter
+stands at every size of the test set; beyond some 10**7 windows it lets more pass to step 3, which is exact. No text is
+shuffled.
 
 Defined cases: a null or empty text has no words and is clean; items without words have no windows; a null item_id
 contaminates but is not listed; repeated rows are judged each; extra columns are carried by ``decontaminate``.
@@ -18,7 +20,8 @@ contaminates but is not listed; repeated rows are judged each; extra columns are
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +29,10 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, free_names, let, text_of
 
 WIDTH = 10
-#: Hashes that are sent along with the plan at most: 2 * 8 MB.
+#: Hashes that are sent as sets at most, about 40 bytes each.
 INLINE_HASHES = 100_000
+#: Bits of a Bloom filter for each hash, and at most (32 MiB), and those that a hash sets.
+BITS_A_HASH, MOST_BITS, PROBES = 32, 1 << 28, 4
 #: Windows that are broadcast for verification at most (each some 100 bytes).
 BROADCAST_WINDOWS = 200_000
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -54,48 +59,72 @@ def _chunk_hashes(words: Column, last: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: _hash_at(words, i, k))
 
 
-def _any_chunk_in(words: Column, n: Column, k: int, hashes: list[int]) -> Column:
-    return (n > 0) & F.exists(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: _hash_at(words, i * k, k).isin(hashes))
+def _bloom(hashes: DataFrame, count: int) -> Callable[[Column], Column]:
+    """Whether a hash may be among those of a column h: tests of bits in a constant of the plan."""
+    size = 1 << 15
+    while size < min(count * BITS_A_HASH, MOST_BITS):
+        size *= 2
+    place = lambda h, i: F.pmod(F.xxhash64(h, F.lit(i)), F.lit(size))
+    at = hashes.select(F.explode(F.array(*[place(F.col("h"), i) for i in range(PROBES)])).alias("at"))
+    pages = at.select(F.shiftright("at", 15).cast("int").alias("page"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
+    bits = bytearray(size >> 3)
+    for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("b")).toLocalIterator():
+        bits[r["page"] << 12 : (r["page"] + 1) << 12] = r["b"]
+    sent = F.lit(bits)
 
+    def has(h: Column) -> Column:
+        byte = lambda x: F.conv(F.hex(F.substring(sent, (F.shiftright(x, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        bit = lambda x: F.getbit(byte(x), x.bitwiseAND(F.lit(7)).cast("int")) == 1
+        return reduce(lambda a, i: a & let(place(h, i), bit), range(1, PROBES), let(place(h, 0), bit))
 
-def _windows_in(words: Column, k: int, hashes: list[int] | None) -> Column:
+    return has
+
+
+def _any_chunk_in(words: Column, n: Column, k: int, has: Callable[[Column], Column]) -> Column:
+    return (n > 0) & F.exists(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: has(_hash_at(words, i * k, k)))
+
+
+def _windows_in(words: Column, k: int, has: Callable[[Column], Column]) -> Column:
     last = F.size(words) - k
     starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    if hashes is not None:
-        starts = F.filter(starts, lambda i: _hash_at(words, i, k).isin(hashes))
-    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), F.array_join(F.slice(words, i + 1, F.lit(k)), " ").alias("window")))
+    starts = F.filter(starts, lambda i: has(_hash_at(words, i, k)))
+    window = lambda i: F.array_join(F.slice(words, i + 1, F.lit(k)), " ")
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(k).alias("k"), window(i).alias("window")))
 
 
 class HashSets:
-    """Hashes of the windows and of their chunks, by number of words; None where there are too many to send along."""
+    """Tests of hashes of the windows and of their chunks, by number of words."""
 
     def __init__(self, windows: DataFrame, inline: int = INLINE_HASHES):
         words = windows.select("_k", F.split("_window", " ").alias("_w")).persist()
         try:
             self.sizes: list[int] = sorted(r["_k"] for r in words.select("_k").distinct().collect())  # at most ``width`` rows
-            self.windows: dict[int, list[int]] | None = {}
-            self.chunks: dict[int, list[int]] | None = {}
             self.count = words.count()
+            whole, parts = {}, {}
             for k in self.sizes:
                 c, own = (k + 1) // 2, words.filter(F.col("_k") == k)
-                whole = own.select(_hash_at(F.col("_w"), F.lit(0), k).alias("h")).distinct().limit(inline + 1)
-                parts = own.select(F.explode(_chunk_hashes(F.col("_w"), F.lit(k - c), c)).alias("h")).distinct().limit(inline + 1)
-                for into, rows, size in ((self.windows, whole, k), (self.chunks, parts, c)):
-                    into[size] = sorted({*into.get(size, ()), *(r["h"] for r in rows.collect())})
-            if max([0, *(sum(map(len, x.values())) for x in (self.windows, self.chunks))]) > inline:
-                self.windows = self.chunks = None
+                whole[k] = own.select(_hash_at(F.col("_w"), F.lit(0), k).alias("h"))
+                chunks = own.select(F.explode(_chunk_hashes(F.col("_w"), F.lit(k - c), c)).alias("h")).distinct()
+                parts[c] = parts[c].union(chunks) if c in parts else chunks
+            self.windows, self.chunks = ({k: self._test(h, inline) for k, h in by.items()} for by in (whole, parts))
         finally:
             words.unpersist()
 
+    @staticmethod
+    def _test(hashes: DataFrame, inline: int) -> Callable[[Column], Column]:
+        some = hashes.limit(inline + 1).collect()  # bounded by inline
+        if len(some) > inline:
+            return _bloom(hashes, hashes.count())
+        known = sorted({r["h"] for r in some})
+        return lambda h: h.isin(known)
+
     def suspects(self, words: Column) -> Column:
         """Whether a document has a chunk in the hash set."""
-        if self.chunks is None:
-            return F.lit(True)
 
         def any_of(w: Column) -> Column:
             out = F.lit(False)
-            for c, hashes in self.chunks.items():
-                out = out | _any_chunk_in(w, F.floor(F.size(w) / c).cast("int"), c, hashes)
+            for c, has in self.chunks.items():
+                out = out | _any_chunk_in(w, F.floor(F.size(w) / c).cast("int"), c, has)
             return out
 
         return let(words, any_of)
@@ -104,7 +133,7 @@ class HashSets:
         """array<struct<start, k, window>> of the windows in the hash set."""
         if not self.sizes:
             return F.array().cast("array<struct<start:int,k:int,window:string>>")
-        return let(words, lambda w: F.concat(*[_windows_in(w, k, None if self.windows is None else self.windows[k]) for k in self.sizes]))
+        return let(words, lambda w: F.concat(*[_windows_in(w, k, self.windows[k]) for k in self.sizes]))
 
 
 def _verified(rows: DataFrame, windows: DataFrame, sets: HashSets) -> DataFrame:
