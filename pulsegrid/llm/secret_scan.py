@@ -2,7 +2,8 @@
 
 The method: two first-order character Markov models, one of random strings and one of ordinary identifiers and words,
 are trained from labelled samples. A candidate run of characters is a secret if the log-likelihood ratio of the two
-passes a threshold. Both models end as one table of log ratios per character pair, at most 65 x 65 whole numbers
+passes a threshold. Candidates are all runs of LEAST_CHARS characters of ALPHABET or more, of whatever kind, in what
+the fixed rules leave of a text; the ratio alone decides. Both models end as one table of log ratios per character pair, at most 65 x 65 whole numbers
 (thousandths), which is a constant of the scan: scoring is a sum of array look-ups inside the row.
 
 Spans are those of whole matches, in code points, end exclusive. Defined cases: a null text is an empty one; empty
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_sums, text_of
+from .common import array_sum, let, prefix_sums, text_of
 
 # The patterns of the base rules and the least lengths of what they find.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -25,11 +26,12 @@ KINDS = ("assign", "access", "hex", "markov")
 
 #: Characters that a candidate is made of; any other counts as one more symbol.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
-LEAST_CHARS = 20
+LEAST_CHARS = 16
 BACKOFF = 8.0
 #: Thousandths of a nat that the ratio must reach: a prior of about one secret in 160,000 candidates.
 THRESHOLD = 12_000
-#: Most documents whose words are samples of ordinary text, and how many random strings are made.
+#: Most documents whose words are samples of ordinary text, and how many random strings are made; both are defaults
+#: of parameters of labelled_samples.
 SAMPLE_DOCUMENTS, SAMPLE_STRINGS = 500, 4_000
 
 # Identifiers as they stand in code and configuration.
@@ -56,18 +58,36 @@ variable_name vertical_align virtual_machine web_application window_height worke
 """.split()
 
 
-def labelled_samples(spark: SparkSession, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sample, is_random): made random strings; IDENTIFIERS and the words of documents of at most SAMPLE_DOCUMENTS ids.
+def _ordinary() -> list[str]:
+    """IDENTIFIERS, three of them as a path, a dotted, hyphenated or joined name, and rules of one character."""
+    n, out = len(IDENTIFIERS), list(IDENTIFIERS)
+    for i, name in enumerate(IDENTIFIERS):
+        parts = [name, IDENTIFIERS[(7 * i + 3) % n], IDENTIFIERS[(11 * i + 5) % n]]
+        words = [w for p in parts for w in p.split("_")]
+        out += ["/.-_"[i % 4].join(parts), "".join(map(str.title, words)), f"{parts[0]}{i % 10}"]
+    return out + [c * 60 for c in "-=_.+/ax0"]
+
+
+def labelled_samples(
+    spark: SparkSession, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+    documents: int = SAMPLE_DOCUMENTS, strings: int = SAMPLE_STRINGS,
+) -> DataFrame:
+    """(sample, is_random): made random strings; ordinary ones, which are IDENTIFIERS alone and in paths and names, rules,
+    numbers and dates, and the words of documents of so many ids at most.
 
     Random strings are hex, base64 and capitals with digits, from hashes of counters, so they are the same everywhere.
     """
     h = F.sha2(F.col("id").cast("string"), 256)
     shapes = F.array(h, F.substring(h, 1, 40), F.regexp_replace(F.base64(F.unhex(h)), "=", ""), F.substring(F.upper(F.regexp_replace(F.base64(F.unhex(F.sha2(h, 512))), "[^A-Za-z0-9]", "")), 1, 32))
-    out = spark.range(SAMPLE_STRINGS // 4, numPartitions=1).select(F.explode(shapes).alias("sample"), F.lit(True).alias("is_random"))
-    out = out.union(spark.range(1).select(F.explode(F.array(*map(F.lit, IDENTIFIERS))).alias("sample"), F.lit(False)))
+    out = spark.range(strings // 4, numPartitions=1).select(F.explode(shapes).alias("sample"), F.lit(True).alias("is_random"))
+    out = out.union(spark.range(1).select(F.explode(F.array(*map(F.lit, _ordinary()))).alias("sample"), F.lit(False)))
+    digits = F.regexp_replace(F.sha2(F.concat(F.lit("n"), F.col("id").cast("string")), 512), "[a-f]", "")
+    dates = F.date_format(F.timestamp_seconds(F.col("id") * 1_234_567), "yyyy-MM-dd/HH.mm.ss")
+    numbers = F.array(F.substring(digits, 1, 19), F.concat_ws(".", *[F.substring(digits, 1 + 3 * i, 3) for i in range(5)]), dates)
+    out = out.union(spark.range(strings // 8, numPartitions=1).select(F.explode(numbers).alias("sample"), F.lit(False)))
     if docs is not None:
         rows = docs.select(text_of(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
-        some = rows.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS)  # no text is gathered to choose
+        some = rows.select("h").orderBy("h").limit(documents)  # no text is gathered to choose
         words = rows.join(F.broadcast(some), "h", "left_semi").select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z][a-z]+"), 0)).alias("sample")).distinct()
         out = out.union(words.select("sample", F.lit(False)))
     return out
@@ -111,6 +131,15 @@ def _found(text: Column, pattern: str, kind: int, keep=None, group: int | None =
     return F.transform(rows, lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["m"].alias("match")))
 
 
+def _masked(text: Column, pattern: str, found: Column, least: int | None = None, group: int = 0) -> Column:
+    """text with blanks in place of the matches that count, in linear time; places stay."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    decides = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    blank = lambda m, g: F.when(F.length(g) >= (least or 0), F.repeat(F.lit(" "), F.length(m))).otherwise(m)
+    put = F.concat(F.zip_with(matches, decides, blank), F.array(F.lit("")))
+    return F.when(F.size(found) > 0, F.array_join(F.zip_with(F.split(text, pattern, -1), put, lambda g, m: F.concat(g, m)), "")).otherwise(text)
+
+
 def _joined(spans: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(kinds, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -131,16 +160,16 @@ def scan_secrets(docs: DataFrame, model: list[int] | None = None, id_col: str =
     )
     rows = rows.withColumn("_base", F.array_sort(F.concat("_assign", "_access", "_hex")))
     if model:
-        n, mixed = len(ALPHABET) + 1, r"(?s)(?=.*[0-9])(?=.*[A-Za-z]).*"
-        weights = F.lit(model)
-        ratio = lambda c: F.aggregate(
-            F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.get(weights, (a * n + b).cast("int")).cast("bigint")), F.lit(0).cast("bigint"), lambda x, y: x + y
-        )
-        run = rf"[A-Za-z0-9+/_.=-]{{{LEAST_CHARS},}}"
-        candidates = F.when(t.rlike(run[: -len(",}")] + "}"), _found(t, run, 3, lambda v: v.rlike(mixed))).otherwise(none)
-        rows = rows.withColumn("_runs", candidates)
-        new = F.filter("_runs", lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-        rows = rows.withColumn("_new", F.when(F.size("_runs") > 0, F.filter(new, lambda x: ratio(_codes(x["match"])) >= threshold)).otherwise(none))
+        n, weights = len(ALPHABET) + 1, F.lit(model)
+        pair = lambda a, b: F.get(weights, (a * n + b).cast("int")).cast("bigint")
+        ratio = lambda c: array_sum(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), pair))
+        likely = lambda v: let(_codes(v), ratio) >= threshold
+        rows = rows.withColumn("_left", _masked(F.col("_t"), ASSIGN, F.col("_assign"), ASSIGN_LEAST, 2))
+        rows = rows.withColumn("_left", _masked(F.col("_left"), ACCESS, F.col("_access"), ACCESS_LEAST))
+        rows = rows.withColumn("_left", _masked(F.col("_left"), HEX, F.col("_hex")))
+        run = "[A-Za-z0-9+/_.=-]{%d,}" % LEAST_CHARS
+        some = F.col("_left").rlike(run.replace(",", ""))
+        rows = rows.withColumn("_new", F.when(some, _found(F.col("_left"), run, 3, likely)).otherwise(none))
     else:
         rows = rows.withColumn("_new", none)
     count = lambda c: F.size(c).cast("bigint")
