@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, near_dup, packing, quality, secret_scan, sharding, token_files, url_filter
+from . import decontaminate, exact_dedup, lm_score, near_dup, oracles, packing, quality, secret_scan, sharding, token_files, url_filter
 
 
 #: Target shares of sources go with their sizes to this power: small ones are seen more often than they are large.
@@ -62,7 +62,8 @@ def op8_window_decontamination(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9_link_propagation(spark: SparkSession, d: str) -> DataFrame:
-    return url_filter.filter_urls(_read(spark, d, "pages"))
+    out = url_filter.filter_urls(_read(spark, d, "pages"))
+    return out.withColumns({c: F.round(c, 9) for c in ("trust", "distrust")})
 
 
 def op10_bloom_lm(spark: SparkSession, d: str) -> DataFrame:
@@ -81,4 +82,4 @@ QUERIES = {
     "op9_link_propagation": op9_link_propagation,
     "op10_bloom_lm": op10_bloom_lm,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ALL

@@ -1,6 +1,6 @@
 """Weighted hash tree: each row descends region, rack and shard by weighted hash draws.
 
-At every level each child draws -ln(u) / weight with u hashed from the key and the child's path; the smallest draw
+At every level each child draws -ln(u) / weight with u hashed (md5, 52 bits) from the key and the child's path; the smallest draw
 wins, so a child gets rows in proportion to its weight. A draw depends on nothing but key, path and weight: where a
 weight changes, only draws of that child and its ancestors change, and rows move only into or out of that subtree.
 
@@ -43,8 +43,8 @@ def _weight(node: dict | float) -> float:
 
 
 def _draw(key: Column, path: str, weight: float) -> Column:
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
-    return -F.log(u) / F.lit(weight)
+    bits = F.conv(F.substring(F.md5(F.concat(key, F.lit(f"|{path}"))), 1, 13), 16, 10).cast("bigint")
+    return -F.log((bits + F.lit(0.5)) / F.lit(float(1 << 52))) / F.lit(weight)
 
 
 def _descend(key: Column, node: dict, path: str) -> Column:
@@ -60,8 +60,8 @@ def _descend(key: Column, node: dict, path: str) -> Column:
 
 
 def place(key: Column, tree: Tree) -> Column:
-    """The shard of a key."""
-    return _descend(key, tree, "")
+    """The shard of a key; null is the key 'null'."""
+    return _descend(F.coalesce(key.cast("string"), F.lit("null")), tree, "")
 
 
 def shard_rows(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -72,7 +72,8 @@ def shard_rows(docs: DataFrame, tree: Tree, grown: Tree | None = None, id_col: s
     rows = docs.select(F.col(id_col).alias("_id"), F.octet_length(text_of(text_col)).cast("bigint").alias("_bytes"), F.crc32(text_of(text_col)).alias("_crc"))
     rows = rows.withColumn("_shard", place(F.col("_id"), tree)).withColumn("_grown", place(F.col("_id"), grown) if grown else F.lit(None).cast("int"))
     buckets = max(1024, docs.count() // bucket_rows)
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_id", "_crc", "_bytes"), F.lit(buckets)))
+    digest = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("null")))
+    rows = rows.withColumn("_bucket", F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") % buckets)
     counts = rows.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_c"))
     before = F.sum("_c").over(Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_shard", "_bucket", F.coalesce(before, F.lit(0)).alias("_start"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pulsegrid.llm import lm_score, near_dup, packing, quality, token_files
+from pulsegrid.llm import common, lm_score, near_dup, packing, quality, token_files
 from pulsegrid.llm.bpe import Encoder
 from pulsegrid.llm.textvec import Words, run_hashes, slices
 
@@ -162,7 +162,7 @@ def test_block_starts(spark, most):
     want, at = {}, 0
     for k, n in sums:
         want[k], at = at, at + n
-    got = packing.block_starts(spark.createDataFrame(sums, "_block bigint, _sum bigint"), most, 16)
+    got = common.block_starts(spark.createDataFrame(sums, "_block bigint, _sum bigint"), most, 16)
     assert {r["_block"]: r["_start"] for r in got.collect()} == want
 
 
@@ -178,7 +178,8 @@ def test_codes():
 def test_token_files(spark, tokenizer, tmp_path):
     rows = [(i * 7 % 50, TEXTS[i % len(TEXTS)], "s") for i in range(50)] + [(None, "null id", "s"), (3, "again", "s")]
     docs = table(spark, rows).repartition(4)
-    path, parts = token_files.write_tokens(docs, FILE, f"file://{tmp_path}/out", files=3)
+    path, parts = token_files.write_tokens(docs, FILE, f"file://{tmp_path}/out", files=3, file_tokens=900)
+    assert parts.count() > 6
     got = token_files.read_tokens(spark, path, parts, docs.schema["doc_id"].dataType).collect()
     want = Counter()
     for i, t, _ in rows:
