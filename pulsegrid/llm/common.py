@@ -148,7 +148,7 @@ class Bits:
         pages = at.select(page.cast("int").alias("_page"), bit.alias("_bit")).groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
         out = np.zeros(size >> 3, np.uint8)
         step = 1 << (_ROW_BITS - 3)
-        for r in pages.toLocalIterator():
+        for r in pages.collect():  # at most MOST_BITS
             out[r["_page"] * step : (r["_page"] + 1) * step] = np.frombuffer(bytes(r["_bits"]), np.uint8)
         return cls(keys.sparkSession.sparkContext.broadcast(out), size)
 

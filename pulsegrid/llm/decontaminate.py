@@ -68,7 +68,7 @@ def _bloom(hashes: DataFrame, count: int) -> Callable[[Column], Column]:
     at = hashes.select(F.explode(F.array(*[place(F.col("h"), i) for i in range(PROBES)])).alias("at"))
     pages = at.select(F.shiftright("at", 15).cast("int").alias("page"), F.col("at").bitwiseAND(F.lit((1 << 15) - 1)).alias("bit"))
     bits = bytearray(size >> 3)
-    for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("b")).toLocalIterator():
+    for r in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("b")).collect():  # at most MOST_BITS
         bits[r["page"] << 12 : (r["page"] + 1) << 12] = r["b"]
     sent = F.lit(bits)
 

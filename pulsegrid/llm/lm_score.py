@@ -281,7 +281,7 @@ def build_filter(texts: DataFrame, words: DataFrame, part_bits: int = PART_BITS)
     both = pairs.union(words.withColumn("_blocks", F.lit(blocks)).mapInArrow(_block_rows, schema))
     made = stored(both.groupBy("_block").applyInArrow(_bits_of, "_block bigint, _size bigint, _bits binary"), "filter")
     sizes = np.zeros(blocks, np.int64)
-    for r in made.select("_block", "_size").toLocalIterator():
+    for r in made.select("_block", "_size").collect():  # a row for each block
         sizes[r["_block"]] = r["_size"]
     starts = np.concatenate([[0], np.cumsum(sizes)])
     first = [0]
@@ -291,7 +291,7 @@ def build_filter(texts: DataFrame, words: DataFrame, part_bits: int = PART_BITS)
     parts: list[Callable[[], np.ndarray]] = []
     for a, b in zip(first[:-1], first[1:], strict=True):
         bits = np.zeros(int(starts[b] - starts[a]) // 8, np.uint8)
-        for r in made.filter((F.col("_block") >= a) & (F.col("_block") < b)).toLocalIterator():
+        for r in made.filter((F.col("_block") >= a) & (F.col("_block") < b)).collect():  # at most part_bits, or a block
             at = int(starts[r["_block"]] - starts[a]) // 8
             bits[at : at + r["_size"] // 8] = np.frombuffer(r["_bits"], np.uint8)
         parts.append(Sent(spark.sparkContext.broadcast(bits), len(first) == 2))
