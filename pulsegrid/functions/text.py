@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,21 +56,29 @@ def language_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)[^\p{L}\s]+", " "), r"\s+", " "))
 
 
-def terms(text: Column, tags: Column | None = None, target: str = "all", stopwords: Iterable[str] = STOPWORDS) -> Column:
-    """array<struct<term, kind>>, repeated as often as they stand: tags (those given, unless none are, else those in
-    the text) with #, and keywords of three ASCII letters or more that are no stop words, outside tags and links."""
-    if target not in ("all", "hashtags", "keywords"):
-        raise ValueError(f"no such target: {target!r}")
+def tag_terms(text: Column, tags: Column | None = None) -> Column:
+    """Tags in lower case with one # before them: those given, unless none are, else those in the text."""
     found = hashtags(text)
     if tags is not None:
         found = F.when(F.size(F.coalesce(tags, F.array().cast("array<string>"))) > 0, tags).otherwise(found)
     bare = F.filter(F.transform(found, lambda t: F.regexp_replace(F.lower(t), "^#+", "")), lambda t: t != "")
-    tag_terms = F.transform(bare, lambda t: F.struct(F.concat(F.lit("#"), t).alias("term"), F.lit("hashtag").alias("kind")))
+    return F.transform(bare, lambda t: F.concat(F.lit("#"), t))
+
+
+def key_words(text: Column) -> Column:
+    """Words of three ASCII letters or more outside tags and links, in lower case, stop words among them."""
     rest = F.lower(F.regexp_replace(F.regexp_replace(text, r"(?U)#\w+", " "), r"https?://\S+", " "))
-    stop = list(stopwords)
-    words = F.filter(F.regexp_extract_all(rest, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(stop))
-    key_terms = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit("keyword").alias("kind")))
-    return {"all": F.concat(tag_terms, key_terms), "hashtags": tag_terms, "keywords": key_terms}[target]
+    return F.regexp_extract_all(rest, F.lit(r"(?U)(?<!\w)[a-z]{3,}+(?!\w)"), F.lit(0))
+
+
+def terms(text: Column, tags: Column | None = None, target: str = "all") -> Column:
+    """array<string> of tag_terms and key_words, repeated as often as they stand; what has no # is a keyword, and those
+    that are stop words are to be left out once the array is exploded: one look-up in generated code for each."""
+    if target not in ("all", "hashtags", "keywords"):
+        raise ValueError(f"no such target: {target!r}")
+    if target == "hashtags":
+        return tag_terms(text, tags)
+    return key_words(text) if target == "keywords" else F.concat(tag_terms(text, tags), key_words(text))
 
 
 def whole_word(text: Column, term: str) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
+from .ranks import numbered
 
 #: Edges that are broadcast for weighted shortest paths at most (about 100 bytes each in a worker).
 BROADCAST_EDGES = 2_000_000
@@ -28,7 +29,8 @@ def relation_type(c: Column) -> Column:
 
 
 def simple(edges: DataFrame, order: Column | None = None) -> DataFrame:
-    """One edge for each pair of nodes, the last by order (then relation); weights of 0 or null count as 1."""
+    """One edge for each pair of nodes, the last by order (the time or number of its writing; without one, of several
+    relations the last by name); weights of 0 or null count as 1."""
     at = F.struct(*([order.alias("o")] if order is not None else []), F.col("relation_type").alias("r"), F.col("weight").alias("w"))
     out = edges.groupBy("source_id", "target_id").agg(F.max(at)["w"].alias("weight"))
     return out.withColumn("weight", F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight")))
@@ -125,94 +127,68 @@ def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0)
     return q.select("communities", F.when(F.col("communities") > 1, F.round("q", 4)).alias("modularity"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 4, moves: int = 8, local_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """(node, community) by greedy modularity: nodes move to the neighbouring community of most gain, then communities
-    become nodes, until nothing gains. Graphs of at most ``local_edges`` pairs are one task's, larger ones are worked
-    on by joins.
+def _total_gain(state: DataFrame, pairs: DataFrame, resolution: float, total: float) -> float:
+    """Modularity of the communities c of nodes x with degree k, over directed pairs (x, y, weight)."""
+    inner = pairs.join(state.select("x", "c"), "x").join(state.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").filter("c = cy")
+    within = inner.agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    spread = state.groupBy("c").agg(F.sum("k").alias("s")).agg(F.sum(F.pow(F.col("s") / total, 2))).first()[0]
+    return within / total - resolution * spread
 
-    Moves of a round happen together; in even rounds only towards smaller and in odd ones only towards larger
-    community names, so that two nodes never just swap. Gains and ties are deterministic.
-    """
-    u = undirected(edges)
-    pairs = cut(u.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(u.select("b", "a", "weight")))
-    if pairs.count() <= 2 * local_edges:
-        return _louvain_in_one_task(pairs, resolution)
-    total = (pairs.agg(F.sum("weight")).first()[0] or 0.0)  # twice the sum of weights
-    member = pairs.select(F.col("x").alias("node")).distinct().select("node", F.col("node").alias("community"))
-    if not total:
-        return member
-    inner = None
-    for _ in range(levels):
-        degree = pairs.groupBy("x").agg(F.sum("weight").alias("k"))
-        state = cut(degree.select("x", "k", F.col("x").alias("c")))
-        changed = False
-        for i in range(2 * moves):
+
+def _moved(pairs: DataFrame, resolution: float, total: float, tolerance: float) -> tuple[DataFrame, bool]:
+    """(x, c): communities of nodes after moves until a sweep raises modularity by no more than tolerance."""
+    degree = pairs.groupBy("x").agg(F.sum("weight").alias("k"))
+    state, best, changed, way = cut(degree.select("x", "k", F.col("x").alias("c"))), None, False, 0
+    value = _total_gain(state, pairs, resolution, total)
+    while True:
+        start = state
+        for _ in range(2):  # down, then up
             size = state.groupBy("c").agg(F.sum("k").alias("s"))
             near = pairs.filter("x != y").join(state.select(F.col("x").alias("y"), "c"), "y").groupBy("x", "c").agg(F.sum("weight").alias("w"))
             own = state.select("x", F.col("c").alias("own"), "k")
-            options = near.join(own, "x").join(size, "c").withColumn("gain", F.col("w") - resolution * F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / total)
+            less = F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)
+            gain = F.col("w") - resolution * F.col("k") * (F.col("s") - less) / total
+            options = near.join(own, "x").join(size, "c").withColumn("gain", gain)
             stay = own.join(size.withColumnRenamed("c", "own"), "own").join(near.withColumnsRenamed({"c": "own", "w": "w0"}), ["x", "own"], "left")
             stay = stay.select("x", (F.coalesce("w0", F.lit(0.0)) - resolution * F.col("k") * (F.col("s") - F.col("k")) / total).alias("g0"))
-            way = F.col("c") < F.col("own") if i % 2 == 0 else F.col("c") > F.col("own")
-            best = options.filter(way).groupBy("x").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), F.col("c"))).alias("b"))
-            go = best.join(stay, "x").filter(F.col("b.gain") > F.col("g0") + 1e-9).select("x", F.col("b.c").alias("to"))
-            step = cut(state.join(go, "x", "left").select("x", "k", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-            any_moved = not step.filter("moved").isEmpty()
-            changed, state = changed or any_moved, step.drop("moved")
-            if not any_moved and i % 2:
-                break
+            side = F.col("c") < F.col("own") if way % 2 == 0 else F.col("c") > F.col("own")
+            chosen = options.filter(side).groupBy("x").agg(F.max(F.struct(F.round("gain", 9).alias("gain"), F.col("c"))).alias("b"))
+            go = chosen.join(stay, "x").filter(F.col("b.gain") > F.col("g0") + 1e-9).select("x", F.col("b.c").alias("to"))
+            state = cut(state.join(go, "x", "left").select("x", "k", F.coalesce("to", "c").alias("c")))
+            way += 1
+        best = _total_gain(state, pairs, resolution, total)
+        if best <= value + tolerance:
+            return (state if best > value else start), changed or best > value
+        value, changed = best, True
+
+
+def louvain(edges: DataFrame, resolution: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
+    """(node, community) by greedy modularity: nodes move to the neighbouring community of most gain, then communities
+    become nodes, until a level gains no more than tolerance. One way of working at every size.
+
+    Moves of a half sweep happen together, only towards smaller community names and then only towards larger ones, so
+    that two nodes never just swap. A sweep that lowers modularity is not kept. Gains and ties are deterministic.
+    """
+    u = undirected(edges)
+    pairs = cut(u.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(u.select("b", "a", "weight")))
+    total = pairs.agg(F.sum("weight")).first()[0] or 0.0  # twice the sum of weights
+    member = pairs.select(F.col("x").alias("node")).distinct().select("node", F.col("node").alias("community"))
+    while total:
+        state, changed = _moved(pairs, resolution, total, tolerance)
         if not changed:
             break
         where = state.select(F.col("x").alias("community"), F.col("c").alias("_to"))
         member = cut(member.join(where, "community").select("node", F.col("_to").alias("community")))
-        pairs = cut(pairs.join(state.select("x", F.col("c").alias("cx")), "x").join(state.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("weight").alias("weight")))
+        left, right = state.select("x", F.col("c").alias("cx")), state.select(F.col("x").alias("y"), F.col("c").alias("cy"))
+        pairs = cut(pairs.join(left, "x").join(right, "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("weight").alias("weight")))
     return member
 
 
-def _louvain_in_one_task(pairs: DataFrame, resolution: float) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = pd.concat([b for b in batches if len(b)] or [pd.DataFrame({"x": [], "y": [], "weight": []})]).sort_values(["x", "y"])
-        near: dict[str, dict[str, float]] = {}
-        for x, y, w in zip(table["x"], table["y"], table["weight"], strict=True):
-            near.setdefault(x, {})[y] = w
-        member, total = {x: x for x in near}, sum(sum(v.values()) for v in near.values())
-        while near:
-            degree = {x: sum(v.values()) for x, v in near.items()}
-            of, size, moved, again = {x: x for x in near}, dict(degree), False, True
-            while again:
-                again = False
-                for x in sorted(near):
-                    own, k, links = of[x], degree[x], {}
-                    for y, w in near[x].items():
-                        if y != x:
-                            links[of[y]] = links.get(of[y], 0.0) + w
-                    size[own] -= k
-                    gain = {c: links.get(c, 0.0) - resolution * k * size[c] / total for c in {*links, own}}
-                    best = min(gain, key=lambda c: (-gain[c], c))
-                    if gain[best] <= gain[own] + 1e-12:
-                        best = own
-                    size[best] += k
-                    if best != own:
-                        of[x], again, moved = best, True, True
-            if not moved:
-                break
-            member = {n: of[c] for n, c in member.items()}
-            merged: dict[str, dict[str, float]] = {}
-            for x, v in near.items():
-                for y, w in v.items():
-                    row = merged.setdefault(of[x], {})
-                    row[of[y]] = row.get(of[y], 0.0) + w
-            near = merged
-        yield pd.DataFrame({"node": list(member), "community": list(member.values())}, dtype="object")
-
-    return pairs.coalesce(1).mapInPandas(run, "node string, community string")
-
-
 def cluster_ids(partition: DataFrame, least: int = 1) -> DataFrame:
     """(node, community) with communities numbered by size, then smallest member; those under ``least`` are -1."""
     sizes = partition.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
-    rank = F.row_number().over(Window.partitionBy((F.col("n") >= least)).orderBy(F.desc("n"), "first")) - 1
-    named = sizes.select("community", F.when(F.col("n") >= least, rank).otherwise(-1).alias("_id"))
+    large = numbered(sizes.filter(F.col("n") >= least), F.desc("n"), "first", name="_id").select("community", "_id")
+    named = sizes.select("community").join(large, "community", "left").select("community", F.coalesce("_id", F.lit(-1)).alias("_id"))
     return partition.join(named, "community").select("node", F.col("_id").alias("community"))
 
 
@@ -232,20 +208,22 @@ def pivots(all_nodes: DataFrame, k: int = 500) -> DataFrame:
     return all_nodes.orderBy(F.xxhash64("node"), "node").limit(k)
 
 
-def betweenness(edges: DataFrame, k: int = 500, directed: bool = True) -> DataFrame:
+def betweenness(edges: DataFrame, k: int = 500, directed: bool = True, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
     """(node, betweenness), normalised; from at most k pivots, scaled up; weights are distances.
 
-    Graphs of at most BROADCAST_EDGES edges are sent to the workers, which take pivots one by one (weights count);
-    larger ones go level by level through joins for all pivots together (each edge is one step).
+    Graphs of at most ``broadcast_edges`` edges are sent to the workers, which take pivots one by one; larger ones are
+    worked on by joins for all pivots together. Both give the same values.
     """
     e = simple(edges)
     if not directed:
-        e = e.select("source_id", "target_id", "weight").union(e.select("target_id", "source_id", "weight")).groupBy("source_id", "target_id").agg(F.min("weight").alias("weight"))
+        back = e.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), "weight")
+        e = e.unionByName(back).groupBy("source_id", "target_id").agg(F.min("weight").alias("weight"))
     e, every = cut(e), cut(nodes(edges))
     n, chosen = every.count(), cut(pivots(every, k))
-    parts = _by_worker(e, chosen) if e.count() <= BROADCAST_EDGES else _by_levels(e, chosen)
+    parts = _by_worker(e, chosen) if e.count() <= broadcast_edges else _by_joins(e, chosen)
     scale = 1.0 / ((n - 1) * (n - 2)) * n / max(1, min(n, k)) if n > 2 else 0.0
-    return every.join(parts.groupBy("node").agg(F.sum("d").alias("d")), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
+    sums = parts.groupBy("node").agg(F.sum("d").alias("d"))
+    return every.join(sums, "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def _by_worker(e: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -286,23 +264,40 @@ def _by_worker(e: DataFrame, chosen: DataFrame) -> DataFrame:
     return chosen.repartition(e.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "node string, d double")
 
 
-def _by_levels(e: DataFrame, chosen: DataFrame) -> DataFrame:
-    steps = e.filter("source_id != target_id").select("source_id", "target_id")
-    level = cut(chosen.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("p")))
-    seen, levels = level.select("s", "node"), [level]
-    while not level.isEmpty():
-        nxt = level.join(steps, level["node"] == steps["source_id"]).groupBy("s", F.col("target_id").alias("node")).agg(F.sum("p").alias("p")).join(seen, ["s", "node"], "left_anti")
-        level = cut(nxt)
-        levels.append(level)
-        seen = cut(seen.union(level.select("s", "node")))
-    below, out = None, None
-    for up, down in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
-        d = down.withColumn("d", F.lit(0.0)) if below is None else down.join(below, ["s", "node"], "left").select("s", "node", "p", F.coalesce("d", F.lit(0.0)).alias("d"))
-        flow = up.join(steps, up["node"] == steps["source_id"]).select("s", "node", "p", "target_id").join(d.toDF("s", "target_id", "pt", "dt"), ["s", "target_id"])
-        below = cut(flow.groupBy("s", "node").agg(F.sum(F.col("p") / F.col("pt") * (1 + F.col("dt"))).alias("d")))
-        part = below.filter("s != node").select("node", "d")
-        out = part if out is None else out.union(part)
-    return out
+def _by_joins(e: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(node, d): shares of shortest paths from all pivots, by rounds of joins.
+
+    Distances are lowered until none changes. The edges on shortest paths make a graph without cycles for each pivot
+    (steps). Numbers of paths and, backwards, shares of them are sums over walks of 0, 1, 2, ... of its edges."""
+    steps = e.filter("source_id != target_id").select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "weight")
+    far = cut(chosen.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("far")))
+    fresh = far
+    while not fresh.isEmpty():
+        reached = fresh.join(steps, fresh["node"] == steps["u"]).groupBy("s", F.col("v").alias("node")).agg(F.min(F.col("far") + F.col("weight")).alias("new"))
+        both = cut(far.join(reached, ["s", "node"], "full").withColumn("_less", F.col("new") < F.coalesce("far", F.lit(float("inf"))) - 1e-12))
+        fresh = both.filter("_less").select("s", "node", F.col("new").alias("far"))
+        far = both.select("s", "node", F.when(F.col("_less"), F.col("new")).otherwise(F.col("far")).alias("far"))
+    ends = far.select("s", F.col("node").alias("v"), F.col("far").alias("far_v"))
+    on = far.withColumnRenamed("node", "u").join(steps, "u").join(ends, ["s", "v"]).filter(F.abs(F.col("far") + F.col("weight") - F.col("far_v")) <= 1e-12)
+    on = cut(on.select("s", "u", "v"))
+    walk = chosen.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("p"))
+    paths = walk
+    while True:
+        walk = cut(walk.join(on.withColumnRenamed("u", "node"), ["s", "node"]).groupBy("s", F.col("v").alias("node")).agg(F.sum("p").alias("p")))
+        if walk.isEmpty():
+            break
+        paths = paths.unionByName(walk)
+    paths = cut(paths.groupBy("s", "node").agg(F.sum("p").alias("p")))
+    share = on.join(paths.toDF("s", "u", "pu"), ["s", "u"]).join(paths.toDF("s", "v", "pv"), ["s", "v"])
+    share = cut(share.select("s", "u", "v", (F.col("pu") / F.col("pv")).alias("r")))
+    walk = cut(share.groupBy("s", F.col("u").alias("node")).agg(F.sum("r").alias("d")))
+    out = walk
+    while True:
+        walk = cut(share.join(walk.withColumnRenamed("node", "v"), ["s", "v"]).groupBy("s", F.col("u").alias("node")).agg(F.sum(F.col("r") * F.col("d")).alias("d")))
+        if walk.isEmpty():
+            break
+        out = out.unionByName(walk)
+    return out.filter("s != node").select("node", "d")
 
 
 def log_scaled(rows: DataFrame, c: str) -> DataFrame:
@@ -367,10 +362,9 @@ def induced(edges: DataFrame, keep: DataFrame) -> DataFrame:
 def spearman(rows: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """One row: rank correlation of two columns by ordinal ranks (ties by key); 1 for fewer than two rows.
 
-    Ranks are counts of larger values: places within value ranges plus counts of ranges, by a sorted shuffle.
+    Ranks are places within ranges of values plus counts of the ranges before (``numbered``).
     """
-    ra = F.row_number().over(Window.orderBy(F.desc(a), key))
-    rb = F.row_number().over(Window.orderBy(F.desc(b), key))
-    ranked = rows.select(key, ra.alias("_a")).join(rows.select(key, rb.alias("_b")), key)
+    ra, rb = (numbered(rows.select(key, c), F.desc(c), key, name=n).select(key, n) for c, n in ((a, "_a"), (b, "_b")))
+    ranked = ra.join(rb, key)
     n, d = F.count(F.lit(1)), F.sum(F.pow(F.col("_a") - F.col("_b"), 2))
     return ranked.agg(F.when(n < 2, 1.0).otherwise(F.round(1 - 6 * d / (n * (n * n - 1)), 4)).alias("rho"))

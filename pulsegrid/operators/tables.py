@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = {
@@ -22,13 +22,13 @@ ANALYTICS_DEFAULTS: dict[str, Any] = {
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Column | None = None) -> DataFrame:
     """Rows of both with one for each key: a new one goes before an old one, then the later by order.
 
-    One pre-aggregated pass: the newest row of a key is its largest (source, order, row).
+    One pre-aggregated pass: the newest row of a key is that of the largest (source, order).
     """
     cols = old.columns
     rank = order if order is not None else F.lit(0)
     both = old.select(*cols, F.lit(0).alias("_new"), rank.alias("_at")).unionByName(new.select(*cols, F.lit(1).alias("_new"), rank.alias("_at")))
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_new"), F.desc("_at")))
-    return both.withColumn("_rank", newest).filter("_rank = 1").select(*cols)
+    row = F.struct(*[F.col(f"`{c}`") for c in cols])
+    return both.groupBy(*keys).agg(F.max_by(row, F.struct("_new", "_at")).alias("_row")).select("_row.*")
 
 
 def with_defaults(rows: DataFrame, defaults: Mapping[str, Any] = ANALYTICS_DEFAULTS) -> DataFrame:

@@ -15,8 +15,10 @@ def keyword(word: str) -> Column:
     return F.col("text").ilike(f"%{word}%") | F.array_join("hashtags", ", ").ilike(f"%{word}%")
 
 
-def in_thread(parent: str) -> Column:
-    return (F.col("parent_id") == parent) | (F.col("id") == parent) | (F.col("parent_id") == f"video_{parent}")
+def in_thread(parent: str, with_urls: bool = True) -> Column:
+    """Children of a post or of the video of that name, the post itself, and posts one of whose links has the name."""
+    out = (F.col("parent_id") == parent) | (F.col("id") == parent) | (F.col("parent_id") == f"video_{parent}")
+    return out | F.array_join("urls", ", ").ilike(f"%{parent}%") if with_urls else out
 
 
 def slice_posts(
@@ -34,7 +36,7 @@ def slice_posts(
     if word:
         out = out.filter(keyword(word))
     if parent:
-        out = out.filter(in_thread(parent))
+        out = out.filter(in_thread(parent, "urls" in posts.columns))
     if author:
         out = out.filter(F.col("author_id") == author)
     out = out.orderBy("ts", "id")

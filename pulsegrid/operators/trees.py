@@ -6,35 +6,39 @@ joins for each doubling. What a cycle holds is never reached, so the walk ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
+from .ranks import numbered_within
 from .sentiment import signed
 
 
-def closure(nodes: DataFrame, tree: str, node: str, parent: str, with_path: bool = False) -> DataFrame:
-    """(tree, node, depth[, path]) of all nodes that a root (no parent) reaches; path has the node itself last.
+def closure(nodes: DataFrame, tree: str, node: str, parent: str, with_size: bool = False) -> DataFrame:
+    """(tree, node, depth[, size]) of all nodes that a root (no parent) reaches; size counts a node and all below it.
 
-    ``out`` has the nodes less deep than 2**k, ``way`` all pairs of a node and the one 2**k above it. Rows that name
-    one node twice and so lead from a root into a cycle are an error.
+    ``out`` has the nodes less deep than 2**k, ``way`` all pairs of a node and the one 2**k above it, ``size`` how many
+    are less than 2**k below each: those of a node 2**k further down are added to it. Rows that name one node twice
+    and so lead from a root into a cycle are an error.
     """
     edges = cut(nodes.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("_parent")))
-    path = [F.array("node").alias("path")] if with_path else []
-    out = edges.filter("_parent is null").select("tree", "node", F.lit(0).alias("depth"), *path)
-    way = edges.filter("_parent is not null").select("tree", "node", F.col("_parent").alias("_up"), *path)
+    out = edges.filter("_parent is null").select("tree", "node", F.lit(0).alias("depth"))
+    way = edges.filter("_parent is not null").select("tree", "node", F.col("_parent").alias("_up"))
+    size = edges.select("tree", "node", F.lit(1).cast("bigint").alias("size")) if with_size else None
     most, step = edges.count(), 1
-    both = [F.concat("_p", "path").alias("path")] if with_path else []
     while True:
-        above = out.select("tree", F.col("node").alias("_up"), F.col("depth").alias("_d"), *([F.col("path").alias("_p")] if with_path else []))
-        found = cut(way.join(above, ["tree", "_up"]).select("tree", "node", (F.col("_d") + step).alias("depth"), *both))
+        above = out.select("tree", F.col("node").alias("_up"), F.col("depth").alias("_d"))
+        found = cut(way.join(above, ["tree", "_up"]).select("tree", "node", (F.col("_d") + step).alias("depth")))
         if found.isEmpty():
-            return out
+            return out.join(size, ["tree", "node"]) if with_size else out
         if step >= most:
             raise ValueError("a root leads into a cycle")
         out = out.unionByName(found)
-        further = way.select("tree", F.col("node").alias("_up"), F.col("_up").alias("_next"), *([F.col("path").alias("_p")] if with_path else []))
-        way = cut(way.join(further, ["tree", "_up"]).select("tree", "node", F.col("_next").alias("_up"), *both))
+        if with_size:
+            more = way.join(size, ["tree", "node"]).groupBy("tree", F.col("_up").alias("node")).agg(F.sum("size").alias("_more"))
+            size = cut(size.join(more, ["tree", "node"], "left").select("tree", "node", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
+        further = way.select("tree", F.col("node").alias("_up"), F.col("_up").alias("_next"))
+        way = cut(way.join(further, ["tree", "_up"]).select("tree", "node", F.col("_next").alias("_up")))
         step *= 2
 
 
@@ -90,9 +94,9 @@ def thread_sentiment(tree: DataFrame, analytics: DataFrame) -> DataFrame:
 
 def first_adopters(events: DataFrame) -> DataFrame:
     """The first event of each user in each cascade, numbered from 0 by adoption order and time."""
-    first = F.row_number().over(Window.partitionBy("cascade_id", "user_id").orderBy("adoption_order", "timestamp_ms"))
-    once = events.withColumn("_k", first).filter("_k = 1").drop("_k")
-    return once.withColumn("ord", F.row_number().over(Window.partitionBy("cascade_id").orderBy("adoption_order", "timestamp_ms", "user_id")) - 1)
+    row = F.struct(*[F.col(c) for c in events.columns])
+    once = events.groupBy("cascade_id", "user_id").agg(F.min_by(row, F.struct("adoption_order", "timestamp_ms")).alias("_row")).select("_row.*")
+    return numbered_within(once, "cascade_id", "adoption_order", "timestamp_ms", "user_id", name="ord")
 
 
 def parents(adopters: DataFrame, follows: DataFrame) -> DataFrame:
@@ -113,21 +117,29 @@ def parents(adopters: DataFrame, follows: DataFrame) -> DataFrame:
     return out.withColumn("parent", F.when(F.col("ord") > 0, F.coalesce("_parent", "_root"))).drop("_parent", "_root")
 
 
+def cascade_rows(events: DataFrame, follows: DataFrame) -> DataFrame:
+    """(cascade_id, user_id, post_id, ord, timestamp_ms, parent) of all first adoptions, written out."""
+    return cut(parents(first_adopters(events), follows).select("cascade_id", "user_id", "post_id", "ord", "timestamp_ms", "parent"))
+
+
 def cascade_tree(events: DataFrame, follows: DataFrame) -> DataFrame:
-    """(cascade_id, user_id, post_id, ord, parent, depth, path, delay_seconds, timestamp_ms)."""
-    rows = cut(parents(first_adopters(events), follows).select("cascade_id", "user_id", "post_id", "ord", "timestamp_ms", "parent"))
-    depth = closure(rows, "cascade_id", "user_id", "parent", with_path=True).withColumnsRenamed({"tree": "cascade_id", "node": "user_id"})
+    """(cascade_id, user_id, post_id, ord, parent, depth, delay_seconds, timestamp_ms)."""
+    rows = cascade_rows(events, follows)
+    depth = closure(rows, "cascade_id", "user_id", "parent").withColumnsRenamed({"tree": "cascade_id", "node": "user_id"})
     before = rows.select("cascade_id", F.col("user_id").alias("parent"), F.col("timestamp_ms").alias("_before"))
     out = rows.join(depth, ["cascade_id", "user_id"]).join(before, ["cascade_id", "parent"], "left")
-    return out.withColumn("delay_seconds", F.round(F.greatest(F.lit(0.0), F.coalesce((F.col("timestamp_ms") - F.col("_before")) / 1000, F.lit(0.0))), 2)).drop("_before")
+    wait = F.coalesce((F.col("timestamp_ms") - F.col("_before")) / 1000, F.lit(0.0))
+    return out.withColumn("delay_seconds", F.round(F.greatest(F.lit(0.0), wait), 2)).drop("_before")
 
 
-def structural_virality(tree: DataFrame) -> DataFrame:
-    """(cascade_id, virality): mean distance of pairs, as the sum over edges of s (n - s), s nodes below an edge."""
-    below = tree.select("cascade_id", F.explode("path").alias("node")).groupBy("cascade_id", "node").agg(F.count(F.lit(1)).alias("s"))
-    n = tree.groupBy("cascade_id").agg(F.count(F.lit(1)).alias("n"))
-    edges = below.join(n, "cascade_id").groupBy("cascade_id").agg(F.sum(F.col("s") * (F.col("n") - F.col("s"))).alias("w"), F.max("n").alias("n"))
-    return edges.select("cascade_id", F.when(F.col("n") > 1, F.round(2 * F.col("w") / (F.col("n") * (F.col("n") - 1)), 4)).otherwise(0.0).alias("virality"))
+def structural_virality(rows: DataFrame) -> DataFrame:
+    """(cascade_id, virality) of cascade_rows: mean distance of pairs, the sum over edges of s (n - s), s nodes below."""
+    sized = closure(rows, "cascade_id", "user_id", "parent", with_size=True).withColumnRenamed("tree", "cascade_id")
+    n = sized.groupBy("cascade_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.col("size") * (F.col("n") - F.col("size"))
+    edges = sized.join(n, "cascade_id").groupBy("cascade_id").agg(F.sum(pairs).alias("w"), F.max("n").alias("n"))
+    mean = F.round(2 * F.col("w") / (F.col("n") * (F.col("n") - 1)), 4)
+    return edges.select("cascade_id", F.when(F.col("n") > 1, mean).otherwise(0.0).alias("virality"))
 
 
 def cascade_metrics(tree: DataFrame) -> DataFrame:
@@ -135,8 +147,9 @@ def cascade_metrics(tree: DataFrame) -> DataFrame:
     base = tree.groupBy("cascade_id").agg(F.count(F.lit(1)).alias("adoptions"), F.max("depth").alias("max_depth"), F.min("timestamp_ms").alias("_t0"), F.max("timestamp_ms").alias("_t1"))
     breadth = tree.groupBy("cascade_id", "depth").agg(F.count(F.lit(1)).alias("b")).groupBy("cascade_id").agg(F.max("b").alias("max_breadth"))
     branching = tree.filter("parent is not null").groupBy("cascade_id", "parent").agg(F.count(F.lit(1)).alias("c")).groupBy("cascade_id").agg(F.round(F.avg("c"), 3).alias("branching"))
-    place = F.row_number().over(Window.partitionBy("cascade_id").orderBy("timestamp_ms", "ord"))
-    half = tree.withColumn("_k", place).join(base.select("cascade_id", F.greatest(F.lit(1), F.floor(F.col("adoptions") / 2)).alias("_half")), "cascade_id").filter("_k = _half").select("cascade_id", F.col("timestamp_ms").alias("_th"))
+    placed = numbered_within(tree.select("cascade_id", "timestamp_ms", "ord"), "cascade_id", "timestamp_ms", "ord", name="_k")
+    halves = base.select("cascade_id", (F.greatest(F.lit(1), F.floor(F.col("adoptions") / 2)) - 1).alias("_half"))
+    half = placed.join(halves, "cascade_id").filter("_k = _half").select("cascade_id", F.col("timestamp_ms").alias("_th"))
     out = base.join(breadth, "cascade_id").join(branching, "cascade_id", "left").join(half, "cascade_id")
     hours = F.greatest((F.col("_t1") - F.col("_t0")) / 3600000, F.lit(1 / 60))
     return out.select(

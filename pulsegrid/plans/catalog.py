@@ -65,9 +65,9 @@ def _(s, d):
     return timeline.slice_posts(_posts(s, d), word="tion the").select("id")
 
 
-@query("parent_filter", "SELECT id, parent_id FROM posts WHERE parent_id = '7' OR id = '7' OR parent_id = 'video_7'", ("posts",))
+@query("parent_filter", "SELECT id, parent_id FROM posts WHERE parent_id = '77' OR id = '77' OR parent_id = 'video_77' OR CAST(urls AS VARCHAR) ILIKE '%77%'", ("posts",))
 def _(s, d):
-    return timeline.slice_posts(_posts(s, d), parent="7").select("id", "parent_id")
+    return timeline.slice_posts(_posts(s, d), parent="77").select("id", "parent_id")
 
 
 @query("user_timeline", f"SELECT id, {_TS('ts')} AS at FROM posts WHERE author_id = 'u3' ORDER BY ts, id LIMIT 100", ("posts",))
@@ -174,8 +174,7 @@ _METRICS = f"""{_WINDOWS}, stats AS (SELECT *, (c0 + c1 + c2 + c3 + c4) / 5.0 AS
 
 
 def _counted(s, d):
-    events = trends.with_end(trends.post_terms(_posts(s, d)))
-    return trends.window_counts(events, F.col("_end"), 1440, 5)
+    return trends.window_counts(_posts(s, d), 1440, 5)
 
 
 @query("term_window_counts", f"WITH {_WINDOWS} SELECT term, kind, concat_ws(',', c0, c1, c2, c3, c4, c5) AS counts FROM counted", ("posts",))
@@ -421,7 +420,7 @@ def _(s, d):
 @query("structural_virality", f"""WITH RECURSIVE {_PATHS}, s AS (SELECT cascade_id, node, count(*) AS s FROM (SELECT cascade_id, unnest(path) AS node FROM w) GROUP BY ALL), n AS (SELECT cascade_id, count(*) AS n FROM w GROUP BY ALL)
  SELECT cascade_id, CASE WHEN max(n) > 1 THEN round(2.0 * sum(s * (n - s)) / (max(n) * (max(n) - 1)), 4) ELSE 0.0 END AS virality FROM s JOIN n USING (cascade_id) GROUP BY cascade_id""", _CASCADE_VIEWS)
 def _(s, d):
-    return trees.structural_virality(_cascade_tree(s, d))
+    return trees.structural_virality(trees.cascade_rows(load(s, d, "cascade_events"), load(s, d, "graph_edges")))
 
 
 @query("top_cascades", "SELECT cascade_id, count(*) AS events FROM cascade_events GROUP BY 1 HAVING count(*) >= 2 ORDER BY events DESC, cascade_id LIMIT 10", ("cascade_events",))
@@ -485,7 +484,7 @@ def _(s, d):
 @query("louvain")
 def _(s, d):
     e = _edges(s, d)
-    return graph.cluster_ids(graph.louvain(e, levels=2, moves=3))
+    return graph.cluster_ids(graph.louvain(e))
 
 
 @query("modularity", f"WITH {_N}, {_U}, {_PART}, dg AS (SELECT community, sum(weight) AS d FROM (SELECT a AS node, weight FROM u UNION ALL SELECT b, weight FROM u) JOIN part USING (node) GROUP BY 1), i AS (SELECT p.community, sum(weight) AS l FROM u JOIN part p ON p.node = a JOIN part q ON q.node = b AND p.community = q.community GROUP BY 1) SELECT count(*) AS communities, round(sum(coalesce(l, 0) / m - power(d / (2 * m), 2)), 4) AS modularity FROM dg LEFT JOIN i USING (community), (SELECT sum(weight) AS m FROM u)", _G)

@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written out by checkpoint(), in spark.checkpoint.dir; only where that is unset (tests) in a local folder."""
+    """df written out by checkpoint(), in spark.checkpoint.dir; only where that is unset (tests) in a local folder.
+
+    On a cluster a folder of one machine is of no use to the others, so there the setting must be there."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-"))
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="pulsegrid-"))
     return df.checkpoint()

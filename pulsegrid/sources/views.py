@@ -29,6 +29,7 @@ def _posts(t) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(r != 0, (F.col("event_id") - r + F.floor((r - 1) / 2)).cast("string")).alias("parent_id"),
         F.array("event_type", F.concat(F.lit("k"), r.cast("string"))).alias("hashtags"),
+        F.array(F.concat(F.lit("https://v.org/"), (F.col("event_id") % 500).cast("string"))).alias("urls"),
     )
 
 
@@ -88,7 +89,7 @@ CTES = {
     "posts": """SELECT CAST(event_id AS VARCHAR) AS id, list_extract(['twitter','reddit','youtube','telegram','bluesky'], CAST(event_id % 5 + 1 AS INT)) AS platform,
  'u' || user_id AS author_id, text || ' #' || event_type || ' #k' || (event_id % 7) AS text, ts,
  CASE WHEN event_id % 7 <> 0 THEN CAST(event_id - event_id % 7 + CAST(floor((event_id % 7 - 1) / 2.0) AS BIGINT) AS VARCHAR) END AS parent_id,
- [event_type, 'k' || (event_id % 7)] AS hashtags
+ [event_type, 'k' || (event_id % 7)] AS hashtags, ['https://v.org/' || (event_id % 500)] AS urls
  FROM events JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents)""",
     "graph_edges": """SELECT DISTINCT 'u' || a.user_id AS source_id, 'u' || b.user_id AS target_id, 'FOLLOWS' AS relation_type, 1.0 AS weight
  FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id""",

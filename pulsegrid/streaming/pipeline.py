@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import queue
 import threading
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import tables, timeline, trends
+from ..sources.shared import cut
 
 
 def hashtag_counts(posts: DataFrame, window: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -23,6 +26,11 @@ def replay(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def polled(streams: Sequence[DataFrame]) -> DataFrame:
+    """Posts of several feeds as one stream; columns that one of them lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), streams)
+
+
 class Broadcaster:
     """Events to any number of clients: each has a bounded queue that drops its oldest event when full."""
 
@@ -59,25 +67,89 @@ class Broadcaster:
             return {"type": "heartbeat"}
 
 
+#: The column that a table's rows are dealt by, as days; other tables are dealt by a hash of their keys.
+DAYS = {"posts": "ts"}
+BUCKETS = 64
+
+
 class Store:
-    """Tables as versions of Parquet folders; a new version is written whole before it becomes the current one."""
+    """Tables in partitions, with a manifest that names each partition's folder.
 
-    def __init__(self, spark: SparkSession, base: str):
-        self.spark, self.base, self._current = spark, base, {}
+    An upsert rewrites only the partitions that its rows fall in, under a new number, and then puts a new manifest in
+    place by a rename; readers see the old or the new one, and a restart goes on from the last. Folders that the last
+    two manifests don't name are removed. A key must stay in its partition: the day of a post doesn't change.
+    """
 
-    def read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self._current[name]) if name in self._current else None
+    def __init__(self, spark: SparkSession, base: str, days: Mapping[str, str] = DAYS, buckets: int = BUCKETS):
+        self.spark, self.base, self.days, self.buckets = spark, base.rstrip("/"), days, buckets
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.base).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _listed(self, at: str) -> list[str]:
+        path = self._path(at)
+        return sorted(f.getPath().getName() for f in self._files.listStatus(path)) if self._files.exists(path) else []
+
+    def _manifests(self, name: str) -> list[int]:
+        return [int(f) for f in self._listed(f"{self.base}/{name}/manifests") if f.isdigit()]
+
+    def _manifest(self, name: str, number: int) -> dict[str, str]:
+        row = self.spark.read.text(f"{self.base}/{name}/manifests/{number:012d}", wholetext=True).first()
+        return json.loads(row["value"])
 
-    def upsert(self, name: str, rows: DataFrame, version: str, keys: Sequence[str] | None = None) -> None:
-        keys, old = keys or tables.KEYS[name], self.read(name)
-        new = tables.upsert(rows.limit(0), rows, keys) if old is None else tables.upsert(old, rows, keys)
-        path = f"{self.base}/{name}/v={version}"
-        new.write.mode("overwrite").parquet(path)
-        self._current[name] = path
+    def folders(self, name: str) -> dict[str, str]:
+        """Partition to folder, of the last manifest."""
+        numbers = self._manifests(name)
+        return self._manifest(name, numbers[-1]) if numbers else {}
+
+    def _read(self, folders: Iterable[str]) -> DataFrame | None:
+        paths = sorted(folders)
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def read(self, name: str) -> DataFrame | None:
+        """The whole table; None before the first row."""
+        return self._read(self.folders(name).values())
+
+    def _dealt(self, name: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        if name in self.days:
+            return rows.withColumn("_part", F.coalesce(F.date_format(self.days[name], "yyyy-MM-dd"), F.lit("none")))
+        return rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("string"))
+
+    def upsert(self, name: str, rows: DataFrame, keys: Sequence[str] | None = None) -> None:
+        keys = keys or tables.KEYS[name]
+        numbers = self._manifests(name)
+        number, now = (numbers[-1] if numbers else 0) + 1, self.folders(name)
+        dealt = cut(self._dealt(name, rows, keys))
+        parts = [r["_part"] for r in dealt.select("_part").distinct().collect()]  # days or buckets of a micro-batch
+        if not parts:
+            return
+        old = self._read(now[p] for p in parts if p in now)
+        before = dealt.limit(0) if old is None else self._dealt(name, old, keys)
+        at = f"{self.base}/{name}/data/{number:012d}"
+        tables.upsert(before, dealt, keys).write.mode("overwrite").partitionBy("_part").parquet(at)
+        new = now | {p: f"{at}/_part={p}" for p in parts}
+        draft, final = (self._path(f"{self.base}/{name}/{x}") for x in (f"draft-{number:012d}", f"manifests/{number:012d}"))
+        self._files.mkdirs(final.getParent())
+        out = self._files.create(draft, True)
+        out.write(bytearray(json.dumps(new).encode()))
+        out.close()
+        self._files.rename(draft, final)
+        self._prune(name, number, set(now.values()) | set(new.values()))
+
+    def _prune(self, name: str, number: int, kept: set[str]) -> None:
+        for old in self._manifests(name):
+            if old < number - 1:
+                self._files.delete(self._path(f"{self.base}/{name}/manifests/{old:012d}"), False)
+        for folder in self._listed(f"{self.base}/{name}/data"):
+            at = f"{self.base}/{name}/data/{folder}"
+            if int(folder) < number and not any(k.startswith(f"{at}/") for k in kept):
+                self._files.delete(self._path(at), True)
 
 
 class Pipeline:
-    """Posts in, then analytics of the oldest posts without them, then alerts; a stage that fails leaves the others be."""
+    """Posts in, then analytics of the oldest posts without them, then alerts.
+
+    A micro-batch that can't be taken in fails and is tried again, so no post is lost; a failure of the later stages
+    is reported and leaves the others be."""
 
     def __init__(self, store: Store, enrich: Callable[[DataFrame], DataFrame] | None = None, events: Broadcaster | None = None, batch: int = 50, minutes: int = 60):
         self.store, self.enrich, self.events, self.batch, self.minutes = store, enrich, events or Broadcaster(), batch, minutes
@@ -85,25 +157,25 @@ class Pipeline:
         self._query: StreamingQuery | None = None
 
     def tick(self, rows: DataFrame, number: int) -> None:
-        for name, stage in (("ingest", self._ingest), ("enrich", self._enrich), ("trends", self._trends)):
+        self.store.upsert("posts", rows)
+        for name, stage in (("enrich", self._enrich), ("trends", self._trends)):
             try:
                 stage(rows, number)
             except Exception as e:  # noqa: BLE001
                 self.errors.append((name, str(e)[:500]))
                 self.events.publish({"type": "error", "stage": name})
 
-    def _ingest(self, rows: DataFrame, number: int) -> None:
-        self.store.upsert("posts", rows, str(number))
-
     def _enrich(self, rows: DataFrame, number: int) -> None:
         posts, done = self.store.read("posts"), self.store.read("post_analytics")
         if self.enrich is None or posts is None:
             return
         due = posts.orderBy("ts", "id").limit(self.batch) if done is None else timeline.unanalysed(posts, done, self.batch)
-        self.store.upsert("post_analytics", tables.with_defaults(self.enrich(due)), str(number))
+        self.store.upsert("post_analytics", tables.with_defaults(self.enrich(due)))
 
     def _trends(self, rows: DataFrame, number: int) -> None:
         posts = self.store.read("posts")
+        if posts is None:
+            return
         tags = [r["tag"] for r in trends.top_hashtags(posts).collect()]  # five rows
         if tags:
             for r in trends.forecast(posts, tags, self.minutes).filter(F.col("state").isin("viral_surge", "emerging")).collect():

@@ -49,7 +49,10 @@ def test_upsert(spark):
 
 def test_terms_and_bursts(spark):
     got = spark.sql("select 'The #AI model https://t.co/x learns, learns é' t").select(T.terms(F.col("t")).alias("x")).first()["x"]
-    assert [tuple(r) for r in got] == [("#ai", "hashtag"), ("model", "keyword"), ("learns", "keyword"), ("learns", "keyword")]
+    assert got == ["#ai", "the", "model", "learns", "learns"]
+    rows = spark.sql("select 'The #AI model https://t.co/x learns, learns é abcé xabc_d' text, array('#B', 'c') hashtags, 1 ts, 'a' author_id")
+    found = trends.post_terms(rows).select("term", "kind").collect()
+    assert [tuple(r) for r in found] == [("#b", "hashtag"), ("#c", "hashtag"), ("model", "keyword"), ("learns", "keyword"), ("learns", "keyword")]
     counted = spark.createDataFrame([("breaking", "keyword", [2, 2, 2, 2, 2, 35]), ("steady", "keyword", [15, 15, 15, 15, 15, 15])], "term string, kind string, counts array<bigint>")
     m = {r["term"]: r for r in trends.burst_metrics(counted, 60).collect()}
     assert m["breaking"]["is_bursting"] and m["breaking"]["z_score"] == round(33 / math.sqrt(2), 3) and m["breaking"]["mean"] == 2.0
@@ -91,20 +94,19 @@ def test_cascades(spark):
     chain = [("c", f"q{i}", f"v{i}", START, 1000 * i, i, f"q{i - 1}" if i else None) for i in range(11)]
     ev = spark.createDataFrame(star + chain, "cascade_id string, post_id string, user_id string, ts timestamp, timestamp_ms bigint, adoption_order int, parent_event_id string")
     tree = trees.cascade_tree(ev, edges(spark, [("zz", "yy")]))
-    v = {r["cascade_id"]: r["virality"] for r in trees.structural_virality(tree).collect()}
-    assert v == {"s": 1.8182, "c": 4.0}
+    v = {r["cascade_id"]: r["virality"] for r in trees.structural_virality(trees.cascade_rows(ev, edges(spark, [("zz", "yy")]))).collect()}
+    assert v == {"s": 1.8182, "c": 4.0} and tree.count() == 22
     follow = spark.createDataFrame([("f", f"p{i}", u, START, 1000 * i, i) for i, u in enumerate("ABC")], "cascade_id string, post_id string, user_id string, ts timestamp, timestamp_ms bigint, adoption_order int")
     got = {r["user_id"]: (r["parent"], r["depth"]) for r in trees.cascade_tree(follow, edges(spark, [("B", "A"), ("C", "B")])).collect()}
     assert got == {"A": (None, 0), "B": ("A", 1), "C": ("B", 2)}
 
 
 def test_long_chain(spark):
-    n = 1300
+    n = 5000
     rows = [(f"n{i}", f"n{i - 1}" if i else None, "r") for i in range(n)] + [("x", "y", "r"), ("y", "x", "r"), ("lone", None, "s")]
     t = spark.createDataFrame(rows, "id string, parent_id string, root_id string")
-    got = {(r["tree"], r["node"]): (r["depth"], r["path"]) for r in trees.closure(t, "root_id", "id", "parent_id", with_path=True).collect()}
-    names = [f"n{i}" for i in range(n)]
-    assert got == {("r", f"n{i}"): (i, names[: i + 1]) for i in range(n)} | {("s", "lone"): (0, ["lone"])}
+    got = {(r["tree"], r["node"]): (r["depth"], r["size"]) for r in trees.closure(t, "root_id", "id", "parent_id", with_size=True).collect()}
+    assert got == {("r", f"n{i}"): (i, n - i) for i in range(n)} | {("s", "lone"): (0, 1)}
     assert trees.thread_tree(t).agg(F.max("depth")).first()[0] == n - 1
     with pytest.raises(ValueError):
         trees.closure(spark.createDataFrame([("a", None, "r"), ("a", "b", "r"), ("b", "a", "r")], t.schema), "root_id", "id", "parent_id")
@@ -117,13 +119,12 @@ def cliques(spark):
 
 def test_communities(spark):
     e = cliques(spark)
-    for local in (graph.BROADCAST_EDGES, 0):
-        part = graph.cluster_ids(graph.louvain(e, local_edges=local))
-        groups = {}
-        for r in part.collect():
-            groups.setdefault(r["community"], set()).add(r["node"][0])
-        assert sorted(map(sorted, groups.values())) == [["a"], ["b"]]
-        assert graph.modularity(e, part).first()["modularity"] > 0.35
+    part = graph.cluster_ids(graph.louvain(e))
+    groups = {}
+    for r in part.collect():
+        groups.setdefault(r["community"], set()).add(r["node"][0])
+    assert sorted(map(sorted, groups.values())) == [["a"], ["b"]]
+    assert graph.modularity(e, part).first()["modularity"] > 0.35
     assert graph.components(e).select("component").distinct().count() == 1
     assert graph.label_propagation(e).select("community").distinct().count() == 2
 
@@ -138,8 +139,8 @@ def test_ranks_and_bridges(spark):
     line = edges(spark, [("a", "b"), ("b", "c"), ("c", "d")])
     by_worker = {r["node"]: round(r["betweenness"], 6) for r in graph.betweenness(line).collect()}
     assert by_worker["b"] == round(2 / 6, 6) and by_worker["a"] == 0
-    levels = graph._by_levels(graph.simple(line), graph.nodes(line)).groupBy("node").agg(F.sum("d").alias("d"))
-    assert {r["node"]: r["d"] for r in levels.collect() if r["d"]} == {"b": 2.0, "c": 2.0}
+    joins = graph._by_joins(graph.simple(line), graph.nodes(line)).groupBy("node").agg(F.sum("d").alias("d"))
+    assert {r["node"]: r["d"] for r in joins.collect() if r["d"]} == {"b": 2.0, "c": 2.0}
     part = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", -1)], "node string, community int")
     got = {r["node"]: r["ratio"] for r in graph.bridges(line, part).collect()}
     assert got == {"b": 0.5, "c": 0.5}
@@ -147,6 +148,38 @@ def test_ranks_and_bridges(spark):
     assert graph.spearman(spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3)], "k string, x int, y int"), "x", "y", "k").first()["rho"] == 1.0
 
 
+def test_weights_count_at_every_size(spark):
+    """Shortest paths by weight, of equal length several: workers and joins agree."""
+    import random
+
+    r = random.Random(2)
+    rows = [(f"n{r.randint(0, 14):02d}", f"n{r.randint(0, 14):02d}", "FOLLOWS", float(r.choice([1, 1, 2, 3]))) for _ in range(60)]
+    e = spark.createDataFrame(rows, "source_id string, target_id string, relation_type string, weight double")
+    both = [{x["node"]: round(x["betweenness"], 9) for x in graph.betweenness(e, broadcast_edges=n).collect()} for n in (10_000, 0)]
+    assert both[0] == both[1] and sum(both[0].values()) > 0
+
+
+def test_planted_communities(spark):
+    import random
+
+    r = random.Random(3)
+    names = [f"{c}{i:02d}" for c in "abcd" for i in range(20)]
+    pairs = {(x, y) for x in names for y in names if x != y and r.random() < (0.4 if x[0] == y[0] else 0.01)}
+    part = graph.louvain(edges(spark, sorted(pairs))).collect()
+    assert len({(x["node"][0], x["community"]) for x in part}) == 4 and len({x["community"] for x in part}) == 4
+
+
+def test_numbered(spark):
+    from pulsegrid.operators.ranks import numbered, numbered_within
+
+    rows = spark.range(1000).selectExpr("id", "(id * 7919) % 1000 as v", "cast(id % 3 as string) as g").repartition(7)
+    assert all(r["place"] == r["v"] for r in numbered(rows, "v").collect())
+    got = {}
+    for r in numbered_within(rows, "g", F.desc("v")).collect():
+        got.setdefault(r["g"], []).append((r["place"], -r["v"]))
+    assert all([p for p, _ in sorted(x)] == list(range(len(x))) and sorted(x) == sorted(x, key=lambda y: y[1]) for x in got.values())
+
+
 def test_betweenness_of_the_queries(spark, monkeypatch):
     from pulsegrid.plans import catalog
 
