@@ -167,16 +167,14 @@ def _banded(bands: int, shared: Bits | None, columns: list[str]):
 
 
 def _short(batches: Iterator[pa.RecordBatch], shared: Bits) -> Iterator[pa.RecordBatch]:
-    """Rows of _banded with the number of the band and the low byte of each register."""
+    """Rows of _banded with the number of the band and the signature."""
     for batch in batches:
         h = _buckets(batch, BANDS)
         row, band = np.nonzero(shared.has(h))
-        low = np.frombuffer(b"".join(batch.column("_sig").to_pylist()), np.uint8)[::4].reshape(-1, REGISTERS)
-        low = pa.array([x.tobytes() for x in low], pa.binary())
         at = pa.array(row)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h[row, band]), pa.array(band.astype(np.int32)), batch.column("_class").take(at), batch.column("_node").take(at), low.take(at)],
-            names=["_bucket", "_band", "_class", "_node", "_low"],
+            [pa.array(h[row, band]), pa.array(band.astype(np.int32)), batch.column("_class").take(at), batch.column("_node").take(at), batch.column("_sig").take(at)],
+            names=["_bucket", "_band", "_class", "_node", "_sig"],
         )
 
 
@@ -189,14 +187,14 @@ def _agreeing(rows: pa.Table) -> pa.Table:
     bucket, band = rows.column("_bucket").to_numpy(), rows.column("_band").to_numpy()
     number: dict[bytes, int] = {}
     of = np.array([number.setdefault(c, len(number)) for c in rows.column("_class").to_pylist()])
-    low = np.frombuffer(b"".join(rows.column("_low").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    sig = np.frombuffer(b"".join(rows.column("_sig").to_pylist()), np.uint32).reshape(-1, REGISTERS)
     order = np.argsort(bucket, kind="stable")
     found: list[np.ndarray] = [np.zeros((2, 0), np.int64)]
     waiting: list[np.ndarray] = []
 
     def compare() -> None:
         a, b = np.concatenate(waiting, axis=1)
-        same = low[a] == low[b]
+        same = sig[a] == sig[b]
         first = same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
         found.append(np.stack([a, b])[:, (same.mean(axis=1) >= LEAST_AGREEMENT) & (first == band[a])])
         waiting.clear()
@@ -460,7 +458,7 @@ def _links_of(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataF
 
 def _links_in_small(classed: DataFrame, small: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """(_class, _to): links between nodes of different classes that share a bucket of small."""
-    rows = classed.mapInArrow(_short_rows(Bits.of(small, "_bucket")), "_bucket bigint, _band int, _class binary, _node binary, _low binary")
+    rows = classed.mapInArrow(_short_rows(Bits.of(small, "_bucket")), "_bucket bigint, _band int, _class binary, _node binary, _sig binary")
     tasks = max(1, (small.agg(F.sum("_n")).first()[0] or 0) // TASK_ROWS)
     pairs = rows.groupBy(F.pmod("_bucket", F.lit(tasks)).alias("_task")).applyInArrow(_agreeing, "_class binary, _to binary, _a binary, _b binary")
     return _links_of(pairs, shingles, similarity)
