@@ -10,9 +10,15 @@ from .sentiment import signed
 SEGMENTS = ("community", "age_bracket", "persona")
 
 
-def _metadata(path: str) -> Column:
-    places = (f"$.{path}", f"$.demographics.{path}", f"$.profile.{path}", f"$.persona.{path}")
-    return F.coalesce(*[F.get_json_object("extra_metadata", p) for p in places])
+# Where a user's metadata may hold a segment, the first that is there counts.
+PATHS = {
+    "age_bracket": ("$.age_bracket", "$.persona.age_bracket"),
+    "persona": ("$.primary_persona", "$.persona.primary_persona", "$.persona.name", "$.persona"),
+}
+
+
+def metadata(kind: str, c: str = "extra_metadata") -> Column:
+    return F.coalesce(*[F.get_json_object(c, p) for p in PATHS[kind]])
 
 
 def segment_key(kind: str) -> Column:
@@ -23,11 +29,26 @@ def segment_key(kind: str) -> Column:
     return F.coalesce(F.when(F.col(kind) != "", F.col(kind)), F.lit("unknown_age" if kind == "age_bracket" else "unknown_persona"))
 
 
+def _segments(users: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("string")
+    kinds = {k: metadata(k) if "extra_metadata" in users.columns else none for k in PATHS}
+    return users.select(F.col("id").alias("user_id"), *[c.alias(k) for k, c in kinds.items()])
+
+
 def adoptions(events: DataFrame, communities: DataFrame, analytics: DataFrame, users: DataFrame) -> DataFrame:
     """events (cascade_id, post_id, user_id, timestamp_ms) with their user's segments and their post's sentiment."""
-    u = users.select(F.col("id").alias("user_id"), _metadata("age_bracket").alias("age_bracket"), _metadata("persona").alias("persona")) if "extra_metadata" in users.columns else users.select(F.col("id").alias("user_id"), F.lit(None).cast("string").alias("age_bracket"), F.lit(None).cast("string").alias("persona"))
     a = analytics.select("post_id", "sentiment_score", "effective_polarity")
-    return events.join(communities.select("user_id", "community_id"), "user_id", "left").join(a, "post_id", "left").join(u, "user_id", "left")
+    rows = events.join(communities.select("user_id", "community_id"), "user_id", "left")
+    return rows.join(a, "post_id", "left").join(_segments(users), "user_id", "left")
+
+
+def topic_adoptions(posts: DataFrame, communities: DataFrame, analytics: DataFrame, users: DataFrame, topic: str, start: str, end: str) -> DataFrame:
+    """As ``adoptions``: the posts of a span whose text has the topic, as one cascade of its name."""
+    at = F.col("ts")
+    spanned = posts.filter((at >= F.lit(start).cast("timestamp")) & (at <= F.lit(end).cast("timestamp")))
+    found = spanned.filter(F.lower("text").like(f"%{topic.lower()}%"))
+    events = found.select(F.lit(topic).alias("cascade_id"), F.col("id").alias("post_id"), F.col("author_id").alias("user_id"), F.unix_millis("ts").alias("timestamp_ms"))
+    return adoptions(events, communities, analytics, users)
 
 
 def arrivals(rows: DataFrame, kind: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -80,7 +82,8 @@ def history(posts: DataFrame, analytics: DataFrame, start: str, end: str, interv
 
 
 def drift(posts: DataFrame, analytics: DataFrame, topic: str, t1: str, t2: str, t3: str, margin: float = 0.10, jump: float = 0.35) -> DataFrame:
-    """One row: mean signed sentiment of a topic's posts in [t1, t2) and [t2, t3], the shift, and whether it turned over."""
+    """One row: mean signed sentiment of a topic's posts in [t1, t2) and [t2, t3], the shift, whether it turned over, and a
+    status: insufficient_data if a window is empty."""
     at = F.col("ts")
     rows = posts.filter(F.lower("text").like(f"%{topic.lower()}%") & (at >= F.lit(t1).cast("timestamp")) & (at <= F.lit(t3).cast("timestamp")))
     rows = rows.join(analytics, F.col("id") == F.col("post_id"), "left").withColumn("_s", signed(F.col("effective_polarity"), F.coalesce("sentiment_score", F.lit(0.0)), F.lit(0.0)))
@@ -89,16 +92,36 @@ def drift(posts: DataFrame, analytics: DataFrame, topic: str, t1: str, t2: str,
     b, a = F.col("_b"), F.col("_a")
     opposed = ((b >= margin) & (a <= -margin)) | ((b <= -margin) & (a >= margin)) | ((F.abs(a - b) >= jump) & (a * b < 0))
     zero = F.lit(0.0)
-    return out.select("baseline_posts", "active_posts", F.round(F.coalesce(b, zero), 4).alias("baseline_sentiment"), F.round(F.coalesce(a, zero), 4).alias("active_sentiment"), F.round(F.coalesce(a, zero) - F.coalesce(b, zero), 4).alias("shift"), F.coalesce(opposed, F.lit(False)).alias("inverted"))
+    return out.select("baseline_posts", "active_posts", F.round(F.coalesce(b, zero), 4).alias("baseline_sentiment"), F.round(F.coalesce(a, zero), 4).alias("active_sentiment"), F.round(F.coalesce(a, zero) - F.coalesce(b, zero), 4).alias("shift"), F.coalesce(opposed, F.lit(False)).alias("inverted"), F.when(b.isNull() | a.isNull(), "insufficient_data").otherwise("ok").alias("status"))
 
 
-def scored(posts: DataFrame, scorer: Callable[[pd.Series], pd.DataFrame], schema: str, text: str = "text") -> DataFrame:
-    """posts with a struct ``model`` from a batch scorer of normalised texts (a model is loaded once by its worker)."""
+def latest_drift(posts: DataFrame, analytics: DataFrame, topic: str, minutes: float) -> DataFrame:
+    """``drift`` of the last window against the one before, up to the latest post."""
+    end = posts.agg(F.max("ts").cast("string")).first()[0]
+    if end is None:
+        return drift(posts, analytics, topic, "1970-01-01", "1970-01-01", "1970-01-01")
+    t3 = datetime.fromisoformat(end)
+    t1, t2 = (str(t3 - k * timedelta(minutes=minutes)) for k in (2, 1))
+    return drift(posts, analytics, topic, t1, t2, end)
+
+
+def scored(posts: DataFrame, load: Callable[[], Callable[[pd.Series], pd.DataFrame]], schema: str, text: str = "text", batch: int = 32) -> DataFrame:
+    """posts with a struct ``model`` from a scorer of normalised texts, batch by batch.
+
+    load is called once in each Python worker that runs tasks, by the first batch, and gives the scorer; so a model is
+    read where it is used and kept for later tasks of the worker."""
+    key = f"{getattr(load, '__module__', '')}.{getattr(load, '__qualname__', '')}.{uuid.uuid4().hex}"
 
     @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import builtins
+
+        kept = builtins.__dict__.setdefault("_pulsegrid_scorers", {})
+        if key not in kept:
+            kept[key] = load()
         for b in batches:
-            yield scorer(b)
+            parts = [kept[key](b.iloc[i : i + batch].reset_index(drop=True)) for i in range(0, len(b), batch)]
+            yield pd.concat(parts, ignore_index=True) if parts else kept[key](b)
 
     return posts.withColumn("model", run(tweet_normalised(F.col(text))))
 

@@ -51,6 +51,11 @@ def thread_tree(posts: DataFrame) -> DataFrame:
     return posts.join(depth, (posts["id"] == depth["node"]) & (posts["root_id"] == depth["tree"])).drop("tree", "node")
 
 
+def children(posts: DataFrame, parent: str) -> DataFrame:
+    """Direct replies to a post, by time."""
+    return posts.filter(F.col("parent_id") == parent).orderBy("timestamp_ms", "id")
+
+
 def thread_metrics(tree: DataFrame) -> DataFrame:
     """Per thread: posts, replies, max_depth, branching, participants, duration and mean latency of replies, in seconds."""
     parent = tree.select("root_id", F.col("id").alias("parent_id"), F.col("timestamp_ms").alias("_before"))

@@ -5,9 +5,7 @@ Every query runs over whole tables. Times are given as text and fractions are ro
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -15,27 +13,14 @@ from ..functions.time import as_text
 from ..operators import demographics, diffusion, graph, sentiment, tables, timeline, topics, trees, trends, vectors
 from ..session import table
 from ..sources import platforms
-from ..sources.views import load, with_views
+from ..sources.views import load
 from ..streaming.pipeline import hashtag_counts
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = with_views(sql, *views) if views else sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query
 
 _TS = "strftime({}, '%Y-%m-%d %H:%M:%S')".format
 
 
-def _posts(s: SparkSession, d: str) -> DataFrame:
+def _posts(s, d) -> DataFrame:
     return load(s, d, "posts")
 
 
@@ -122,11 +107,6 @@ def _(s, d):
     return tables.following(load(s, d, "graph_edges"), "u3")
 
 
-@query("comment_children", "SELECT id, parent_id FROM threads WHERE parent_id IS NOT NULL AND parent_id = root_id", ("threads",))
-def _(s, d):
-    return load(s, d, "threads").filter("parent_id = root_id").select("id", "parent_id").orderBy("parent_id", "id")
-
-
 @query("sql_passthrough", "SELECT event_type, count(*) AS n FROM events WHERE value >= 10 GROUP BY event_type")
 def _(s, d):
     table(s, d, "events").createOrReplaceTempView("pulsegrid_events")
@@ -231,11 +211,6 @@ def _(s, d):
     return trends.kinematics(rows, 1).select("term", "state")
 
 
-@query("trend_overview")
-def _(s, d):
-    return trends.overview(_posts(s, d), 1440)
-
-
 @query("topic_bins")
 def _(s, d):
     return topics.over_time(topics.fit(_posts(s, d)))
@@ -290,13 +265,6 @@ def _(s, d):
     return load(s, d, "post_analytics").select("post_id", x["polarity"].alias("polarity"), (x["score"] + 0.0).alias("score"))
 
 
-@query("emotion_calibration")
-def _(s, d):
-    names = ("joy", "fear", "anger", "sadness")
-    rows = _posts(s, d).join(load(s, d, "post_analytics"), F.col("id") == F.col("post_id")).select("id", "text", *[F.col(f"emotion_{k}").alias(f"p_{k}") for k in names], *[F.lit(0.1).alias(f"p_{k}") for k in ("surprise", "disgust", "neutral")])
-    return sentiment.calibrated(rows).select("id", "emotions.*", F.col("primary_emotion"), F.col("emotion_score"))
-
-
 @query("narrative_drift", """WITH x AS (SELECT ts < TIMESTAMP '2024-01-15' AS early, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE 0 END AS s FROM posts LEFT JOIN post_analytics ON id = post_id
  WHERE lower(text) LIKE '%purchase%' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20'), y AS (SELECT count(*) FILTER (early) AS nb, count(*) FILTER (NOT early) AS na, avg(s) FILTER (early) AS b, avg(s) FILTER (NOT early) AS a FROM x)
  SELECT nb AS baseline_posts, na AS active_posts, round(coalesce(b, 0), 4) AS baseline_sentiment, round(coalesce(a, 0), 4) AS active_sentiment, round(coalesce(a, 0) - coalesce(b, 0), 4) AS shift,
@@ -655,7 +623,6 @@ def _(s, d):
     return out.select("id", "author_id", "text", as_text(F.col("ts")).alias("at"), F.array_join("hashtags", ",").alias("tags"), F.array_join("mentions", ",").alias("mentions"), F.col("metrics.likes").alias("likes"))
 
 
-@query("json_fallbacks", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.demographics.persona'), json_extract_string(props, '$.persona'), 'unknown_persona') AS persona FROM events")
-def _(s, d):
-    p = F.col("props")
-    return table(s, d, "events").select("event_id", F.get_json_object(p, "$.k").cast("bigint").alias("k"), F.coalesce(F.get_json_object(p, "$.demographics.persona"), F.get_json_object(p, "$.persona"), F.lit("unknown_persona")).alias("persona"))
+from . import corpora_queries, graph_queries, post_queries, profile_queries  # noqa: E402  they add theirs
+
+__all__ = ["ORACLES", "QUERIES", "corpora_queries", "graph_queries", "post_queries", "profile_queries"]

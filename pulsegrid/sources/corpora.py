@@ -72,9 +72,14 @@ def _unzipped(suffix: str):
     return run
 
 
+def unzipped(archives: DataFrame, suffix: str = "") -> DataFrame:
+    """(name, value): lines of the files in archives (content)."""
+    return archives.select("content").mapInPandas(_unzipped(suffix), "name string, value string")
+
+
 def zipped_lines(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """(name, value): lines of the files in zip archives, a part of a file at a time; an archive is one task's."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzipped(suffix), "name string, value string")
+    return unzipped(spark.read.format("binaryFile").load(path), suffix)
 
 
 def cascades(rows: DataFrame) -> DataFrame:

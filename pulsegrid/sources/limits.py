@@ -19,23 +19,21 @@ class TokenBucket:
     def reset(self) -> None:
         self.tokens, self._at = self.capacity, self._clock()
 
-    def _refill(self) -> None:
-        now = self._clock()
-        self.tokens, self._at = min(self.capacity, self.tokens + (now - self._at) * self.rate), now
+    def _missing(self, wanted: float, take: bool) -> float:
+        """What the bucket lacks for a call, after what has come in since the last look; without a lack it is taken."""
+        with self._lock:
+            now = self._clock()
+            self.tokens, self._at = min(self.capacity, self.tokens + (now - self._at) * self.rate), now
+            lack = max(0.0, wanted - self.tokens)
+            self.tokens -= wanted if take and not lack else 0.0
+            return lack
 
     def acquire(self, tokens: float = 1.0) -> bool:
-        with self._lock:
-            self._refill()
-            if self.tokens < tokens:
-                return False
-            self.tokens -= tokens
-            return True
+        return not self._missing(tokens, take=True)
 
     def wait_time(self, tokens: float = 1.0) -> float:
-        with self._lock:
-            self._refill()
-            missing = tokens - self.tokens
-            return 0.0 if missing <= 0 else missing / self.rate if self.rate > 0 else float("inf")
+        lack = self._missing(tokens, take=False)
+        return lack / self.rate if lack and self.rate > 0 else float("inf") if lack else 0.0
 
 
 class DailyQuota:
@@ -68,7 +66,8 @@ class DailyQuota:
 
 
 def parse_env(text: str) -> dict[str, str]:
-    """KEY=value lines; export, quotes, comments and a comment after a bare value are understood."""
+    """KEY=value lines; export, quotes (one that is not closed reaches to the end), comments, and a bare value that ends
+    at its first #."""
     out = {}
     for line in text.splitlines():
         line = line.strip()
@@ -76,11 +75,10 @@ def parse_env(text: str) -> dict[str, str]:
             continue
         key, value = line.removeprefix("export ").split("=", 1)
         value = value.strip()
-        if value[:1] in ("'", '"') and value.find(value[0], 1) > 0:
-            value = value[1 : value.find(value[0], 1)]
-        else:
-            value = value.split(" #", 1)[0].strip()
-        out[key.strip()] = value
+        bare = value[:1] not in ("'", '"')
+        value = value.split("#", 1)[0].strip() if bare else value[1:].split(value[0], 1)[0]
+        if key.strip():
+            out[key.strip()] = value
     return out
 
 

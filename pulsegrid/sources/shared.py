@@ -4,7 +4,17 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_path(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset and the master is local (tests), a folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(shared_path, "own", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared_path.own = found = f"file://{tempfile.mkdtemp(prefix='pulsegrid-')}"
+    return found
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,8 +23,5 @@ def cut(df: DataFrame) -> DataFrame:
     On a cluster a folder of one machine is of no use to the others, so there the setting must be there."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(found or tempfile.mkdtemp(prefix="pulsegrid-"))
+        spark.sparkContext.setCheckpointDir(shared_path(spark))
     return df.checkpoint()

@@ -118,4 +118,4 @@ def with_views(sql: str, *names: str) -> str:
             break
     else:
         own = " "
-    return f"WITH {recursive}" + ", ".join(f"{n} AS ({CTES[n]})" for n in names) + own + body
+    return f"WITH {recursive}" + ", ".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in names) + own + body
