@@ -17,7 +17,7 @@ import pyarrow as pa
 from .textvec import ragged
 
 #: Pieces that a worker remembers at most; later ones are encoded each time they occur in a batch.
-MEMORY = 400_000
+MEMORY = 200_000
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 # White space as the split pattern has it, and the suffixes it splits off after an apostrophe.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]

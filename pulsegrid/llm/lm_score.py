@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free, stored, text_of
-from .textvec import BATCH_CHARS, Words, five, from_five, lean, mix, slices
+from .textvec import BATCH_CHARS, Words, five, from_five, lean, lean_group, mix, slices
 
 FOLDS, HELD_OUT = 7, 2
 BASE, PROBES, FILTER_BITS_EACH = 1.5, 3, 12
@@ -247,6 +247,7 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _blobs(keys[order], counts[order])
 
 
+@lean_group
 def _bits_of(block: pa.Table) -> pa.Table:
     """The bits of a block, as many as its n-grams need; a multiple of 64."""
     keys, counts = _summed(block)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Bits, free, key_filter, maybe_in, shared_dir, stored, text_of
-from .textvec import Words, five, from_five, lean, mix, run_hashes, slices
+from .textvec import Words, five, from_five, lean, lean_group, mix, run_hashes, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -56,8 +56,10 @@ YIELD = 2 / 3
 LEAST_AGREEMENT = 0.65
 #: Nodes of a block, two of which are compared in a task; rows of a task that compares several short lists.
 BLOCK, TASK_ROWS = 256, 2048
+#: Pairs whose signatures are compared at a time.
+PAIRS_AT_ONCE = 4096
 #: Bytes and rows of text that are worked on at a time: a row has REGISTERS times and values, 16 bytes each.
-SIGN_CHARS, SIGN_ROWS = 1_000_000, 8_192
+SIGN_CHARS, SIGN_ROWS = 500_000, 4_096
 #: Counters of shingles, which give the order of ``prefix``, and those of a piece that travels as a row.
 SKETCH, PIECE = 1 << 18, 1 << 12
 _SEED = np.uint64(0x5851F42D4C957F2D)
@@ -182,6 +184,7 @@ def _short_rows(shared: Bits):
     return lean(lambda batches: _short(batches, shared))
 
 
+@lean_group
 def _agreeing(rows: pa.Table) -> pa.Table:
     """(_class, _to, _a, _b): pairs of a bucket whose signatures agree, each in the first band that it shares."""
     bucket, band = rows.column("_bucket").to_numpy(), rows.column("_band").to_numpy()
@@ -199,12 +202,15 @@ def _agreeing(rows: pa.Table) -> pa.Table:
         found.append(np.stack([a, b])[:, (same.mean(axis=1) >= LEAST_AGREEMENT) & (first == band[a])])
         waiting.clear()
 
+    held = 0
     for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
         for i in range(len(own) - 1):
             later = own[i + 1 :][of[own[i + 1 :]] != of[own[i]]]
             waiting.append(np.stack([np.full(len(later), own[i]), later]))
-        if sum(w.shape[1] for w in waiting) > 20_000:
-            compare()
+            held += len(later)
+            if held > PAIRS_AT_ONCE:
+                compare()
+                held = 0
     if waiting:
         compare()
     a, b = (pa.array(x) for x in np.concatenate(found, axis=1))
@@ -329,6 +335,7 @@ def _first_shingles(common: Broadcast, least: float, shared: Bits | None):
 def _tile_links(least: float):
     """Links (_class, _to) between classes: nodes that share a shingle, one of them in its core, until links join them."""
 
+    @lean_group
     def rows(tile: pa.Table) -> pa.Table:
         number: dict[bytes, int] = {}
         named = tile.column("_class").to_pylist()

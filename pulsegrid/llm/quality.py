@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .textvec import Words, slices, whole
+from .textvec import Words, lean, slices, whole
 
 FOLDS, SAMPLE, THRESHOLD = 5, 20_000, 0.3
 BINS, PAIR_BINS, PAIRS = 32, 12, 6
@@ -208,6 +208,7 @@ def fold_of(key: Column, folds: int = FOLDS) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit(""))), F.lit(folds))
 
 
+@lean
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(batch.column("_text")):
@@ -220,8 +221,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col), folds) != 0))
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_label")).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_h", "_label", "_text")
-    got = rows.mapInArrow(_feature_rows, "_h bigint, _label double, _x array<double>").toPandas()  # numbers of at most ``sample`` rows
-    got = got.sort_values(["_h", "_label"], kind="stable").head(sample)
+    found = rows.mapInArrow(_feature_rows, "_h bigint, _label double, _x array<double>")
+    got = found.orderBy("_h", "_label", "_x").limit(sample).toPandas()  # numbers of at most ``sample`` rows, however often an id stands
     x = np.array(got["_x"].tolist()).reshape(len(got), len(FEATURES))
     order = np.lexsort(x.T[::-1])  # so that repeated rows come in one order
     return fit(x[order], got["_label"].to_numpy()[order])
@@ -235,6 +236,7 @@ def _scores(model: Model, texts: pa.Array) -> np.ndarray:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, folds: int = FOLDS) -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = _scores(model, batch.column("_text"))
@@ -249,6 +251,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     """The rows of docs that the model doesn't reject, as they are."""
     at = docs.columns.index(text_col)
 
+    @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_scores(model, batch.column(at).cast(pa.string())) >= threshold))

@@ -47,13 +47,29 @@ def lean(rows: Callable) -> Callable:
     @wraps(rows)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(_allocator(), "malloc_trim", None):
-            trim(0)
+        _give_back()
 
     return run
 
 
+def lean_group(rows: Callable) -> Callable:
+    """The same for a function over the table of a group, after each group."""
+
+    @wraps(rows)
+    def run(group: pa.Table) -> pa.Table:
+        out = rows(group)
+        _give_back()
+        return out
+
+    return run
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_allocator(), "malloc_trim", None):
+        trim(0)
+
+
 def slices(texts: pa.Array, chars: int = BATCH_CHARS, rows: int = BATCH_ROWS) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many bytes of text each, at least one row and at most ``rows``."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)

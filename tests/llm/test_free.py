@@ -310,6 +310,26 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0 and quality.keep_good(docs.limit(0), model).count() == 0
 
 
+def test_quality_tables_and_folds(spark):
+    """A score is the sum of one entry for each feature and pair; labels of the held-out fold change nothing; an id that
+    stands very often sends no more rows than the sample."""
+    from pulsegrid.llm.quality import features
+
+    rows = [(i, prose(i, 40) if i % 2 else junk(i, 40), "s") for i in range(400)]
+    docs = table(spark, rows + [(7, prose(7, 40), "s")] * 300)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, quality int")
+    wrong = spark.createDataFrame([(i, i % 2 if not held(i) else 1 - i % 2) for i in range(400)], "doc_id bigint, quality int")
+    model, other = quality.train(docs, labels, sample=350), quality.train(docs, wrong, sample=350)
+    texts = [t for _, t, _ in rows[:60]] + ["", "x " * 3000]
+    x = features(pa.array(texts))
+    assert (model.score(x) == other.score(x)).all()
+    for row, score in zip(x, model.score(x), strict=True):
+        total = model.bias + sum(t[sum(e <= v for e in edges)] for t, edges, v in zip(model.tables, model.edges, row, strict=True))
+        total += sum(t[sum(e <= row[a] for e in model.coarse[a]), sum(e <= row[b] for e in model.coarse[b])] for a, b, t in model.pairs)
+        assert abs(1 / (1 + np.exp(-total)) - score) < 1e-9
+
+
 def test_language_model(spark):
     rows = [(i, prose(i % 40, 80) if i % 9 else TEXTS[i % len(TEXTS)], "s") for i in range(300)] + [(None, "A b", "s"), (None, "A b", "s"), (12, "unseen words", "s")]
     docs = table(spark, rows)
