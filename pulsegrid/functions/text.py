@@ -104,15 +104,19 @@ def intensity(text: Column, feeling: str, cap: float = 2.0) -> Column:
     return F.least(F.lit(1.0), (score + F.when(shouted, 0.25).otherwise(0.0)) / cap)
 
 
+# The commonest words of languages.
+COMMON = {
+    "en": "the and of to in is that it for with was this are".split(),
+    "fr": "le la les et des est une dans que pour qui pas du".split(),
+    "de": "der die das und ist nicht ein eine mit den von zu auf".split(),
+    "es": "el los las y que en una por con para del es se".split(),
+}
+
+
 def language_guess(text: Column) -> Column:
     """struct<lang, confidence> by the share of each language's commonest words; en and 0 for texts without any."""
-    # Common words.
-    common = {
-        "en": "the and of to in is that it for with was this are".split(), "fr": "le la les et des est une dans que pour qui pas du".split(),
-        "de": "der die das und ist nicht ein eine mit den von zu auf".split(), "es": "el los las y que en una por con para del es se".split(),
-    }
     words = F.split(F.lower(language_text(text)), " ")
-    scored = F.array(*[F.struct((F.size(_among(words, own)) / F.greatest(F.size(words), F.lit(1))).alias("confidence"), F.lit(lang).alias("lang")) for lang, own in common.items()])
+    scored = F.array(*[F.struct((F.size(_among(words, own)) / F.greatest(F.size(words), F.lit(1))).alias("confidence"), F.lit(lang).alias("lang")) for lang, own in COMMON.items()])
     best = F.array_max(scored)
     return F.when(best["confidence"] > 0, F.struct(best["lang"].alias("lang"), F.round(best["confidence"], 4).alias("confidence"))).otherwise(F.struct(F.lit("en").alias("lang"), F.lit(0.0).alias("confidence")))
 

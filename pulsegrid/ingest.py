@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,18 +35,27 @@ def options(args: list[str] | None = None) -> argparse.Namespace:
     return p.parse_args(args)
 
 
-def sources(spark: SparkSession, base: str, limits: dict[str, int | None]) -> dict[str, DataFrame]:
-    """Table name to its rows."""
+def sources(spark: SparkSession, base: str, limits: dict[str, int | None]) -> dict[str, Callable[[], DataFrame]]:
+    """Table name to what gives its rows."""
     at = {k: f"{base}/{f}" for k, f in FILES.items()}
-    train = corpora.tsv_users(spark, at["train_users"], "train", limits["users"])
-    test = corpora.tsv_users(spark, at["test_users"], "test", limits["users"])
-    mapped = corpora.csv_users(spark, at["map_users"], limits["users"])
-    cascades = corpora.cascades(corpora.zipped_lines(spark, at["cascades"])).filter(~F.col("rejected")).drop("rejected")
-    cascades = cascades.withColumn("post_id", F.concat_ws("_", "cascade_id", "user_id"))
-    edges = corpora.dump_edges(corpora.zipped_lines(spark, at["edges"]))
     cut = lambda df, name: df.limit(limits[name]) if limits[name] else df
-    users = train.unionByName(test).unionByName(mapped, allowMissingColumns=True)
-    return {"users": users, "posts": corpora.tsv_posts(spark, at["tweets"], limit=limits["tweets"]), "cascade_events": cut(cascades, "cascades"), "graph_edges": cut(edges, "edges")}
+
+    def users() -> DataFrame:
+        train = corpora.tsv_users(spark, at["train_users"], "train", limits["users"])
+        test = corpora.tsv_users(spark, at["test_users"], "test", limits["users"])
+        mapped = corpora.csv_users(spark, at["map_users"], limits["users"])
+        return train.unionByName(test).unionByName(mapped, allowMissingColumns=True)
+
+    def cascades() -> DataFrame:
+        rows = corpora.cascades(corpora.zipped_lines(spark, at["cascades"])).filter(~F.col("rejected")).drop("rejected")
+        return cut(rows.withColumn("post_id", F.concat_ws("_", "cascade_id", "user_id")), "cascades")
+
+    return {
+        "users": users,
+        "posts": lambda: corpora.tsv_posts(spark, at["tweets"], limit=limits["tweets"]),
+        "cascade_events": cascades,
+        "graph_edges": lambda: cut(corpora.dump_edges(corpora.zipped_lines(spark, at["edges"])), "edges"),
+    }
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict:
@@ -54,8 +64,9 @@ def run(spark: SparkSession, args: argparse.Namespace) -> dict:
     limits = {k: None if args.full else getattr(args, f"{k}_limit") or None for k in LIMITS}
     spark.conf.set("spark.sql.files.maxPartitionBytes", f"{args.partition_mb}m")
     done, failed = {}, {}
-    for name, rows in sources(spark, args.base.rstrip("/"), limits).items():
+    for name, read in sources(spark, args.base.rstrip("/"), limits).items():
         try:
+            rows = read()
             keyed = tables.upsert(rows.limit(0), rows, tables.KEYS[name])
             keyed.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/{name}")
             done[name] = spark.read.parquet(f"{args.out.rstrip('/')}/{name}").count()

@@ -88,7 +88,7 @@ def point_id(c: Column) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.lit(_DNS)), F.encode(c.cast("string"), "UTF-8")))
     variant = F.substring(F.lit("89ab"), (F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1).cast("int"), F.lit(1))
     made = F.concat(F.substring(digest, 1, 12), F.lit("5"), F.substring(digest, 14, 3), variant, F.substring(digest, 18, 15))
-    whole = F.when((number >= 0) & (number <= 18446744073709551615), number.cast("string"))
+    whole = F.when((number >= 0) & (number <= F.lit("18446744073709551615").cast("decimal(38,0)")), number.cast("string"))
     return F.coalesce(whole, F.when(bare.rlike("^[0-9a-f]{32}$"), _uuid(bare)), _uuid(made))
 
 

@@ -177,6 +177,19 @@ def _(s, d):
     return trends.rank_bursts(found, trends.term_diversity(p).withColumn("sentiment", F.lit(None).cast("double")))
 
 
+_CURRENT = "now AS (SELECT term, count(DISTINCT author_id) * 1.0 / count(*) AS diversity FROM terms, span WHERE epoch_us(ts) / 1e6 >= e - 86400.0 GROUP BY term)"
+_SUBJECTS = """tb AS (SELECT platform AS topic, author_id, CAST(least(9, floor((epoch_us(ts) - lo) * 10.0 / (hi - lo))) AS INT) AS bin FROM posts, (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM posts)),
+ tl AS (SELECT topic, count(DISTINCT author_id) * 1.0 / count(*) AS d, count(*) FILTER (bin = 0) AS f, count(*) FILTER (bin = 9) AS l FROM tb GROUP BY topic)"""
+
+
+@query("trend_overview", f"""WITH {_METRICS}, {_CURRENT}, {_SUBJECTS} SELECT term AS subject, 'burst' AS origin, round(0.5 * CASE WHEN z_score > 0 THEN least(1.0, ln(1 + z_score) / ln(16)) ELSE 0 END + 0.25 * 0.5 + 0.25 * coalesce(diversity, 0.5), 4) AS score
+ FROM metrics LEFT JOIN now USING (term) WHERE z_score >= 1 AND "count" >= 3 UNION ALL SELECT topic, 'topic', round(0.5 * least(1.0, greatest(0.0, (l - greatest(1, f)) * 1.0 / greatest(1, f) / 3)) + 0.25 * 0.5 + 0.25 * d, 4) FROM tl""", ("posts",))
+def _(s, d):
+    p = _posts(s, d)
+    subjects = trends.topic_rows(p.withColumn("topic", F.col("platform")))
+    return trends.overview(p, 1440, topics=subjects, z_threshold=1.0)
+
+
 @query("participant_diversity", f"WITH {_TERMS}, {_DIVERSE} SELECT term, round(diversity, 6) AS diversity FROM diverse", ("posts",))
 def _(s, d):
     return trends.term_diversity(_posts(s, d)).select("term", F.round("diversity", 6).alias("diversity"))
@@ -586,11 +599,6 @@ def _(s, d):
     return demographics.recent_posts(_posts(s, d)).select("author_id", F.md5(F.array_join("texts", "|")).alias("digest"))
 
 
-@query("language_counts")
-def _(s, d):
-    return table(s, d, "documents").select(T.language_guess(F.col("text"))["lang"].alias("lang")).groupBy("lang").agg(F.count(F.lit(1)).alias("documents")).orderBy(F.desc("documents"), "lang")
-
-
 # --- diffusion and sources -----------------------------------------------------------------------------------------
 
 _REACHED = """x AS (SELECT c.*, 'community_' || CAST(substr(user_id, 2) AS BIGINT) % 6 AS segment, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE sentiment_score END AS s FROM cascade_events c LEFT JOIN post_analytics USING (post_id)),

@@ -258,3 +258,110 @@ def test_limits():
     q = limits.DailyQuota(150)
     assert q.spend("search") and not q.spend("search") and q.left == 50
     assert limits.parse_env("export A='x y' # c\nB=1 # note\n#C=2") == {"A": "x y", "B": "1"}
+
+
+def test_connectors(spark):
+    from pulsegrid.sources.connectors import Connector, group_targets, video_target
+
+    assert not Connector("reddit", enabled=False).connect()
+    with pytest.raises(ValueError):
+        Connector("pigeon")
+    made = Connector("bluesky", clock=lambda: 7.0)
+    assert made.connect() and made.poll(spark, "solar", 20).count() == 20
+    assert made.info()["state"] == "connected" and made.info()["stats"].messages == 20 and made.info()["stats"].last_active == 7.0
+    asked = Connector("twitter", fetch=lambda q, n: ['{"id":"1","text":"' + q + '"}'] * (n + 5))
+    assert asked.poll(spark, "hi", 3).select("text").distinct().first()["text"] == "hi" and asked.info()["stats"].messages == 3
+
+    def broken(query, limit):
+        raise RuntimeError("down")
+
+    failing = Connector("twitter", fetch=broken)
+    assert failing.poll(spark, "x", 4).count() == 4  # made posts stand in
+    assert failing.info()["state"] == "error" and failing.info()["stats"].last_error == "down"
+    slow = Connector("youtube", per_minute=1)
+    assert slow.poll(spark, "a", 2).count() == 2 and slow.poll(spark, "a", 2).count() == 0 and slow.info()["state"] == "rate_limited"
+    assert slow.disconnect() and slow.info()["state"] == "disconnected"
+
+    assert group_targets("https://t.me/news") == (["@news"], None) and group_targets("@x") == (["@x"], None)
+    assert group_targets("two words", ["@a"]) == (["@a"], "two words") and group_targets("solar") == (["@solar"], None)
+    assert group_targets("a b") == (["@telegram"], "a b") and group_targets("") == (["@telegram"], None)
+    assert video_target("video: abc") == {"videoId": "abc", "order": "relevance"}
+    assert video_target("dQw4w9WgXcQ")["videoId"] == "dQw4w9WgXcQ" and video_target("UC" + "x" * 22)["order"] == "time"
+    assert video_target("solar power", channel="UCc") == {"allThreadsRelatedToChannelId": "UCc", "searchTerms": "solar power", "order": "time"}
+    assert video_target("solar power", search=lambda q: "found")["videoId"] == "found"
+
+
+def test_ingest_command(spark, tmp_path):
+    import json
+    import zipfile
+
+    from pulsegrid import ingest
+
+    base = tmp_path / "in"
+    base.mkdir()
+    (base / "training_set_users.txt").write_text("1\tAustin, TX\n2\tBerlin\n2\tBerlin\n")
+    (base / "test_set_users.txt").write_text("3\tUT: 30.0,-97.0\n")
+    (base / "training_set_tweets.txt").write_text("1\t10\thi #a\t2010-01-02 03:04:05\n1\t11\tagain\t2010-01-02 03:04:06\n")
+    (base / "distinct_users_from_search_table_real_map.csv").write_text("user_id,user_screen_name,indegree,outdegree,bad_user_id\n4,dan,5,x,0\n")
+    with zipfile.ZipFile(base / "Cascade.zip", "w") as z:
+        z.writestr("Cascade/c1.csv", "4,1000,1\n1,2000,2\n2,never,3\n")
+    with zipfile.ZipFile(base / "link.zip", "w") as z:
+        z.writestr("link.sql", "INSERT INTO link VALUES (1, 2, 0),(4, 1, 0);\n")
+    summary = ingest.run(spark, ingest.options(["--base", str(base), "--out", str(tmp_path / "out"), "--tweets-limit", "1"]))
+    assert summary["rows"] == {"users": 4, "posts": 1, "cascade_events": 2, "graph_edges": 2} and not summary["failed"]
+    (base / "link.zip").unlink()
+    again = ingest.run(spark, ingest.options(["--base", str(base), "--out", str(tmp_path / "out2"), "--full"]))
+    assert again["rows"]["posts"] == 2 and list(again["failed"]) == ["graph_edges"] and json.dumps(again)
+
+
+def test_conversations_and_records(spark):
+    from pulsegrid.operators import analytics, records
+
+    t = spark.createDataFrame([("r", None, "r", "a", 0), ("y", "r", "r", "b", 5), ("x", "r", "r", "b", 3), ("q", None, "q", "c", 0)], "id string, parent_id string, root_id string, author_id string, timestamp_ms bigint")
+    assert [r["id"] for r in analytics.replies_in_order(t, "r").collect()] == ["x", "y"]
+    none = spark.createDataFrame([], "post_id string, polarity string, score double, primary_emotion string, stance string")
+    known = spark.createDataFrame([("r", "negative", -0.4, "anger")], "post_id string, effective_polarity string, sentiment_score double, primary_emotion string")
+    got = {r["root_id"]: r for r in analytics.conversations(t, none, known).collect()}
+    assert got["r"]["dynamics_from"] == "root" and got["r"]["against"] == 1.0 and got["r"]["mood"] == "anger" and got["q"]["dynamics_from"] == "none"
+    with pytest.raises(ValueError):
+        analytics.evaluated(t, "taste", "test")
+    rows = spark.createDataFrame([(str(i), i) for i in range(20)], "id string, n int")
+    assert records.with_ids(rows, [str(i) for i in range(0, 3000, 2)]).count() == 10
+
+
+def test_network_versions(spark):
+    from pulsegrid.operators.network import Network
+
+    n = Network(cliques(spark))
+    first = n.overview(least=2, leaders=3)
+    assert n.overview(least=2, leaders=3) is first  # kept while nothing changes
+    assert first["topology"].first()["components"] == 1 and first["leaders"].count() == 3
+    more = n.add(edges(spark, [("a0", "b0"), ("z", "a0")]))
+    assert more.revision == 1 and more.has("z", "a0") and not n.has("z", "a0") and more.counts().first()["nodes"] == 11
+    assert more.cleared().counts().first()["nodes"] == 0
+
+
+def test_scorer_is_loaded_once_a_worker(spark, tmp_path):
+    from pulsegrid.operators import sentiment as S
+
+    mark = str(tmp_path)
+
+    def load():
+        import os
+        import uuid
+
+        import pandas as pd
+
+        open(os.path.join(mark, uuid.uuid4().hex), "w").close()
+        return lambda texts: pd.DataFrame({"n": texts.str.len()})
+
+    rows = spark.createDataFrame([(str(i), "x" * i) for i in range(200)], "id string, text string").repartition(8)
+    out = S.scored(rows, load, "n int", batch=7)
+    assert all(r["model"]["n"] == len(r["text"]) for r in out.collect())
+    import os
+
+    assert len(os.listdir(mark)) <= 8  # tasks share workers, batches never load again
+
+
+def test_settings():
+    assert limits.parse_env("A=a#b\nB='x # y' # z\nC=\"open\nexport D = 1\n=2\n#E=1") == {"A": "a", "B": "x # y", "C": "open", "D": "1"}
