@@ -36,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def small_batches(spark: SparkSession, megabytes: int = 2) -> None:
+    """Bounds what a task hands to its Python worker at a time in bytes (the default of 64 MiB stands several times in
+    the task's memory, and texts differ in length), for this session from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it goes when the driver ends."""
     path = f"{shared_dir(spark)}/pulsegrid/{name}-{uuid.uuid4().hex}"

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, stored, text_of
+from .common import free, small_batches, stored, text_of
 from .textvec import BATCH_CHARS, Words, five, from_five, lean, lean_group, mix, slices
 
 FOLDS, HELD_OUT = 7, 2
@@ -353,6 +353,7 @@ def lm_scores(
 ) -> DataFrame:
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark, id_type = docs.sparkSession, docs.schema[id_col].dataType
+    small_batches(spark, PARTED_CHARS >> 20)
     held_out = fold_of(F.col(id_col), folds) == held
     rows = docs.select(F.col(id_col).alias("_id"), held_out.alias("held_out"), text_of(text_col).alias("_text"))
     texts = rows.filter("not held_out").select("_text")

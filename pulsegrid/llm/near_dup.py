@@ -42,7 +42,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, free, key_filter, maybe_in, shared_dir, stored, text_of
+from .common import Bits, free, key_filter, maybe_in, shared_dir, small_batches, stored, text_of
 from .textvec import Words, five, from_five, lean, lean_group, mix, run_hashes, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -508,6 +508,7 @@ def _last_links(classed: DataFrame, shared: Bits, shingles: DataFrame, similarit
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(_node, _class) of the nodes that are linked to another; for _node see ``node_of``."""
     shared_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
     rows = docs.select(text_of(text_col).alias("_text")).select(node_of(F.col("_text")).alias("_node"), "_text")
     signed = rows.mapInArrow(_signed, "_node binary, _sig binary").filter("_sig is not null")
     signed = stored(signed.groupBy("_node").agg(F.first("_sig").alias("_sig")), "signatures")

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import block_starts, stored
+from .common import block_starts, small_batches, stored
 from .textvec import lean, ragged, slices
 
 LENGTH, WINDOW, END_ID = 1024, 64 * 1024, 0
@@ -180,6 +180,7 @@ def pack(
     temperature: float = 1.0, part: int = PART,
 ) -> DataFrame:
     """One row per piece: id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids)."""
+    small_batches(docs.sparkSession)
     long, id_type = T.LongType(), docs.schema[id_col].dataType
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("_id"), text(source_col).alias("_source"), text(text_col).alias("_text"))

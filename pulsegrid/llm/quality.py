@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import small_batches, text_of
 from .textvec import Words, lean, slices, whole
 
 FOLDS, SAMPLE, THRESHOLD = 5, 20_000, 0.3
@@ -218,6 +218,7 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = FOLDS, sample: int = SAMPLE) -> Model:
     """The model from at most ``sample`` labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(F.col(id_col), folds) != 0))
     chosen = usable.groupBy(F.col(id_col).alias("_id")).agg(F.avg(label_col).alias("_label")).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(sample)
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_h", "_label", "_text")
@@ -235,6 +236,7 @@ def _scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, folds: int = FOLDS) -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
+    small_batches(docs.sparkSession)
 
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +251,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the model doesn't reject, as they are."""
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     @lean

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import encoder
-from .common import block_starts, scratch, stored, text_of
+from .common import block_starts, scratch, small_batches, stored, text_of
 from .textvec import BATCH_CHARS, lean, ragged, slices
 
 END_ID = 2
@@ -162,6 +162,7 @@ def write_tokens(
     """Writes the files of ``files`` ranges of ids; their folder, and a row for each: part (range), number (file of the
     range), docs, tokens, start (tokens in the files before)."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = path or scratch(spark, "token-files")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
