@@ -51,3 +51,33 @@ def test_pipeline(spark, tmp_path):
         got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
     assert got == want
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "quality_classifier" and len(corpus_pipeline.STAGES) == 5
+
+
+def test_odd_input(spark, tmp_path):
+    """Nulls, repeated rows, very long and empty texts, columns with clashing names, and empty tables."""
+    import corpus_pipeline
+
+    long = prose(50, 30_000)
+    rows = [(i, prose(i), None if i % 3 else "s") for i in range(30)] + [(None, prose(99), "s")] * 2 + [(5, prose(5), None)] * 3
+    rows += [(100, None, None), (101, "", "s"), (102, long, "s"), (103, long + " end", "s")]
+    schema = "doc_id bigint, text string, source string, _row int, _id string, _class string, _words int, _text string, _part int"
+    full = [(i, t, s, 1, "x", None, 2, "y", 3) for i, t, s in rows]
+
+    def written(name, docs, labels, bench):
+        at = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame(bench, "item_id bigint, text string").write.parquet(f"{at}/benchmark.parquet")
+        return at
+
+    at = written("odd", full, [], [])
+    got = corpus_pipeline.run(spark, at).collect()
+    assert {r["doc_id"] for r in got} == {*range(30), None, 101, 102}  # 103 is a near copy of 102, 100 an exact one of 101
+    assert sum(r["length"] for r in got) == sum({(r["doc_id"], r["doc_tokens"]) for r in got} and {r["doc_id"]: r["doc_tokens"] for r in got}.values())
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, at)
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+    assert corpus_pipeline.run(spark, written("none", [], [(1, 1, 0)], [(1, "a b c")])).count() == 0
+    marked = written("marked", full, [(i, 1, 0) for i in range(30)], [(1, prose(3)), (None, None), (2, "")])
+    assert 3 not in {r["doc_id"] for r in corpus_pipeline.run(spark, marked).collect()}
