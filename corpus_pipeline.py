@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), reads what its predecessor kept, and returns the columns of documents, but
 for the last, which returns the pieces of packed sequences.
+
+Defined cases: a null text is an empty one, and is judged, kept or dropped like any other (all empty texts are copies);
+a null source is the source ''; null ids are carried, and come before no other id where the largest or smallest counts;
+repeated rows are copies, of which one stays; of equal scores and ties by id the stages' own rules hold; an empty table
+of documents gives no pieces, one of labels keeps what the smoothed share of good ones keeps (all), one of the benchmark
+drops nothing; extra columns are carried up to packing, whatever they are called.
 """
 
 from __future__ import annotations
