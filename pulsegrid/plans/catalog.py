@@ -443,13 +443,13 @@ def _(s, d):
 def _pagerank_sql(rounds: int) -> str:
     steps = [f"WITH {_N}, c AS (SELECT count(*)::DOUBLE AS n FROM nodes), o AS (SELECT source_id, count(*)::DOUBLE AS k FROM graph_edges GROUP BY 1), e AS (SELECT source_id, target_id, 1.0 / k AS share FROM graph_edges JOIN o USING (source_id)), r0 AS (SELECT node, 1.0 / n AS rank FROM nodes, c)"]
     for i in range(rounds):
-        steps.append(f"m{i} AS (SELECT target_id AS node, sum(rank * share) AS x FROM r{i} JOIN e ON source_id = node GROUP BY 1), z{i} AS (SELECT coalesce(sum(rank), 0) AS s FROM r{i} WHERE node NOT IN (SELECT source_id FROM o)), r{i + 1} AS (SELECT node, 0.15 / n + 0.85 * (coalesce(x, 0) + s / n) AS rank FROM nodes LEFT JOIN m{i} USING (node), c, z{i})")
+        steps.append(f"m{i} AS (SELECT target_id AS node, sum(rank * share) AS x FROM r{i} JOIN e ON source_id = node GROUP BY 1), z{i} AS (SELECT coalesce(sum(rank), 0) AS s FROM r{i} WHERE node NOT IN (SELECT source_id FROM o)), r{i + 1} AS MATERIALIZED (SELECT node, 0.15 / n + 0.85 * (coalesce(x, 0) + s / n) AS rank FROM nodes LEFT JOIN m{i} USING (node), c, z{i})")
     return ", ".join(steps) + f" SELECT node, round(rank, 7) AS rank FROM r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(8), _G)
+@query("pagerank", _pagerank_sql(30), _G)
 def _(s, d):
-    return graph.pagerank(_edges(s, d), rounds=8, tolerance=0).select("node", F.round("rank", 7).alias("rank"))
+    return graph.pagerank(_edges(s, d), tolerance=1e-11).select("node", F.round("rank", 7).alias("rank"))
 
 
 @query("connected_components", "WITH RECURSIVE b AS (SELECT source_id AS x, target_id AS y FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), r AS (SELECT x AS node, x AS component FROM b UNION SELECT b.y, r.component FROM r JOIN b ON b.x = r.node WHERE r.component <= b.y) SELECT node, min(component) AS component FROM r GROUP BY node", _G)
@@ -459,7 +459,7 @@ def _(s, d):
 
 @query("label_propagation")
 def _(s, d):
-    return graph.label_propagation(_edges(s, d), 5)
+    return graph.label_propagation(_edges(s, d), 50)
 
 
 @query("louvain")
@@ -490,7 +490,7 @@ def _(s, d):
 @query("kol_ranking")
 def _(s, d):
     e = _edges(s, d)
-    return graph.rank_leaders(graph.pagerank(e, rounds=20), graph.degrees(e), graph.betweenness(e))
+    return graph.rank_leaders(graph.pagerank(e), graph.degrees(e), graph.betweenness(e))
 
 
 @query("bridge_kols", f"""WITH {_N}, {_PART}, p AS (SELECT source_id AS node, target_id AS nx FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), x AS (SELECT p.node, CASE WHEN a.community >= 0 THEN a.community END AS own, CASE WHEN b.community >= 0 THEN b.community END AS oth FROM p JOIN part a ON a.node = p.node JOIN part b ON b.node = p.nx),
