@@ -13,8 +13,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A membership filter has 2**FILTER_BITS bits: 1024 rows of 4096 bytes, 4 MiB whatever the input is.
-FILTER_BITS = 25
+#: Bits of a membership filter for each row it may be made of, and their least and most powers of two (64 MiB).
+BITS_A_ROW, LEAST_POWER, MOST_POWER = 32, 20, 29
 _ROW_BITS = 15
 #: Blocks that are summed up in one window; more are summed in groups of GROUP first.
 MOST_BLOCKS, GROUP = 100_000, 1024
@@ -102,12 +102,20 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def key_filter(keys: DataFrame, key: Sequence[Column]) -> DataFrame:
-    """A bitmap over hashed keys, at most 4 MiB, so it can always be broadcast.
+def filter_power(rows: int) -> int:
+    """The size of a filter over the keys of so many rows, as a power of two of bits."""
+    power = LEAST_POWER
+    while power < MOST_POWER and 1 << power < rows * BITS_A_ROW:
+        power += 1
+    return power
 
-    Beyond some 10**7 keys it fills up and lets more rows through; whoever uses it joins what it lets through exactly.
+
+def key_filter(keys: DataFrame, key: Sequence[Column], power: int) -> DataFrame:
+    """A bitmap over hashed keys in rows of 4096 bytes, at most 64 MiB in all, so it can always be broadcast.
+
+    Beyond some 10**8 keys it fills up and lets more rows through; whoever uses it joins what it lets through exactly.
     """
-    h = F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS))
+    h = F.pmod(F.xxhash64(*key), F.lit(1 << power))
     return (
         keys.select(F.shiftright(h, _ROW_BITS).alias("_fb"), h.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_fp"))
         .groupBy("_fb")
@@ -115,11 +123,11 @@ def key_filter(keys: DataFrame, key: Sequence[Column]) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, key: Sequence[Column], bitmap: DataFrame, name: str) -> DataFrame:
-    """df with a boolean column: false means that the key is not among the filter's."""
+def maybe_in(df: DataFrame, key: Sequence[Column], bitmap: DataFrame, name: str, power: int) -> DataFrame:
+    """df with a boolean column: false means that the key is not among the filter's (of the same power)."""
     h, b, bits = free_names(df, f"_h_{name}", f"_b_{name}", f"_bits_{name}")
     bitmap = bitmap.withColumnsRenamed({"_fb": b, "_fbits": bits})
-    df = df.withColumn(h, F.pmod(F.xxhash64(*key), F.lit(1 << FILTER_BITS)))
+    df = df.withColumn(h, F.pmod(F.xxhash64(*key), F.lit(1 << power)))
     at = F.col(h).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     byte = F.conv(F.hex(F.substring(F.col(bits), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return (

@@ -1,7 +1,7 @@
 """Exact duplicates by progressive refinement: length, then a hash of a prefix, then a hash of the whole text.
 
 Each level looks only at rows that the level before could not tell apart. What is known of a level goes to the next
-scan as a bitmap of fixed size (``key_filter``), so texts are never shuffled to find out which of them need the next
+scan as a bitmap of bounded size (``key_filter``), so texts are never shuffled to find out which of them need the next
 level, and a group of copies that holds a third of all rows costs one pre-aggregated row per task.
 
 Defined cases: a null text equals the empty text; a null doc_id is smaller than any other; rows that repeat the kept
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import key_filter, maybe_in, text_of
+from .common import filter_power, key_filter, maybe_in, text_of
 
 #: Characters of the prefix that is hashed on the second level.
 PREFIX_CHARS = 64
@@ -23,12 +23,13 @@ PREFIX_CHARS = 64
 def _refined(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int, carry: dict[str, Column]) -> DataFrame:
     """_id, _n (bytes), carried columns and _full: sha256 of the text where two levels did not tell it apart, else null."""
     base = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"), *[c.alias(k) for k, c in carry.items()]).withColumn("_n", F.octet_length("_t"))
+    power = filter_power(docs.count())
     prefix = F.xxhash64(F.substring("_t", 1, prefix_chars))
     lengths = base.groupBy("_n").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
-    base = maybe_in(base, [F.col("_n")], key_filter(lengths, [F.col("_n")]), "_by_length")
+    base = maybe_in(base, [F.col("_n")], key_filter(lengths, [F.col("_n")], power), "_by_length", power)
     prefixes = base.filter("_by_length").groupBy("_n", prefix.alias("_p")).agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
     base = base.withColumn("_p", F.when(F.col("_by_length"), prefix))
-    base = maybe_in(base, [F.col("_n"), F.col("_p")], key_filter(prefixes, [F.col("_n"), F.col("_p")]), "_by_prefix")
+    base = maybe_in(base, [F.col("_n"), F.col("_p")], key_filter(prefixes, [F.col("_n"), F.col("_p")], power), "_by_prefix", power)
     return base.withColumn("_full", F.when(F.col("_by_length") & F.col("_by_prefix"), F.sha2("_t", 256)))
 
 

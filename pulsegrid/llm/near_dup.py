@@ -42,7 +42,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, free, key_filter, maybe_in, shared_dir, small_batches, stored, text_of
+from .common import Bits, filter_power, free, key_filter, maybe_in, shared_dir, small_batches, stored, text_of
 from .textvec import Words, five, from_five, lean, lean_group, mix, run_hashes, slices
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -516,7 +516,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = Bits.of(stored(buckets.filter("_n > 1").select("_bucket"), "shared"), "_bucket")
     # Most nodes share no bucket: their bands go no further than the task that made them.
     near = stored(signed.mapInArrow(_touching(shared), signed.schema), "near")
-    some = maybe_in(rows, [F.col("_node")], key_filter(near.select("_node"), [F.col("_node")]), "_likely").filter("_likely")
+    power = filter_power(near.count())
+    some = maybe_in(rows, [F.col("_node")], key_filter(near.select("_node"), [F.col("_node")], power), "_likely", power).filter("_likely")
     some = some.select("_node", "_text").mapInArrow(_shingled, "_node binary, _shingles binary, _weights binary")
     shingles = stored(some.groupBy("_node").agg(F.first("_shingles").alias("_shingles"), F.first("_weights").alias("_weights")), "shingles")
 
@@ -560,7 +561,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = rows.groupBy("_node").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select("_node")
     copies = copies.join(classes, "_node", "left_anti").select("_node", F.col("_node").alias("_class"))
     grouped = stored(classes.union(copies), "classes")
-    rows = maybe_in(rows, [F.col("_node")], key_filter(grouped.select("_node"), [F.col("_node")]), "_several")
+    power = filter_power(grouped.count())
+    rows = maybe_in(rows, [F.col("_node")], key_filter(grouped.select("_node"), [F.col("_node")], power), "_several", power)
     named = rows.filter("_several").join(grouped, "_node", "left").withColumn("_class", F.coalesce("_class", "_node"))
     best = named.groupBy("_class").agg(F.min_by("_row", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_node"))).alias("_row"))
     return rows.filter("not _several").select("_row.*").union(best.select("_row.*"))
