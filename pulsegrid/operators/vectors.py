@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expr import once
 from ..sources.shared import cut
 from .tables import upsert
 
@@ -19,11 +20,6 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of value, with value computed once a row, also inside of lambdas."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def scaled(a: Column) -> Column:
     """a with a norm of 1; the zero vector as it is."""
     return once(norm(a), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double"))))
