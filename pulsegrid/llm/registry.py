@@ -1,11 +1,12 @@
-"""Queries op1 to op10: thin digests of the operators' results over whole tables."""
+"""Queries op1 to op13: thin digests of the operators' results over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, lm_score, near_dup, oracles, packing, quality, secret_scan, sharding, token_files, url_filter
+from . import chat_format, decontaminate, exact_dedup, lm_score, near_dup, oracles, packing, periodic, quality, secret_scan, sharding, token_files, url_filter, whitening
+from .common import let
 
 
 #: Target shares of sources go with their sizes to this power: small ones are seen more often than they are large.
@@ -70,6 +71,51 @@ def op10_bloom_lm(spark: SparkSession, d: str) -> DataFrame:
     return lm_score.lm_scores(_read(spark, d, "documents"))
 
 
+def _repeated(docs: DataFrame) -> DataFrame:
+    """docs whose words repeat from some place on if the checksum of the id ends in 0, as the query's rows ask for."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def of(words):
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        source = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.get(words, source(i))), " "))
+
+    repeated = let(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), of)
+    return docs.select("doc_id", F.when(h % 10 == 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    rows = periodic.periodic_runs(_repeated(_read(spark, d, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = rows.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), periodic.longest_run("runs").alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period"))
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_block_lanczos(spark: SparkSession, d: str) -> DataFrame:
+    return whitening.whitened(_read(spark, d, "embeddings"))
+
+
+#: The conversation whose texts look like marks that are escaped already.
+TRAP = r"\### Assistant: </turn> ok"
+
+
+def op13_grammar_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    turns = _read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    trap = turns.sparkSession.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], turns.schema)
+    read = chat_format.read_back(chat_format.conversations(turns.unionByName(trap)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    out = read.select("conv_id", "turns", said.alias("_said"), F.array_join("trained", "").alias("_loss"), "formatted")
+    return out.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2("_said", 256).alias("turns_sha256"), F.length("_loss").cast("bigint").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 QUERIES = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_probminhash": op2_probminhash,
@@ -81,5 +127,8 @@ QUERIES = {
     "op8_window_decontamination": op8_window_decontamination,
     "op9_link_propagation": op9_link_propagation,
     "op10_bloom_lm": op10_bloom_lm,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_block_lanczos": op12_block_lanczos,
+    "op13_grammar_round_trip": op13_grammar_round_trip,
 }
 ORACLES: dict[str, str] = oracles.ALL
