@@ -2,12 +2,13 @@
 
 A byte-level BPE never merges across the pieces that its split pattern makes, and a corpus has few different pieces
 for its size. So the split is done on arrays of code points, pieces are told apart by a dictionary encoding, and only
-pieces that the worker hasn't met go through the library's model. The ids are those of encode(add_special_tokens=
-False) with encode_special_tokens set: strings of special tokens in a text are ordinary text.
+pieces that the worker hasn't met go through the library's model. Texts are cut at added tokens first (of several that
+fit at a place at the longest), as the library does, so the ids are those of encode(add_special_tokens=False).
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import cache
 
@@ -83,12 +84,19 @@ class Encoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.model, self.memory, self.vocabulary = tokenizer.model, memory, tokenizer.get_vocab_size()
+        added = tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that take the space around them aren't supported")
+        self.added = {t.content: i for i, t in added.items()}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if added else None
         self.known: dict[str, int] = {}
         self.start, self.length, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.used = 0
         self.table = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
 
     def _piece(self, piece: str) -> list[int]:
+        if piece in self.added:  # only an added token itself is such a piece
+            return [self.added[piece]]
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,6 +125,11 @@ class Encoder:
         starts[new], sizes[new] = begin + self.used, lengths
         return starts, sizes, np.concatenate([self.ids[: self.used], flat])
 
+    def _added(self, texts: list[str], begins: np.ndarray) -> np.ndarray:
+        """(start, end) of the added tokens in the texts put in a row."""
+        found = [m.span() + (b,) for t, b in zip(texts, begins.tolist(), strict=True) if any(a in t for a in self.added) for m in self.marks.finditer(t)]
+        return np.array([(s + b, e + b) for s, e, b in found], np.int64).reshape(-1, 2)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of each text's."""
         joined = "".join(texts)
@@ -126,7 +139,10 @@ class Encoder:
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        starts = np.flatnonzero(piece_starts(points, begins[sizes > 0]))
+        cuts = self._added(texts, begins)
+        start = piece_starts(points, np.concatenate([begins[sizes > 0], cuts[:, 0], cuts[cuts[:, 1] < len(points), 1]]))
+        start[ragged(cuts[:, 0] + 1, cuts[:, 1] - cuts[:, 0] - 1)] = False
+        starts = np.flatnonzero(start)
         data = joined.encode()
         if len(data) == len(points):
             offsets = np.append(starts, len(data)).astype(np.int64)

@@ -32,12 +32,10 @@ def table(spark, rows):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(FILE)
 
 
-TEXTS = [None, "", "a", "It's  they'll\n\n 'tis 's don't", "<|endoftext|> x", "é中文　😀\x85 ²1", prose(1, 900), prose(1, 900), " " * 50 + "end ", "\x00\t\x1c'"]
+TEXTS = [None, "", "a", "It's  they'll\n\n 'tis 's don't", "<|endoftext|> x", "y <|endoftext|>", "a<|endoftext|><|endoftext|>'s  <|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", "é中文　😀\x85 ²1", prose(1, 900), prose(1, 900), " " * 50 + "end ", "\x00\t\x1c'", "<|endoftext|>"]
 
 
 def test_ids(tokenizer):
