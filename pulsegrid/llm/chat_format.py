@@ -108,24 +108,26 @@ def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "tu
     own = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "formatted", "start", "length")))
     cells = lambda name: F.transform("_turns", lambda t: t[name])
     ends = prefix_sums(F.transform("_turns", lambda t: F.length(t["formatted"]).cast("bigint")))
-    at = F.transform(F.col("_turns"), lambda t, i: F.struct(i.alias("turn"), t["role"].alias("role"), (t["start"] + F.col("_ends")[i] - F.length(t["formatted"])).alias("start"), t["length"].cast("bigint").alias("length")))
-    loss = F.transform(F.filter(at, lambda s: s["role"] == TRAINED), lambda s: F.struct(s["turn"].alias("turn"), s["start"].alias("start"), s["length"].alias("length")))
-    return rows.groupBy(id_col).agg(own.alias("_turns")).withColumn("_ends", ends).select(id_col, F.array_join(cells("formatted"), "").alias("formatted"), loss.alias("loss"))
+    start = lambda t, e: t["start"] + e - F.length(t["formatted"])
+    spans = lambda e: F.transform("_turns", lambda t, i: F.struct(i.alias("turn"), start(t, e[i]).alias("start"), t["length"].cast("bigint").alias("length"), t["role"].alias("role")))
+    loss = F.transform(F.filter(let(ends, spans), lambda s: s["role"] == TRAINED), lambda s: s.dropFields("role"))
+    return rows.groupBy(id_col).agg(own.alias("_turns")).select(id_col, F.array_join(cells("formatted"), "").alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Of rows of ``conversations``: id, formatted, turns (role, text) as they are read, and trained, the unescaped texts under
     the loss spans. Stops where a text isn't in the grammar or a span lies outside of its turn."""
-    parts = F.transform("_parts", lambda p: F.length(p).cast("bigint") + len(END))
-    rows = formatted.select(id_col, "formatted", "loss", parsed(F.col("formatted")).alias("turns"), segments(F.col("formatted")).alias("_parts"))
-    rows = rows.withColumn("turns", F.coalesce("turns", F.raise_error(F.lit("a text is not in the grammar of conversations"))))
-    rows = rows.withColumn("_ends", prefix_sums(parts))
-
-    def under(span: Column) -> Column:
-        part = F.get("_parts", span["turn"])
-        begin = F.get("_ends", span["turn"]) - len(END) - F.length(part)
-        inside = (span["start"] >= begin) & (span["start"] + span["length"] <= begin + F.length(part))
+    rows = formatted.select(id_col, "formatted", "loss", parsed(F.col("formatted")).alias("turns"))
+    turns = F.coalesce("turns", F.raise_error(F.lit("a text is not in the grammar of conversations")))
+
+    def trained(parts: Column) -> Column:
+        ends = prefix_sums(F.transform(parts, lambda p: F.length(p).cast("bigint") + len(END)))
+        return let(ends, lambda e: F.transform("loss", lambda span: under(F.get(parts, span["turn"]), F.get(e, span["turn"]) - len(END), span)))
+
+    def under(part: Column, end: Column, span: Column) -> Column:
+        begin = end - F.length(part)
+        inside = (span["start"] >= begin) & (span["start"] + span["length"] <= end)
         text = F.substr(part, (span["start"] - begin + 1).cast("int"), span["length"].cast("int"))
         return F.when(inside, unescaped(text)).otherwise(F.raise_error(F.lit("a span lies outside of its turn")).cast("string"))
 
-    return rows.select(id_col, "formatted", "turns", F.transform("loss", under).alias("trained"))
+    return rows.select(id_col, "formatted", turns.alias("turns"), let(segments(F.col("formatted")), trained).alias("trained"))

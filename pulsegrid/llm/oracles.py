@@ -1,8 +1,8 @@
-"""DuckDB SQL for the rows of the queries that SQL can express: op3, op5, op8 and op9."""
+"""DuckDB SQL for the rows of the queries that SQL can express: op3, op5, op8, op9 and op13."""
 
 from __future__ import annotations
 
-from . import sharding, url_filter
+from . import chat_format, sharding, url_filter
 from .decontaminate import WIDTH
 
 
@@ -120,4 +120,19 @@ SELECT page_id, j.host, path, rule, round(coalesce(t.rank, 0), 9) AS trust, roun
   THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN t_{_LAST} t ON t.host = j.host LEFT JOIN d_{_LAST} d ON d.host = j.host"""
 
-ALL = {"op3_hash_tree": SHARDS, "op5_progressive_dedup": EXACT, "op8_window_decontamination": WINDOWS, "op9_link_propagation": URLS}
+
+# --- op13: turns as the source has them, and the length of each as the template writes it -------------------------
+
+_TRAP = r"\### Assistant: </turn> ok"
+_NAME = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in chat_format.ROLES.items())
+CHATS = f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, ['user', 'assistant'][i + 1], '{_TRAP}' FROM range(2) t(i)),
+ written AS (SELECT *, regexp_replace(text, '(\\\\*{chat_format.CONTROL})', '\\\\\\1', 'g') AS body, CASE role {_NAME} ELSE '=' || hex(encode(role)) END AS name FROM said)
+SELECT conv_id, count(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ CAST(sum(CASE role WHEN 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(string_agg(CASE role WHEN 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+ CAST(sum({len(chat_format.OPEN) + 2 + len(chat_format.END)} + length(name) + length(body)) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id"""
+
+ALL = {"op3_hash_tree": SHARDS, "op5_progressive_dedup": EXACT, "op8_window_decontamination": WINDOWS, "op9_link_propagation": URLS, "op13_grammar_round_trip": CHATS}

@@ -13,8 +13,8 @@ eight in a row agree is every place looked at. So a scan at lag q costs some n /
 A text is worked on whole, in one task; a batch holds some 2,000,000 characters or one longer text.
 
 Defined cases: a null text has no words, so no runs, and collapses to an empty one; a text of white space too. Ids are
-not read: repeated rows and null ids are carried like others. Words differ in case. Extra columns are carried; the
-names of the new ones must be free (an error otherwise). An empty table gives no rows.
+not read: repeated rows and null ids are carried like others. Words differ in case. Extra columns are carried; one
+with the name of a new column gives way to it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -137,11 +137,13 @@ def _kept(n: int, starts: np.ndarray, runs: list[list[tuple[int, int, int]]]) ->
     return np.cumsum(change[:n]) == 0
 
 
-def _found(text: str, length: int, turns: int):
+def _found(length: int, turns: int):
+    """Of batches whose last column is the text."""
+
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = whole(batch.column(text))
+            texts = whole(batch.columns[-1])
             for a, b in slices(texts):
                 w = Words(texts.slice(a, b - a), lower=False)
                 runs = find_runs(w.codes, w.starts, length, turns)
@@ -162,15 +164,13 @@ def periodic_runs(
     holds behind its first period, joined by one space."""
     if length < 2 or turns < 2:
         raise ValueError("a run has two periods at least")
-    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {sorted(clash)} are there already")
     small_batches(docs.sparkSession)
-    free = [f"_c{i}" for i in range(len(docs.columns))]
-    given = docs.toDF(*free)
-    text = free_names(given, "_text")[0]
-    at = docs.columns.index(text_col)
-    out = T.StructType([*given.schema.fields, T.StructField("_n", T.LongType()), T.StructField("_runs", T._parse_datatype_string(f"array<{RUN}>")), T.StructField("_kept", T.StringType())])
-    return given.withColumn(text, F.col(f"_c{at}").cast("string")).mapInArrow(_found(text, length, turns), out).toDF(*docs.columns, *names)
+    new = {n.lower() for n in names}
+    carried = [(i, c) for i, c in enumerate(docs.columns) if c.lower() not in new]
+    given = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    given = given.select(*[f"_c{i}" for i, _ in carried], F.col(f"_c{docs.columns.index(text_col)}").cast("string").alias("_text"))
+    out = T.StructType([*given.schema.fields[:-1], T.StructField("_n", T.LongType()), T.StructField("_runs", T.DataType.fromDDL(f"array<{RUN}>")), T.StructField("_kept", T.StringType())])
+    return given.mapInArrow(_found(length, turns), out).toDF(*[c for _, c in carried], *names)
 
 
 def collapse_runs(docs: DataFrame, text_col: str = "text", length: int = LEAST_LENGTH, turns: int = LEAST_TURNS) -> DataFrame:
