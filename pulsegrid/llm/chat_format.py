@@ -83,35 +83,58 @@ def parsed(formatted: Column) -> Column:
     return let(turns, lambda t: F.when(~F.exists(t, lambda x: x.isNull()), t))
 
 
-def _checked(role: Column, text: Column) -> Column:
-    """The body of a turn: raw, or escaped where reading it back gives anything else than the source."""
-    same = lambda body: F.coalesce(parsed(F.concat(_head(role), body, F.lit(END))) == F.array(F.struct(role.alias("role"), text.alias("text"))), F.lit(False))
-    failed = F.raise_error(F.concat(F.lit("a turn can't be read back: "), F.substr(text, F.lit(1), F.lit(100))))
-    once = lambda b: F.when(same(b), b).otherwise(failed)
-    return F.when(same(text), text).otherwise(let(escaped(text), once))
+def _conflicts(role: Column, text: Column) -> Column:
+    """Whether a text written raw is read back as anything else than the source; stops if escaping doesn't mend that."""
+    same = lambda body: F.coalesce(parsed(_written(role, body)) == F.array(F.struct(role.alias("role"), text.alias("text"))), F.lit(False))
+    failed = F.raise_error(F.concat(F.lit("a turn can't be read back: "), F.substr(text, F.lit(1), F.lit(100)))).cast("boolean")
+    return F.when(same(text), F.lit(False)).otherwise(let(escaped(text), lambda b: F.when(same(b), F.lit(True)).otherwise(failed)))
 
 
-def formatted_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """A row for each turn: id, turn, role, text, its formatted text, and in that the start and length of what is trained on
-    (code points; the length is 0 in turns of others than the assistant)."""
+def _written(role: Column, body: Column) -> Column:
+    return F.concat(_head(role), body, F.lit(END))
+
+
+def _checked_turns(turns: DataFrame, id_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
+    """id, turn, role, text and whether the text has to be escaped."""
     out = turns.select(F.col(id_col), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return out.withColumn("escaped", _conflicts(F.col("role"), F.col("text")))
+
+
+def _body(text: Column, is_escaped: Column) -> Column:
+    return F.when(is_escaped, escaped(text)).otherwise(text)
+
+
+def formatted_turns(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """A row for each turn: id, turn, role, text, escaped, its formatted text, and in that the start and length of what is trained
+    on (code points; the length is 0 in turns of others than the assistant)."""
+    out = _checked_turns(turns, id_col, turn_col, role_col, text_col)
     role, text = F.col("role"), F.col("text")
-    body = _checked(role, text)
-    cells = let(body, lambda b: F.struct(F.concat(_head(role), b, F.lit(END)).alias("formatted"), F.length(_head(role)).alias("start"), F.when(role == TRAINED, F.length(b)).otherwise(0).alias("length")))
-    return out.withColumn("_cells", cells).select(id_col, "turn", "role", "text", "_cells.*")
+    cells = let(_body(text, F.col("escaped")), lambda b: F.struct(_written(role, b).alias("formatted"), F.length(_head(role)).alias("start"), F.when(role == TRAINED, F.length(b)).otherwise(0).alias("length")))
+    return out.withColumn("_cells", cells).select(id_col, "turn", "role", "text", "escaped", "_cells.*")
 
 
 def conversations(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """A row for each conversation: id, formatted, and loss, the spans (turn, start, length; code points, turns from 0) that
-    a model is trained on: each assistant text as it is written, without marks."""
-    rows = formatted_turns(turns, id_col, turn_col, role_col, text_col)
-    own = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "formatted", "start", "length")))
-    cells = lambda name: F.transform("_turns", lambda t: t[name])
-    ends = prefix_sums(F.transform("_turns", lambda t: F.length(t["formatted"]).cast("bigint")))
-    start = lambda t, e: t["start"] + e - F.length(t["formatted"])
-    spans = lambda e: F.transform("_turns", lambda t, i: F.struct(i.alias("turn"), start(t, e[i]).alias("start"), t["length"].cast("bigint").alias("length"), t["role"].alias("role")))
-    loss = F.transform(F.filter(let(ends, spans), lambda s: s["role"] == TRAINED), lambda s: s.dropFields("role"))
-    return rows.groupBy(id_col).agg(own.alias("_turns")).select(id_col, F.array_join(cells("formatted"), "").alias("formatted"), loss.alias("loss"))
+    a model is trained on: each assistant text as it is written, without marks. What travels is each text once."""
+    own = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "escaped")))
+    rows = _checked_turns(turns, id_col, turn_col, role_col, text_col).groupBy(id_col).agg(own.alias("_turns"))
+    parts = F.transform("_turns", lambda t: _written(t["role"], _body(t["text"], t["escaped"])))
+
+    def cells(parts: Column) -> Column:
+        ends = prefix_sums(F.transform(parts, lambda p: F.length(p).cast("bigint")))
+
+        def spans(ends: Column) -> Column:
+            def span(t: Column, i: Column) -> Column:
+                head = F.length(_head(t["role"]))
+                size = F.length(F.get(parts, i))
+                return F.struct(i.alias("turn"), (F.get(ends, i) - size + head).alias("start"), (size - head - len(END)).cast("bigint").alias("length"), t["role"].alias("role"))
+
+            return F.transform("_turns", span)
+
+        loss = F.transform(F.filter(let(ends, spans), lambda s: s["role"] == TRAINED), lambda s: s.dropFields("role"))
+        return F.struct(F.array_join(parts, "").alias("formatted"), loss.alias("loss"))
+
+    return rows.select(id_col, let(parts, cells).alias("_cells")).select(id_col, "_cells.*")
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

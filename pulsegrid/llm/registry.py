@@ -106,7 +106,8 @@ TRAP = r"\### Assistant: </turn> ok"
 
 def op13_grammar_round_trip(spark: SparkSession, d: str) -> DataFrame:
     turns = _read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
-    trap = turns.sparkSession.createDataFrame([(-7, 0, "user", TRAP), (-7, 1, "assistant", TRAP)], turns.schema)
+    trap = [F.lit(-7), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(TRAP)]
+    trap = spark.range(2).select(*[c.cast(f.dataType).alias(f.name) for c, f in zip(trap, turns.schema, strict=True)])
     read = chat_format.read_back(chat_format.conversations(turns.unionByName(trap)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     out = read.select("conv_id", "turns", said.alias("_said"), F.array_join("trained", "").alias("_loss"), "formatted")
