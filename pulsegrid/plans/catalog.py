@@ -281,7 +281,7 @@ def _(s, d):
 @query("narrative_drift", """WITH x AS (SELECT ts < TIMESTAMP '2024-01-15' AS early, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE 0 END AS s FROM posts LEFT JOIN post_analytics ON id = post_id
  WHERE lower(text) LIKE '%purchase%' AND ts >= TIMESTAMP '2024-01-10' AND ts <= TIMESTAMP '2024-01-20'), y AS (SELECT count(*) FILTER (early) AS nb, count(*) FILTER (NOT early) AS na, avg(s) FILTER (early) AS b, avg(s) FILTER (NOT early) AS a FROM x)
  SELECT nb AS baseline_posts, na AS active_posts, round(coalesce(b, 0), 4) AS baseline_sentiment, round(coalesce(a, 0), 4) AS active_sentiment, round(coalesce(a, 0) - coalesce(b, 0), 4) AS shift,
- coalesce((b >= 0.1 AND a <= -0.1) OR (b <= -0.1 AND a >= 0.1) OR (abs(a - b) >= 0.35 AND a * b < 0), false) AS inverted FROM y""", ("posts", "post_analytics"))
+ coalesce((b >= 0.1 AND a <= -0.1) OR (b <= -0.1 AND a >= 0.1) OR (abs(a - b) >= 0.35 AND a * b < 0), false) AS inverted, CASE WHEN b IS NULL OR a IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status FROM y""", ("posts", "post_analytics"))
 def _(s, d):
     return sentiment.drift(_posts(s, d), load(s, d, "post_analytics"), "purchase", "2024-01-10", "2024-01-15", "2024-01-20")
 
@@ -631,6 +631,6 @@ def _(s, d):
     return out.select("id", "author_id", "text", as_text(F.col("ts")).alias("at"), F.array_join("hashtags", ",").alias("tags"), F.array_join("mentions", ",").alias("mentions"), F.col("metrics.likes").alias("likes"))
 
 
-from . import corpora_queries, graph_queries, post_queries, profile_queries  # noqa: E402  they add theirs
+from . import corpora_queries, graph_queries, post_queries, profile_queries, stream_queries  # noqa: E402  they add theirs
 
-__all__ = ["ORACLES", "QUERIES", "corpora_queries", "graph_queries", "post_queries", "profile_queries"]
+__all__ = ["ORACLES", "QUERIES", "corpora_queries", "graph_queries", "post_queries", "profile_queries", "stream_queries"]
