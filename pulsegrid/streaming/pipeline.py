@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import tables, timeline, trends
+from ..operators import tables, trends
 from ..sources.shared import cut
 
 
@@ -105,9 +105,18 @@ class Store:
         paths = sorted(folders)
         return self.spark.read.parquet(*paths) if paths else None
 
-    def read(self, name: str) -> DataFrame | None:
-        """The whole table; None before the first row."""
-        return self._read(self.folders(name).values())
+    def read(self, name: str, last: int | None = None) -> DataFrame | None:
+        """The whole table, or its last so many days; None before the first row."""
+        return self._read(path for _, path in sorted(self.folders(name).items())[-last if last else 0 :])
+
+    def known(self, name: str, rows: DataFrame, keys: Sequence[str] | None = None) -> DataFrame | None:
+        """The rows of the partitions that rows fall in."""
+        now, parts = self.folders(name), self._parts(self._dealt(name, rows, keys or tables.KEYS[name]))
+        return self._read(now[p] for p in parts if p in now)
+
+    @staticmethod
+    def _parts(dealt: DataFrame) -> list[str]:
+        return [r["_part"] for r in dealt.select("_part").distinct().collect()]  # days or buckets of a micro-batch
 
     def _dealt(self, name: str, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         if name in self.days:
@@ -115,18 +124,26 @@ class Store:
         return rows.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("string"))
 
     def upsert(self, name: str, rows: DataFrame, keys: Sequence[str] | None = None) -> None:
-        keys = keys or tables.KEYS[name]
+        self._rewrite(name, rows, keys or tables.KEYS[name], tables.upsert)
+
+    def remove(self, name: str, rows: DataFrame, keys: Sequence[str] | None = None) -> None:
+        """Without the rows whose keys are among those of rows."""
+        self._rewrite(name, rows, keys or tables.KEYS[name], lambda old, gone, keys: old.join(gone.select(*keys), list(keys), "left_anti"))
+
+    def _rewrite(self, name: str, rows: DataFrame, keys: Sequence[str], change: Callable[[DataFrame, DataFrame, Sequence[str]], DataFrame]) -> None:
         numbers = self._manifests(name)
         number, now = (numbers[-1] if numbers else 0) + 1, self.folders(name)
         dealt = cut(self._dealt(name, rows, keys))
-        parts = [r["_part"] for r in dealt.select("_part").distinct().collect()]  # days or buckets of a micro-batch
+        parts = self._parts(dealt)
         if not parts:
             return
         old = self._read(now[p] for p in parts if p in now)
         before = dealt.limit(0) if old is None else self._dealt(name, old, keys)
         at = f"{self.base}/{name}/data/{number:012d}"
-        tables.upsert(before, dealt, keys).write.mode("overwrite").partitionBy("_part").parquet(at)
-        new = now | {p: f"{at}/_part={p}" for p in parts}
+        change(before, dealt, keys).write.mode("overwrite").partitionBy("_part").parquet(at)
+        there = set(self._listed(at))
+        left = {p: path for p, path in now.items() if p not in parts}
+        new = left | {p: f"{at}/_part={p}" for p in parts if f"_part={p}" in there}
         draft, final = (self._path(f"{self.base}/{name}/{x}") for x in (f"draft-{number:012d}", f"manifests/{number:012d}"))
         self._files.mkdirs(final.getParent())
         out = self._files.create(draft, True)
@@ -146,10 +163,12 @@ class Store:
 
 
 class Pipeline:
-    """Posts in, then analytics of the oldest posts without them, then alerts.
+    """Posts in, then analytics of the oldest posts without them, then alerts; no stage reads the stored history.
 
-    A micro-batch that can't be taken in fails and is tried again, so no post is lost; a failure of the later stages
-    is reported and leaves the others be."""
+    Posts that are new wait in a table of their own (``pending``) until they have analytics, and trends read the last days
+    alone. A micro-batch that can't be taken in fails and is tried again, so no post is lost; a failure of the later stages
+    is reported and leaves the others be. ``alerts.trend_alerts`` and ``alerts.unanalysed`` do the later stages as streams of
+    their own."""
 
     def __init__(self, store: Store, enrich: Callable[[DataFrame], DataFrame] | None = None, events: Broadcaster | None = None, batch: int = 50, minutes: int = 60):
         self.store, self.enrich, self.events, self.batch, self.minutes = store, enrich, events or Broadcaster(), batch, minutes
@@ -157,6 +176,9 @@ class Pipeline:
         self._query: StreamingQuery | None = None
 
     def tick(self, rows: DataFrame, number: int) -> None:
+        if self.enrich is not None:  # before the posts themselves: a batch that is tried again finds what it has not taken in
+            known = self.store.known("posts", rows)
+            self.store.upsert("pending", rows if known is None else rows.join(known.select("id"), "id", "left_anti"), ["id"])
         self.store.upsert("posts", rows)
         for name, stage in (("enrich", self._enrich), ("trends", self._trends)):
             try:
@@ -166,14 +188,16 @@ class Pipeline:
                 self.events.publish({"type": "error", "stage": name})
 
     def _enrich(self, rows: DataFrame, number: int) -> None:
-        posts, done = self.store.read("posts"), self.store.read("post_analytics")
-        if self.enrich is None or posts is None:
+        pending = self.store.read("pending") if self.enrich is not None else None
+        if pending is None:
             return
-        due = posts.orderBy("ts", "id").limit(self.batch) if done is None else timeline.unanalysed(posts, done, self.batch)
+        due = cut(pending.drop("_part").orderBy("ts", "id").limit(self.batch))
         self.store.upsert("post_analytics", tables.with_defaults(self.enrich(due)))
+        self.store.remove("pending", due, ["id"])
 
     def _trends(self, rows: DataFrame, number: int) -> None:
-        posts = self.store.read("posts")
+        days = -(-max(12 * 60, trends.FORECAST_WINDOWS * self.minutes) // 1440) + 1
+        posts = self.store.read("posts", last=days)
         if posts is None:
             return
         tags = [r["tag"] for r in trends.top_hashtags(posts).collect()]  # five rows

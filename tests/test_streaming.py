@@ -30,6 +30,9 @@ def test_pipeline(spark, tmp_path):
     p.tick(rows, 1)
     assert p.errors == []
     assert p.store.read("posts").count() == 40 and p.store.read("post_analytics").count() == 20
+    for i in (2, 3, 4):
+        p.tick(rows.limit(0), i)
+    assert p.store.read("post_analytics").count() == 40 and not p.store.folders("pending") and p.errors == []
     broken = Pipeline(Store(spark, str(tmp_path / "b")), lambda due: due.select("nothing"))
     broken.tick(rows, 0)
     assert [e[0] for e in broken.errors] == ["enrich"] and broken.store.read("posts").count() == 40
