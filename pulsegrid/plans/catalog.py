@@ -631,6 +631,6 @@ def _(s, d):
     return out.select("id", "author_id", "text", as_text(F.col("ts")).alias("at"), F.array_join("hashtags", ",").alias("tags"), F.array_join("mentions", ",").alias("mentions"), F.col("metrics.likes").alias("likes"))
 
 
-from . import corpora_queries, graph_queries, post_queries, profile_queries, stream_queries  # noqa: E402  they add theirs
+from . import corpora_queries, graph_queries, model_queries, post_queries, profile_queries, stream_queries  # noqa: E402  they add theirs
 
-__all__ = ["ORACLES", "QUERIES", "corpora_queries", "graph_queries", "post_queries", "profile_queries", "stream_queries"]
+__all__ = ["ORACLES", "QUERIES", "corpora_queries", "graph_queries", "model_queries", "post_queries", "profile_queries", "stream_queries"]
