@@ -282,11 +282,6 @@ def _(s, d):
     return topics.topic_names(topics.top_words(_labelled(s, d)))
 
 
-@query("language_text", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, 'https?://\\S+|[@#]\\S+', ' ', 'g'), '[^\\p{L}\\s]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")
-def _(s, d):
-    return table(s, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$")).select("doc_id", F.md5(T.language_text(F.col("text"))).alias("digest"))
-
-
 _REACH = """x AS (SELECT p.author_id AS user_id, epoch_us(ts) // 1000 AS ms, {0} AS segment, CASE effective_polarity WHEN 'negative' THEN -abs(sentiment_score) WHEN 'positive' THEN abs(sentiment_score) ELSE sentiment_score END AS s
  FROM posts p LEFT JOIN post_analytics ON p.id = post_id LEFT JOIN users u ON u.id = p.author_id WHERE lower(text) LIKE '%purchase%' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25'),
  g AS (SELECT segment, min((ms, user_id)) AS f, round(CAST(coalesce(avg(s), 0.0) AS DECIMAL(18, 10)), 4)::DOUBLE AS sentiment, count(*) AS adoptions FROM x GROUP BY ALL)
