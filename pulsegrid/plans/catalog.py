@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.time import as_text
-from ..operators import demographics, diffusion, graph, sentiment, tables, timeline, topics, trees, trends, vectors
+from ..operators import demographics, diffusion, graph, places, sentiment, tables, timeline, topics, trees, trends, vectors
 from ..session import table
 from ..sources import platforms
 from ..sources.views import load
@@ -551,8 +551,8 @@ _CITY_ROWS = ", ".join(f"({i}, '{c}', {a}, {o})" for i, (_, c, _s, _n, _d, a, o)
 @query("nearest_city", f"WITH c AS (SELECT * FROM (VALUES {_CITY_ROWS}) v(i, city, la, lo)), u AS (SELECT c_custkey, 25 + (c_custkey % 97) * 0.25 AS la, -125 + (c_custkey % 113) * 0.5 AS lo FROM customer), x AS (SELECT c_custkey, city, row_number() OVER (PARTITION BY c_custkey ORDER BY sqrt(power(u.la - c.la, 2) + power(u.lo - c.lo, 2)), i) AS k, sqrt(power(u.la - c.la, 2) + power(u.lo - c.lo, 2)) AS far FROM u, c) SELECT c_custkey, CASE WHEN far <= 0.8 THEN city END AS city, round(CASE WHEN far <= 0.8 THEN far END, 6) AS far FROM x WHERE k = 1")
 def _(s, d):
     k = F.col("c_custkey")
-    near = demographics.nearest_city((25 + (k % 97) * 0.25).cast("double"), (-125 + (k % 113) * 0.5).cast("double"))
-    return table(s, d, "customer").select("c_custkey", near.alias("n")).select("c_custkey", F.col("n.city").alias("city"), F.round("n.far", 6).alias("far"))
+    rows = table(s, d, "customer").select("c_custkey", (25 + (k % 97) * 0.25).cast("double").alias("la"), (-125 + (k % 113) * 0.5).cast("double").alias("lo"))
+    return places.with_nearest(rows, demographics.cities(s), F.col("la"), F.col("lo"), name="n").select("c_custkey", F.col("n.city").alias("city"), F.round("n.far", 6).alias("far"))
 
 
 @query("age_bracket", "WITH x AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey % 110 WHEN 1 THEN 2026 - (1900 + c_custkey % 130) WHEN 2 THEN 2026 - CASE WHEN c_custkey % 100 <= 26 THEN 2000 + c_custkey % 100 ELSE 1900 + c_custkey % 100 END END AS age FROM customer) SELECT c_custkey, CASE WHEN age IS NULL THEN '65+' WHEN age < 10 OR age > 105 THEN NULL WHEN age < 18 THEN '<18' WHEN age <= 24 THEN '18-24' WHEN age <= 34 THEN '25-34' WHEN age <= 49 THEN '35-49' WHEN age <= 64 THEN '50-64' ELSE '65+' END AS bracket FROM x")
@@ -631,6 +631,6 @@ def _(s, d):
     return out.select("id", "author_id", "text", as_text(F.col("ts")).alias("at"), F.array_join("hashtags", ",").alias("tags"), F.array_join("mentions", ",").alias("mentions"), F.col("metrics.likes").alias("likes"))
 
 
-from . import corpora_queries, graph_queries, model_queries, post_queries, profile_queries, stream_queries  # noqa: E402  they add theirs
+from . import corpora_queries, graph_queries, model_queries, place_queries, post_queries, profile_queries, stream_queries  # noqa: E402  they add theirs
 
-__all__ = ["ORACLES", "QUERIES", "corpora_queries", "graph_queries", "model_queries", "post_queries", "profile_queries", "stream_queries"]
+__all__ = ["ORACLES", "QUERIES", "corpora_queries", "graph_queries", "model_queries", "place_queries", "post_queries", "profile_queries", "stream_queries"]
