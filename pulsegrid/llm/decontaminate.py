@@ -35,6 +35,8 @@ INLINE_HASHES = 100_000
 BITS_A_HASH, MOST_BITS, PROBES = 32, 1 << 28, 4
 #: Windows that are broadcast for verification at most (each some 100 bytes).
 BROADCAST_WINDOWS = 200_000
+#: Shares that a window's rows are dealt into where windows are too many to be broadcast.
+SALTS = 16
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -136,13 +138,23 @@ class HashSets:
         return let(words, lambda w: F.concat(*[_windows_in(w, k, self.windows[k]) for k in self.sizes]))
 
 
-def _verified(rows: DataFrame, windows: DataFrame, sets: HashSets) -> DataFrame:
-    """rows (with _words) by row key: _starts, the verified hits, and _found, the sorted ids of their items."""
-    few = sets.count <= BROADCAST_WINDOWS
+def _verified(rows: DataFrame, windows: DataFrame, sets: HashSets, most: int | None = None) -> DataFrame:
+    """rows (with _words) by row key: _starts, the verified hits, and _found, the sorted ids of their items.
+
+    Up to ``most`` windows (BROADCAST_WINDOWS) are broadcast. Beyond, the join is dealt: a row without hits goes by a key
+    of its own, and each window stands SALTS times, so that one in very many texts is no single task's."""
+    few = sets.count <= (BROADCAST_WINDOWS if most is None else most)
     hit = F.when(sets.suspects(F.col("_words")), sets.hits(F.col("_words")))
     keep = [c for c in rows.columns if c != "_words"]
     hits = rows.select(*keep, F.explode_outer(hit).alias("_hit")).select(*keep, F.col("_hit.start").alias("_start"), F.col("_hit.k").alias("_k"), F.col("_hit.window").alias("_window"))
-    joined = hits.join(F.broadcast(windows) if few else windows, ["_k", "_window"], "left")
+    if few:
+        joined = hits.join(F.broadcast(windows), ["_k", "_window"], "left")
+    else:
+        own = F.xxhash64(*keep, F.coalesce("_start", F.lit(-1)))
+        none = F.concat(F.lit("\n"), own.cast("string"))  # no window has a line end
+        dealt = hits.withColumn("_salt", F.pmod(own, F.lit(SALTS)).cast("int")).withColumn("_w", F.coalesce("_window", none)).drop("_window")
+        salted = windows.withColumnRenamed("_window", "_w").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = dealt.withColumn("_k", F.coalesce("_k", F.lit(0))).join(salted, ["_k", "_w", "_salt"], "left")
     # a struct's field is null, not the struct, for the rows without a hit
     at = F.when(F.col("_items").isNotNull(), F.struct("_start", "_k"))
     return joined.groupBy(*keep).agg(F.collect_list(at).alias("_starts"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_found"))
@@ -174,7 +186,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         raise ValueError("remove is documents or spans")
     windows = windows_of(benchmark, width)
     sets = HashSets(windows, inline)
-    words, flag, sha = free_names(docs, "_words", "_suspect", "_sha")
+    words, flag, sha, gone = free_names(docs, "_words", "_suspect", "_sha", "_gone")
     rows = docs.withColumn(words, words_of(text_of(text_col))).withColumn(flag, sets.suspects(F.col(words)))
     clean = rows.filter(~F.col(flag)).select(*[f"`{c}`" for c in docs.columns])
     suspects = rows.filter(flag).withColumn(sha, F.sha2(text_of(text_col), 256))
@@ -183,8 +195,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     if remove == "documents":
         dirty = found.select(F.col("_key").alias(sha))
         return clean.union(suspects.join(dirty, sha, "left_anti").select(*[f"`{c}`" for c in docs.columns]))
-    cut = found.select(F.col("_key").alias(sha), _covered(F.col("_starts")).alias(words + "_cut"))
-    return clean.union(suspects.join(cut, sha, "left").select(*[without_words(F.col(f"`{c}`"), F.col(words + "_cut")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
+    cut = found.select(F.col("_key").alias(sha), _covered(F.col("_starts")).alias(gone))
+    return clean.union(suspects.join(cut, sha, "left").select(*[without_words(F.col(f"`{c}`"), F.col(gone)).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]))
 
 
 def without_words(text: Column, positions: Column) -> Column:

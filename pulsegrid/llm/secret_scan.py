@@ -73,7 +73,7 @@ def labelled_samples(
     documents: int = SAMPLE_DOCUMENTS, strings: int = SAMPLE_STRINGS,
 ) -> DataFrame:
     """(sample, is_random): made random strings; ordinary ones, which are IDENTIFIERS alone and in paths and names, rules,
-    numbers and dates, and the words of documents of so many ids at most.
+    numbers and dates, and the words of documents of so many ids at most, as they stand, in capitals and as titles.
 
     Random strings are hex, base64 and capitals with digits, from hashes of counters, so they are the same everywhere.
     """
@@ -89,7 +89,8 @@ def labelled_samples(
         rows = docs.select(text_of(text_col).alias("t"), F.xxhash64(F.col(id_col)).alias("h"))
         some = rows.select("h").orderBy("h").limit(documents)  # no text is gathered to choose
         words = rows.join(F.broadcast(some), "h", "left_semi").select(F.explode(F.regexp_extract_all("t", F.lit(r"[A-Za-z][a-z]+"), 0)).alias("sample")).distinct()
-        out = out.union(words.select("sample", F.lit(False)))
+        shapes = F.array(F.col("sample"), F.upper("sample"), F.initcap("sample"))  # prose is shouted and titled, too
+        out = out.union(words.select(F.explode(F.array_distinct(shapes)).alias("sample"), F.lit(False)))
     return out
 
 

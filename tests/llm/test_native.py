@@ -6,13 +6,16 @@ import re
 import string
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate as C
 from pulsegrid.llm import exact_dedup, secret_scan, sharding, url_filter
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+DATA = Path("/root/testdata/sf0.01")
 LONG = "alpha beta gamma " * 4000
 SCHEMA = "doc_id bigint, text string, source string, keep_id string, _row int, _n int"
 
@@ -111,6 +114,21 @@ def test_secrets_among_words(spark):
     assert sum(got[1000 + i]["n_markov"] for i in range(len(plain))) == 0
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_no_span_on_prose(spark):
+    """Of the test documents, and of the same words shouted and titled, none is taken for a secret; planted keys are found beside them."""
+    docs = spark.read.parquet(str(DATA / "documents.parquet")).select("doc_id", "text")
+    model = secret_scan.train_markov(secret_scan.labelled_samples(spark, docs))
+    r = random.Random(9)
+    keys = {i: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(36)) for i in range(200)}
+    planted = F.concat_ws(" ", "text", F.element_at(F.array(*map(F.lit, keys.values())), (F.col("doc_id") % 200 + 1).cast("int")))
+    prose = F.regexp_replace("text", r"\S+@\S+", "")  # an address in capitals is no prose
+    for text, added in ((F.col("text"), False), (F.upper(prose), False), (F.initcap(prose), False), (planted, True)):
+        out = secret_scan.scan_secrets(docs.withColumn("text", text), model).select("doc_id", "n_markov").collect()
+        with_one = sum(x["n_markov"] > 0 for x in out)
+        assert with_one >= 0.95 * len(out) if added else with_one == 0
+
+
 def test_secrets_beside_base_spans(spark):
     """Runs that touch base spans are scored without them; repeats of the same keep their own places."""
     key = "ghp7Xq2Zk9LmV4tRw8YbN3cD6fHjK1sAoEu"
@@ -163,10 +181,12 @@ def text_rows():
     return [None, "", "...", base, base + fox + " river", fox[:-5], "ünïcode Wörds here", "Ünïcode wörds here", "one", "two three", "zone", LONG + fox + " the " + LONG, (fox + " ") * 3, "one " * 30]
 
 
-@pytest.mark.parametrize("inline", [C.INLINE_HASHES, 3])
-def test_contamination(spark, inline):
+@pytest.mark.parametrize(("inline", "most"), [(C.INLINE_HASHES, C.BROADCAST_WINDOWS), (3, C.BROADCAST_WINDOWS), (3, 0)])
+def test_contamination(spark, inline, most, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_WINDOWS", most)
     texts = text_rows()
-    docs = table(spark, enumerate(texts + texts[:2]))
+    clash = {c: F.lit(1) for c in ("_words", "_words_cut", "_suspect", "_gone", "_SHA", "_k", "_salt", "_w")}
+    docs = table(spark, enumerate(texts + texts[:2])).withColumns(clash)
     bench = spark.createDataFrame(BENCH, "item_id bigint, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in C.contamination(docs, bench, inline=inline).collect()}
     want = brute(texts + texts[:2], BENCH)
@@ -182,6 +202,21 @@ def test_contamination(spark, inline):
     assert none.filter("contaminated").count() == 0 and none.count() == docs.count()
 
 
+def test_a_window_of_many_texts_is_dealt_out(spark, monkeypatch):
+    """Without a broadcast neither rows without hits nor those of one window meet under one key."""
+    monkeypatch.setattr(C, "BROADCAST_WINDOWS", 0)
+    hot = "the quick brown fox jumps over the lazy dog near"
+    docs = table(spark, [(i, f"{hot} {i}" if i % 3 == 0 else f"other words {i}") for i in range(600)])
+    seen = []
+    join = type(docs).join
+    monkeypatch.setattr(type(docs), "join", lambda self, other, on=None, how=None: (seen.append((self, on)), join(self, other, on, how))[1])
+    got = C.contamination(docs, spark.createDataFrame(BENCH, "item_id bigint, text string")).filter("contaminated").count()
+    assert got == 200
+    left, on = next((x, on) for x, on in seen if on and "_salt" in on)
+    most = left.groupBy(*on).count().orderBy(F.desc("count")).first()["count"]
+    assert most < 40
+
+
 def test_a_million_windows(spark):
     """A test set whose hashes are in Bloom filters: the same answers, and few documents that pass the first step in vain."""
     bench = spark.range(1000).selectExpr("id as item_id", "concat_ws(' ', transform(sequence(1, 1009), i -> concat('w', id, 'x', i))) as text")
