@@ -6,18 +6,12 @@ stay short and a lost executor costs one round.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut
 from .ranks import numbered
 
-#: Edges that are broadcast for weighted shortest paths at most (about 100 bytes each in a worker).
-BROADCAST_EDGES = 2_000_000
 # Relations by name.
 RELATIONS = ("FOLLOWS", "RETWEETS", "REPLIES", "MENTIONS", "QUOTES")
 
@@ -208,11 +202,11 @@ def pivots(all_nodes: DataFrame, k: int = 500) -> DataFrame:
     return all_nodes.orderBy(F.xxhash64("node"), "node").limit(k)
 
 
-def betweenness(edges: DataFrame, k: int = 500, directed: bool = True, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def betweenness(edges: DataFrame, k: int = 500, directed: bool = True) -> DataFrame:
     """(node, betweenness), normalised; from at most k pivots, scaled up; weights are distances.
 
-    Graphs of at most ``broadcast_edges`` edges are sent to the workers, which take pivots one by one; larger ones are
-    worked on by joins for all pivots together. Both give the same values.
+    All pivots are worked on together by joins, one way at every size; rounds are as many as the edges of the longest
+    shortest path, three times over.
     """
     e = simple(edges)
     if not directed:
@@ -220,51 +214,13 @@ def betweenness(edges: DataFrame, k: int = 500, directed: bool = True, broadcast
         e = e.unionByName(back).groupBy("source_id", "target_id").agg(F.min("weight").alias("weight"))
     e, every = cut(e), cut(nodes(edges))
     n, chosen = every.count(), cut(pivots(every, k))
-    parts = _by_worker(e, chosen) if e.count() <= broadcast_edges else _by_joins(e, chosen)
+    parts = _shares(e, chosen)
     scale = 1.0 / ((n - 1) * (n - 2)) * n / max(1, min(n, k)) if n > 2 else 0.0
     sums = parts.groupBy("node").agg(F.sum("d").alias("d"))
     return every.join(sums, "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def _by_worker(e: DataFrame, chosen: DataFrame) -> DataFrame:
-    table = e.toPandas()
-    sent = e.sparkSession.sparkContext.broadcast((table["source_id"].tolist(), table["target_id"].tolist(), table["weight"].tolist()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: dict[str, list[tuple[str, float]]] = {}
-        for s, t, w in zip(*sent.value, strict=True):
-            out.setdefault(s, []).append((t, w))
-        total: dict[str, float] = {}
-        for batch in batches:
-            for source in batch["node"]:
-                order, before, paths, far = [], {source: []}, {source: 1.0}, {source: 0.0}
-                done, heap = set(), [(0.0, source)]
-                while heap:
-                    d, v = heapq.heappop(heap)
-                    if v in done:
-                        continue
-                    done.add(v)
-                    order.append(v)
-                    for t, w in out.get(v, ()):
-                        reach = d + w
-                        if t not in far or reach < far[t] - 1e-12:
-                            far[t], paths[t], before[t] = reach, paths[v], [v]
-                            heapq.heappush(heap, (reach, t))
-                        elif t not in done and abs(reach - far[t]) <= 1e-12:
-                            paths[t] += paths[v]
-                            before[t].append(v)
-                below = dict.fromkeys(order, 0.0)
-                for v in reversed(order):
-                    for u in before[v]:
-                        below[u] += paths[u] / paths[v] * (1 + below[v])
-                    if v != source:
-                        total[v] = total.get(v, 0.0) + below[v]
-        yield pd.DataFrame({"node": list(total), "d": list(total.values())}, columns=["node", "d"]).astype({"node": str, "d": float})
-
-    return chosen.repartition(e.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, "node string, d double")
-
-
-def _by_joins(e: DataFrame, chosen: DataFrame) -> DataFrame:
+def _shares(e: DataFrame, chosen: DataFrame) -> DataFrame:
     """(node, d): shares of shortest paths from all pivots, by rounds of joins.
 
     Distances are lowered until none changes. The edges on shortest paths make a graph without cycles for each pivot

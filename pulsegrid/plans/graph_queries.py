@@ -52,9 +52,9 @@ def _(s, d):
     return _changed(s, d).counts()
 
 
-@query("graph_topology", f"""WITH RECURSIVE {_N}, b AS (SELECT source_id AS x, target_id AS y FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), r AS (SELECT (SELECT min(node) FROM nodes) AS node UNION SELECT b.y FROM r JOIN b ON b.x = r.node)
- SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM graph_edges) AS edges, round((SELECT count(*) FROM graph_edges) * 1.0 / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 6) AS density, 1::BIGINT AS components,
- (SELECT count(*) FROM r) = (SELECT count(*) FROM nodes) AS is_connected""", _G)
+@query("graph_topology", f"""WITH RECURSIVE {_N}, b AS (SELECT source_id AS x, target_id AS y FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges),
+ r AS (SELECT node AS first, node FROM nodes UNION SELECT r.first, b.y FROM r JOIN b ON b.x = r.node), p AS (SELECT node, min(first) AS part FROM r GROUP BY node), k AS (SELECT count(DISTINCT part) AS k FROM p)
+ SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM graph_edges) AS edges, round((SELECT count(*) FROM graph_edges) * 1.0 / ((SELECT count(*) FROM nodes) * ((SELECT count(*) FROM nodes) - 1)), 6) AS density, k AS components, k = 1 AS is_connected FROM k""", _G)
 def _(s, d):
     return network.topology(_edges(s, d))
 
@@ -93,23 +93,39 @@ def _(s, d):
 
 # --- betweenness of all sources by shortest paths in SQL, and what is ranked by it -----------------------------------
 
-_SMALL = 40
-_FEW = f"few AS (SELECT DISTINCT source_id, target_id FROM graph_edges WHERE CAST(substr(source_id, 2) AS BIGINT) < {_SMALL} AND CAST(substr(target_id, 2) AS BIGINT) < {_SMALL})"
-_PATHS = f"""{_FEW}, fn AS (SELECT source_id AS node FROM few UNION SELECT target_id FROM few),
- walk AS (SELECT node AS s, node AS t, 0 AS len, [node] AS path FROM fn UNION ALL SELECT w.s, f.target_id, w.len + 1, list_append(w.path, f.target_id) FROM walk w JOIN few f ON f.source_id = w.t WHERE w.len < 3 AND NOT list_contains(w.path, f.target_id)),
- short AS (SELECT s, t, min(len) AS len FROM walk GROUP BY ALL), best AS (SELECT w.* FROM walk w JOIN short USING (s, t, len) WHERE w.len > 0), paths AS (SELECT s, t, count(*) AS n FROM best GROUP BY ALL),
- inner_ AS (SELECT s, t, node, count(*) AS n FROM (SELECT s, t, unnest(path[2:-2]) AS node FROM best WHERE len > 1) GROUP BY ALL),
- bt AS (SELECT node, sum(i.n * 1.0 / p.n) AS b FROM inner_ i JOIN paths p USING (s, t) GROUP BY node), c AS (SELECT count(*) AS n FROM fn)"""
 
 
-def _few(s, d) -> DataFrame:
-    low = lambda c: F.substring(c, 2, 20).cast("bigint") < _SMALL
-    return _edges(s, d).filter(low("source_id") & low("target_id"))
+def _between(edges: str) -> str:
+    """SQL of bt (node, b): exact betweenness over simple edges (u, v), by distances of at most five edges, beyond the
+    diameter here, and numbers of shortest paths."""
+    return f"""se AS MATERIALIZED ({edges}), sn AS (SELECT u AS node FROM se UNION SELECT v FROM se),
+ reach AS (SELECT node AS s, node AS v, 0 AS d FROM sn UNION SELECT r.s, e.v, r.d + 1 FROM reach r JOIN se e ON e.u = r.v WHERE r.d < 5),
+ far AS MATERIALIZED (SELECT s, v, min(d) AS d FROM reach GROUP BY ALL),
+ ways AS (SELECT node AS s, node AS v, 0 AS d, 1.0::DOUBLE AS p FROM sn UNION ALL SELECT w.s, e.v, w.d + 1, sum(w.p) FROM ways w JOIN se e ON e.u = w.v JOIN far f ON f.s = w.s AND f.v = e.v AND f.d = w.d + 1 GROUP BY w.s, e.v, w.d + 1),
+ mid AS (SELECT x.v AS node, sum(x.p * y.p / z.p) AS b FROM ways x JOIN ways y ON y.s = x.v AND y.d > 0 JOIN ways z ON z.s = x.s AND z.v = y.v AND z.d = x.d + y.d WHERE x.d > 0 GROUP BY x.v),
+ bt AS (SELECT sn.node, coalesce(b, 0) / ((c.n - 1) * (c.n - 2)) AS b FROM sn LEFT JOIN mid USING (node), (SELECT count(*) AS n FROM sn) c)"""
 
 
-@query("betweenness_exact", f"WITH RECURSIVE {_PATHS} SELECT node, round(coalesce(b, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM fn LEFT JOIN bt USING (node), c", _G)
+_ONE_WAY = "SELECT DISTINCT source_id AS u, target_id AS v FROM graph_edges WHERE source_id <> target_id"
+_BOTH_WAYS = "SELECT source_id AS u, target_id AS v FROM graph_edges WHERE source_id <> target_id UNION SELECT target_id, source_id FROM graph_edges WHERE source_id <> target_id"
+_EVERY = (1 << 31) - 1
+
+
+@query("betweenness_exact", f"WITH RECURSIVE {_between(_BOTH_WAYS)} SELECT node, round(b, 6) AS betweenness FROM bt", _G)
 def _(s, d):
-    return graph.betweenness(_few(s, d)).select("node", F.round("betweenness", 6).alias("betweenness"))
+    """Of the whole graph without directions, every node a pivot."""
+    return graph.betweenness(_edges(s, d), _EVERY, directed=False).select("node", F.round("betweenness", 6).alias("betweenness"))
+
+
+@query("bridge_ranking", f"""WITH RECURSIVE {_between(_ONE_WAY)}, {_N}, {_PART}, p AS (SELECT source_id AS node, target_id AS nx FROM graph_edges UNION SELECT target_id, source_id FROM graph_edges), k AS (SELECT count(DISTINCT community) AS k FROM part WHERE community >= 0),
+ x AS (SELECT p.node, CASE WHEN a.community >= 0 THEN a.community END AS own, CASE WHEN b.community >= 0 THEN b.community END AS oth FROM p JOIN part a ON a.node = p.node JOIN part b ON b.node = p.nx),
+ y AS (SELECT node, any_value(own) AS community, count(*) AS neighbours, count(*) FILTER (own <> oth) AS foreign_neighbours, count(DISTINCT oth) FILTER (own <> oth) AS reached FROM x GROUP BY node), z AS (SELECT *, round(foreign_neighbours * 1.0 / neighbours, 4) AS ratio FROM y WHERE foreign_neighbours > 0),
+ w AS (SELECT z.*, round(b, 6) AS betweenness, round(0.6 * ratio + 0.25 * b / (SELECT max(b) FROM bt) + 0.15 * least(1.0, reached * 1.0 / (k - 1)), 4) AS score FROM z JOIN bt USING (node), k)
+ SELECT node, community, ratio, neighbours, foreign_neighbours, CAST(reached AS INT) AS reached, betweenness, score, CAST(row_number() OVER (ORDER BY score DESC, ratio DESC, betweenness DESC, node) AS INT) AS place FROM w ORDER BY place LIMIT 20""", _G)
+def _(s, d):
+    """The top 20 bridges by their real betweenness, every node a pivot."""
+    e = _edges(s, d)
+    return graph.bridges(e, _part(e), graph.betweenness(e, _EVERY))
 
 
 def _ranked(s, d) -> DataFrame:
@@ -151,24 +167,28 @@ def _(s, d):
     return network.persisted(gone.union(stale), e, _part(e)).select("user_id", "community_id")
 
 
-@query("communities_in_order", f"WITH {_N}, {_PART} SELECT node AS user_id, CAST(community AS INT) AS community_id FROM part ORDER BY 2, 1 LIMIT 50", _G)
+@query("communities_in_order", f"WITH {_N}, {_PART} SELECT node AS user_id, CAST(community AS INT) AS community_id FROM part ORDER BY 2, 1", _G)
 def _(s, d):
     from ..operators import records
 
     e = _edges(s, d)
     rows = _part(e).select(F.col("node").alias("user_id"), F.col("community").cast("int").alias("community_id"))
-    return records.by_community(rows).limit(50)
+    return records.by_community(rows)
 
 
-@query("network_overview", f"WITH {_N} SELECT 'nodes' AS part, (SELECT count(*) FROM nodes) AS n UNION ALL SELECT 'edges', count(*) FROM graph_edges UNION ALL SELECT 'leaders', 20 UNION ALL SELECT 'partition', (SELECT count(*) FROM nodes) UNION ALL SELECT 'cascades', 5", _G)
+@query("network_overview", f"""WITH {_N}, top AS (SELECT cascade_id, count(*) AS events FROM cascade_events GROUP BY 1 HAVING count(*) >= 3 ORDER BY events DESC, cascade_id LIMIT 5)
+ SELECT 'nodes' AS part, (SELECT count(*) FROM nodes) AS n UNION ALL SELECT 'edges', count(*) FROM graph_edges UNION ALL SELECT 'leaders', least(20, count(*)) FROM nodes UNION ALL SELECT 'partition', count(*) FROM nodes
+ UNION ALL SELECT cascade_id, count(DISTINCT user_id) FROM cascade_events JOIN top USING (cascade_id) GROUP BY 1""", ("graph_edges", "cascade_events"))
 def _(s, d):
+    """Counts of the overview's tables, and the adoptions of each of its cascades."""
     parts = network.Network(_edges(s, d)).overview(load(s, d, "users"), load(s, d, "cascade_events"))
     size = parts["topology"].select(F.explode(F.array(F.struct(F.lit("nodes").alias("part"), F.col("nodes").alias("n")), F.struct(F.lit("edges").alias("part"), F.col("edges").alias("n")))).alias("x")).select("x.*")
-    more = tables.counts({k: parts[k] for k in ("leaders", "partition", "cascades")}).toDF("part", "n")
-    return size.union(more)
+    more = tables.counts({k: parts[k] for k in ("leaders", "partition")}).toDF("part", "n")
+    return size.union(more).union(parts["cascades"].select("cascade_id", "adoptions"))
 
 
-@query("graph_load", "SELECT count(*) AS edges FROM (SELECT * FROM graph_edges ORDER BY source_id, target_id LIMIT 500)", _G)
+@query("graph_load", "SELECT source_id, target_id, relation_type, weight::DOUBLE AS weight FROM graph_edges", _G)
 def _(s, d):
-    e = _edges(s, d).orderBy("source_id", "target_id").limit(500)
-    return network.Network(e).counts().select("edges")
+    """All edges as an empty network holds them once they are put in."""
+    e = _edges(s, d)
+    return network.Network(e.limit(0)).add(e).edges.select("source_id", "target_id", "relation_type", "weight")

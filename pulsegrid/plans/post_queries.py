@@ -59,10 +59,10 @@ def _(s, d):
     return records.edges_between(_dated(s, d), "2024-01-05", "2024-01-12", False).select("source_id", "target_id", as_text(F.col("ts")).alias("at"))
 
 
-@query("latest_analytics", "SELECT post_id, primary_emotion FROM (SELECT a.*, ts FROM post_analytics a JOIN posts ON id = post_id) ORDER BY ts DESC, post_id LIMIT 100", ("posts", "post_analytics"))
+@query("latest_analytics", "SELECT post_id, primary_emotion FROM (SELECT a.*, ts FROM post_analytics a JOIN posts ON id = post_id) ORDER BY ts DESC, post_id", ("posts", "post_analytics"))
 def _(s, d):
     rows = load(s, d, "post_analytics").join(_posts(s, d).select(F.col("id").alias("post_id"), F.col("ts").alias("analyzed_at")), "post_id")
-    return records.latest_analytics(rows).limit(100).select("post_id", "primary_emotion")
+    return records.latest_analytics(rows).select("post_id", "primary_emotion")
 
 
 @query("analytics_defaults", "SELECT post_id, CASE WHEN CAST(post_id AS INT) % 3 = 0 THEN 'neutral' ELSE effective_polarity END AS effective_polarity, coalesce(NULL, 'none') AS stance, 0.0::DOUBLE AS stance_score FROM post_analytics", ("post_analytics",))

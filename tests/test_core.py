@@ -137,10 +137,8 @@ def test_ranks_and_bridges(spark):
     assert abs(sum(r["rank"] for r in ranks.collect()) - 1) < 1e-6
     assert graph.rank_leaders(ranks, graph.degrees(e), graph.betweenness(e)).first()["node"] in ("kol1", "kol2")
     line = edges(spark, [("a", "b"), ("b", "c"), ("c", "d")])
-    by_worker = {r["node"]: round(r["betweenness"], 6) for r in graph.betweenness(line).collect()}
-    assert by_worker["b"] == round(2 / 6, 6) and by_worker["a"] == 0
-    joins = graph._by_joins(graph.simple(line), graph.nodes(line)).groupBy("node").agg(F.sum("d").alias("d"))
-    assert {r["node"]: r["d"] for r in joins.collect() if r["d"]} == {"b": 2.0, "c": 2.0}
+    between = {r["node"]: round(r["betweenness"], 6) for r in graph.betweenness(line).collect()}
+    assert between == {"a": 0, "b": round(2 / 6, 6), "c": round(2 / 6, 6), "d": 0}
     part = spark.createDataFrame([("a", 0), ("b", 0), ("c", 1), ("d", -1)], "node string, community int")
     got = {r["node"]: r["ratio"] for r in graph.bridges(line, part).collect()}
     assert got == {"b": 0.5, "c": 0.5}
@@ -148,15 +146,34 @@ def test_ranks_and_bridges(spark):
     assert graph.spearman(spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3)], "k string, x int, y int"), "x", "y", "k").first()["rho"] == 1.0
 
 
-def test_weights_count_at_every_size(spark):
-    """Shortest paths by weight, of equal length several: workers and joins agree."""
+def test_weighted_betweenness_against_all_paths(spark):
+    """Shortest paths by weight, of equal length several; all simple paths are walked here."""
     import random
 
     r = random.Random(2)
-    rows = [(f"n{r.randint(0, 14):02d}", f"n{r.randint(0, 14):02d}", "FOLLOWS", float(r.choice([1, 1, 2, 3]))) for _ in range(60)]
+    rows = [(f"n{r.randint(0, 8)}", f"n{r.randint(0, 8)}", "FOLLOWS", float(r.choice([1, 1, 2, 3]))) for _ in range(28)]
+    names, cost = sorted({x for row in rows for x in row[:2]}), {}
+    for s, t, _, w in rows:
+        cost[s, t] = max(w, cost.get((s, t), 0.0))  # of several the largest, as simple has it
+    found = {}
+
+    def walk(path, length):
+        found.setdefault((path[0], path[-1]), []).append((length, path))
+        for (s, t), w in cost.items():
+            if s == path[-1] and t not in path:
+                walk([*path, t], length + w)
+
+    for x in names:
+        walk([x], 0.0)
+    want = dict.fromkeys(names, 0.0)
+    for paths in found.values():
+        best = [p for length, p in paths if length == min(paths)[0]]
+        for p in best:
+            for x in p[1:-1]:
+                want[x] += 1 / len(best) / ((len(names) - 1) * (len(names) - 2))
     e = spark.createDataFrame(rows, "source_id string, target_id string, relation_type string, weight double")
-    both = [{x["node"]: round(x["betweenness"], 9) for x in graph.betweenness(e, broadcast_edges=n).collect()} for n in (10_000, 0)]
-    assert both[0] == both[1] and sum(both[0].values()) > 0
+    got = {x["node"]: x["betweenness"] for x in graph.betweenness(e).collect()}
+    assert sum(want.values()) > 0 and all(abs(got[x] - want[x]) < 1e-9 for x in names) and len(got) == len(names)
 
 
 def test_planted_communities(spark):
@@ -183,9 +200,9 @@ def test_numbered(spark):
 def test_betweenness_of_the_queries(spark, monkeypatch):
     from pulsegrid.plans import catalog
 
-    line = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", "FOLLOWS", 1.0) for i in range(240)], "source_id string, target_id string, relation_type string, weight double")
+    line = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}", "FOLLOWS", 1.0) for i in range(12)], "source_id string, target_id string, relation_type string, weight double")
     monkeypatch.setattr(catalog, "_edges", lambda s, d: line)
-    want = {f"n{i:03d}": i * (240 - i) / (240 * 239) for i in range(241)}
+    want = {f"n{i:03d}": i * (12 - i) / (12 * 11) for i in range(13)}
     for name in ("betweenness", "kol_ranking"):
         got = {r["node"]: r["betweenness"] for r in catalog.QUERIES[name](spark, "").collect()}
         assert got and all(abs(want[n] - x) < 1e-4 for n, x in got.items())
