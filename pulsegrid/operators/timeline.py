@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import time_bucket
+from .ranks import numbered
 
 
 def keyword(word: str) -> Column:
@@ -58,22 +59,16 @@ def user_timeline(posts: DataFrame, author: str, limit: int = 100) -> DataFrame:
 
 
 def replay_pages(posts: DataFrame, size: int) -> DataFrame:
-    """posts with a page number, pages of equal size in order of time and id.
+    """posts with a page number, pages of equal size in order of time and id; no task orders the whole table or a day.
 
-    Places are counts of days plus a numbering within each day, so no task orders the whole table.
-    """
-    rows = posts.withColumn("_day", F.to_date("ts"))
-    days = rows.groupBy("_day").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each day
-    rank = F.row_number().over(Window.partitionBy("_day").orderBy("ts", "id")) - 1
-    placed = rows.withColumn("_rank", rank).join(F.broadcast(days.withColumn("_before", before).drop("_n")), "_day")
-    return placed.withColumn("page", F.floor((F.col("_before") + F.col("_rank")) / size)).drop("_day", "_rank", "_before")
+    Rows are written out on the way (``numbered``), so choose the columns that pages need first."""
+    return numbered(posts, "ts", "id", name="_place").withColumn("page", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def since_origin(cascades: DataFrame) -> DataFrame:
     """Seconds since the first event of each cascade."""
-    first = F.min("timestamp_ms").over(Window.partitionBy("cascade_id"))
-    return cascades.withColumn("seconds", (F.col("timestamp_ms") - first) / 1000)
+    first = cascades.groupBy("cascade_id").agg(F.min("timestamp_ms").alias("_first"))
+    return cascades.join(first, "cascade_id").withColumn("seconds", (F.col("timestamp_ms") - F.col("_first")) / 1000).drop("_first")
 
 
 def unanalysed(posts: DataFrame, analytics: DataFrame, limit: int = 50) -> DataFrame:

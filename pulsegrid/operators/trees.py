@@ -1,7 +1,7 @@
 """Conversation threads and diffusion cascades as trees.
 
-Trees are walked from their roots in steps of doubled length, over all trees together: a chain of any length takes two
-joins for each doubling. What a cycle holds is never reached, so the walk ends.
+Trees are walked from their roots in steps of doubled length, over all trees together: a chain of any length takes one
+or two joins for each doubling. What a cycle holds is never reached, so the walk ends.
 """
 
 from __future__ import annotations
@@ -17,29 +17,32 @@ from .sentiment import signed
 def closure(nodes: DataFrame, tree: str, node: str, parent: str, with_size: bool = False) -> DataFrame:
     """(tree, node, depth[, size]) of all nodes that a root (no parent) reaches; size counts a node and all below it.
 
-    ``out`` has the nodes less deep than 2**k, ``way`` all pairs of a node and the one 2**k above it, ``size`` how many
-    are less than 2**k below each: those of a node 2**k further down are added to it. Rows that name one node twice
-    and so lead from a root into a cycle are an error.
+    One table, written once a doubling: before round k an open row points to the node 2**k above it (``_up``), a closed
+    one has reached its root and knows its depth; sizes are of what is less than 2**k below. Open rows take the pointer
+    of the node they point to; those that point nowhere go. Rows that name one node twice and so lead from a root into
+    a cycle are an error.
     """
-    edges = cut(nodes.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("_parent")))
-    out = edges.filter("_parent is null").select("tree", "node", F.lit(0).alias("depth"))
-    way = edges.filter("_parent is not null").select("tree", "node", F.col("_parent").alias("_up"))
-    size = edges.select("tree", "node", F.lit(1).cast("bigint").alias("size")) if with_size else None
-    most, step = edges.count(), 1
+    first = [F.lit(1).cast("bigint").alias("size")] if with_size else []
+    up = F.col(parent).alias("_up")
+    state = cut(nodes.select(F.col(tree).alias("tree"), F.col(node).alias("node"), up, F.col(parent).isNotNull().cast("int").alias("depth"), *first))
+    kept = ["size"] if with_size else []
+    most, closed = state.agg(F.count(F.lit(1)), F.count(F.when(F.col("_up").isNull(), 1))).first()
+    step = 1
     while True:
-        above = out.select("tree", F.col("node").alias("_up"), F.col("depth").alias("_d"))
-        found = cut(way.join(above, ["tree", "_up"]).select("tree", "node", (F.col("_d") + step).alias("depth")))
-        if found.isEmpty():
-            return out.join(size, ["tree", "node"]) if with_size else out
+        far = state.select("tree", F.col("node").alias("_up"), F.col("_up").alias("_next"), F.col("depth").alias("_d"))
+        rows = state.filter("_up is not null")
+        moved = rows.join(far, ["tree", "_up"]).select("tree", "node", F.col("_next").alias("_up"), (F.col("depth") + F.col("_d")).alias("depth"), *kept)
+        new = state.filter("_up is null").unionByName(moved)
+        if with_size:
+            more = rows.groupBy("tree", F.col("_up").alias("node")).agg(F.sum("size").alias("_more"))
+            new = new.join(more, ["tree", "node"], "left").select("tree", "node", "_up", "depth", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
+        state = cut(new)
+        open_, done = state.agg(F.count("_up"), F.count(F.when(F.col("_up").isNull(), 1))).first()
+        if not open_ or done == closed:  # none in reach, or cycles alone
+            return state.filter("_up is null").select("tree", "node", "depth", *kept)
         if step >= most:
             raise ValueError("a root leads into a cycle")
-        out = out.unionByName(found)
-        if with_size:
-            more = way.join(size, ["tree", "node"]).groupBy("tree", F.col("_up").alias("node")).agg(F.sum("size").alias("_more"))
-            size = cut(size.join(more, ["tree", "node"], "left").select("tree", "node", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size")))
-        further = way.select("tree", F.col("node").alias("_up"), F.col("_up").alias("_next"))
-        way = cut(way.join(further, ["tree", "_up"]).select("tree", "node", F.col("_next").alias("_up")))
-        step *= 2
+        closed, step = done, step * 2
 
 
 # --- threads -----------------------------------------------------------------------------------------------------
@@ -56,16 +59,22 @@ def children(posts: DataFrame, parent: str) -> DataFrame:
     return posts.filter(F.col("parent_id") == parent).orderBy("timestamp_ms", "id")
 
 
+def thread_participants(tree: DataFrame) -> DataFrame:
+    """(root_id, author_id, posts): who wrote in a thread and how often, a row each."""
+    return tree.groupBy("root_id", "author_id").agg(F.count(F.lit(1)).alias("posts"))
+
+
 def thread_metrics(tree: DataFrame) -> DataFrame:
     """Per thread: posts, replies, max_depth, branching, participants, duration and mean latency of replies, in seconds."""
     parent = tree.select("root_id", F.col("id").alias("parent_id"), F.col("timestamp_ms").alias("_before"))
     rows = tree.join(parent, ["root_id", "parent_id"], "left").withColumn("_wait", F.when(F.col("_before").isNotNull(), F.greatest(F.lit(0), F.col("timestamp_ms") - F.col("_before")) / 1000))
     base = rows.groupBy("root_id").agg(
         F.count(F.lit(1)).alias("posts"), F.count(F.when(F.col("depth") > 0, 1)).alias("replies"), F.max("depth").alias("max_depth"),
-        F.array_sort(F.collect_set("author_id")).alias("_who"), ((F.max("timestamp_ms") - F.min("timestamp_ms")) / 1000).alias("duration_seconds"), F.coalesce(F.avg("_wait"), F.lit(0.0)).alias("mean_latency_seconds"),
+        ((F.max("timestamp_ms") - F.min("timestamp_ms")) / 1000).alias("duration_seconds"), F.coalesce(F.avg("_wait"), F.lit(0.0)).alias("mean_latency_seconds"),
     )
     children = tree.filter("parent_id is not null").groupBy("root_id", "parent_id").agg(F.count(F.lit(1)).alias("n")).groupBy("root_id").agg(F.round(F.avg("n"), 2).alias("branching"))
-    return base.join(children, "root_id", "left").select("root_id", "posts", "replies", "max_depth", F.coalesce("branching", F.lit(0.0)).alias("branching"), F.size("_who").alias("participants"), F.array_join("_who", ",").alias("authors"), "duration_seconds", "mean_latency_seconds")
+    who = thread_participants(tree).groupBy("root_id").agg(F.count("author_id").alias("participants"))
+    return base.join(children, "root_id", "left").join(who, "root_id").select("root_id", "posts", "replies", "max_depth", F.coalesce("branching", F.lit(0.0)).alias("branching"), "participants", "duration_seconds", "mean_latency_seconds")
 
 
 def depth_histogram(tree: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def _(s, d):
 
 @query("replay_pages", "SELECT id, CAST(floor((row_number() OVER (ORDER BY ts, id) - 1) / 500.0) AS BIGINT) AS page FROM posts", ("posts",))
 def _(s, d):
-    return timeline.replay_pages(_posts(s, d), 500).select("id", "page")
+    return timeline.replay_pages(_posts(s, d).select("id", "ts"), 500).select("id", "page")
 
 
 @query("cascade_series", "SELECT cascade_id, post_id, adoption_order FROM cascade_events", ("cascade_events",))
@@ -143,7 +143,7 @@ def _(s, d):
 
 @query("term_extraction", f"WITH {_TERMS} SELECT term, kind, count(*) AS n FROM terms GROUP BY ALL", ("posts",))
 def _(s, d):
-    return trends.post_terms(_posts(s, d)).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return trends.term_counts(_posts(s, d))
 
 
 _WINDOWS = f"""{_TERMS}, span AS (SELECT epoch_us(max(ts)) / 1e6 AS e FROM posts),
@@ -334,12 +334,17 @@ def _(s, d):
 
 @query("thread_metrics", f"""WITH RECURSIVE {_TREE}, b AS (SELECT root_id, parent_id, count(*) AS n FROM t WHERE parent_id IS NOT NULL GROUP BY ALL), br AS (SELECT root_id, round(CAST(avg(n) AS DECIMAL(18, 8)), 2)::DOUBLE AS branching FROM b GROUP BY root_id),
  w AS (SELECT c.root_id, avg(greatest(0, c.timestamp_ms - p.timestamp_ms) / 1000.0) AS lat FROM t c JOIN t p ON c.parent_id = p.id GROUP BY c.root_id)
- SELECT root_id, count(*) AS posts, count(*) FILTER (depth > 0) AS replies, max(depth) AS max_depth, coalesce(any_value(branching), 0.0) AS branching, CAST(count(DISTINCT author_id) AS INT) AS participants, string_agg(DISTINCT author_id, ',' ORDER BY author_id) AS authors,
+ SELECT root_id, count(*) AS posts, count(*) FILTER (depth > 0) AS replies, max(depth) AS max_depth, coalesce(any_value(branching), 0.0) AS branching, count(DISTINCT author_id) AS participants,
  (max(timestamp_ms) - min(timestamp_ms)) / 1000.0 AS duration_seconds, round(coalesce(any_value(lat), 0.0), 6) AS mean_latency_seconds FROM t LEFT JOIN br USING (root_id) LEFT JOIN w USING (root_id) GROUP BY root_id""", ("threads",))
 def _(s, d):
     return trees.thread_metrics(trees.thread_tree(load(s, d, "threads"))).withColumn("mean_latency_seconds", F.round("mean_latency_seconds", 6))
 
 
+@query("thread_participants", f"WITH RECURSIVE {_TREE} SELECT root_id, author_id, count(*) AS posts FROM t GROUP BY ALL", ("threads",))
+def _(s, d):
+    return trees.thread_participants(trees.thread_tree(load(s, d, "threads")))
+
+
 @query("thread_depth_histogram", f"WITH RECURSIVE {_TREE} SELECT root_id, depth, count(*) AS posts FROM t GROUP BY ALL", ("threads",))
 def _(s, d):
     return trees.depth_histogram(trees.thread_tree(load(s, d, "threads")))

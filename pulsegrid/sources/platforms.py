@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hashtags, mentions, urls
+from .shared import cut
 
 
 def _at(path: str) -> Column:
@@ -93,14 +94,16 @@ NORMALISERS = {"twitter": twitter, "reddit": reddit, "youtube": youtube, "telegr
 
 
 def thread_posts(payloads: DataFrame, most_depth: int = 50) -> DataFrame:
-    """(depth, payload) of every post in nested thread views (post, replies), level by level."""
+    """(depth, payload) of every post in nested thread views (post, replies), level by level.
+
+    Each level's replies are written out, so what lies above is parsed once."""
     level = payloads.select(F.lit(0).alias("depth"), "payload")
     out = None
     for d in range(most_depth + 1):
         here = level.select("depth", F.get_json_object("payload", "$.post").alias("payload")).filter("payload is not null")
         out = here if out is None else out.union(here)
         kids = F.variant_get(F.try_parse_json(F.col("payload")), "$.replies", "array<variant>")
-        level = level.select(F.lit(d + 1).alias("depth"), F.explode(F.transform(kids, lambda v: F.to_json(v))).alias("payload"))
+        level = cut(level.select(F.lit(d + 1).alias("depth"), F.explode(F.transform(kids, lambda v: F.to_json(v))).alias("payload")))
         if level.isEmpty():
             break
     return out

@@ -53,6 +53,13 @@ def test_terms_and_bursts(spark):
     rows = spark.sql("select 'The #AI model https://t.co/x learns, learns é abcé xabc_d' text, array('#B', 'c') hashtags, 1 ts, 'a' author_id")
     found = trends.post_terms(rows).select("term", "kind").collect()
     assert [tuple(r) for r in found] == [("#b", "hashtag"), ("#c", "hashtag"), ("model", "keyword"), ("learns", "keyword"), ("learns", "keyword")]
+    # links with tags in them, tags in links, several kinds of blanks, signs in words, a long piece, no text
+    texts = ["go http://a.b/#frag/more xhttp://#tag https:// #Tag##two a_b cd\tef\nghi jkl9 mno, pqr", "é" * 200 + " plain words plain", "y" * 101 + "-abc http://x.y", "", None, "\u212aelvin ABC abc #ABC"]
+    odd = spark.createDataFrame([(t, ["Q"] if i % 2 else None, i % 2, "a") for i, t in enumerate(texts)], "text string, hashtags array<string>, ts int, author_id string")
+    for target in ("all", "hashtags", "keywords"):
+        for stored in (True, False):
+            want = trends.post_terms(odd, target, stored_tags=stored).groupBy("ts", "term", "kind").count()
+            assert sorted(map(tuple, trends.term_counts(odd, ["ts"], target, stored_tags=stored).collect())) == sorted(map(tuple, want.collect()))
     counted = spark.createDataFrame([("breaking", "keyword", [2, 2, 2, 2, 2, 35]), ("steady", "keyword", [15, 15, 15, 15, 15, 15])], "term string, kind string, counts array<bigint>")
     m = {r["term"]: r for r in trends.burst_metrics(counted, 60).collect()}
     assert m["breaking"]["is_bursting"] and m["breaking"]["z_score"] == round(33 / math.sqrt(2), 3) and m["breaking"]["mean"] == 2.0
