@@ -389,3 +389,14 @@ def test_scorer_is_loaded_once_a_worker(spark, tmp_path):
 
 def test_settings():
     assert limits.parse_env("A=a#b\nB='x # y' # z\nC=\"open\nexport D = 1\n=2\n#E=1") == {"A": "a", "B": "x # y", "C": "open", "D": "1"}
+
+
+def test_ranges_are_checked_before_a_plan(spark):
+    for name, (least, most) in trends.RANGES.items():
+        trends.checked(**{name: least})
+        trends.checked(**{name: most})
+        for value in (least - 0.5, most + 0.5, float("nan")):
+            with pytest.raises(ValueError, match=name):
+                trends.bursts(None, **{name: value})
+            with pytest.raises(ValueError, match=name):
+                trends.overview(None, **{name: value})
