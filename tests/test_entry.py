@@ -41,7 +41,7 @@ def kind(name):
 
 
 #: Queries whose rounds or streams run before there are columns: minutes in all. Compared by hand with all rows at sf0.01.
-EAGER = {"network_overview", "density_clusters", "language_model", "language_metrics", "knn_table", "structural_virality", "cascade_metrics", "cascade_depths", "cascade_parents", "pagerank", "leader_names", "leader_composite", "betweenness", "betweenness_exact", "bridge_ranking", "graph_load", "label_propagation_rounds", "connected_components", "community_stats", "stream_burst_baselines", "stream_trend_alerts", "stream_unanalysed"}
+EAGER = {"network_overview", "density_clusters", "language_model", "language_metrics", "knn_table", "structural_virality", "cascade_metrics", "cascade_depths", "cascade_parents", "pagerank", "leader_names", "leader_composite", "betweenness", "betweenness_exact", "bridge_ranking", "label_propagation_rounds", "connected_components", "community_stats", "stream_burst_baselines", "stream_trend_alerts", "stream_unanalysed"}
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
