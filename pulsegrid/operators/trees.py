@@ -65,7 +65,8 @@ def thread_participants(tree: DataFrame) -> DataFrame:
 
 
 def thread_metrics(tree: DataFrame) -> DataFrame:
-    """Per thread: posts, replies, max_depth, branching, participants, duration and mean latency of replies, in seconds."""
+    """Per thread: posts, replies, max_depth, branching, participants and their names (authors, by name, comma-joined; null
+    if none is known), duration and mean latency of replies, in seconds."""
     parent = tree.select("root_id", F.col("id").alias("parent_id"), F.col("timestamp_ms").alias("_before"))
     rows = tree.join(parent, ["root_id", "parent_id"], "left").withColumn("_wait", F.when(F.col("_before").isNotNull(), F.greatest(F.lit(0), F.col("timestamp_ms") - F.col("_before")) / 1000))
     base = rows.groupBy("root_id").agg(
@@ -73,8 +74,9 @@ def thread_metrics(tree: DataFrame) -> DataFrame:
         ((F.max("timestamp_ms") - F.min("timestamp_ms")) / 1000).alias("duration_seconds"), F.coalesce(F.avg("_wait"), F.lit(0.0)).alias("mean_latency_seconds"),
     )
     children = tree.filter("parent_id is not null").groupBy("root_id", "parent_id").agg(F.count(F.lit(1)).alias("n")).groupBy("root_id").agg(F.round(F.avg("n"), 2).alias("branching"))
-    who = thread_participants(tree).groupBy("root_id").agg(F.count("author_id").alias("participants"))
-    return base.join(children, "root_id", "left").join(who, "root_id").select("root_id", "posts", "replies", "max_depth", F.coalesce("branching", F.lit(0.0)).alias("branching"), "participants", "duration_seconds", "mean_latency_seconds")
+    names = F.array_join(F.array_sort(F.collect_list("author_id")), ",")  # each once, as thread_participants gives them
+    who = thread_participants(tree).groupBy("root_id").agg(F.count("author_id").alias("participants"), F.when(F.count("author_id") > 0, names).alias("authors"))
+    return base.join(children, "root_id", "left").join(who, "root_id").select("root_id", "posts", "replies", "max_depth", F.coalesce("branching", F.lit(0.0)).alias("branching"), "participants", "authors", "duration_seconds", "mean_latency_seconds")
 
 
 def depth_histogram(tree: DataFrame) -> DataFrame:

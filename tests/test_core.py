@@ -96,6 +96,12 @@ def test_threads(spark):
     assert {r["depth"]: r["posts"] for r in trees.depth_histogram(tree).collect()} == {0: 1, 1: 2, 2: 2}
 
 
+def test_thread_authors(spark):
+    t = spark.createDataFrame([("r", None, "r", "b", 0), ("x", "r", "r", "a", 1), ("y", "r", "r", "b", 2), ("z", "y", "r", None, 3), ("q", None, "q", None, 0)], "id string, parent_id string, root_id string, author_id string, timestamp_ms bigint")
+    got = {r["root_id"]: (r["participants"], r["authors"]) for r in trees.thread_metrics(trees.thread_tree(t)).collect()}
+    assert got == {"r": (2, "a,b"), "q": (0, None)}
+
+
 def test_cascades(spark):
     star = [("s", f"p{i}", f"u{i}", START, 1000 * i, i, "p0" if i else None) for i in range(11)]
     chain = [("c", f"q{i}", f"v{i}", START, 1000 * i, i, f"q{i - 1}" if i else None) for i in range(11)]
