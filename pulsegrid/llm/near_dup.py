@@ -20,7 +20,8 @@ two nodes of a bucket are candidates. They are settled in two steps:
    first, a linked pair has a common shingle that lies in the first part (a mass of (1 - s) / (1 + s), see ``prefix``)
    of one and in the first 1 - s of the other. So only nodes that share such a shingle are compared, each two classes
    until a link is found; texts that share a long passage and differ in the rest share none. A shingle of more than
-   BLOCK nodes is cut into blocks, two of which meet in a task.
+   BLOCK nodes is cut into blocks, each by itself at first; links contract classes, and then two blocks meet in a
+   task, but those of one class. Large buckets come before small ones, which make no pairs of what is one class.
 
 Both steps verify on all shingles of both texts (as 40-bit hashes). Linked: probability Jaccard of 0.8 or more; a
 candidate whose sets have a Jaccard of 0.8 or more is linked too. Weight of a shingle: 1 + ln(its count) / 4, so a
@@ -379,12 +380,12 @@ def _own_key(c: str) -> Column:
     return F.hex(c)
 
 
-def _tiles(members: DataFrame, block: int) -> DataFrame:
+def _tiles(members: DataFrame, block: int, alone: bool = False) -> DataFrame:
     """(_tile, _token, _node, _class, _core, _key) of members (_token, _node, _class, _core).
 
     Short lists share tiles of about TASK_ROWS rows. Of a list of more than ``block`` nodes each two blocks are a tile;
     a class of at least ``block`` nodes in it has blocks of its own, which do not meet each other, and the smaller
-    ones share blocks."""
+    ones share blocks. ``alone``: blocks of nodes of all classes, each by itself, so rows are as many as members."""
     lists = members.groupBy("_token").agg(F.count(F.lit(1)).alias("_n"))
     long = stored(lists.filter(F.col("_n") > block).select(F.hex("_token").alias("_k")), "long")
     tasks = max(1, members.count() // TASK_ROWS)
@@ -393,6 +394,10 @@ def _tiles(members: DataFrame, block: int) -> DataFrame:
     if long.isEmpty():
         return short
     of = members.withColumn("_k", _own_key("_token")).join(long, "_k", "left_semi").drop("_k")
+    if alone:
+        groups = lists.filter(F.col("_n") > block).select("_token", F.ceil(F.col("_n") / block).alias("_blocks"))
+        name = F.concat_ws("|", F.col("_token").cast("string"), F.pmod(F.xxhash64("_node"), F.col("_blocks")).cast("string"))
+        return short.unionByName(of.join(groups, "_token").select(name.alias("_tile"), "_token", "_node", "_class", "_core", F.lit("").alias("_key")))
     sizes = of.groupBy("_token", "_class").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.select("_token", "_class", "_n", F.when(F.col("_n") >= block, F.hex("_class")).otherwise("").alias("_own"))
     groups = sizes.groupBy("_token", "_own").agg(F.ceil(F.sum("_n") / block).alias("_blocks"))
@@ -458,7 +463,10 @@ def _head_pairs(classed: DataFrame, shared: Bits, bands: int, salt: int) -> Data
 def _links_of(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
     """(_class, _to) of pairs (_class, _to, _a, _b) whose nodes _a and _b are linked."""
     a, b = (shingles.toDF("_k", f"_shingles_{x}", f"_weights_{x}").withColumn("_k", _own_key("_k")) for x in "ab")
-    full = pairs.withColumn("_k", _own_key("_a")).join(a, "_k").drop("_k").withColumn("_k", _own_key("_b")).join(b, "_k")
+    # The partners of a node travel as one row to its shingles; in a bucket that is no more than BLOCK of them.
+    of = pairs.groupBy("_a").agg(F.collect_list(F.struct("_class", "_to", "_b")).alias("_with")).withColumn("_k", _own_key("_a"))
+    full = of.join(a, "_k").select("_shingles_a", "_weights_a", F.explode("_with").alias("_x")).select("_shingles_a", "_weights_a", "_x.*")
+    full = full.withColumn("_k", _own_key("_b")).join(b, "_k")
     full = full.select("_class", "_to", "_shingles_a", "_weights_a", "_shingles_b", "_weights_b")
     return stored(full.mapInArrow(_verified(similarity), "_class binary, _to binary"), "found")
 
@@ -488,21 +496,51 @@ def _links_in_large(classed: DataFrame, large: DataFrame, shingles: DataFrame, s
     posts = texts.mapInArrow(_first_shingles(common, similarity, Bits.of(met, "_token")), schema)
     posts = posts.withColumn("_k", _own_key("_token")).join(met.select(_own_key("_token").alias("_k"), "_list"), "_k")
     posts = posts.groupBy(F.col("_list").alias("_token"), "_node").agg(F.first("_class").alias("_class"), F.max("_core").alias("_core"))
-    tiles = _tiles(stored(posts, "posts"), BLOCK).withColumn("_k", _own_key("_node"))
-    tiles = tiles.join(shingles.withColumnRenamed("_node", "_k").withColumn("_k", _own_key("_k")), "_k").drop("_k")
-    links = stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity), "_class binary, _to binary"), "links")
+    posts = stored(posts, "posts")
     free(met, texts)
-    return links
+    # Blocks by themselves first: most of a group of near copies is one class then, whose blocks need not meet.
+    first = _links_of_tiles(_tiles(posts, BLOCK, alone=True), shingles, similarity)
+    lists = posts.groupBy("_token").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK).select(F.hex("_token").alias("_k"))
+    posts = posts.withColumn("_k", _own_key("_token")).join(lists, "_k", "left_semi").drop("_k")
+    if not first.isEmpty():
+        posts = _relabelled(posts, _smallest(first), "_token", "_core")
+    several = posts.groupBy("_token").agg(F.min("_class").alias("_least"), F.max("_class").alias("_most"))
+    several = several.filter("_least != _most").select(F.hex("_token").alias("_k"))
+    posts = stored(posts.withColumn("_k", _own_key("_token")).join(several, "_k", "left_semi").drop("_k"), "posts")
+    return first if posts.isEmpty() else first.union(_links_of_tiles(_tiles(posts, BLOCK), shingles, similarity))
+
+
+def _links_of_tiles(tiles: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
+    """(_class, _to): links between classes of nodes that meet in a tile."""
+    tiles = tiles.withColumn("_k", _own_key("_node"))
+    tiles = tiles.join(shingles.withColumnRenamed("_node", "_k").withColumn("_k", _own_key("_k")), "_k").drop("_k")
+    return stored(tiles.groupBy("_tile").applyInArrow(_tile_links(similarity), "_class binary, _to binary"), "links")
+
 
+def _smallest(links: DataFrame) -> DataFrame:
+    """(_class, _to): what classes become by links (_class, _to) between them."""
+    return connected(links.toDF("_a", "_b")).toDF("_class", "_to")
 
-def _last_links(classed: DataFrame, shared: Bits, shingles: DataFrame, similarity: float) -> DataFrame:
-    """(_class, _to): links between classes that share a bucket."""
+
+def _mixed(classed: DataFrame, shared: Bits) -> DataFrame:
+    """(_bucket, _n) of the buckets of several classes, with their numbers of nodes."""
     rows = classed.mapInArrow(_banded(BANDS, shared, ["_class"]), "_bucket bigint, _class binary").select("_bucket", F.xxhash64("_class").alias("_c"))
     mixed = rows.groupBy("_bucket").agg(F.min("_c").alias("_least"), F.max("_c").alias("_most"), F.count(F.lit(1)).alias("_n"))
-    mixed = stored(mixed.filter("_least != _most").select("_bucket", "_n"), "mixed")
-    small, large = mixed.filter(F.col("_n") <= BLOCK), mixed.filter(F.col("_n") > BLOCK)
-    links = _links_in_small(classed, small, shingles, similarity)
-    return links if large.isEmpty() else links.union(_links_in_large(classed, large, shingles, similarity))
+    return stored(mixed.filter("_least != _most").select("_bucket", "_n"), "mixed")
+
+
+def _settled(classed: DataFrame, shared: Bits, shingles: DataFrame, similarity: float) -> DataFrame:
+    """classed with classes that share a bucket and are linked made one. Large buckets come first: their groups are one
+    class then and make no pairs in the small buckets that they also have."""
+    mixed = _mixed(classed, shared)
+    large = mixed.filter(F.col("_n") > BLOCK)
+    if not large.isEmpty():
+        links = _links_in_large(classed, large, shingles, similarity)
+        if not links.isEmpty():
+            classed = _relabelled(classed, _smallest(links), "_sig")
+            mixed = _mixed(classed, shared)
+    links = _links_in_small(classed, mixed.filter(F.col("_n") <= BLOCK), shingles, similarity)
+    return classed if links.isEmpty() else _relabelled(classed, _smallest(links), "_sig")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -532,9 +570,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         free(pairs, found)
         if links <= YIELD * tried:
             break
-    links = _last_links(classed, shared, shingles, similarity)
-    if not links.isEmpty():
-        classed = _relabelled(classed, connected(links.toDF("_a", "_b")).toDF("_class", "_to"))
+    classed = _settled(classed, shared, shingles, similarity)
     several = classed.filter("_node != _class").select("_node", "_class")
     return several.union(several.select("_class", "_class").distinct())
 

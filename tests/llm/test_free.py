@@ -12,6 +12,7 @@ import pytest
 from pulsegrid.llm import common, lm_score, near_dup, packing, quality, token_files
 from pulsegrid.llm.bpe import Encoder
 from pulsegrid.llm.textvec import Words, run_hashes, slices
+from pulsegrid.llm.textvec import five as common_five
 
 P = pytest.importorskip("public_tokenizers")
 FILE = P.path("byte_bpe_50k.json")
@@ -274,6 +275,22 @@ def test_pairs_with_a_shared_passage(spark, block, monkeypatch):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_blocks_of_a_group_meet_once(spark):
+    """Nodes of one list that are all alike: blocks by themselves have a row a node and leave a class a block."""
+    base = prose(7, 400).split()
+    texts = pa.array([" ".join(base[:i] + [f"new{i}"] + base[i + 1 :]) for i in range(0, 400, 4)])
+    shingles, weights, starts = near_dup.weighted_shingles(texts)
+    rows = [(bytes([i]) * 16, common_five(shingles[a:b]), weights[a:b].astype(np.float32).tobytes()) for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True))]
+    held = spark.createDataFrame(rows, "_node binary, _shingles binary, _weights binary")
+    members = held.selectExpr("1L as _token", "_node", "_node as _class", "true as _core").persist()
+    alone = near_dup._tiles(members, 10, alone=True)
+    assert alone.count() == 100 and alone.select("_tile").distinct().count() == 10
+    links = near_dup._links_of_tiles(alone, held, 0.8)
+    left = near_dup._relabelled(members, near_dup._smallest(links), "_token", "_core")
+    assert left.select("_class").distinct().count() <= 10
+    assert near_dup._tiles(members, 10).count() == 1000
+
+
 def test_components(spark):
     r = random.Random(2)
     e = [(f"n{r.randint(0, 80):03d}", f"n{r.randint(0, 80):03d}") for _ in range(60)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(40)]
