@@ -51,6 +51,8 @@ GATHER = 4_000_000
 PART_BITS = 1 << 29
 #: Bytes of text that are scored together where the filter has several parts, each of which is read once for them.
 PARTED_CHARS = 8_000_000
+#: N-grams that are probed at a time: bounds what a worker holds beside the part.
+PROBED = 1 << 16
 END = " "  # no word has a blank in it
 _END_HASH = np.uint64(0x2545F4914F6CDD1D)
 _PAIR, _LEVEL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -185,17 +187,20 @@ class Filter:
         of = np.searchsorted(self.first, block, "right") - 1
         sizes = np.diff(self.starts).astype(np.uint64)
         for i, (part, first) in enumerate(zip(self.parts, self.first[:-1], strict=True)):
-            alive, level = np.flatnonzero((of == i) & (sizes[block] > 0)), 0
-            bits = part() if len(alive) else None
-            key, size, start = keys[alive], sizes[block[alive]], self.starts[block[alive]] - self.starts[first]
-            while len(alive) and level < MOST_LEVELS - 1:
-                level += 1
-                there = np.ones(len(alive), bool)
-                for at in _places(key, level, size):
-                    at += start
-                    there &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                alive, key, size, start = alive[there], key[there], size[there], start[there]
-                out[alive] = level
+            own = np.flatnonzero((of == i) & (sizes[block] > 0))
+            bits = None  # the part before goes first
+            bits = part() if len(own) else None
+            for a in range(0, len(own), PROBED):
+                alive, level = own[a : a + PROBED], 0
+                key, size, start = keys[alive], sizes[block[alive]], self.starts[block[alive]] - self.starts[first]
+                while len(alive) and level < MOST_LEVELS - 1:
+                    level += 1
+                    there = np.ones(len(alive), bool)
+                    for at in _places(key, level, size):
+                        at += start
+                        there &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                    alive, key, size, start = alive[there], key[there], size[there], start[there]
+                    out[alive] = level
         return out
 
     @property
@@ -315,13 +320,17 @@ def log_probabilities(lm: Filter, tokens: Tokens, mu: float = MU) -> np.ndarray:
 def _scored(lm: Filter, top, mu: float):
     @lean
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, find = TaskContext.get().partitionId() << 33, 0, top.value.get
+        part, row = TaskContext.get().partitionId() << 33, 0
+        best, best_n = top.value
+        end = np.flatnonzero(best.to_numpy(zero_copy_only=False) == END)
+        ends = best_n[end[0]] if len(end) else 0
         scale = log(lm.tokens + lm.vocabulary + 1)
         for batch in batches:
             for a, b in slices(batch.column("_text"), BATCH_CHARS if len(lm.parts) == 1 else PARTED_CHARS):
                 tokens = Tokens(batch.column("_text").slice(a, b - a))
                 names = tokens.words.dictionary.to_numpy(zero_copy_only=False)
-                count = np.append(np.fromiter((find(w, -1) for w in names), np.int64, len(names)), find(END, 0))
+                place = pc.fill_null(pc.index_in(tokens.words.dictionary.cast(best.type), value_set=best), -1).to_numpy(zero_copy_only=False)
+                count = np.append(np.append(best_n, -1)[place], ends)  # place -1 is the last
                 have = count[tokens.codes]
                 logs = np.where(have >= 0, np.log(np.maximum(have, 0) + 1.0) - scale, 0) / log(10)
                 add = lambda x, s=tokens.starts: np.add.reduceat(x, s[:-1]) if len(x) else x
@@ -360,7 +369,9 @@ def lm_scores(
     words = word_table(texts)
     lm = build_filter(texts, words, part_bits)
     first = words.orderBy(F.desc("_n"), "_word").limit(top_words).toArrow()  # at most top_words rows
-    top = spark.sparkContext.broadcast(dict(zip(first.column("_word").to_pylist(), first.column("_n").to_pylist(), strict=True)))
+    # As arrays, which are far smaller than a dictionary of Python objects in each worker.
+    words_of = first.column("_word").cast(pa.large_string()).combine_chunks()
+    top = spark.sparkContext.broadcast((words_of, first.column("_n").to_numpy().astype(np.int64)))
     del first
     left = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("k", T.LongType())]))
     kinds = {"_row": T.LongType(), "_id": id_type, "held_out": T.BooleanType(), "n_tokens": T.LongType(), "_known": T.LongType()}

@@ -1,6 +1,7 @@
 """The other operators: exact round trips, brute force and held-out accuracy, with nulls, empty and long texts, ties."""
 
 import random
+import weakref
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -426,3 +427,31 @@ def test_filter_in_parts(spark):
     lm = lm_score.build_filter(texts, lm_score.word_table(texts), part_bits=1 << 13)
     assert len(lm.parts) > 2 and len(lm.bits) * 8 > 1 << 13
     assert scores(part_bits=1 << 13) == want and scores(part_bits=1) == want
+
+
+def test_probes_hold_little():
+    """What a look-up holds beside its keys and its answer does not grow with the keys, and one part is held at a time."""
+    import tracemalloc
+
+    held = []
+
+    def part(i):
+        def bits():
+            held[:] = [r for r in held if r() is not None]
+            a = np.full(1 << 20, 255 if i else 170, np.uint8)
+            held.append(weakref.ref(a))
+            most[0] = max(most[0], len(held))
+            return a
+
+        return bits
+
+    most, n = [0], 2_000_000
+    lm = lm_score.Filter([part(0), part(1)], [0, 32, 64], np.arange(65) * (1 << 18), 1, 1)
+    keys = lm_score._hash40(np.random.default_rng(1).integers(0, 1 << 63, n).astype(np.uint64), 64)
+    lm.level(keys[:10])
+    tracemalloc.start()
+    got = lm.level(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most[0] == 1 and peak < 90_000_000
+    assert (got[keys >> np.uint64(45) == 1] == lm_score.MOST_LEVELS - 1).all() and (got == np.concatenate([lm.level(k) for k in np.array_split(keys, 7)])).all()
