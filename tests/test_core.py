@@ -406,3 +406,46 @@ def test_ranges_are_checked_before_a_plan(spark):
                 trends.bursts(None, **{name: value})
             with pytest.raises(ValueError, match=name):
                 trends.overview(None, **{name: value})
+
+
+def test_betweenness_over_small_blocks(spark, monkeypatch):
+    """Blocks, chunks, pieces and slices of a few: weighted shortest paths, counted from every node by a loop of its own.
+    What meets in a round is a row for a block and a piece of edges, not one for each edge and pivot."""
+    import heapq
+    import random
+
+    from pulsegrid.operators import paths
+
+    for name, v in (("BLOCK", 9), ("CHUNK", 7), ("PIECE", 20), ("_AT_ONCE", 16)):
+        monkeypatch.setattr(paths, name, v)
+    r = random.Random(5)
+    pairs = sorted({(f"n{r.randint(0, 39):02d}", f"n{r.randint(0, 39):02d}") for _ in range(200)})
+    rows = [(x, y, "FOLLOWS", float(r.choice([1, 1, 2, 3]))) for x, y in pairs]
+    names, after = sorted({x for p in pairs for x in p}), {}
+    for x, y, _, w in rows:
+        if x != y:
+            after.setdefault(x, []).append((y, w))
+    want = dict.fromkeys(names, 0.0)
+    for s in names:
+        far, ways, before, done, heap = {s: 0.0}, {s: 1}, {s: []}, [], [(0.0, s)]
+        while heap:
+            d, x = heapq.heappop(heap)
+            if d > far[x] or x in done:
+                continue
+            done.append(x)
+            for y, w in after.get(x, []):
+                if d + w < far.get(y, 1e9):
+                    far[y], ways[y], before[y] = d + w, 0, []
+                    heapq.heappush(heap, (d + w, y))
+                if d + w == far[y]:
+                    ways[y] += ways[x]
+                    before[y].append(x)
+        share = dict.fromkeys(done, 0.0)
+        for y in reversed(done):
+            for x in before[y]:
+                share[x] += ways[x] / ways[y] * (1 + share[y])
+            want[y] += share[y] if y != s else 0.0
+    n = len(names)
+    e = spark.createDataFrame(rows, "source_id string, target_id string, relation_type string, weight double")
+    got = {x["node"]: x["betweenness"] * (n - 1) * (n - 2) for x in graph.betweenness(e).collect()}
+    assert n == len(got) and all(abs(got[x] - want[x]) < 1e-9 for x in names), max(abs(got[x] - want[x]) for x in names)
