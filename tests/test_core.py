@@ -449,3 +449,15 @@ def test_betweenness_over_small_blocks(spark, monkeypatch):
     e = spark.createDataFrame(rows, "source_id string, target_id string, relation_type string, weight double")
     got = {x["node"]: x["betweenness"] * (n - 1) * (n - 2) for x in graph.betweenness(e).collect()}
     assert n == len(got) and all(abs(got[x] - want[x]) < 1e-9 for x in names), max(abs(got[x] - want[x]) for x in names)
+
+
+def test_cut_forgets_estimated_sizes(spark):
+    """Joins multiply the sizes that plans estimate; over rounds of cuts they must not build up."""
+    from pulsegrid.sources.shared import cut
+
+    rows = spark.range(3).select("id", F.col("id").cast("string").alias("name"), F.array("id").alias("ids"), F.lit(None).cast("int").alias("none"))
+    kept = cut(rows)
+    assert kept.schema == rows.schema and sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    for _ in range(4):
+        rows = cut(rows.join(rows.select("id"), "id"))
+    assert rows.count() == 3 and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
