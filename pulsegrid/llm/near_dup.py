@@ -529,18 +529,22 @@ def _mixed(classed: DataFrame, shared: Bits) -> DataFrame:
     return stored(mixed.filter("_least != _most").select("_bucket", "_n"), "mixed")
 
 
-def _settled(classed: DataFrame, shared: Bits, shingles: DataFrame, similarity: float) -> DataFrame:
+def _settled(classed: DataFrame, shared: Bits, shingles: DataFrame, similarity: float, kept: list[DataFrame]) -> DataFrame:
     """classed with classes that share a bucket and are linked made one. Large buckets come first: their groups are one
-    class then and make no pairs in the small buckets that they also have."""
+    class then and make no pairs in the small buckets that they also have. kept: gets the tables that were written."""
     mixed = _mixed(classed, shared)
     large = mixed.filter(F.col("_n") > BLOCK)
     if not large.isEmpty():
         links = _links_in_large(classed, large, shingles, similarity)
         if not links.isEmpty():
             classed = _relabelled(classed, _smallest(links), "_sig")
+            kept.append(classed)
             mixed = _mixed(classed, shared)
     links = _links_in_small(classed, mixed.filter(F.col("_n") <= BLOCK), shingles, similarity)
-    return classed if links.isEmpty() else _relabelled(classed, _smallest(links), "_sig")
+    if not links.isEmpty():
+        classed = _relabelled(classed, _smallest(links), "_sig")
+        kept.append(classed)
+    return classed
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -551,7 +555,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signed = rows.mapInArrow(_signed, "_node binary, _sig binary").filter("_sig is not null")
     signed = stored(signed.groupBy("_node").agg(F.first("_sig").alias("_sig")), "signatures")
     buckets = signed.mapInArrow(_banded(BANDS, None, []), "_bucket bigint").groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    shared = Bits.of(stored(buckets.filter("_n > 1").select("_bucket"), "shared"), "_bucket")
+    buckets = stored(buckets.filter("_n > 1").select("_bucket"), "shared")
+    shared = Bits.of(buckets, "_bucket")
     # Most nodes share no bucket: their bands go no further than the task that made them.
     near = stored(signed.mapInArrow(_touching(shared), signed.schema), "near")
     power = filter_power(near.count())
@@ -560,19 +565,22 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shingles = stored(some.groupBy("_node").agg(F.first("_shingles").alias("_shingles"), F.first("_weights").alias("_weights")), "shingles")
 
     free(signed)
-    classed = near.select("_node", F.col("_node").alias("_class"), "_sig")
+    classed, kept = near.select("_node", F.col("_node").alias("_class"), "_sig"), [near, shingles, buckets]
     for salt in count():
         pairs = stored(_head_pairs(classed, shared, BANDS if salt else FIRST_BANDS, salt), "pairs")
         found = _links_of(pairs, shingles, similarity)
         tried, links = pairs.count(), found.count()
         if links:
             classed = _relabelled(classed, _roots(found), "_sig")
+            kept.append(classed)
         free(pairs, found)
         if links <= YIELD * tried:
             break
-    classed = _settled(classed, shared, shingles, similarity)
-    several = classed.filter("_node != _class").select("_node", "_class")
-    return several.union(several.select("_class", "_class").distinct())
+    settled = _settled(classed, shared, shingles, similarity, kept)
+    several = settled.filter("_node != _class").select("_node", "_class")
+    out = stored(several.union(several.select("_class", "_class").distinct()), "linked")
+    free(*kept)  # signatures and shingles would lie beside all that later stages write
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

@@ -81,3 +81,20 @@ def test_odd_input(spark, tmp_path):
     assert corpus_pipeline.run(spark, written("none", [], [(1, 1, 0)], [(1, "a b c")])).count() == 0
     marked = written("marked", full, [(i, 1, 0) for i in range(30)], [(1, prose(3)), (None, None), (2, "")])
     assert 3 not in {r["doc_id"] for r in corpus_pipeline.run(spark, marked).collect()}
+
+
+def test_near_copies_leave_no_large_tables(spark):
+    """Signatures and shingles go before the next stage writes; what classes are made of stays readable."""
+    from pathlib import Path
+
+    from pulsegrid.llm import near_dup
+    from pulsegrid.llm.common import shared_dir
+
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(f"v{i}" for i in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = Path(shared_dir(spark).removeprefix("file:").replace("///", "/")) / "pulsegrid"
+    large = lambda: {p.name for p in folder.glob("*") if p.name.split("-")[0] in ("signatures", "near", "shingles", "classes", "shared")}
+    before = large()
+    kept = near_dup.near_classes(docs)
+    assert kept.count() == 2 and not large() - before
