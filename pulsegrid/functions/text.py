@@ -95,12 +95,12 @@ def intensity(text: Column, feeling: str, cap: float = 2.0) -> Column:
     for words, weight in zip(MARKERS[feeling], (1.0, 0.5), strict=True):
         part = F.lit(0.0)
         for w in words:
-            has = F.contains(low, F.lit(w)) if not w.isascii() else low.rlike(rf"\b{re.escape(w)}\b")
-            part = part + F.when(has, weight).otherwise(0.0)
-        any_of = rf"\b(?:{'|'.join(re.escape(w) for w in words if w.isascii())})\b|{'|'.join(w for w in words if not w.isascii()) or '(?!)'}"
-        score = score + F.when(low.rlike(any_of), part).otherwise(0.0)  # most texts have none of the words
+            has = F.contains(low, F.lit(w))  # most texts have none of the words: only those that do are matched
+            part = part + F.when(has & low.rlike(rf"\b{re.escape(w)}\b") if w.isascii() else has, weight).otherwise(0.0)
+        score = score + part
     score = score + F.when(F.contains(text, F.lit("!")), 0.25).otherwise(0.0)
-    shouted = F.exists(F.split(text, r"\s+"), lambda w: (F.length(w) > 2) & (F.upper(w) == w) & (F.lower(w) != w))
+    loud = F.regexp_extract_all(text, F.lit(r"(?<!\S)[^\sa-z]{3,}+(?!\S)"), F.lit(0))  # words that can be shouted
+    shouted = F.exists(loud, lambda w: (F.upper(w) == w) & (F.lower(w) != w))
     return F.least(F.lit(1.0), (score + F.when(shouted, 0.25).otherwise(0.0)) / cap)
 
 

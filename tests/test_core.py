@@ -461,3 +461,26 @@ def test_cut_forgets_estimated_sizes(spark):
     for _ in range(4):
         rows = cut(rows.join(rows.select("id"), "id"))
     assert rows.count() == 3 and rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+
+
+def test_intensity_by_plain_words(spark):
+    """Against a loop over words: shouted words of any script, marks of several words, words within others."""
+    import re
+
+    from pulsegrid.functions import text as T
+
+    texts = ["PANIC now", "so HYPED x", "an epicenter", "epic", "can't wait! GO", "ÄÖÜ", "äÖÜ", "ŠŠŠ a", "ABC1 x", "1234", "AB", "x\x0bABC\x1cD", "🚀🚀", "ǅǅǅ", "ﬀﬀﬀ HOPE", "", "panicPANIC", "A_B-C!", "ΣΣΣ", "looking forward, stress"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+
+    def want(t, feeling):
+        score = 0.0
+        for words, weight in zip(T.MARKERS[feeling], (1.0, 0.5), strict=True):
+            score += weight * sum(bool(re.search(rf"\b{re.escape(w)}\b", t.lower(), re.ASCII)) if w.isascii() else w in t.lower() for w in words)
+        loud = any(len(w) > 2 and w.upper() == w and w.lower() != w for w in re.split(r"[ \t\n\x0b\f\r]+", t))
+        return round(min(1.0, (score + 0.25 * ("!" in t) + 0.25 * loud) / 2.0), 6)
+
+    for feeling in T.MARKERS:
+        plan = rows.select("i", F.round(T.intensity(F.col("t"), feeling), 6).alias("x"))
+        assert {r["i"]: r["x"] for r in plan.collect()} == {i: want(t, feeling) for i, t in enumerate(texts)}
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "split(" not in text  # not every word of a text is judged
