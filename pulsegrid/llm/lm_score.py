@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free, small_batches, stored, text_of
-from .textvec import BATCH_CHARS, Words, five, from_five, lean, lean_group, mix, slices
+from .textvec import BATCH_CHARS, Words, five, from_five, give_back, lean, lean_group, mix, slices
 
 FOLDS, HELD_OUT = 7, 2
 BASE, PROBES, FILTER_BITS_EACH = 1.5, 3, 12
@@ -79,12 +79,12 @@ class Tokens:
 
     def __init__(self, texts: pa.Array):
         words = Words(texts, lower=True)
-        self.words = words
+        self.dictionary = words.dictionary
         self.hashes = np.append(words.hashes(), _END_HASH)
         end, n = len(words.dictionary), np.diff(words.starts)
         self.counts = n + 1
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
-        self.codes = np.full(int(self.starts[-1]), end, np.int64)
+        self.codes = np.full(int(self.starts[-1]), end, np.int32)
         owner = np.repeat(np.arange(len(n)), n)
         self.codes[np.arange(len(words.codes)) + owner] = words.codes
         self.previous = np.empty_like(self.codes)
@@ -92,9 +92,9 @@ class Tokens:
             self.previous[0] = end
             self.previous[1:] = self.codes[:-1]  # the end mark of the text before is the mark before this one
 
-    def pairs(self) -> np.ndarray:
+    def pairs(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         h = self.hashes
-        return mix(h[self.previous] * _PAIR + h[self.codes])
+        return mix(h[self.previous[start:stop]] * _PAIR + h[self.codes[start:stop]])
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -182,17 +182,21 @@ class Filter:
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels of n-grams, by repeated membership probes."""
-        out = np.zeros(len(keys), np.int64)
-        block = (keys >> np.uint64(_REST_BITS)).astype(np.int64)
-        of = np.searchsorted(self.first, block, "right") - 1
+        out = np.zeros(len(keys), np.int16)
         sizes = np.diff(self.starts).astype(np.uint64)
+        part_of = np.where(sizes > 0, np.searchsorted(self.first, np.arange(self.blocks), "right") - 1, -1).astype(np.int32)
+        of = np.empty(len(keys), np.int32)
+        for a in range(0, len(keys), PROBED):
+            of[a : a + PROBED] = part_of[(keys[a : a + PROBED] >> np.uint64(_REST_BITS)).astype(np.int64)]
         for i, (part, first) in enumerate(zip(self.parts, self.first[:-1], strict=True)):
-            own = np.flatnonzero((of == i) & (sizes[block] > 0))
+            own = np.flatnonzero(of == i)
             bits = None  # the part before goes first
             bits = part() if len(own) else None
             for a in range(0, len(own), PROBED):
                 alive, level = own[a : a + PROBED], 0
-                key, size, start = keys[alive], sizes[block[alive]], self.starts[block[alive]] - self.starts[first]
+                key = keys[alive]
+                block = (key >> np.uint64(_REST_BITS)).astype(np.int64)
+                size, start = sizes[block], self.starts[block] - self.starts[first]
                 while len(alive) and level < MOST_LEVELS - 1:
                     level += 1
                     there = np.ones(len(alive), bool)
@@ -306,15 +310,23 @@ def build_filter(texts: DataFrame, words: DataFrame, part_bits: int = PART_BITS)
 
 
 def log_probabilities(lm: Filter, tokens: Tokens, mu: float = MU) -> np.ndarray:
-    """log10 probability of each token."""
-    words = len(tokens.hashes)
-    found = lm.level(_hash40(np.concatenate([tokens.hashes, tokens.pairs()]), lm.blocks))
+    """log10 probability of each token; beside a key and a result for each, only PROBED tokens are worked on at a time."""
+    words, n = len(tokens.hashes), len(tokens.codes)
+    keys = np.empty(words + n, np.uint64)
+    keys[:words] = _hash40(tokens.hashes, lm.blocks)
+    for a in range(0, n, PROBED):
+        keys[words + a : words + a + PROBED] = _hash40(tokens.pairs(a, a + PROBED), lm.blocks)
+    found = lm.level(keys)
+    del keys
     word_counts = level_counts()[found[:words]]
     unigram = (word_counts + 1) / (lm.tokens + lm.vocabulary + 1)
-    pair = level_counts()[found[words:]]
-    before = word_counts[tokens.previous]
-    pair = np.minimum(pair, np.minimum(before, word_counts[tokens.codes]))  # a pair is no more frequent than its words
-    return np.log10((pair + mu * unigram[tokens.codes]) / (before + mu))
+    out = np.empty(n)
+    for a in range(0, n, PROBED):
+        codes, before = tokens.codes[a : a + PROBED], word_counts[tokens.previous[a : a + PROBED]]
+        pair = level_counts()[found[words + a : words + a + PROBED]]
+        pair = np.minimum(pair, np.minimum(before, word_counts[codes]))  # a pair is no more frequent than its words
+        out[a : a + PROBED] = np.log10((pair + mu * unigram[codes]) / (before + mu))
+    return out
 
 
 def _scored(lm: Filter, top, mu: float):
@@ -328,28 +340,29 @@ def _scored(lm: Filter, top, mu: float):
         for batch in batches:
             for a, b in slices(batch.column("_text"), BATCH_CHARS if len(lm.parts) == 1 else PARTED_CHARS):
                 tokens = Tokens(batch.column("_text").slice(a, b - a))
-                names = tokens.words.dictionary.to_numpy(zero_copy_only=False)
-                place = pc.fill_null(pc.index_in(tokens.words.dictionary.cast(best.type), value_set=best), -1).to_numpy(zero_copy_only=False)
+                give_back()  # what taking the texts apart took
+                place = pc.fill_null(pc.index_in(tokens.dictionary.cast(best.type), value_set=best), -1).to_numpy(zero_copy_only=False)
                 count = np.append(np.append(best_n, -1)[place], ends)  # place -1 is the last
-                have = count[tokens.codes]
-                logs = np.where(have >= 0, np.log(np.maximum(have, 0) + 1.0) - scale, 0) / log(10)
+                logs = np.where(count >= 0, np.log(np.maximum(count, 0) + 1.0) - scale, 0) / log(10)  # of each different word
                 add = lambda x, s=tokens.starts: np.add.reduceat(x, s[:-1]) if len(x) else x
                 # words whose counts are not here: once for each text, with how often
-                open_ = np.flatnonzero(have < 0)
-                owner = np.repeat(np.arange(b - a), tokens.counts)[open_]
+                open_ = np.flatnonzero((count < 0)[tokens.codes])
+                owner = np.searchsorted(tokens.starts, open_, "right") - 1
                 keys, often = np.unique(owner << 32 | tokens.codes[open_], return_counts=True)
                 bounds = np.searchsorted(keys >> 32, np.arange(b - a + 1)).astype(np.int32)
-                words = [pa.array(names[keys & 0xFFFFFFFF], pa.string()), pa.array(often.astype(np.int64))]
+                words = [tokens.dictionary.take(pa.array(keys & 0xFFFFFFFF)).cast(pa.string()), pa.array(often.astype(np.int64))]
                 out = {
                     "_row": pa.array(part + row + np.arange(b - a)),
                     "_id": batch.column("_id").slice(a, b - a),
                     "held_out": batch.column("held_out").slice(a, b - a),
                     "n_tokens": pa.array(tokens.counts),
-                    "_known": pa.array(add((have > 0).astype(np.int64))),
-                    "_base": pa.array(add(logs)),
+                    "_known": pa.array(add((count > 0).astype(np.int64)[tokens.codes])),
+                    "_base": pa.array(add(logs[tokens.codes])),
                     "score": pa.array(add(log_probabilities(lm, tokens, mu))),
                     "_left": pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(words, names=["w", "k"])),
                 }
+                del tokens, owner, open_, keys, often, words
+                give_back()
                 yield pa.RecordBatch.from_pydict(out)
                 row += b - a
 

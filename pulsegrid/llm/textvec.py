@@ -47,7 +47,7 @@ def lean(rows: Callable) -> Callable:
     @wraps(rows)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from rows(batches)
-        _give_back()
+        give_back()
 
     return run
 
@@ -58,13 +58,14 @@ def lean_group(rows: Callable) -> Callable:
     @wraps(rows)
     def run(group: pa.Table) -> pa.Table:
         out = rows(group)
-        _give_back()
+        give_back()
         return out
 
     return run
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Returns to the machine what this worker has freed."""
     pa.default_memory_pool().release_unused()
     if trim := getattr(_allocator(), "malloc_trim", None):
         trim(0)

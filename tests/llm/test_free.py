@@ -455,3 +455,21 @@ def test_probes_hold_little():
     tracemalloc.stop()
     assert most[0] == 1 and peak < 90_000_000
     assert (got[keys >> np.uint64(45) == 1] == lm_score.MOST_LEVELS - 1).all() and (got == np.concatenate([lm.level(k) for k in np.array_split(keys, 7)])).all()
+
+
+def test_scores_hold_little():
+    """Beside its text a token takes a key, a level, a place in its part and a score; what is computed from them goes by pieces."""
+    import tracemalloc
+
+    r = np.random.default_rng(2)
+    texts = pa.array([" ".join(f"w{i}" for i in r.integers(0, 2000, 500)) for _ in range(2000)])
+    bits = np.full(1 << 20, 85, np.uint8)
+    lm = lm_score.Filter([lambda: bits], [0, 64], np.arange(65) * (1 << 17), 1000, 100)
+    tokens = lm_score.Tokens(texts)
+    tracemalloc.start()
+    got = lm_score.log_probabilities(lm, tokens)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1_002_000 and peak < 44 * len(got)
+    some = lm_score.Tokens(texts[1998:])
+    assert (got[-1002:] == lm_score.log_probabilities(lm, some)).all()
