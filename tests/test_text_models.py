@@ -163,3 +163,46 @@ def test_from_text_to_topic_persona_and_drift(spark, themed):
     v = text_vectors.transform(themed, model)
     assert vectors.centroid_drift(v.withColumn("f", F.col("theme") > 1), "f", vec_col="vector").first()["is_semantic"]
     assert not vectors.centroid_drift(v.withColumn("f", F.col("id") % 2 == 1), "f", vec_col="vector").first()["is_semantic"]
+
+
+def test_pairs_and_vectors_in_bounded_memory(spark, monkeypatch):
+    """What a worker holds does not grow with the words of a batch; pieces of any size give the same pairs and vectors."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(4)
+    texts = [[f"w{i}" for i in r.integers(0, 50, n)] for n in (9000, 3, 0, 1, 700, 200_000)]
+    names = [f"w{i}" for i in range(49)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.list_(pa.string()))], names=["w"])
+
+    def pairs():
+        got = Counter()
+        for out in text_vectors._pairs(pa.array(names, pa.large_string()), 3)(iter([batch, batch])):
+            for b, k, c in zip(*out.columns, strict=True):
+                for key, count in zip(np.cumsum(text_vectors._unpacked(k.as_py())).tolist(), text_vectors._unpacked(c.as_py()).tolist(), strict=True):
+                    got[key // 49 * text_vectors.BLOCKS + b.as_py(), key % 49] += count
+        return got
+
+    tracemalloc.start()
+    whole = pairs()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000
+    want = Counter()
+    for t in texts:
+        own = [int(w[1:]) for w in t if w != "w49"]
+        for step in (1, 2, 3):
+            for i, j in zip(own, own[step:], strict=False):
+                want[i, j] += 2
+                want[j, i] += 2
+    assert whole == want
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id int, text string")
+    model = text_vectors.Model(names, np.full(49, 1 / 49), r.standard_normal((49, 4)))
+    found = lambda: {x["id"]: x["vector"] for x in text_vectors.transform(rows, model).collect()}
+    vectors_whole = found()
+    monkeypatch.setattr(text_vectors, "STEP", 64)
+    monkeypatch.setattr(text_vectors, "GATHER", 100)
+    assert pairs() == want
+    small = found()
+    assert small[2] is None and all(small[i] == pytest.approx(vectors_whole[i]) for i in (0, 1, 3, 4, 5) if vectors_whole[i])
