@@ -3,9 +3,10 @@
 Names: the words of a text are taken apart once, runs of as many words as the longest name has are joined with the names
 by what they say, and of overlapping matches the one that begins first stays, of those that begin together the longest.
 
-Points: the plane of degrees is cut into square cells of the largest distance that counts. A place is entered in its own
-cell and the eight around it, so a point finds every place that may count in one cell, by one join, and takes the
-nearest there without a shuffle of its own.
+Points: the plane of degrees is cut into square cells. A place is entered in its own cell and the eight around it, so a
+point finds every place as near as a cell is wide in one cell, by one join, and takes the nearest there without a shuffle
+of its own. Cells are small at first, by how close the places stand; a point that has found none so near looks on in
+larger ones, up to cells of the largest distance that counts.
 
 A gazetteer of at most BROADCAST_ROWS rows is broadcast, a larger one is joined by shuffles, which Spark splits where a
 name or cell is hot.
@@ -13,12 +14,17 @@ name or cell is hot.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import once
+from ..sources.shared import cut
 
 BROADCAST_ROWS = 100_000
+#: Of so many places at most all are looked at in cells of the largest distance; of more a smallest cell holds at least CROWD on average.
+FEW, CROWD, MOST_HALVINGS = 64, 2, 12
 
 
 def _small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -73,11 +79,34 @@ def cells(places: DataFrame, lat: str, lon: str, size: float) -> DataFrame:
 def with_nearest(points: DataFrame, places: DataFrame, lat: Column, lon: Column, most: float = 0.8, order: str = "i", name: str = "near", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """points with a struct ``name``: far (degrees) and the columns of the nearest place (lat, lon, ...) within ``most``; of equally
     near ones the first by ``order``. Null for points without coordinates or without such a place."""
-    table = cells(places, "lat", "lon", most)
-    kind = next(f.dataType.elementType for f in table.schema if f.name == "_places")
-    cell = lambda c: F.floor(c / most)
-    rows = points.join(_small(table, broadcast_rows), (cell(lat) == F.col("_cy")) & (cell(lon) == F.col("_cx")), "left")
+    kind = places.schema
+    sizes = _sizes(places, most)
+    if len(sizes) > 1:  # of places on one spot the first is enough
+        first = places.groupBy("lat", "lon").agg(F.min(F.struct(F.col(order).alias("_o"), F.struct("*").alias("_p"))).alias("_m"))
+        places = cut(first.select("_m._p.*"))
     far = lambda p: F.sqrt((lat - p["lat"]) * (lat - p["lat"]) + (lon - p["lon"]) * (lon - p["lon"]))
     scored = F.transform("_places", lambda p: F.struct(far(p).alias("far"), p[order].alias("_o"), p.alias("_p")))
-    best = lambda b: F.when(b["far"] <= most, F.struct(b["far"].alias("far"), *[b["_p"][f.name].alias(f.name) for f in kind]))
-    return rows.withColumn(name, once(F.array_min(scored), best)).drop("_cy", "_cx", "_places")
+    rows = points.withColumn(name, F.lit(None))
+    for i, size in enumerate(sizes):
+        # Within one cell of a point is what is nearer than a cell is wide; a little less, as cells are found by a division.
+        near = F.col("_best")["far"] <= (size * (1 - 1e-9) if size < most else most)
+        best = F.when(near, F.struct(F.col("_best")["far"].alias("far"), *[F.col("_best")["_p"][f.name].alias(f.name) for f in kind]))
+        y, x = F.floor(lat / size), F.floor(lon / size)
+        if i:  # points that have found theirs look for a cell that is not there, dealt out
+            y = F.when(F.col(name).isNull(), y).otherwise(-(1 << 50) - F.pmod(F.xxhash64(lat, lon), F.lit(1 << 20)))
+        table = cells(places, "lat", "lon", size)
+        met = rows.withColumns({"_y": y, "_x": x}).join(_small(table, broadcast_rows), (F.col("_y") == F.col("_cy")) & (F.col("_x") == F.col("_cx")), "left")
+        met = met.withColumn("_best", F.array_min(scored))
+        rows = met.withColumn(name, F.coalesce(name, best) if i else best).drop("_y", "_x", "_cy", "_cx", "_places", "_best")
+    return rows
+
+
+def _sizes(places: DataFrame, most: float) -> list[float]:
+    """Widths of cells to look in, one after the other."""
+    known = places.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    n, *ends = known.agg(F.count(F.lit(1)), *[f(F.col(c).cast("double")) for c in ("lat", "lon") for f in (F.min, F.max)]).first()
+    if n <= FEW or not all(map(math.isfinite, ends)):
+        return [most]
+    wanted = math.sqrt(CROWD * (ends[1] - ends[0]) * (ends[3] - ends[2]) / n) or most
+    halvings = min(MOST_HALVINGS, max(0, math.floor(math.log2(most / wanted))))
+    return [most / 2**k for k in range(halvings, 0, -2)] + [most]

@@ -69,3 +69,23 @@ def test_cities(spark):
     u = spark.createDataFrame([(1, "37.77, -122.42"), (2, "0.5, 0.5"), (3, "99, 3"), (4, None)], "id int, location_raw string")
     got = {x["id"]: x["geo"] for x in demographics.resolve_location(u).collect()}
     assert got[1]["city"] == "San Francisco" and got[2]["city"] is None and got[2]["confidence"] == 1.0 and got[3]["source"] == "unknown"
+
+
+def test_nearest_looks_near_first(spark, monkeypatch):
+    """Among many places in reach a point is held against those of small cells; spots, clusters and gaps give what a loop gives."""
+    r = random.Random(5)
+    spots = [(i, round(r.gauss(0, 0.05), 3), round(r.gauss(0, 0.05), 3)) for i in range(700)] + [(700 + i, round(r.uniform(-60, 60), 2), round(r.uniform(-90, 90), 2)) for i in range(300)]
+    spots += [(1000 + i, 10.0, 10.0) for i in range(200)] + [(2000, None, 1.0)]
+    at = [(i, round(r.uniform(-80, 80), 2), round(r.uniform(-120, 120), 2)) for i in range(250)] + [(250 + i, round(r.gauss(0, 0.1), 3), 0.0) for i in range(50)] + [(300, 10.0, 10.0), (301, None, 0.0), (302, 10.0, -10.0)]
+    q, p = spark.createDataFrame(spots, "i int, lat double, lon double"), spark.createDataFrame(at, "id int, la double, lo double")
+    sizes, most = places._sizes(q, 20.0), 20.0
+    assert len(sizes) > 1 and sizes[-1] == most and sizes == sorted(sizes)
+    held = max(len(x["_places"]) for x in places.cells(q.filter("i >= 700 and i < 1000"), "lat", "lon", sizes[0]).collect())
+    assert held * 2 < max(len(x["_places"]) for x in places.cells(q.filter("i >= 700 and i < 1000"), "lat", "lon", most).collect())
+    for crowd in (places.CROWD, 0.002):
+        monkeypatch.setattr(places, "CROWD", crowd)
+        got = {x["id"]: x["near"] and (x["near"]["far"], x["near"]["i"]) for x in places.with_nearest(p, q, F.col("la"), F.col("lo"), most).collect()}
+        for i, la, lo in at:
+            best = min((math.sqrt((la - a) * (la - a) + (lo - o) * (lo - o)), k) for k, a, o in spots if a is not None) if la is not None else (99, 0)
+            assert got[i] == (best if best[0] <= most else None)
+    assert len(places._sizes(q, most)) > 3
