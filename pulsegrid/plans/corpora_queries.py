@@ -124,10 +124,9 @@ def _labelled_files(s: SparkSession, d: str) -> str:
     """A task's folder: texts, labels and the names of labels, one of which is not named."""
     rows = table(s, d, "labels").join(table(s, d, "documents"), "doc_id").filter("quality is not null").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("text"), "quality")
     base = _fresh(s, "task")
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("doc_id", "text", "quality"))).alias("x"))  # a small labelled split
-    joined = lambda c: F.array_join(F.transform("x", lambda r: r[c].cast("string")), "\n")
-    for name, c in (("test_text", "text"), ("test_labels", "quality")):
-        listed.select(joined(c).alias("value")).coalesce(1).write.text(f"{base}/mood/{name}.txt")
+    order = ["doc_id", "quality"]  # of the lines of both files; of rows that share a place, the label is the same
+    rows.orderBy(*order).select("text").write.text(f"{base}/mood/test_text.txt")
+    rows.orderBy(*order).select(F.col("quality").cast("string")).write.text(f"{base}/mood/test_labels.txt")
     s.createDataFrame([("0 bad\nnone here\n",)], "value string").coalesce(1).write.text(f"{base}/mood/mapping.txt")
     return base
 

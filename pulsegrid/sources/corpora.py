@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hashtags, mentions, urls
@@ -98,25 +98,29 @@ def dump_edges(rows: DataFrame) -> DataFrame:
     return rows.filter(F.lower("value").contains("insert")).select(F.explode(pairs).alias("x")).select(F.col("x.b").alias("source_id"), F.col("x.a").alias("target_id"), F.lit("follows").alias("relation_type"), F.lit(1.0).alias("weight"))
 
 
-def _numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = content.decode("utf-8", "replace").splitlines()
-            yield pd.DataFrame({"path": path, "n": range(len(rows)), "value": [x.strip() for x in rows]})
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): the lines of a file, or of a folder's files by name, numbered from 0, without the blanks around them.
+
+    A file is read in pieces by as many tasks. Both scans go over the same pieces, as they share their RDD; what a piece's
+    first line is follows from how many the pieces before it have.
+    """
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_at"))
+    pieces = DataFrame(spark._jsparkSession.createDataFrame(read._jdf.toJavaRDD(), read._jdf.schema()), spark)
+    sizes = pieces.groupBy("_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each piece
+    starts = sizes.select("_file", "_start", (before - F.col("_first")).alias("_by"))
+    value = F.regexp_replace(F.make_valid_utf8("value"), r"(?U)^\s+|\s+$", "")
+    return pieces.join(F.broadcast(starts), ["_file", "_start"]).select((F.col("_at") + F.col("_by")).alias("n"), value.alias("value"))
 
 
 def labelled(spark: SparkSession, base: str, task: str, split: str) -> DataFrame:
     """(text, label_id, label): the n-th text with the n-th label, named by the task's mapping; bad labels are left out."""
     at = f"{base}/{task}"
     top = f"{base}/{task.split('/')[0]}/mapping.txt"
-
-    def read(path: str) -> DataFrame:
-        return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_numbered, "path string, n bigint, value string")
-
-    texts = read(f"{at}/{split}_text.txt").select("n", F.col("value").alias("text"))
-    labels = read(f"{at}/{split}_labels.txt").select("n", F.col("value").try_cast("int").alias("label_id")).filter("label_id is not null")
+    texts = numbered_lines(spark, f"{at}/{split}_text.txt").select("n", F.col("value").alias("text"))
+    labels = numbered_lines(spark, f"{at}/{split}_labels.txt").select("n", F.col("value").try_cast("int").alias("label_id")).filter("label_id is not null")
     m = F.split("value", r"\s+", 2)
-    names = read(top).select(m[0].try_cast("int").alias("label_id"), F.get(m, F.lit(1)).alias("name")).filter("label_id is not null")
+    names = numbered_lines(spark, top).select(m[0].try_cast("int").alias("label_id"), F.get(m, F.lit(1)).alias("name")).filter("label_id is not null")
     out = texts.join(labels, "n").join(names, "label_id", "left")
     return out.select("n", "text", "label_id", F.coalesce("name", F.concat(F.lit("label_"), F.col("label_id").cast("string"))).alias("label"), F.lit(task).alias("task"), F.lit(split).alias("split"))
 
