@@ -28,9 +28,9 @@ def _fresh(s: SparkSession, name: str) -> str:
 
 
 def _as_lines(s: SparkSession, rows: DataFrame, name: str) -> str:
-    """rows (value) as text files; their folder."""
+    """rows (value) as compressed text files, many, as each is one task's to read; their folder."""
     path = _fresh(s, name)
-    rows.write.text(path)
+    rows.write.option("compression", "lz4").option("maxRecordsPerFile", 20_000).text(path)
     return path
 
 

@@ -25,3 +25,19 @@ def test_lines_of_many_pieces_stay_paired(spark, tmp_path):
             spark.conf.set(k, v)
     name = {0: "bad", 1: "good one"}
     assert got == {i: (texts[i].strip(), i % 5, name.get(i % 5, f"label_{i % 5}")) for i in range(1500) if i % 11}
+
+
+def test_lines_are_written_compressed(spark):
+    """A table of posts is written in its files' own format: its lines must not take the disk as they stand."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from pulsegrid.plans.corpora_queries import _as_lines
+
+    rows = spark.range(50_000).select(F.concat_ws("\t", F.lit("u1"), F.col("id").cast("string"), F.repeat(F.lit("some prose, "), 20)).alias("value"))
+    at = _as_lines(spark, rows, "test")
+    folder = at.removeprefix("file:")
+    files = [f"{folder}/{x}" for x in os.listdir(folder) if x.startswith("part-")]
+    assert len(files) > 2 and sum(map(os.path.getsize, files)) < 50_000 * 100
+    assert corpora.lines(spark, at).exceptAll(rows).isEmpty() and corpora.lines(spark, at).count() == 50_000
