@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, forget
 from .ranks import numbered_within
 from .sentiment import signed
 
@@ -36,7 +36,8 @@ def closure(nodes: DataFrame, tree: str, node: str, parent: str, with_size: bool
         if with_size:
             more = rows.groupBy("tree", F.col("_up").alias("node")).agg(F.sum("size").alias("_more"))
             new = new.join(more, ["tree", "node"], "left").select("tree", "node", "_up", "depth", (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
-        state = cut(new)
+        former, state = state, cut(new)
+        forget(former)
         open_, done = state.agg(F.count("_up"), F.count(F.when(F.col("_up").isNull(), 1))).first()
         if not open_ or done == closed:  # none in reach, or cycles alone
             return state.filter("_up is null").select("tree", "node", "depth", *kept)
@@ -119,17 +120,25 @@ def parents(adopters: DataFrame, follows: DataFrame) -> DataFrame:
     """adopters with parent: an earlier adopter of the parent post if given, else the latest earlier adopter whom the
     user follows (of equal times the first), else the first adopter; null for the first.
 
-    Candidates come from the users' follow edges first, so no cascade is joined with itself whole.
+    Candidates come from the users' follow edges: a row for each edge holds the followed user's cascades as arrays, and is
+    met with the follower's own where those lie, so neither a cascade nor a user's edges times cascades is shuffled.
     """
     a = adopters if "parent_event_id" in adopters.columns else adopters.withColumn("parent_event_id", F.lit(None).cast("string"))
     prior = a.select("cascade_id", F.col("user_id").alias("_by"), F.col("post_id").alias("_post"), F.col("ord").alias("_ord"), F.col("timestamp_ms").alias("_ts"))
     named = a.filter("parent_event_id is not null").select("cascade_id", "user_id", "ord", F.col("parent_event_id").alias("_post"))
     explicit = named.join(prior, ["cascade_id", "_post"]).filter("_ord < ord").select("cascade_id", "user_id", "_by", F.lit(1).alias("_sure"), "_ts", "_ord")
     edges = follows.select(F.col("source_id").alias("user_id"), F.col("target_id").alias("_by")).distinct()
-    followed = a.join(edges, "user_id").join(prior, ["cascade_id", "_by"]).filter("_ord < ord").select("cascade_id", "user_id", "_by", F.lit(0).alias("_sure"), "_ts", "_ord")
+    roots = cut(a.filter("ord = 0").select("cascade_id", F.col("user_id").alias("_root")).withColumn("_c", F.monotonically_increasing_id()))
+    coded = a.join(roots.select("cascade_id", "_c"), "cascade_id").select("user_id", F.struct("_c", "ord", F.col("timestamp_ms").alias("_ts")).alias("_x"))
+    own = coded.groupBy("user_id").agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    lists = own.select("user_id", *[F.col("_x")[c].alias(f"_{c}s") for c in ("_c", "ord", "_ts")])  # three plain arrays take least to shuffle
+    theirs = edges.join(lists.withColumnRenamed("user_id", "_by"), "_by")
+    met = theirs.join(own, "user_id").select("user_id", "_by", "__cs", "_ords", "__tss", F.explode("_x").alias("_x")).withColumn("_i", F.array_position("__cs", F.col("_x")["_c"]).cast("int") - 1)
+    met = met.filter("_i >= 0").select("user_id", "_by", F.col("_x")["_c"].alias("_c"), F.col("_x")["ord"].alias("ord"), F.get("_ords", "_i").alias("_ord"), F.get("__tss", "_i").alias("_ts")).filter("_ord < ord")
+    nearest = met.groupBy("user_id", "_c").agg(F.max_by(F.struct("_by", "_ts", "_ord"), F.struct("_ts", -F.col("_ord"))).alias("_m"))
+    followed = nearest.join(roots, "_c").select("cascade_id", "user_id", F.col("_m")["_by"].alias("_by"), F.lit(0).alias("_sure"), F.col("_m")["_ts"].alias("_ts"), F.col("_m")["_ord"].alias("_ord"))
     best = explicit.union(followed).groupBy("cascade_id", "user_id").agg(F.max_by("_by", F.struct("_sure", "_ts", -F.col("_ord"))).alias("_parent"))
-    roots = a.filter("ord = 0").select("cascade_id", F.col("user_id").alias("_root"))
-    out = a.join(best, ["cascade_id", "user_id"], "left").join(roots, "cascade_id")
+    out = a.join(best, ["cascade_id", "user_id"], "left").join(roots.drop("_c"), "cascade_id")
     return out.withColumn("parent", F.when(F.col("ord") > 0, F.coalesce("_parent", "_root"))).drop("_parent", "_root")
 
 
