@@ -484,3 +484,49 @@ def test_intensity_by_plain_words(spark):
         assert {r["i"]: r["x"] for r in plan.collect()} == {i: want(t, feeling) for i, t in enumerate(texts)}
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert "split(" not in text  # not every word of a text is judged
+
+
+def test_sums_of_fresh_pairs(spark, monkeypatch):
+    """Crowded and sparse pairs, even and uneven weights, against a loop over edges; a value that all have is stored once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pulsegrid.operators import paths
+
+    r, width = np.random.default_rng(3), 8
+    us = np.sort(r.integers(0, 40, 300)).astype(np.int32)
+    names, to = np.unique(r.integers(0, 3, 300) << 32 | r.integers(0, 40, 300), return_inverse=True)
+    for share in (0.02, 0.7):
+        for even in (True, False):
+            for at_once in (16, 1 << 18):
+                monkeypatch.setattr(paths, "_AT_ONCE", at_once)
+                key = np.flatnonzero(r.random(40 * width) < share)
+                val, ws = (np.full(n, 2.0) if even else r.integers(1, 4, n).astype(float) for n in (len(key), len(us)))
+                add, want = r.integers(1, 9, len(key)).astype(float), {}
+                for k, x, n in zip(key.tolist(), val, add, strict=True):
+                    for e in np.flatnonzero(us == k // width).tolist():
+                        at, far = (int(names[to[e]] >> 32), int(names[to[e]] & 0xFFFFFFFF) * width + k % width), x + ws[e]
+                        old = want.get(at, (far, 0.0))
+                        want[at] = (far, n) if far < old[0] else (old[0], old[1] + n * (far == old[0]))
+                edges = {k: paths._packed(x.astype(kind)) for (k, kind), x in zip(paths._EDGES.items(), (us, names, to, ws), strict=True)}
+                row = paths._row(0, 5, None, (key, val, add))
+                batch = pa.table({k: pa.array([x], pa.binary() if isinstance(x, bytes) else None) for k, x in (row | edges).items() if x is not None}).to_batches()
+                got = {}
+                for out in paths._sent(width)(iter(batch)):
+                    fresh = paths._fresh({k: out.column(k)[0] for k in out.schema.names})
+                    got |= {(out.column("b")[0].as_py(), int(k)): (x, n) for k, x, n in zip(*fresh, strict=True)}
+                assert got == want and got
+    many = np.arange(100_000)
+    assert sum(len(x) for x in paths._row(0, 0, None, (many, many * 0.0, many * 0.0 + 1)).values() if isinstance(x, bytes)) < 1000
+
+
+def test_rounds_of_paths_are_deleted(spark):
+    """Of the states of many rounds no more than the last stays in the shared folder."""
+    from pathlib import Path
+
+    line = edges(spark, [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(6)])
+    graph.betweenness(line.limit(0)).count()  # the folder is there from here on
+    place = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = len(list(place.iterdir()))
+    assert graph.betweenness(line).agg(F.max("betweenness")).first()[0] > 0
+    assert len(list(place.iterdir())) - before < 12  # 14 rounds and some tables besides
