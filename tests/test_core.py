@@ -540,3 +540,20 @@ def test_moves_to_the_best_community(spark):
     names = [f"n{i:02d}" for i in range(60)]
     e = edges(spark, sorted({(x, y) for x in names for y in names if x != y and r.random() < 0.15}))
     assert graph.modularity(e, graph.louvain(e)).first()["modularity"] > 0.15
+
+
+def test_diversity_of_shared_bodies(spark, monkeypatch):
+    """Bodies and tails give what whole texts give: shared words, tails with words, no stored tags, no author, no text. A term's
+    posts are no rows of their own."""
+    from pulsegrid.operators import trends
+
+    for name in ("AUTHORS", "BODIES"):
+        monkeypatch.setattr(trends, name, 2)
+    bodies = spark.createDataFrame([(0, "alpha beta alpha the #Gamma"), (1, "beta delta https://x.org/y"), (2, None), (3, ""), (4, "omega #One")], "body_id long, body string")
+    tails, tags = (" #t1 #k0", " delta alpha", " #t1"), (["t1", "k0"], [], ["T1"], None)
+    rows = [(f"a{i * i % 7}" if i % 9 else None, i % 6, tails[i % 3], tags[i % 4]) for i in range(40)]
+    parts = spark.createDataFrame(rows, "author_id string, body_id long, tail string, hashtags array<string>").withColumn("ts", F.lit(0).cast("timestamp"))
+    posts = parts.join(bodies, "body_id").withColumn("text", F.concat("body", "tail"))
+    for target in ("all", "hashtags", "keywords"):
+        want = {r["term"]: r["diversity"] for r in trends.term_diversity(posts, target).collect()}
+        assert {r["term"]: r["diversity"] for r in trends.term_diversity(parts, target, bodies).collect()} == want and want
